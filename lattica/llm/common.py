@@ -7,6 +7,7 @@ the names that it makes itself.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -43,6 +44,25 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
+_BUILT: dict[str, object] = {}
+
+
+class Shared:
+    """A model for Python workers: its plain state is broadcast, and each worker builds the model from it once.
+
+    The state must be of bounded size, which is for the caller to see to.
+    """
+
+    def __init__(self, spark: SparkSession, state: object, build: Callable[[object], object]) -> None:
+        self.state, self.build, self.key = spark.sparkContext.broadcast(state), build, uuid.uuid4().hex
+
+    def get(self) -> object:
+        if self.key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[self.key] = self.build(self.state.value)
+        return _BUILT[self.key]
+
+
 def hash_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     """At most `rows` rows of df: those with the smallest hash of key, the same at every run and at any partitioning.
 
