@@ -265,5 +265,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.union(of.where("alone").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
+def keep_one_per_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 2_000_000, **options) -> DataFrame:
+    """The rows of df, a plain scan, without near-duplicates: of each class the row of smallest id stays, of equal ids the first.
+
+    Rows are told apart by their place in the scan, so repeated rows and ids lose no more than they should. The rows that go
+    are broadcast if there are at most broadcast_rows of them, 16 bytes each; else the join shuffles.
+    """
+    row = F.monotonically_increasing_id()
+    rows = df.select(row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    classes = near_duplicates(rows, "row", "text", **options).where("class_size > 1").select(F.col("doc_id").alias("row"), "class_id")
+    members = cut(classes.join(rows.select("row", "id"), "row"))
+    first = members.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("f")).select(F.col("f.row").alias("row"))
+    gone = cut(members.select("row").join(first, "row", "left_anti").withColumnRenamed("row", "_row"))
+    small = gone.count() <= broadcast_rows
+    names = [f"_c{k}" for k in range(len(df.columns))]  # so that no column of df clashes with the row's number
+    kept = df.toDF(*names).withColumn("_row", row).join(F.broadcast(gone) if small else gone, "_row", "left_anti").select(*names)
+    return kept.toDF(*df.columns)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -127,23 +127,24 @@ class Lattices:
 
     def nodes(self, words: list[str]) -> list[int]:
         at = self.at
-        out = []
-        for w in words:
-            k = at.get(w)
-            if k is None:
-                k = self.add(w)
-                at[w] = k
-            out.append(k)
+        out = list(map(at.get, words))
+        if None in out:
+            for w in words:
+                if w not in at:
+                    at[w] = self.add(w)
+            out = list(map(at.get, words))
         return out
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        """first, count, next, logp of edges, and node + cumulative probability, which is sorted."""
+        """first and count of nodes; next, logp, node, only id (-1: none or several) of edges; node + cumulative probability, which is sorted."""
         if self.frozen is None:
             first, count = np.array(self.first, dtype=np.int64), np.array(self.count, dtype=np.int64)
             key = np.minimum(np.array(self.cum), 1 - 1e-9)
             last = first + count - 1
             key[last] = 1.0
-            self.frozen = first, count, np.array(self.next, dtype=np.int64), np.array(self.logp), key + np.repeat(np.arange(len(first)), count)
+            node = np.repeat(np.arange(len(first)), count)
+            only = np.array([t[0] if len(t) == 1 else -1 for t in self.tokens], dtype=np.int64)
+            self.frozen = first, count, np.array(self.next, dtype=np.int64), np.array(self.logp), node, only, key + node
         return self.frozen
 
 
@@ -152,7 +153,7 @@ def walk(lat: Lattices, node: np.ndarray, place: np.ndarray, seed: np.ndarray) -
 
     seed is the noise of each word; the choice at its s-th step and the noise for what is left there are hashed from it.
     """
-    first, count, nxt, _, key = lat.arrays()
+    first, count, nxt, _, _, _, key = lat.arrays()
     places, edges, noise, s = [], [], [], 0
     with np.errstate(over="ignore"):
         while len(node):
@@ -195,7 +196,8 @@ def sample_batch(lat: Lattices, texts: list[str], keys: list[int], k: int = K) -
     """For each text its k sampled paths, best first, and kappa (minus infinity if there are no further paths)."""
     words = [lat.words(t) for t in texts]
     starts = [np.array(lat.nodes(w), dtype=np.int64) for w in words]
-    first, count, nxt, logp, _ = lat.arrays()
+    first, count, nxt, logp, node_of, _, _ = lat.arrays()
+    single = count[node_of] == 1
     own = np.array(keys, dtype=U)
     paths: list[list[Path]] = [[] for _ in texts]
     queues: list[list[tuple]] = [[] for _ in texts]  # (-value, order, path, step, edges taken there)
@@ -235,13 +237,19 @@ def sample_batch(lat: Lattices, texts: list[str], keys: list[int], k: int = K) -
                 new = Path(np.concatenate([head_edges, edge[a:b]]), np.concatenate([head_places, place[row[a:b]]]), logp, value)
                 paths[d].append(new)
                 h = len(head_edges)
-                # what the new steps leave; only the best k + 1 of them can matter
-                mass = new.before[h:] + np.log(np.maximum(-np.expm1(np.minimum(logp[edge[a:b]], 0.0)), 1e-300))
-                single = count_of(first, count, edge[a:b]) == 1
-                mass = np.where(single, -np.inf, mass)
-                g = left_over(mass, u[a:b], np.full(b - a, value))
-                keep = np.argpartition(-g, k)[: k + 1] if len(g) > k + 1 else np.arange(len(g))
-                for i in keep:
+                # What the new steps leave. Noise is within (-4, 37) by its 52 bits, so once the best k + 1 are above all that
+                # later steps could reach, those can't matter.
+                n, m = b - a, 64
+                while n:
+                    m = min(m, n)
+                    e = edge[a : a + m]
+                    mass = np.where(single[e], -np.inf, new.before[h : h + m] + np.log(np.maximum(-np.expm1(np.minimum(logp[e], 0.0)), 1e-300)))
+                    g = left_over(mass, u[a : a + m], np.full(m, value))
+                    keep = np.argpartition(-g, k)[: k + 1] if m > k + 1 else np.arange(m)
+                    if m == n or g[keep].min() > new.before[h + m] + 37:
+                        break
+                    m *= 4
+                for i in keep if n else ():
                     if g[i] > -np.inf:
                         heapq.heappush(queues[d], (-float(g[i]), len(paths[d]), int(i), new, h + int(i), (int(edge[a + i]),)))
             jobs = []
@@ -252,7 +260,7 @@ def sample_batch(lat: Lattices, texts: list[str], keys: list[int], k: int = K) -
                 if number == k - 1:
                     kappa[d] = -g
                     continue
-                e, left, v = choose(first, count, logp, path.edges[step], taken, int(own[d]), number, step)
+                e, left, v = choose(first, count, logp, node_of, path.edges[step], taken, int(own[d]), number, step)
                 if left > 1e-12:
                     mu = path.before[step] + np.log(left)
                     value = float(left_over(np.array([mu]), np.array([v]), np.array([-g]))[0])
@@ -261,13 +269,9 @@ def sample_batch(lat: Lattices, texts: list[str], keys: list[int], k: int = K) -
     return list(zip(paths, kappa, strict=True))
 
 
-def count_of(first: np.ndarray, count: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    return count[np.searchsorted(first, edges, side="right") - 1]
-
-
-def choose(first: np.ndarray, count: np.ndarray, logp: np.ndarray, edge: int, taken: tuple[int, ...], key: int, number: int, step: int) -> tuple[int, float, float]:
+def choose(first: np.ndarray, count: np.ndarray, logp: np.ndarray, node_of: np.ndarray, edge: int, taken: tuple[int, ...], key: int, number: int, step: int) -> tuple[int, float, float]:
     """Another edge of the node of `edge`, by probability among those not taken; the probability then left, and noise for it."""
-    node = int(np.searchsorted(first, edge, side="right") - 1)
+    node = int(node_of[edge])
     edges = np.arange(first[node], first[node] + count[node])
     edges = edges[~np.isin(edges, taken)]
     p = np.exp(logp[edges])
@@ -302,6 +306,9 @@ def lattices(path: str, theta: float) -> Lattices:
 
 
 def path_ids(lat: Lattices, path: Path) -> list[int]:
+    ids = lat.arrays()[5][path.edges]
+    if (ids >= 0).all():
+        return ids.tolist()
     return [i for t in map(lat.tokens.__getitem__, path.edges.tolist()) for i in t]
 
 
