@@ -1 +1 @@
-
+"""Matrices assembled from streams."""
