@@ -11,17 +11,21 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
+assert array("I").itemsize == 4 and sys.byteorder == "little"
 
-WORD_MARKS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?*#$%&:;|]*)")
+MARKS = b".,!?*#$%&:;|"
+#: Letters of the Latin-1 range; all of them have plain lower cases and no decompositions under the library's normalizer.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class WordEncoder:
     """ids(word) and count(word) with at most `entries` cached words; a word over `longest` bytes is never cached."""
 
-    def __init__(self, path: str, entries: int = 250_000, longest: int = 256) -> None:
+    def __init__(self, path: str, entries: int = 500_000, longest: int = 256) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -30,38 +34,43 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.entries, self.longest = entries, longest
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
         #: Splitting off marks is right only where the vocabulary lower-cases and pre-tokenizes letters and marks apart.
         spec = json.loads(self.tokenizer.to_str())
         self.split_marks = "Lowercase" in json.dumps(spec["normalizer"]) and "\\p{L}" in json.dumps(spec["pre_tokenizer"])
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, texts: list[bytes]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-    def _split(self, word: bytes) -> list[str]:
-        m = WORD_MARKS.fullmatch(word) if self.split_marks else None
-        if m is None:
-            return [word.decode()]
-        return [m[1].decode().lower()] + ([m[2].decode()] if m[2] else [])
+    def _split(self, word: bytes) -> tuple[bytes, bytes]:
+        """Two pre-tokens, the second often empty, or the word and nothing."""
+        core = word.rstrip(MARKS)
+        if core.isalpha():  # ASCII letters
+            return core.lower(), word[len(core) :]
+        if core and LATIN.fullmatch(text := core.decode("utf-8", "replace")):
+            return text.lower().encode(), word[len(core) :]
+        return word, b""
 
     def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """The ids, as little-endian unsigned 32-bit integers, of each distinct word."""
-        distinct = set(words)
         if len(self.words) > self.entries:
             self.words = {}
         if len(self.parts) > self.entries:
             self.parts = {}
-        missing = [w for w in distinct if w not in self.words]
-        if missing:
-            split = {w: self._split(w) for w in missing}
-            new = list({p for ps in split.values() for p in ps if p not in self.parts})
-            fresh = dict(zip(new, self._library(new), strict=True))
-            self.parts.update((p, i) for p, i in fresh.items() if len(p) <= self.longest)
-            get = lambda p: fresh[p] if p in fresh else self.parts[p]
-            made = {w: b"".join(get(p) for p in ps) for w, ps in split.items()}
-            self.words.update((w, i) for w, i in made.items() if len(w) <= self.longest)
-            return self.words if all(len(w) <= self.longest for w in missing) else self.words | made
-        return self.words
+        missing = list(set(words).difference(self.words))
+        if not missing:
+            return self.words
+        split = list(map(self._split, missing)) if self.split_marks else [(w, b"") for w in missing]
+        parts = self.parts
+        new = [p for p in {p for pair in split for p in pair} if p not in parts]
+        parts.update(zip(new, self._library(new), strict=True))
+        self.words.update(zip(missing, [parts[a] + parts[b] if b else parts[a] for a, b in split], strict=True))
+        if max(map(len, missing)) <= self.longest:
+            return self.words
+        known = self.words  # long words are known to this call only
+        self.words = {w: i for w, i in known.items() if len(w) <= self.longest}
+        self.parts = {p: i for p, i in parts.items() if len(p) <= self.longest}
+        return known
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
