@@ -100,7 +100,7 @@ def _logs(counts: dict[str, Counter], languages: list[str], least: int, most: in
     for c in counts.values():
         total.update(c)
     items = sorted((x for x, n in total.items() if n >= least), key=lambda x: (-total[x], x))[:most]
-    n = np.array([[counts[x][i] + FLOOR for x in languages] for i in items]).reshape(-1, len(languages))
+    n = np.array([[counts[x][i] + FLOOR for x in languages] for i in items]).reshape(len(items), len(languages))
     return items, np.log(n / (np.array([sum(counts[x].values()) for x in languages]) + FLOOR * max(len(items), 1)))
 
 

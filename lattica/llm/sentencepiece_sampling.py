@@ -21,6 +21,9 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
+from itertools import accumulate
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +87,9 @@ class Lattices:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.first, self.count, self.next, self.logp, self.cum, self.tokens = [], [], [], [], [], []
+        self.first, self.count = array("q"), array("q")  # of nodes
+        self.next, self.logp, self.cum, self.only = array("q"), array("d"), array("d"), array("q")  # of edges
+        self.several: dict[int, tuple[int, ...]] = {}  # the ids of edges of byte pieces
         self.frozen: tuple | None = None
 
     def words(self, text: str) -> list[str]:
@@ -92,36 +97,52 @@ class Lattices:
 
     def add(self, word: str) -> int:
         """The number of the word's first node."""
-        n, edges = len(word), []
+        ids, starts, weight, n = self.ids, self.starts, self.weight, len(word)
+        ends: list[list[int]] = []
+        pieces: list[list[int]] = []  # negative: the byte pieces of a character without a piece
+        weights: list[list[float]] = []
         for i in range(n):
-            out = []
+            e, p, w = [], [], []
             for j in range(i + 1, n + 1):
                 s = word[i:j]
-                if s not in self.starts:
+                if s not in starts:
                     break
-                if (p := self.ids.get(s)) is not None:
-                    out.append((j, self.weight[p], (p,)))
-            if word[i] not in self.ids:
-                b = word[i].replace(BLANK, " ").encode()
-                out.append((i + 1, self.byte_weight * len(b), tuple(self.byte_ids[x] for x in b)))
-            edges.append(out)
+                k = ids.get(s)
+                if k is not None:
+                    e.append(j)
+                    p.append(k)
+                    w.append(weight[k])
+            if word[i] not in ids:
+                e.append(i + 1)
+                p.append(-1)
+                w.append(self.byte_weight * len(word[i].encode()))
+            ends.append(e)
+            pieces.append(p)
+            weights.append(w)
         beta = [0.0] * (n + 1)
+        base = len(self.first)
+        probabilities: list[list[float]] = []
         for i in range(n - 1, -1, -1):
-            z = [w + beta[j] for j, w, _ in edges[i]]
+            z = [w + beta[j] for w, j in zip(weights[i], ends[i], strict=True)]
             m = max(z)
-            beta[i] = m + np.log(sum([np.exp(x - m) for x in z])) if len(z) > 1 else m
-        base = len(self.first)
-        for i in range(n):
+            x = [exp(v - m) for v in z] if len(z) > 1 else [1.0]
+            total = sum(x)
+            beta[i] = m + log(total)
+            probabilities.append([v / total for v in x])
+            weights[i] = [v - beta[i] for v in z]
+        for i, q in zip(range(n), reversed(probabilities), strict=True):
             self.first.append(len(self.next))
-            self.count.append(len(edges[i]))
-            total = 0.0
-            for j, w, tokens in edges[i]:
-                f = w + beta[j] - beta[i]
-                total += float(np.exp(f))
-                self.next.append(base + j if j < n else -1)
-                self.logp.append(f)
-                self.cum.append(total)
-                self.tokens.append(tokens)
+            self.count.append(len(q))
+            self.next.extend([base + j if j < n else -1 for j in ends[i]])
+            self.logp.extend(weights[i])
+            self.cum.extend(accumulate(q))
+            if pieces[i][-1] < 0:
+                own = tuple(self.byte_ids[x] for x in word[i].replace(BLANK, " ").encode())
+                if len(own) == 1:
+                    pieces[i][-1] = own[0]
+                else:
+                    self.several[len(self.only) + len(q) - 1] = own
+            self.only.extend(pieces[i])
         self.frozen = None
         return base
 
@@ -136,42 +157,42 @@ class Lattices:
         return out
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        """first and count of nodes; next, logp, node, only id (-1: none or several) of edges; node + cumulative probability, which is sorted."""
+        """first and count of nodes; next, logp, node, only id (-1: several) and cumulative probability of edges."""
         if self.frozen is None:
-            first, count = np.array(self.first, dtype=np.int64), np.array(self.count, dtype=np.int64)
-            key = np.minimum(np.array(self.cum), 1 - 1e-9)
-            last = first + count - 1
-            key[last] = 1.0
-            node = np.repeat(np.arange(len(first)), count)
-            only = np.array([t[0] if len(t) == 1 else -1 for t in self.tokens], dtype=np.int64)
-            self.frozen = first, count, np.array(self.next, dtype=np.int64), np.array(self.logp), node, only, key + node
+            first, count = (np.array(x, dtype=np.int64) for x in (self.first, self.count))
+            self.frozen = first, count, np.array(self.next, dtype=np.int64), np.array(self.logp), np.repeat(np.arange(len(first)), count), np.array(self.only, dtype=np.int64), np.array(self.cum)
         return self.frozen
 
 
-def walk(lat: Lattices, node: np.ndarray, place: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ancestral samples of many words at once, from node to the word's end: (place, edge, noise) of each step, in order of place.
+def walk(lat: Lattices, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ancestral samples of many words at once, from node to the word's end: (word, edge, hash) of each step, word after word.
 
     seed is the noise of each word; the choice at its s-th step and the noise for what is left there are hashed from it.
     """
-    first, count, nxt, _, _, _, key = lat.arrays()
-    places, edges, noise, s = [], [], [], 0
+    first, count, nxt, _, _, _, cum = lat.arrays()
+    steps, place, length = [], np.arange(len(node)), np.zeros(len(node), dtype=np.int64)
     with np.errstate(over="ignore"):
         while len(node):
-            h = mix(seed + U(s + 1) * U(0x9E3779B97F4A7C15))
-            edge = np.searchsorted(key, node + unit(h), side="left")
-            edge = np.clip(edge, first[node], first[node] + count[node] - 1)
-            places.append(place)
-            edges.append(edge)
-            noise.append(mix(h ^ U(0xA0761D6478BD642F)))
+            h = mix(seed + U(len(steps) + 1) * U(0x9E3779B97F4A7C15))
+            edge, u = first[node], unit(h)
+            last = edge + count[node] - 1
+            open_ = np.flatnonzero((u > cum[edge]) & (edge < last))
+            while len(open_):
+                edge[open_] += 1
+                at = edge[open_]
+                open_ = open_[(u[open_] > cum[at]) & (at < last[open_])]
+            length[place] += 1
+            steps.append((place, edge, h))
             on = nxt[edge]
-            alive = on >= 0
+            alive = np.flatnonzero(on >= 0)
             node, place, seed = on[alive], place[alive], seed[alive]
-            s += 1
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
-    p, e, u = np.concatenate(places), np.concatenate(edges), np.concatenate(noise)
-    order = np.argsort(p, kind="stable")
-    return p[order], e[order], u[order]
+    start = np.cumsum(length) - length
+    total = int(length.sum())
+    edges, hashes = np.empty(total, dtype=np.int64), np.empty(total, dtype=U)
+    for s, (p, e, h) in enumerate(steps):
+        edges[start[p] + s] = e
+        hashes[start[p] + s] = h
+    return np.repeat(np.arange(len(length)), length), edges, hashes
 
 
 def left_over(mu: np.ndarray, u: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -227,9 +248,8 @@ def sample_batch(lat: Lattices, texts: list[str], keys: list[int], k: int = K) -
             place = np.concatenate(place_parts) if jobs else np.zeros(0, np.int64)
             of = np.array([j[0] for j in jobs], dtype=np.int64)
             seed = mix(mix(own[of][doc] + U(number + 1) * U(0xD1342543DE82EF95)) + place.astype(U) * U(0xE7037ED1A0B428DB))
-            row, edge, noise = walk(lat, node, np.arange(len(node)), seed)
+            row, edge, hashes = walk(lat, node, seed)
             borders = np.searchsorted(doc[row], np.arange(len(jobs) + 1))
-            u = unit(noise)
             for q, (d, value, path, step, taken) in enumerate(jobs):
                 a, b = borders[q], borders[q + 1]
                 head_edges, head_places = heads[q]
@@ -244,7 +264,7 @@ def sample_batch(lat: Lattices, texts: list[str], keys: list[int], k: int = K) -
                     m = min(m, n)
                     e = edge[a : a + m]
                     mass = np.where(single[e], -np.inf, new.before[h : h + m] + np.log(np.maximum(-np.expm1(np.minimum(logp[e], 0.0)), 1e-300)))
-                    g = left_over(mass, u[a : a + m], np.full(m, value))
+                    g = left_over(mass, unit(mix(hashes[a : a + m] ^ U(0xA0761D6478BD642F))), np.full(m, value))
                     keep = np.argpartition(-g, k)[: k + 1] if m > k + 1 else np.arange(m)
                     if m == n or g[keep].min() > new.before[h + m] + 37:
                         break
@@ -309,7 +329,7 @@ def path_ids(lat: Lattices, path: Path) -> list[int]:
     ids = lat.arrays()[5][path.edges]
     if (ids >= 0).all():
         return ids.tolist()
-    return [i for t in map(lat.tokens.__getitem__, path.edges.tolist()) for i in t]
+    return [i for e, k in zip(path.edges.tolist(), ids.tolist(), strict=True) for i in (lat.several[e] if k < 0 else (k,))]
 
 
 def sampled_encodings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, k: int = K, theta: float = 1.0, with_ids: bool = True) -> DataFrame:
