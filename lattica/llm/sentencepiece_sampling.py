@@ -37,6 +37,7 @@ K = 3
 BLANK = "▁"
 U = np.uint64
 CACHE_EDGES = 3_000_000
+FIRST_STEPS = 400
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -250,28 +251,30 @@ def sample_batch(lat: Lattices, texts: list[str], keys: list[int], k: int = K) -
             seed = mix(mix(own[of][doc] + U(number + 1) * U(0xD1342543DE82EF95)) + place.astype(U) * U(0xE7037ED1A0B428DB))
             row, edge, hashes = walk(lat, node, seed)
             borders = np.searchsorted(doc[row], np.arange(len(jobs) + 1))
-            for q, (d, value, path, step, taken) in enumerate(jobs):
+            values = np.array([roots[d] if path is None else value for d, value, path, _, _ in jobs])
+            sums = np.array([logp[e].sum() for e, _ in heads])
+            # What the first steps leave, of all texts at once. Noise is within (-4, 37) by its 52 bits: where the best k + 1 are
+            # above all that later steps could reach, those can't matter; elsewhere all steps are looked at.
+            at = borders[:-1, None] + np.arange(FIRST_STEPS)
+            valid = at < borders[1:, None]
+            at = np.where(valid, at, 0)
+            best, reach = _leaves(edge[at] if len(edge) else at, hashes[at] if len(edge) else at.astype(U), valid, sums, values, logp, single)
+            order = np.argsort(-best, axis=1, kind="stable")[:, : k + 1]
+            worst = np.take_along_axis(best, order[:, -1:], axis=1)[:, 0]
+            more = (borders[1:] - borders[:-1] > FIRST_STEPS) & (worst <= reach + 37)
+            for q, (d, _, path, _, _) in enumerate(jobs):
                 a, b = borders[q], borders[q + 1]
                 head_edges, head_places = heads[q]
-                value = float(roots[d]) if path is None else value
-                new = Path(np.concatenate([head_edges, edge[a:b]]), np.concatenate([head_places, place[row[a:b]]]), logp, value)
+                new = Path(np.concatenate([head_edges, edge[a:b]]), np.concatenate([head_places, place[row[a:b]]]), logp, float(values[q]))
                 paths[d].append(new)
+                g, top = best[q], order[q]
+                if more[q]:
+                    g = _leaves(edge[None, a:b], hashes[None, a:b], np.ones((1, b - a), dtype=bool), sums[q : q + 1], values[q : q + 1], logp, single)[0][0]
+                    top = np.argsort(-g, kind="stable")[: k + 1]
                 h = len(head_edges)
-                # What the new steps leave. Noise is within (-4, 37) by its 52 bits, so once the best k + 1 are above all that
-                # later steps could reach, those can't matter.
-                n, m = b - a, 64
-                while n:
-                    m = min(m, n)
-                    e = edge[a : a + m]
-                    mass = np.where(single[e], -np.inf, new.before[h : h + m] + np.log(np.maximum(-np.expm1(np.minimum(logp[e], 0.0)), 1e-300)))
-                    g = left_over(mass, unit(mix(hashes[a : a + m] ^ U(0xA0761D6478BD642F))), np.full(m, value))
-                    keep = np.argpartition(-g, k)[: k + 1] if m > k + 1 else np.arange(m)
-                    if m == n or g[keep].min() > new.before[h + m] + 37:
-                        break
-                    m *= 4
-                for i in keep if n else ():
+                for i in top.tolist():
                     if g[i] > -np.inf:
-                        heapq.heappush(queues[d], (-float(g[i]), len(paths[d]), int(i), new, h + int(i), (int(edge[a + i]),)))
+                        heapq.heappush(queues[d], (-float(g[i]), len(paths[d]), i, new, h + i, (int(edge[a + i]),)))
             jobs = []
             for d in range(len(texts)):
                 if len(paths[d]) != number + 1 or not queues[d]:
@@ -289,6 +292,16 @@ def sample_batch(lat: Lattices, texts: list[str], keys: list[int], k: int = K) -
     return list(zip(paths, kappa, strict=True))
 
 
+def _leaves(edges, hashes, valid, sums, values, logp, single) -> tuple[np.ndarray, np.ndarray]:
+    """Cut-off Gumbel values of what each step leaves (texts x steps), and the log probability that the steps reach."""
+    f = np.where(valid, logp[edges] if len(logp) else 0.0, 0.0)
+    after = sums[:, None] + np.cumsum(f, axis=1)
+    mass = after - f + np.log(np.maximum(-np.expm1(np.minimum(f, 0.0)), 1e-300))
+    mass = np.where(valid & ~(single[edges] if len(single) else valid), mass, -np.inf)
+    u = unit(mix(hashes ^ U(0xA0761D6478BD642F)))
+    return left_over(mass, u, np.broadcast_to(values[:, None], mass.shape)), after[:, -1]
+
+
 def choose(first: np.ndarray, count: np.ndarray, logp: np.ndarray, node_of: np.ndarray, edge: int, taken: tuple[int, ...], key: int, number: int, step: int) -> tuple[int, float, float]:
     """Another edge of the node of `edge`, by probability among those not taken; the probability then left, and noise for it."""
     node = int(node_of[edge])
