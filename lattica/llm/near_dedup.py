@@ -9,8 +9,7 @@ weighted Jaccard similarity, at a cost of about elements + k log k in place of e
 Signatures are cut into bands; documents that share a band are candidates. Equal shingle sets are one node from the start.
 Candidates are then checked exactly, on whole sets. Within a band's bucket no pairs are listed wholesale: each round takes
 a few leaders, those with most links so far, against the members that are not yet in the leader's class, and a leader that
-was held against all of its bucket leaves it. A bucket whose members share one class is done; one of at most
-`small_bucket` members lists its remaining pairs. So groups of copies collapse at a cost linear in their size, and no link
+was held against all of its bucket leaves it. A bucket whose members share one class is done. So groups of copies collapse at a cost linear in their size, and no link
 between documents that share a band is lost. Rounds end when no bucket is open.
 
 Defined results: similarity is the (weighted) Jaccard index of sets of `shingle` words (lower case, split at white space;
@@ -28,13 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, map_arrow, table, utf8
+from .common import cut, map_arrow, release, table, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 56, 8
-LEADERS = 4
-SMALL_BUCKET = 8
+BANDS, ROWS = 24, 5
+LEADERS = (1, 2, 16, 128, 1024)
+BROADCAST_ROWS = 4_000_000
 U = np.uint64
 
 
@@ -161,26 +160,49 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signed(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int, shingle: int, weighted: bool, seed: int) -> DataFrame:
-    """id, key (hash of the weighted set; null without words), set (sorted shingles, one byte string), bands."""
+def node_of(elements: np.ndarray, weights: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(elements.tobytes() + weights.tobytes()) - 2**63
+
+
+def weighted_set(text: bytes, shingle: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    e, n = np.unique(shingles(text, shingle), return_counts=True)
+    return e, n.astype(float) if weighted else np.ones(len(e))
+
+
+def signed(df: DataFrame, bands: int, rows: int, shingle: int, weighted: bool, seed: int) -> DataFrame:
+    """id, node (hash of the weighted set, null without words), size, bands of df (id, text)."""
 
     def sign(b: pa.RecordBatch) -> pa.RecordBatch:
-        throw, key, sets, bucket = darts(bands * rows, seed), [], [], []
+        throw, node, size, bucket = darts(bands * rows, seed), [], [], []
         for t in utf8(b.column(1)):
-            e, n = np.unique(shingles(t, shingle), return_counts=True)
-            w = n.astype(float) if weighted else np.ones(len(e))
-            if not len(e):
-                key.append(None)
-                sets.append([])
-                bucket.append([])
-                continue
-            key.append(xxhash.xxh3_128_digest(e.tobytes() + w.tobytes()))
-            sets.append(np.unique((e >> U(32)).astype(np.uint32)).view(np.int32))
-            bucket.append(band_hashes(throw.signature(e, w), bands, rows))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), pa.array(sets, pa.list_(pa.int32())), pa.array(bucket, pa.list_(pa.int64()))], names=["id", "key", "set", "bands"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return map_arrow(df.select(F.col(id_col), F.col(text_col)), sign, f"id {kind}, key binary, set array<int>, bands array<long>")
+            e, w = weighted_set(t, shingle, weighted)
+            node.append(node_of(e, w) if len(e) else None)
+            size.append(len(e))
+            bucket.append(band_hashes(throw.signature(e, w), bands, rows) if len(e) else [])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(bucket, pa.list_(pa.int64()))], names=["id", "node", "size", "bands"])
+
+    return map_arrow(df, sign, f"id {df.schema['id'].dataType.simpleString()}, node long, size int, bands array<long>")
+
+
+def sets_of(df: DataFrame, needed: DataFrame, shingle: int, weighted: bool, broadcast_rows: int) -> DataFrame:
+    """node, set (32-bit shingle hashes) of the nodes of needed (node, id): id names a row that has the node's text."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for b in batches:
+            nodes, sets = [], []
+            for t in utf8(b.column(0)):
+                e, w = weighted_set(t, shingle, weighted)
+                if len(e) and (node := node_of(e, w)) not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    sets.append(np.unique((e >> U(32)).astype(np.uint32)).view(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int32()))], names=["node", "set"])
+
+    ids = needed.select(F.col("id").alias("_id")).distinct()
+    ids = F.broadcast(ids) if needed.count() <= broadcast_rows else ids
+    made = df.join(ids, df["id"].eqNullSafe(ids["_id"]), "left_semi").select("text").mapInArrow(run, "node long, set array<int>")
+    return made.join(needed.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -191,74 +213,92 @@ def jaccard(a: Column, b: Column) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """node, label (smallest node that it is linked with) of every node of edges (a, b), by min labels with pointer jumping."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    labels = (both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("label"), F.col("label").alias("old"))
         jump = lower.select(F.col("node").alias("at"), F.col("label").alias("to"))
         new = cut(lower.join(jump, lower["label"] == jump["at"], "left").select("node", "old", F.least("label", F.coalesce("to", "label")).alias("label")))
-        changed = new.where(F.col("label") != F.col("old")).limit(1).count()
         labels = new.select("node", "label")
-        if not changed:
+        release(edges.sparkSession)
+        if new.where(F.col("label") != F.col("old")).isEmpty():
             return labels
 
 
-def linked(nodes: DataFrame, at_least: float, leaders: int, small_bucket: int) -> tuple[DataFrame, DataFrame | None]:
-    """Verified edges (a, b) between nodes (node, set, bands), enough to join all that shared bands link, and their components."""
-    spark = nodes.sparkSession
-    sets = nodes.select("node", "set")
-    rows = nodes.select("node", F.size("set").alias("size"), F.explode("bands").alias("bucket"))
-    rows = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket")
-    rows = cut(rows)
-    # Buckets of the same members say the same: one of them is enough.
-    same = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
-    live = cut(rows.join(same.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket").withColumn("label", F.col("node")).withColumn("degree", F.lit(0).cast("long")))
-    edges, label = spark.createDataFrame([], "a long, b long"), None
+def near_labels(edges: DataFrame, hops: int = 3) -> DataFrame:
+    """node, label of the nodes of edges: the smallest node within some hops. Nodes of one label are linked; linked ones may differ."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.union(both.select("a", F.col("a").alias("b"))).distinct()
+    label = near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+    for _ in range(hops - 1):
+        label = near.join(label, near["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
+    return label
+
+
+def linked(live: DataFrame, sets: DataFrame, at_least: float, leaders: tuple[int, ...]) -> DataFrame | None:
+    """label (node, label) of the components that verified links make; live: bucket, node, size; sets: node, set."""
+    spark = live.sparkSession
+    live = live.select("bucket", "node", "size", F.col("node").alias("label"), F.lit(0).cast("long").alias("degree"))
+    edges, linked_any, number = spark.createDataFrame([], "a long, b long"), False, 0
     tested = edges
     while True:
         spread = live.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 1 and lo < hi").select("bucket", "n")
         live = cut(live.join(spread, "bucket"))
-        if not live.limit(1).count():
-            return edges, label
-        chosen = cut(_leaders(live, leaders, small_bucket))
+        if live.isEmpty():
+            return components(edges) if linked_any else None
+        chosen = cut(_leaders(live, leaders[min(number, len(leaders) - 1)]))
         pairs = live.join(chosen, "bucket").where((F.col("node") != F.col("leader")) & (F.col("label") != F.col("leader_label")) & (F.least("size", "leader_size") >= at_least * F.greatest("size", "leader_size")))
-        pairs = pairs.groupBy(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).agg(F.first("node").alias("node"), F.first("leader").alias("leader"))
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs = pairs.groupBy(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).agg(F.min(F.struct("leader", "node")).alias("p")).select("a", "b", "p.*")
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if number else pairs)
         with_member = pairs.join(sets.select("node", F.col("set").alias("own")), "node")
         with_both = with_member.join(sets.select(F.col("node").alias("leader"), F.col("set").alias("other")), "leader")
-        found = with_both.where(jaccard(F.col("own"), F.col("other")) >= at_least).select("a", "b")
-        edges = cut(edges.union(found))
-        tested = cut(tested.union(pairs.select("a", "b")))
-        live = live.select("bucket", "node", "size").join(chosen.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
-        label = components(edges)
+        found = cut(with_both.where(jaccard(F.col("own"), F.col("other")) >= at_least).select("a", "b"))
+        edges, tested = edges.union(found), tested.union(pairs.select("a", "b"))
+        live = live.select("bucket", "node", "size", "label").join(chosen.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+        number += 1
+        release(spark)
+        linked_any = linked_any or not found.isEmpty()
+        if not linked_any:
+            live = live.select("bucket", "node", "size", "label", F.lit(0).cast("long").alias("degree"))
+            continue
+        label = near_labels(edges)  # enough to know most members of one class; all labels are made once, at the end
         degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        live = live.join(label.join(degree, "node"), "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        leaders *= 2
+        live = live.drop("label").join(label.join(degree, "node"), "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def _leaders(live: DataFrame, leaders: int, small_bucket: int) -> DataFrame:
-    """bucket, leader, leader_label, leader_size: the first of each bucket by degree, then hash; all of a small one.
+def _leaders(live: DataFrame, leaders: int) -> DataFrame:
+    """bucket, leader, leader_label, leader_size: the first of each bucket by degree, then hash.
 
     A bucket is dealt into parts by a hash and each part gives its first ones, so a huge bucket is no single task.
     """
     rank = F.struct("degree", F.xxhash64("node").alias("h"), "node", "label", "size")
-    ranked = live.select("bucket", "n", rank.alias("r"), F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("n") / 1024)).alias("part"))
-    take = F.when(F.col("n") <= small_bucket, F.col("n")).otherwise(F.lit(leaders))
-    for key in (["bucket", "part"], ["bucket"]):
-        ranked = ranked.withColumn("k", F.row_number().over(W.partitionBy(*key).orderBy(F.col("r").desc()))).where(F.col("k") <= take).drop("k")
-    return ranked.select("bucket", F.col("r.node").alias("leader"), F.col("r.label").alias("leader_label"), F.col("r.size").alias("leader_size"))
+    best = live.select("bucket", rank.alias("r"), F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("n") / 4096)).alias("part"))
+    if leaders == 1:
+        best = best.groupBy("bucket").agg(F.max("r").alias("r"))
+    else:
+        for key in (["bucket", "part"], ["bucket"]):
+            best = best.withColumn("k", F.row_number().over(W.partitionBy(*key).orderBy(F.col("r").desc()))).where(F.col("k") <= leaders).drop("k")
+    return best.select("bucket", F.col("r.node").alias("leader"), F.col("r.label").alias("leader_label"), F.col("r.size").alias("leader_size"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, seed: int = 1, leaders: int = LEADERS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, seed: int = 1, leaders: tuple[int, ...] = LEADERS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row (doc_id, class_id, class_size) per row of df.
 
     weighted: candidates come from shingles weighted by their repeats, else every shingle weighs 1. Links are checked on sets.
+    leaders: how many of each bucket are held against it, round by round; the last counts for all further rounds.
     """
-    read = cut(signed(df, id_col, text_col, bands, rows, shingle, weighted, seed))
-    number = F.xxhash64("key")  # one node per distinct set
-    nodes = read.where(F.col("key").isNotNull()).groupBy(number.alias("node")).agg(F.first("set").alias("set"), F.first("bands").alias("bands"))
-    _, label = linked(cut(nodes), at_least, leaders, small_bucket)
-    of = read.select("id", number.alias("node"), F.col("key").isNull().alias("alone"))
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    read = cut(signed(texts, bands, rows, shingle, weighted, seed))
+    member = read.where("node is not null").select("node", "size", F.explode("bands").alias("bucket")).groupBy("bucket", "node").agg(F.min("size").alias("size"))
+    member = cut(member)
+    # Buckets of the same members say the same: one of them is enough. Those of one member say nothing.
+    same = member.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y")).where("n > 1")
+    live = cut(member.join(same.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket"))
+    needed = cut(read.select("node", "id").join(live.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("id")))
+    sets = cut(sets_of(texts, needed, shingle, weighted, broadcast_rows))
+    release(df.sparkSession)
+    label = linked(live, sets, at_least, leaders)
+    of = read.select("id", "node", F.col("node").isNull().alias("alone"))
     of = of.join(label, "node", "left").select("id", "alone", F.coalesce("label", "node").alias("label")) if label is not None else of.withColumnRenamed("node", "label")
     classes = of.where("not alone").groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
     out = of.where("not alone").join(classes, "label").select(F.col("id").alias("doc_id"), "class_id", "class_size")
