@@ -4,8 +4,8 @@ A vector is coded as a sum of codewords, one of each full-dimensional codebook.
 refined by least squares against beam-search codes, on a sample of at most `sample_rows` vectors (those of smallest hash).
 Every vector is encoded by beam search, and the squared norm of its sum is stored, so that inner products and distances
 come from a table of query-codeword products. Queries and codes meet in cells of bounded size, a block of one against a
-block of the other; each cell scores its codes by table, takes the best `rerank` per query and ranks these exactly by the
-original vectors. The cells' lists are merged per query.
+block of the other; each cell scores its codes by table, takes per query the best `rerank`, or the best
+`rerank_share` of the cell where that is more, and ranks these exactly by the original vectors. The cells' lists are merged per query.
 
 Defined results: null vectors, zero vectors, those with null or non-finite components, of another length than most, or
 without id take no part; rows that share a vec_id count as one row, with the least of their vectors; equal scores are
@@ -14,6 +14,7 @@ ordered by vec_id; fewer than `top` candidates give a shorter list; a single vec
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from .common import cut, hash_sample, map_arrow, table
 
 CODEBOOKS, CODEWORDS, BEAM = 8, 256, 4
 SAMPLE_ROWS = 10_000
-RERANK = 300
+RERANK, RERANK_SHARE = 300, 0.1
 QUERY_BLOCK, CODE_BLOCK = 2048, 16_384
 
 
@@ -127,7 +128,7 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("v") == (sizes["d"] if sizes else -1))
 
 
-def additive_search(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20, metric: str = "ip", codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, rerank: int = RERANK, sample_rows: int = SAMPLE_ROWS, query_block: int = QUERY_BLOCK, code_block: int = CODE_BLOCK) -> DataFrame:
+def additive_search(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20, metric: str = "ip", codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, rerank: int = RERANK, rerank_share: float = RERANK_SHARE, sample_rows: int = SAMPLE_ROWS, query_block: int = QUERY_BLOCK, code_block: int = CODE_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the `top` nearest found for each row where is_query (a column of vec_id) holds.
 
     metric "ip": largest inner product; "l2": least Euclidean distance, score is minus its square.
@@ -160,7 +161,8 @@ def additive_search(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: st
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         c = c.sort_values("vec_id")
         to = lambda column, kind: np.frombuffer(b"".join(column), dtype=kind).reshape(len(column), -1)
-        found = list(search_cell(to(q.vector, np.float64), q.vec_id.to_numpy(), shared.value, to(c.code, np.uint8), c.norm.to_numpy(), to(c.vector, np.float64), c.vec_id.to_numpy(), top, rerank, metric))
+        best = max(rerank, math.ceil(rerank_share * len(c)))
+        found = list(search_cell(to(q.vector, np.float64), q.vec_id.to_numpy(), shared.value, to(c.code, np.uint8), c.norm.to_numpy(), to(c.vector, np.float64), c.vec_id.to_numpy(), top, best, metric))
         return pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
 
     lists = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(cell, "query_id long, vec_id long, score double")

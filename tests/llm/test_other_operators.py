@@ -104,6 +104,18 @@ def test_recall_and_exact_scores(spark):
     assert hit / total >= 0.9
 
 
+def test_recall_in_a_full_cell(spark):
+    x = np.random.default_rng(1).normal(size=(ann.CODE_BLOCK, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    asked = np.arange(0, len(x), 160)
+    rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = ann.additive_search(rows, lambda v: v % 160 == 0).toPandas().groupby("query_id").vec_id.agg(set)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([len(got[q] & set(b)) / 20 for q, b in zip(asked, best.tolist(), strict=True)]) >= 0.97
+
+
 def test_odd_vectors_and_ties(spark):
     rows = [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (9, [0.5, 0.5]), (9, [0.5, 0.5])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
