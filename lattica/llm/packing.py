@@ -87,61 +87,123 @@ def _with(pattern: tuple[int, ...], *lengths: int) -> tuple[int, ...]:
     return tuple(sorted(pattern + lengths, reverse=True))
 
 
-def _better(a: tuple[int, ...], b: tuple[int, ...], limit: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """a, the fuller, and b after the step that fills a most: a move from b, an exchange of one for one, or of one of a for two of b."""
-    room = limit - sum(a)
-    own, other = sorted(set(a)), sorted(set(b))
-    best, found = 0, None
-    for y in other:
-        if best < y <= room:
-            best, found = y, (_with(a, y), _without(b, y))
-    for x in own:
-        for y in other:
-            if best < y - x <= room:
-                best, found = y - x, (_with(_without(a, x), y), _with(_without(b, y), x))
-    if best < room and len(b) > 1:
-        counts = Counter(b)
-        for x in own:
-            for i, y in enumerate(other):
-                for z in other[i:]:
-                    if (y != z or counts[y] > 1) and best < y + z - x <= room:
-                        best, found = y + z - x, (_with(_without(a, x), y, z), _with(_without(b, y, z), x))
-    return found
-
-
-def local_search(bins: Bins, limit: int, patterns: int = 256, steps: int = 4000) -> Bins:
-    """Raises the sum of squared fills of underfull patterns until bins empty, the lower bound is met or no step helps.
-
-    `patterns` bounds how many of the emptiest underfull patterns are searched at a time, `steps` the exchanges; both
-    bound the work of the search only, every document stays packed.
+class Givers:
+    """Which underfull patterns can give a document of length s, or two of them of length s together; of these the emptiest."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.none = limit, 4 * limit
+        self.live: dict[int, tuple[int, ...]] = {}
+        self.number: dict[tuple[int, ...], int] = {}
+        self.heaps: tuple[dict[int, list], dict[int, list]] = (defaultdict(list), defaultdict(list))  # of one, of two: s -> (fill, number), some stale
+        self.least = np.full((2, limit + 1), self.none, dtype=np.int64)  # the least fill of a giver of s
+        self.made = 0
+
+    def sums(self, pattern: tuple[int, ...]) -> tuple[set[int], set[int]]:
+        counts = Counter(pattern)
+        own = np.array(sorted(counts), dtype=np.int64)
+        i, j = np.triu_indices(len(own), 1)
+        two = set((own[i] + own[j]).tolist()) | {2 * x for x, n in counts.items() if n > 1}
+        return set(counts), two
+
+    def add(self, pattern: tuple[int, ...]) -> None:
+        self.made += 1
+        self.live[self.made], self.number[pattern] = pattern, self.made
+        fill = sum(pattern)
+        for heaps, least, sums in zip(self.heaps, self.least, self.sums(pattern), strict=True):
+            for s in sums:
+                heapq.heappush(heaps[s], (fill, self.made))
+                least[s] = min(least[s], fill)
+
+    def drop(self, pattern: tuple[int, ...]) -> None:
+        del self.live[self.number.pop(pattern)]
+        for heaps, least, sums in zip(self.heaps, self.least, self.sums(pattern), strict=True):
+            for s in sums:
+                heap = heaps[s]
+                while heap and heap[0][1] not in self.live:
+                    heapq.heappop(heap)
+                least[s] = heap[0][0] if heap else self.none
+
+    def giver(self, two: int, s: int, but: int) -> tuple[int, ...] | None:
+        """The emptiest giver of s that isn't number `but`."""
+        heap = self.heaps[two][s]
+        if heap[0][1] != but:
+            return self.live[heap[0][1]]
+        others = [x for x in heap if x[1] in self.live and x[1] != but]
+        return self.live[min(others)[1]] if others else None
+
+    def step(self, a: tuple[int, ...], alone: bool) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]] | None:
+        """The step that fills a most and raises the sum of squared fills: the giver, and both patterns after it.
+
+        The step gives a one document, or exchanges one of a for one or two. With a gain of d it raises the sum where
+        d is more than the giver is fuller than a. alone: there is one bin of a, so a can't give to itself.
+        """
+        fill = sum(a)
+        room = self.limit - fill
+        gains = np.arange(1, room + 1)
+        offers = []  # (gain, of two, length given back)
+        for x in (0, *sorted(set(a))):
+            for two in (0, 1) if x else (0,):
+                fine = np.flatnonzero(self.least[two, x + 1 : x + room + 1] - fill < gains)
+                if len(fine):
+                    offers.append((int(fine[-1]) + 1, two, x, fine))
+        best = None
+        own = self.number[a] if alone else 0
+        for _, two, x, fine in sorted(offers, key=lambda o: (-o[0], o[1], o[2])):
+            for d in (fine[::-1] + 1).tolist():
+                if best and d <= best[0]:
+                    break
+                s = x + d
+                b = self.giver(two, s, own)
+                if b is not None and sum(b) - fill < d:
+                    best = d, two, x, s, b
+                    break
+        if not best:
+            return None
+        _, two, x, s, b = best
+        given = (s,) if not two else next((y, s - y) for y in sorted(set(b)) if s - y in b and (2 * y != s or b.count(y) > 1))
+        back = (x,) if x else ()
+        return b, _with(_without(a, *back), *given), _with(_without(b, *given), *back)
+
+
+def local_search(bins: Bins, limit: int, steps: int | None = None) -> Bins:
+    """Raises the sum of squared fills of underfull patterns until the lower bound of bins is met or no step helps.
+
+    All underfull patterns give and take. `steps` bounds the exchanges if it is set; every document stays packed.
     """
     bins = Counter({p: n for p, n in bins.items() if n and p})
-    total = sum(sum(p) * n for p, n in bins.items())
+    total, used = sum(sum(p) * n for p, n in bins.items()), sum(bins.values())
     least = -(-total // limit)
-    dead: set[tuple[tuple[int, ...], tuple[int, ...]]] = set()
-    while steps and sum(bins.values()) > least:
-        under = sorted((p for p in bins if sum(p) < limit), key=lambda p: (sum(p), p))[:patterns]
-        change = None
-        for k, b in enumerate(under):  # the emptiest bin gives, the fullest takes
-            for a in reversed(under[k + 1 :] if bins[b] < 2 else under[k:]):
-                if (a, b) in dead:
-                    continue
-                if step := _better(a, b, limit):
-                    change = (a, b, step)
-                    break
-                dead.add((a, b))
-            if change:
-                break
-        if not change:
+    index = Givers(limit)
+
+    def change(pattern: tuple[int, ...], n: int) -> None:
+        nonlocal used
+        if not pattern:  # emptied bins
+            return
+        used += n
+        bins[pattern] += n
+        if sum(pattern) < limit:
+            if bins[pattern] == n:
+                index.add(pattern)
+            elif not bins[pattern]:
+                index.drop(pattern)
+        if not bins[pattern]:
+            del bins[pattern]
+
+    for p in sorted(p for p in bins if sum(p) < limit):
+        index.add(p)
+    while used > least and steps != 0:
+        moved = False
+        for a in sorted(index.number, key=lambda p: (-sum(p), p)):  # the fullest takes, the emptiest gives
+            while a in index.number and used > least and steps != 0 and (found := index.step(a, bins[a] < 2)):
+                b, more, less = found
+                n = min(bins[a], bins[b]) if a != b else bins[a] // 2
+                for p, d in ((a, -n), (b, -n), (more, n), (less, n)):
+                    change(p, d)
+                moved = True
+                if steps is not None:
+                    steps -= 1
+        if not moved:
             break
-        a, b, (more, less) = change
-        n = min(bins[a], bins[b]) if a != b else bins[a] // 2
-        for p, d in ((a, -n), (b, -n), (more, n), (less, n)):
-            bins[p] += d
-            if not bins[p]:
-                del bins[p]
-        bins.pop((), None)  # an emptied bin
-        steps -= 1
     return bins
 
 

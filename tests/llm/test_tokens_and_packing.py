@@ -68,6 +68,35 @@ def test_search_empties_a_bin():
     assert sum(packing.local_search(stuck, 10).values()) == 2
 
 
+def gains(a, b, limit):
+    """What each move from b to a, or exchange of one of a for one or two of b, adds to a."""
+    out = [y for y in b]
+    for x in a:
+        out += [y - x for y in b] + [b[i] + b[j] - x for i in range(len(b)) for j in range(i)]
+    return [d for d in out if 0 < d <= limit - sum(a)]
+
+
+def test_search_leaves_no_step():
+    """No gain of d by a pattern that raises the sum of squared fills: d more than the giver is fuller."""
+    for seed in range(6):
+        h = Counter(np.random.default_rng(seed).integers(12, 60, 150).tolist())
+        bins = packing.local_search(packing.best_fit(h, 100), 100)
+        if sum(bins.values()) > -(-sum(x * n for x, n in h.items()) // 100):
+            for a in bins:
+                for b in bins:
+                    if a != b or bins[a] > 1:
+                        assert not any(d > sum(b) - sum(a) for d in gains(a, b, 100))
+
+
+def test_search_covers_many_patterns():
+    h = Counter(np.random.default_rng(0).integers(1300, 2200, 3000).tolist())
+    first = packing.best_fit(h, 4096)
+    assert sum(1 for p in first if sum(p) < 4096) > 256
+    better = packing.pack_lengths(h)
+    assert unpacked(better) == h
+    assert sum(better.values()) < sum(first.values())
+
+
 def check_pieces(rows, text_of, library):
     end = {}
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
