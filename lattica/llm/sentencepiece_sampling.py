@@ -284,8 +284,8 @@ def sample_batch(lat: Lattices, texts: list[str], keys: list[int], k: int = K) -
                     kappa[d] = -g
                     continue
                 e, left, v = choose(first, count, logp, node_of, path.edges[step], taken, int(own[d]), number, step)
-                if left > 1e-12:
-                    mu = path.before[step] + np.log(left)
+                if left > -np.inf:
+                    mu = path.before[step] + left
                     value = float(left_over(np.array([mu]), np.array([v]), np.array([-g]))[0])
                     heapq.heappush(queues[d], (-value, len(paths[d]) + 1, step, path, step, (*taken, e)))
                 jobs.append((d, -g, path, step, e))
@@ -303,15 +303,15 @@ def _leaves(edges, hashes, valid, sums, values, logp, single) -> tuple[np.ndarra
 
 
 def choose(first: np.ndarray, count: np.ndarray, logp: np.ndarray, node_of: np.ndarray, edge: int, taken: tuple[int, ...], key: int, number: int, step: int) -> tuple[int, float, float]:
-    """Another edge of the node of `edge`, by probability among those not taken; the probability then left, and noise for it."""
+    """Another edge of the node of `edge`, by probability among those not taken; the log probability then left (minus infinity: no edge is), and noise for it."""
     node = int(node_of[edge])
     edges = np.arange(first[node], first[node] + count[node])
     edges = edges[~np.isin(edges, taken)]
-    p = np.exp(logp[edges])
+    p = np.exp(logp[edges] - logp[edges].max())
     h = mix(mix(np.array([key], dtype=U) ^ U(0x8EBC6AF09C88C6E3)) + U(number * 1_000_003 + len(taken)) * U(0x589965CC75374CC3) + U(step))
     u, v = unit(h)[0], unit(mix(h ^ U(0xA0761D6478BD642F)))[0]
     k = min(int(np.searchsorted(np.cumsum(p), u * p.sum())), len(edges) - 1)
-    return int(edges[k]), float(p.sum() - p[k]) if len(edges) > 1 else 0.0, float(v)
+    return int(edges[k]), float(np.logaddexp.reduce(np.delete(logp[edges], k))) if len(edges) > 1 else -np.inf, float(v)
 
 
 def log_inclusion(logp: float, kappa: float) -> float:

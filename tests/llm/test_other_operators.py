@@ -58,6 +58,14 @@ def test_all_segmentations_of_a_short_text():
     assert len(none) == 1 and none[0].logp == 0
 
 
+def test_unlikely_segmentations_are_found():
+    flat, steep = (sentencepiece_sampling.sample_batch(sentencepiece_sampling.Lattices(PIECES, theta), ["hello"] * 20, list(range(20)), 200) for theta in (0.1, 8.0))
+    assert len({len(paths) for paths, _ in flat}) == 1
+    for (a, _), (b, kappa) in zip(flat, steep, strict=True):
+        assert len({tuple(p.edges) for p in b}) == len(b) == len(a) < 200
+        assert kappa == -np.inf
+
+
 def article(page):
     inside = re.search(r"<article>(.*?)(?:</article>|$)", page, re.S)[1]
     import html
