@@ -359,12 +359,17 @@ def sampled_encodings(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for s, p in enumerate(found):
                     ids = path_ids(lat, p)
                     at.append(d)
-                    row = (s, ids if with_ids else None, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), p.logp, p.value, log_inclusion(p.logp, kappa), decode(ids, lat.piece_bytes) == texts[d])
+                    packed = np.array(ids, dtype="<u4")
+                    row = (s, packed.view("<i4") if with_ids else None, len(ids), zlib.crc32(packed.tobytes()), p.logp, p.value, log_inclusion(p.logp, kappa), decode(ids, lat.piece_bytes) == texts[d])
                     for o, v in zip(out, row, strict=True):
                         o.append(v)
         types = (pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
         names = ("sample", "ids", "n_pieces", "ids_crc32", "log_prob", "perturbed", "log_inclusion", "round_trip")
-        cols = {n: pa.array(o, t) for n, o, t in zip(names, out, types, strict=True) if with_ids or n != "ids"}
+        cols = {n: pa.array(o, t) for n, o, t in zip(names, out, types, strict=True) if n != "ids"}
+        if with_ids:
+            ends = np.cumsum([0, *out[2]], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, dtype=np.int32), *out[1]]))
+            cols = {n: lists if n == "ids" else cols[n] for n in names}
         return pa.RecordBatch.from_arrays([docs.take(pa.array(at, pa.int64())), *cols.values()], names=["doc_id", *cols])
 
     schema = f"doc_id {kind}, sample int, {'ids array<int>, ' if with_ids else ''}n_pieces long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
@@ -384,4 +389,4 @@ def decoded(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: s
 
 
 def op1_sentencepiece_gumbel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled_encodings(table(spark, sf_dir, "documents"), with_ids=False)
+    return sampled_encodings(table(spark, sf_dir, "documents"))

@@ -58,6 +58,11 @@ def test_all_segmentations_of_a_short_text():
     assert len(none) == 1 and none[0].logp == 0
 
 
+def test_query_returns_the_segmentations(spark):
+    got = sentencepiece_sampling.op1_sentencepiece_gumbel(spark, "/root/testdata/sf0.001").where("length(cast(doc_id as string)) < 2").collect()
+    assert got and all(len(r.ids) == r.n_pieces for r in got)
+
+
 def test_unlikely_segmentations_are_found():
     flat, steep = (sentencepiece_sampling.sample_batch(sentencepiece_sampling.Lattices(PIECES, theta), ["hello"] * 20, list(range(20)), 200) for theta in (0.1, 8.0))
     assert len({len(paths) for paths, _ in flat}) == 1
