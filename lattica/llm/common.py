@@ -6,7 +6,6 @@ the names that it makes itself.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -21,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only if it names none."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(conf or tempfile.mkdtemp(prefix="lattica-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The shared folder that the cluster names in spark.checkpoint.dir. A local session that names none, as in tests, gets a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lattica-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -34,10 +36,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver collect its garbage: only then go the shuffle and checkpoint files of earlier rounds, and its heap shrinks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+class Scratch:
+    """Tables written to a folder of their own in the checkpoint folder and read again, which cuts their lineage; dropped by name."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.made = spark, f"{checkpoint_dir(spark)}/lattica-{uuid.uuid4().hex}", 0
+        self.paths: dict[int, str] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.folder}/{self.made}"
+        df.write.parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(found)] = path
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that keep() made; they must not be read any more."""
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t)))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

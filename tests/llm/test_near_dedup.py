@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lattica.llm.near_dedup import DartMinHash, U, keep_one_per_class, near_duplicates
+from lattica.llm.near_dedup import DartMinHash, U, keep_one_per_class, near_duplicates, weighted_sets
+from lattica.llm.words import lowered
 
 
 def brute(rows):
@@ -46,6 +48,33 @@ def test_signatures_estimate_weighted_similarity():
     assert not throw.signature(e[:0], v[:0]).any()
 
 
+def test_signatures_of_many_sets_at_once():
+    throw, rng = DartMinHash(450), np.random.default_rng(1)
+    sets = [rng.integers(0, 2**63, n).astype(U) for n in (1, 0, 7, 900, 40000)]
+    both = throw.signatures(np.array([len(s) for s in sets]), np.concatenate(sets))
+    for s, got in zip(sets, both, strict=True):
+        assert (throw.signature(s, np.ones(len(s))) != 0).all() == bool(len(s))
+        assert (throw.signatures(np.array([len(s)]), s)[0] == got).all()
+
+
+def test_sets_equal_plain_ones():
+    rng = np.random.default_rng(2)
+    texts = [None, "", " \n", "One", "a b c d", "a b c d e", "a b c d e " * 9, "x\u00a0y\u3000z  Q\x1cR É", *(" ".join(rng.choice(["a", "B", "é", "日本", "x,"], 200)) for _ in range(20))]
+    sizes, elements, times = weighted_sets(*lowered(pa.array(texts)))
+    names, at = {}, 0
+    for t, n in zip(texts, sizes.tolist(), strict=True):
+        w = (t or "").lower().split()
+        plain = {}
+        for k in range(max(len(w) - 4, 1) if w else 0):
+            plain[tuple(w[k : k + 5])] = plain.get(tuple(w[k : k + 5]), 0) + 1
+        assert n == len(plain)
+        assert sorted(times[at : at + n].tolist()) == sorted(plain.values())
+        for s in plain:
+            names.setdefault(s, len(names))
+        at += n
+    assert len(np.unique(elements)) == len(names)
+
+
 def test_classes_equal_brute_force(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert classes(near_duplicates(docs)) == brute(rows)
@@ -67,6 +96,13 @@ def test_a_star_of_variants_is_one_class(spark):
     assert max(map(len, want)) == 60
 
 
+def test_blocks_shuffled_joins_and_weights(spark, docs, monkeypatch):
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    monkeypatch.setattr("lattica.llm.near_dedup.BLOCK", 2)
+    assert classes(near_duplicates(docs, broadcast_rows=0, hub_rounds=0)) == want
+    assert classes(near_duplicates(docs, weighted=True)) == want
+
+
 def test_odd_rows(odd):
     got = near_duplicates(odd)
     assert got.count() == odd.count()
