@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, tokenizer_path
-from .common import by_bytes, cut, map_arrow, table, utf8
+from .common import cut, map_arrow, table
+from .words import row_groups, text_bytes
 
 LIMIT = 4096
 END_ID = 1
+GROUP_BYTES = 1 << 20
 Bins = Counter  # pattern (lengths, longest first) -> multiplicity
 
 
@@ -229,21 +231,24 @@ def places(bins: Bins) -> dict[str, np.ndarray]:
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row."""
     path = path or tokenizer_path()
-    end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut_up(b: pa.RecordBatch) -> pa.RecordBatch:
-        enc, texts, ids = encoder(path), utf8(b.column(1)), b.column(0).to_pylist()
-        rows: tuple[list, ...] = ([], [], [], [], [])
-        for lo, hi in by_bytes(texts, 4 << 20):
-            words = [t.split() for t in texts[lo:hi]]
-            known = enc.learn(w for ws in words for w in ws)
-            for doc, ws in zip(ids[lo:hi], words, strict=True):
-                whole = b"".join([known[w] for w in ws]) + end
-                for k, at in enumerate(range(0, len(whole), 4 * limit)):
-                    part = whole[at : at + 4 * limit]
-                    for out, v in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+        enc = encoder(path)
+        data, offsets = text_bytes(b.column(1))
+        rows: tuple[list, ...] = ([], [], [], [], [])  # row, piece, start, length, crc
+        for lo, hi in row_groups(offsets, GROUP_BYTES):
+            counts, ids = enc.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            stops = np.cumsum(counts)
+            whole = memoryview(np.insert(ids, stops, end_id).view(np.uint8))  # each text's ids and the end id
+            stops += np.arange(1, len(stops) + 1)
+            first = 0
+            for row, stop in enumerate(stops.tolist(), lo):
+                for k, at in enumerate(range(first, stop, limit)):
+                    to = min(at + limit, stop)
+                    for out, v in zip(rows, (row, k, at - first, to - at, zlib.crc32(whole[4 * at : 4 * to])), strict=True):
                         out.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], b.column(0).type), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                first = stop
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return map_arrow(df.select(F.col(id_col), F.col(text_col)), cut_up, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

@@ -17,39 +17,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, tokenizer_path
-from .common import by_bytes, map_arrow, table, utf8
+from .common import map_arrow, table
+from .words import SPACE, row_groups, text_bytes
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 OVER_LIMIT = 2048
-SPACE = b" \t\n\r\x0b\x0c"
-
-
-def safe_pieces(text: bytes, size: int) -> Iterator[bytes]:
-    """Pieces of about `size` bytes, cut only at ASCII white space; a longer run without any is one piece."""
-    start = 0
-    while len(text) - start > size:
-        end = start + size
-        while end < len(text) and text[end] not in SPACE:
-            end += 1
-        yield text[start:end]
-        start = end
-    yield text[start:]
-
-
-def count_texts(texts: list[bytes], path: str, group_bytes: int = GROUP_BYTES) -> np.ndarray:
+def count_texts(column: pa.Array, path: str, group_bytes: int = GROUP_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and tokens of each text. Groups hold about group_bytes; of a longer text, pieces that end before white space."""
     enc = encoder(path)
-    owners, pieces = [], []
-    for k, t in enumerate(texts):
-        for p in safe_pieces(t, group_bytes):
-            owners.append(k)
-            pieces.append(p)
-    counts = np.zeros(len(texts), dtype=np.int64)
-    for a, b in by_bytes(pieces, group_bytes):
-        words = [p.split() for p in pieces[a:b]]
-        known = enc.learn(w for ws in words for w in ws)
-        for k, ws in zip(owners[a:b], words, strict=True):
-            counts[k] += sum([len(known[w]) for w in ws]) // 4
-    return counts
+    data, offsets = text_bytes(column)
+    counts = np.zeros(len(column), dtype=np.int64)
+    for lo, hi in row_groups(offsets, group_bytes):
+        for a, b in safe_pieces(data, int(offsets[lo]), int(offsets[hi]), group_bytes):
+            inner = offsets[lo + 1 : hi]
+            n, _ = enc.encode(data[a:b], np.concatenate([[a], inner, [b]]) - a, with_ids=False)
+            counts[lo:hi] += n
+    return np.diff(offsets), counts
+
+
+def safe_pieces(data: np.ndarray, start: int, end: int, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at least `size` bytes from start to end, each followed by ASCII white space; a run without any is never cut."""
+    while end - start > size:
+        stop, probe = start + size, 4096
+        while stop < end:
+            found = np.flatnonzero(SPACE[data[stop : min(stop + probe, end)]])
+            if len(found):
+                stop += int(found[0])
+                break
+            stop, probe = min(stop + probe, end), 2 * probe
+        if stop == end:
+            break
+        yield start, stop
+        start = stop
+    yield start, end
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, over_limit: int = OVER_LIMIT) -> DataFrame:
@@ -57,9 +57,8 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = path or tokenizer_path()
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = utf8(b.column(1))
-        n = count_texts(texts, path)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(n), pa.array(n > over_limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        size, n = count_texts(b.column(1), path)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(n), pa.array(n > over_limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return map_arrow(df.select(F.col(id_col), F.col(text_col)), count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -3,11 +3,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from lattica.llm import packing
+from lattica.llm.bpe import WordEncoder
 from lattica.llm.token_counts import count_texts, safe_pieces, token_counts
+from lattica.llm.words import text_bytes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -33,13 +36,25 @@ def test_counts_equal_the_library(spark, docs, odd, library):
 
 def test_hard_texts(library):
     texts = ["<|startoftext|> a<|endoftext|>b", "it's I'll don't", "ÉCOLE! Straße?? naïve,", "é ́x ÅB", "a b c\x1cd", "x" * 5000, "İstanbul ΣΑΣ", "12,345.67 $9", "the\x0bthe\x0cthe", "¡hola! «quoi»"]
-    assert count_texts([t.encode() for t in texts], PATH).tolist() == [len(ids_of(library, t)) for t in texts]
+    assert count_texts(pa.array(texts), PATH)[1].tolist() == [len(ids_of(library, t)) for t in texts]
 
 
 def test_cuts_are_safe(library):
-    text = ("Words, and more words! " * 300).encode()
-    assert b"".join(safe_pieces(text, 100)) == text
-    assert count_texts([text], PATH, group_bytes=100)[0] == len(ids_of(library, text.decode()))
+    text = "Words, and more words! " * 300 + "x" * 500
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    cuts = list(safe_pieces(data, 0, len(data), 100))
+    assert [a for a, _ in cuts] == [0, *(b for _, b in cuts[:-1])] and cuts[-1][1] == len(data)
+    assert all(text[b].isspace() for _, b in cuts[:-1])
+    assert count_texts(pa.array([text, None, text]), PATH, group_bytes=100)[1].tolist() == [len(ids_of(library, text)), 0, len(ids_of(library, text))]
+
+
+def test_store_is_bounded(library):
+    texts = [" ".join(f"word{chr(97 + k % 26)}{chr(97 + j % 26)}x{j}" for j in range(200)) for k in range(30)]
+    enc = WordEncoder(PATH, entries=100, opaque_bytes=500)
+    for t in texts:
+        counts, ids = enc.encode(*text_bytes(pa.array([t])))
+        assert ids.tolist() == ids_of(library, t) and counts[0] == len(ids)
+    assert enc.known.used <= 400 and enc.kept <= 4000
 
 
 def unpacked(bins):
