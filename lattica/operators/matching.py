@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import deque
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -85,47 +86,77 @@ class Auction:
     idle: set[int] = field(default_factory=set)
 
 
+class Patience:
+    """How long the number of open columns has stood still; it ends once that is long enough for the share that is matched."""
+
+    def __init__(self, total: int, options: AuctionOptions) -> None:
+        self.total, self.rules = total, list(zip(options.max_unchanged, options.min_proportion, strict=True))
+        self.last, self.rounds = -1, 0
+
+    def ended(self, open_: int) -> bool:
+        self.rounds = self.rounds + 1 if open_ == self.last else 1
+        self.last = open_
+        matched = (self.total - open_) / self.total
+        return any(self.rounds >= rounds and matched >= share for rounds, share in self.rules)
+
+
+class Market:
+    """Rows for sale at rising prices to columns, each of which gains by some of them."""
+
+    def __init__(self, m: int, rows: list[np.ndarray], gains: list[np.ndarray]) -> None:
+        self.rows, self.gains, self.price = rows, gains, np.zeros(m)
+        self.holder: dict[int, int] = {}  # row -> column
+        self.worth = np.array([g.max() if len(g) else 0.0 for g in gains])  # of columns, to themselves
+
+    def bid(self, column: int, eps: float) -> tuple[bool, int | None]:
+        """The column buys the row that it gains most by, if it gains at all, for what makes the next best as good, and eps more.
+
+        Whether it bought, and the column that lost the row.
+        """
+        offer = self.gains[column] - self.price[self.rows[column]]
+        at = int(offer.argmax())
+        if offer[at] <= 0:
+            return False, None
+        others = np.concatenate([offer[:at], offer[at + 1 :]])
+        next_best = float(others.max()) if len(others) else 0.0
+        row = int(self.rows[column][at])
+        self.price[row] += offer[at] - next_best + eps
+        self.worth[column] = next_best - eps
+        loser = self.holder.get(row)
+        self.holder[row] = column
+        return True, loser
+
+    def settled(self, n: int) -> np.ndarray:
+        """Row of each column; the worth of columns without one becomes the least that no entry of theirs exceeds."""
+        row_of = np.full(n, -1)
+        for row, column in self.holder.items():
+            row_of[column] = row
+        for column in np.flatnonzero(row_of < 0).tolist():
+            if len(self.rows[column]):
+                self.worth[column] = (self.gains[column] - self.price[self.rows[column]]).max()
+        return row_of
+
+
 def auction(m: int, n: int, rows: list[np.ndarray], gains: list[np.ndarray], options: AuctionOptions = AuctionOptions()) -> Auction:
-    """Columns bid for rows of largest gain minus price, one at a time, each raising its row's price by its margin plus eps.
+    """Columns bid for rows of largest gain minus price, each raising its row's price by its margin plus eps.
 
-    A column without a positive offer drops out. It ends when no column waits, or when their number has stood still for long
-    enough at a sufficient share of matched ones.
+    Bidders queue; who loses a row bids again in the next round, whose eps is larger by 1 / (n + 1), up to 1. A column
+    without a positive offer drops out. It ends when no column is open, or when patience does.
     """
-    price, v = np.zeros(m), np.array([g.max() if len(g) else 0.0 for g in gains])
-    row_of, owner = np.full(n, -1), np.full(m, -1)
-    out = Auction(row_of, price, v)
-    most = min(m, n)
-    waiting, open_count, before, still, eps = [j for j in range(n) if len(rows[j])], most, -1, 0, options.eps_initial
-    for number in range(options.max_iterations):
-        out.iterations = number
-        if not open_count:
-            break
-        still = still + 1 if open_count == before else 1
-        before = open_count
-        if any(still >= k and (most - open_count) / most >= p for k, p in zip(options.max_unchanged, options.min_proportion, strict=True)):
+    market, patience = Market(m, rows, gains), Patience(max(min(m, n), 1), options)
+    queue, dropped = deque(column for column in range(n) if len(rows[column])), set()
+    number = 0
+    while number < options.max_iterations:
+        open_ = min(m, n) - len(market.holder) - len(dropped)
+        if open_ == 0 or patience.ended(open_):
             break
-        eps, displaced = min(1.0, eps + 1.0 / (n + 1)), []
-        for j in waiting:
-            offer = gains[j] - price[rows[j]]
-            k = int(np.argmax(offer))
-            best = offer[k]
-            second = np.max(np.delete(offer, k)) if len(offer) > 1 else 0.0
-            if best <= 0:
-                out.idle.add(j)
-                out.unmatchable += 1
-                open_count -= 1
-                continue
-            i = int(rows[j][k])
-            price[i] += best - second + eps
-            v[j] = second - eps
-            if owner[i] >= 0:
-                row_of[owner[i]] = -1
-                displaced.append(int(owner[i]))
-                open_count += 1
-            row_of[j], owner[i] = i, j
-            open_count -= 1
-        waiting = displaced
-    for j in range(n):
-        if row_of[j] < 0 and len(rows[j]):  # no entry of an unmatched column exceeds its price
-            v[j] = (gains[j] - price[rows[j]]).max()
-    return out
+        eps = min(1.0, options.eps_initial + (number + 1) / (n + 1))
+        for _ in range(len(queue)):
+            column = queue.popleft()
+            bought, loser = market.bid(column, eps)
+            if not bought:
+                dropped.add(column)
+            elif loser is not None:
+                queue.append(loser)
+        number += 1
+    return Auction(market.settled(n), market.price, market.worth, min(number, options.max_iterations - 1), len(dropped), dropped)
