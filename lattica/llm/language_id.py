@@ -3,13 +3,15 @@
 A known word scores its log frequency in each language. For an unseen word the text ^word$ is read from the left: the
 longest n-gram known at a place gives its log frequency in each language and the reading goes on behind it; where even
 the single character is unknown, all languages get the same. The language of the largest sum wins, ties to the first in
-alphabetical order; the score is that language's share after the sums are set against each other.
+alphabetical order; the score is that language's share after the sums are set against each other. A word is a run of
+letters (category L) in lower case.
 
-The counts come from at most `sample_rows` training documents (those of smallest hash) of at most `sample_chars`
-characters, and the `max_words` most frequent words; both are parameters, and prediction reads every whole text.
+The counts come from a sample of labelled texts, drawn for each language: those of smallest hash, at most `sample_rows` of
+them, until they have `sample_bytes` bytes together; the text that reaches the bound is counted whole, whatever its
+length. All words and n-grams of the sample are kept. Prediction reads every whole text.
 
 Defined results: null text, or one without letters, is `und` with score 0; with nothing to learn from, every text is
-`und`; rows are judged each for itself; an empty table gives no rows.
+`und`; rows are judged each for itself; equal texts of one language are learned from once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,17 +21,31 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Shared, hash_sample, map_arrow, table
+from .bpe import lower_letters
+from .common import Shared, map_arrow, table
+from .words import HashTable, hash_ranges, hash_words, lowered, row_groups, runs
 
-LETTERS = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 LONGEST = 5
-SAMPLE_ROWS = 6000
-SAMPLE_CHARS = 20_000
-MAX_WORDS = 60_000
+SAMPLE_ROWS = 1500
+SAMPLE_BYTES = 4 << 20
 FLOOR = 0.5  # what is added to each count
+UNSEEN = 200_000  # unseen words whose scores are kept
+GROUP_BYTES = 1 << 20
+
+
+def letter_words(text: str) -> list[str]:
+    """The runs of letters of a text in lower case."""
+    out = []
+    for w in WORD.findall(text):  # numbers that aren't digits are word characters too
+        out += [w] if w.isalpha() else LETTERS.findall(w)
+    return out
 
 
 class WordBackoff:
@@ -38,17 +54,20 @@ class WordBackoff:
     def __init__(self, languages: list[str], words: list[str], word_logs: np.ndarray, grams: list[str], gram_logs: np.ndarray, longest: int) -> None:
         self.state = (languages, words, word_logs, grams, gram_logs, longest)
         self.languages, self.longest = languages, longest
-        self.words = {w: i for i, w in enumerate(words)}
-        self.word_logs = word_logs
-        self.grams = dict(zip(grams, gram_logs, strict=True))
-        self.unseen: dict[str, np.ndarray] = {}
+        self.known, self.word_logs = HashTable(), word_logs
+        self.known.add(hash_words(words), np.arange(len(words)))
+        self.grams, self.gram_logs = {g: i for i, g in enumerate(grams)}, gram_logs
+        self._forget()
+
+    def _forget(self) -> None:
+        self.unseen, self.unseen_logs = HashTable(), np.zeros((1024, len(self.languages)))
 
     @classmethod
-    def fit(cls, counts: dict[str, Counter], max_words: int = MAX_WORDS, longest: int = LONGEST) -> WordBackoff:
-        """From word counts per language: the max_words most frequent words, and as many n-grams of each length."""
+    def fit(cls, counts: dict[str, Counter], longest: int = LONGEST) -> WordBackoff:
+        """From word counts per language."""
         languages = sorted(counts)
-        kept, logs = _logs(counts, languages, 1, max_words)
-        grams, gram_logs = [], []
+        kept, logs = _logs(counts, languages)
+        grams, gram_logs = [], [np.zeros((0, len(languages)))]
         for k in range(1, longest + 1):
             own = {x: Counter() for x in languages}
             for x in languages:
@@ -56,61 +75,103 @@ class WordBackoff:
                     s = f"^{w}$"
                     for i in range(len(s) - k + 1):
                         own[x][s[i : i + k]] += n
-            g, t = _logs(own, languages, 3 if k > 1 else 1, max_words)
+            g, t = _logs(own, languages)
             grams += g
             gram_logs.append(t)
         return cls(languages, kept, logs, grams, np.concatenate(gram_logs), longest)
 
     def backoff(self, word: str) -> np.ndarray:
-        got = self.unseen.get(word)
-        if got is None:
-            s, i, got = f"^{word}$", 0, np.zeros(len(self.languages))
-            while i < len(s):
-                for k in range(min(self.longest, len(s) - i), 0, -1):
-                    if (row := self.grams.get(s[i : i + k])) is not None:
-                        got = got + row
-                        break
-                i += k
-            if len(self.unseen) > 200_000:
-                self.unseen.clear()
-            if len(word) <= 64:
-                self.unseen[word] = got
-        return got
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(LETTERS.findall(text.lower())) if text else Counter()
-        if not words or not self.languages:
-            return "und", 0.0
-        known, sums = self.words.get, np.zeros(len(self.languages))
-        at, times = [], []
-        for w, n in words.items():
-            if (i := known(w)) is None:
-                sums += n * self.backoff(w)
-            else:
-                at.append(i)
-                times.append(n)
-        sums += np.array(times, dtype=float) @ self.word_logs[at] if at else 0.0
-        best = int(np.argmax(sums))
-        return self.languages[best], float(1 / np.exp(np.clip(sums - sums[best], -700, 0)).sum())
-
-
-def _logs(counts: dict[str, Counter], languages: list[str], least: int, most: int) -> tuple[list[str], np.ndarray]:
-    """The items seen `least` times, at most `most` of them, and their smoothed log frequency in each language."""
-    total: Counter = Counter()
-    for c in counts.values():
-        total.update(c)
-    items = sorted((x for x, n in total.items() if n >= least), key=lambda x: (-total[x], x))[:most]
+        """Scores of an unseen word."""
+        s, i, rows = f"^{word}$", 0, []
+        while i < len(s):
+            for k in range(min(self.longest, len(s) - i), 0, -1):
+                if (row := self.grams.get(s[i : i + k])) is not None:
+                    rows.append(row)
+                    break
+            i += k
+        return self.gram_logs[rows].sum(axis=0)
+
+    def scores(self, keys: np.ndarray, word_at) -> np.ndarray:
+        """The scores of words, given by hash; word_at tells the word of a place."""
+        at = self.known.find(keys)
+        out = self.word_logs[np.maximum(at, 0)] if len(self.word_logs) else np.zeros((len(keys), len(self.languages)))
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return out
+        if self.unseen.used > UNSEEN:
+            self._forget()
+        own = self.unseen.find(keys[missing])
+        new = np.flatnonzero(own < 0)
+        if len(new):
+            distinct, first, inverse = np.unique(keys[missing[new]], return_index=True, return_inverse=True)
+            begin, end = self.unseen.used, self.unseen.used + len(distinct)
+            if end > len(self.unseen_logs):
+                wider = np.zeros((max(end, 2 * len(self.unseen_logs)), len(self.languages)))
+                wider[:begin] = self.unseen_logs[:begin]
+                self.unseen_logs = wider
+            for k, place in enumerate(missing[new[first]].tolist(), begin):
+                self.unseen_logs[k] = self.backoff(word_at(place))
+            self.unseen.add(distinct, np.arange(begin, end))
+            own[new] = begin + inverse
+        out[missing] = self.unseen_logs[own]
+        return out
+
+    def sums(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of scores of each text's words, and how many it has."""
+        total, words = np.zeros((len(column), len(self.languages))), np.zeros(len(column), dtype=np.int64)
+        whole, at = lowered(column)
+        for lo, hi in row_groups(at, GROUP_BYTES):
+            data, offsets = whole[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+            low, letter = lower_letters(data)
+            # texts with other characters than ASCII ones and Latin-1 letters are split one by one
+            hard = np.unique(np.searchsorted(offsets, np.flatnonzero((data >= 0x80) & ~letter), side="right") - 1)
+            for r in hard.tolist():
+                letter[offsets[r] : offsets[r + 1]] = False
+                found = letter_words(data[offsets[r] : offsets[r + 1]].tobytes().decode())
+                if found:
+                    total[lo + r], words[lo + r] = self.scores(hash_words(found), found.__getitem__).sum(axis=0), len(found)
+            starts, ends, counts = runs(letter, offsets)
+            if len(starts):
+                each = self.scores(hash_ranges(low, starts, ends), lambda k: low[starts[k] : ends[k]].tobytes().decode())
+                some = np.flatnonzero(counts)
+                total[lo + some] = np.add.reduceat(each, (np.cumsum(counts) - counts)[some], axis=0)
+                words[lo + some] = counts[some]
+        return total, words
+
+    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        if not self.languages:
+            return ["und"] * len(column), np.zeros(len(column))
+        total, words = self.sums(column)
+        best = total.argmax(axis=1) if len(total) else np.zeros(0, dtype=np.int64)
+        share = 1 / np.exp(np.clip(total - total.max(axis=1, keepdims=True), -700, 0)).sum(axis=1) if len(total) else np.zeros(0)
+        return [self.languages[k] if n else "und" for k, n in zip(best.tolist(), words.tolist(), strict=True)], np.where(words > 0, share, 0.0)
+
+
+def _logs(counts: dict[str, Counter], languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """All items, and their smoothed log frequency in each language."""
+    items = sorted(set().union(*counts.values())) if counts else []
     n = np.array([[counts[x][i] + FLOOR for x in languages] for i in items]).reshape(len(items), len(languages))
     return items, np.log(n / (np.array([sum(counts[x].values()) for x in languages]) + FLOOR * max(len(items), 1)))
 
 
-def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, max_words: int = MAX_WORDS) -> WordBackoff:
-    """The model from a bounded sample of df's rows with a language; key_col only chooses the sample."""
-    usable = df.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= sample_chars))
+def sample(df: DataFrame, text_col: str, lang_col: str, sample_rows: int, sample_bytes: int) -> DataFrame:
+    """text, lang of the labelled texts that are learned from. Only hashes and lengths are ranked; the sample is broadcast."""
+    rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("text"))
+    ranked = rows.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("n"))
+    by = W.partitionBy("lang").orderBy("h")
+    first = ranked.withColumn("k", F.row_number().over(by)).where(F.col("k") <= sample_rows)
+    before = F.coalesce(F.sum("n").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    chosen = first.withColumn("before", before).where(F.col("before") < sample_bytes).select("lang", "h")
+    return rows.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("text", "lang")
+
+
+def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> WordBackoff:
+    """The model from a bounded sample of df's rows with a language."""
     counts: dict[str, Counter] = defaultdict(Counter)
-    for text, lang in hash_sample(usable, F.col("key"), sample_rows).select("text", "lang").toLocalIterator():
-        counts[lang].update(LETTERS.findall(text.lower()))
-    return WordBackoff.fit(counts, max_words)
+    for text, lang in sample(df, text_col, lang_col, sample_rows, sample_bytes).toLocalIterator():
+        counts[lang].update(letter_words(text.lower()))
+    return WordBackoff.fit(counts)
 
 
 def language_id(df: DataFrame, model: WordBackoff, id_col: str = "doc_id", text_col: str = "text", extra: dict | None = None) -> DataFrame:
@@ -120,11 +181,10 @@ def language_id(df: DataFrame, model: WordBackoff, id_col: str = "doc_id", text_
     shared = Shared(df.sparkSession, model.state, lambda state: WordBackoff(*state))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        model = shared.get()
-        got = [model.predict(t) for t in b.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column(0), *(b.column(2 + i) for i in range(len(more))), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", *more, "lang_pred", "score"])
+        languages, scores = shared.get().predict(b.column(1))
+        return pa.RecordBatch.from_arrays([b.column(0), *(b.column(2 + i) for i in range(len(more))), pa.array(languages, pa.string()), pa.array(scores)], names=["doc_id", *more, "lang_pred", "score"])
 
-    read = df.select(F.col(id_col), F.col(text_col), *(c.alias(n) for n, c in extra.items()))
+    read = df.select(F.col(id_col), F.col(text_col).cast("string"), *(c.alias(n) for n, c in extra.items()))
     kinds = [f.dataType.simpleString() for f in read.schema.fields]
     return map_arrow(read, run, f"doc_id {kinds[0]}, {''.join(f'{n} {k}, ' for n, k in zip(extra, kinds[2:], strict=True))}lang_pred string, score double")
 

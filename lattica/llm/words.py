@@ -77,8 +77,12 @@ def row_groups(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the number of words of each row."""
-    n = len(data)
-    inside = ~space[data]
+    return runs(~space[data], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes that are inside of words, cut at rows, and the number of runs of each row."""
+    n = len(inside)
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -89,6 +93,14 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE
     return starts, np.flatnonzero(last) + 1, np.diff(np.searchsorted(starts, offsets))
 
 
+def hash_words(words: list[str]) -> np.ndarray:
+    """hash_ranges of words that are given as strings."""
+    own = [w.encode() for w in words]
+    stops = np.cumsum([len(w) for w in own], dtype=np.int64)
+    starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)[: len(own)]
+    return hash_ranges(np.frombuffer(b"".join(own), dtype=np.uint8), starts, stops)
+
+
 _POWERS: list[np.ndarray] = []
 
 
