@@ -184,13 +184,14 @@ def labelled(df: DataFrame, labels: DataFrame, id_col: str, label_col: str, samp
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, **options) -> Trees | None:
     """Trees from the labelled rows; the sample, of bounded size, is broadcast, its statistics come to the driver."""
     chosen = labelled(df, labels, id_col, label_col, sample_rows)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id").agg(F.min_by(F.struct("y", "text"), F.xxhash64("text")).alias("r")).select("r.y", "r.text")  # an id of several texts gives one of them
 
     def stats(b: pa.RecordBatch) -> pa.RecordBatch:
         x = [list(text_statistics(t)[1]) for t in utf8(b.column(1))]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = map_arrow(rows, stats, "y double, x array<double>").limit(2 * sample_rows).toPandas()
+    got = map_arrow(rows, stats, "y double, x array<double>").toPandas()
     if not len(got):
         return None
     got["key"] = [tuple(v) for v in got.x]

@@ -93,15 +93,62 @@ def test_flat_scoring_equals_walking():
         assert abs(1 / (1 + np.exp(-z)) - s) < 1e-12
 
 
+class PlainPool:
+    """The exchange said plainly, over arrays."""
+
+    def __init__(self, xt, xm, names=None):
+        self.x, self.names, self.seen = {"t": xt, "m": xm}, list(range(len(xt))) if names is None else names, {"t": set(), "m": set()}
+
+    def surest(self, models, most):
+        out = []
+        for view, other in (("t", "m"), ("m", "t")):
+            p = np.round(qc.sigmoid(models[view].logit(self.x[view])), 6)
+            for label in (0, 1):
+                q = np.round(p if label else 1 - p, 6)
+                rows = sorted((-q[k], self.names[k], k) for k in range(len(p)) if q[k] >= 0.95 and self.names[k] not in self.seen[other])
+                out += [(view, label, name, k) for _, name, k in rows[: most[view, label]]]
+        return out
+
+    def __call__(self, models, most):
+        chosen, out = self.surest(models, most), {}
+        for view, other in (("t", "m"), ("m", "t")):
+            mine = sorted((name, label, k) for v, label, name, k in chosen if v == other)
+            self.seen[view] |= {name for name, _, _ in mine}
+            at = [k for _, _, k in mine]
+            out[view] = self.x["t"][at], self.x["m"][at], np.array([float(label) for _, label, _ in mine])
+        return out
+
+
 def test_co_training_uses_the_pool():
     """One view separates the classes, the other only where the first has taught it by the pool."""
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 2000).astype(float)
     a = np.stack([y * 2 - 1 + 0.3 * rng.standard_normal(2000), rng.standard_normal(2000)], axis=1)
     b = np.stack([y * 2 - 1 + rng.standard_normal(2000), rng.standard_normal(2000)], axis=1)
-    got = qc.co_train(a[:40], b[:40], y[:40], a[40:], b[40:])
-    assert ((got.score(a, b)[2] > 0.5) == y).mean() > 0.95
-    assert qc.co_train(a[:5], b[:5], np.ones(5), a, b) is None
+    alone = qc.co_train(a[:40], b[:40], y[:40], None)
+    got = qc.co_train(a[:40], b[:40], y[:40], PlainPool(a[40:], b[40:]))
+    right = lambda m, k: ((m.score(a, b)[k] > 0.5) == y).mean()
+    assert right(got, 2) > 0.95
+    assert right(got, 1) >= right(alone, 1) - 0.01
+    assert qc.co_train(a[:5], b[:5], np.ones(5), None) is None
+
+
+def test_co_training_equals_plain_exchange(bigger, spark):
+    """The whole fit against the same with the pool in one place; the pool is all other documents, however they are dealt."""
+    docs, labels = bigger
+    got = [qc.fit(docs.repartition(n), labels, sample_rows=150, exchange=30) for n in (3, 11)]
+    assert np.allclose(got[0].text.weights, got[1].text.weights, atol=1e-3)
+    means = labels.groupBy(F.col("doc_id").alias("id")).agg(F.avg("quality").alias("y"))
+    chosen = {r.id: r.y for r in qc.hash_sample(means, F.col("id"), 150).collect()}
+    rows = docs.select(F.xxhash64(*qc.INPUTS).alias("h"), "doc_id", *qc.INPUTS).toPandas()
+    t = np.array([qc.text_view((x or "").encode()) for x in rows.text])
+    m = np.array([qc.meta_view(a, b, c) for a, b, c in zip(rows["lang"], rows["source"], rows["n_chars"], strict=True)])
+    known = rows.doc_id.isin(list(chosen)).to_numpy()
+    pool = rows[~known].drop_duplicates("h").index.to_numpy()
+    order = sorted(np.flatnonzero(known), key=lambda k: (t[k].tobytes(), m[k].tobytes()))
+    plain = qc.co_train(t[order], m[order], np.array([float(chosen[rows.doc_id[k]] >= 0.5) for k in order]), PlainPool(t[pool], m[pool], rows.h[pool].tolist()), exchange=30)
+    for a, b in ((plain.text, got[0].text), (plain.meta, got[0].meta), (plain.mix, got[0].mix)):
+        assert np.allclose(a.weights, b.weights, atol=1e-2) and abs(a.bias - b.bias) < 1e-2
 
 
 def test_classifier_on_odd_rows(odd, labels):
