@@ -23,6 +23,8 @@ from .common import cut, table
 
 BITS = 60
 LIMIT_BYTES = 1 << 20
+BROADCAST_ROWS = 500_000  # of 32 bytes each
+SALTS = 16
 
 
 def hash_bits(text: Column, hex_digits: int) -> Column:
@@ -47,7 +49,15 @@ def split_step(open_rows: DataFrame, depth: int, to: int, limit: int) -> DataFra
     return first.select("at", "s.depth", "s.prefix", "s.shard_bytes")
 
 
-def extendible_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
+def _met(rows: DataFrame, leaf: DataFrame, count: int, broadcast_rows: int) -> DataFrame:
+    """rows with the bucket of their prefix. Few buckets are broadcast; else a prefix that many rows share is dealt to SALTS tasks."""
+    if count <= broadcast_rows:
+        return rows.join(F.broadcast(leaf), "at", "left")
+    salted = leaf.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int")).join(salted, ["at", "salt"], "left").drop("salt")
+
+
+def extendible_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_bytes, depth, prefix, page, shard_bytes of every row of df; (depth, prefix, page) names a shard."""
     text = F.col(text_col).cast("string")
     rows = cut(df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), shard_key(F.col(id_col), text).alias("key")))
@@ -57,8 +67,8 @@ def extendible_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_rows = rows
     while True:
         to = min(depth + step, BITS)
-        leaf = split_step(open_rows, depth, to, limit)
-        met = cut(open_rows.withColumn("at", prefix(F.col("key"), to)).join(leaf, "at", "left").drop("at"))
+        leaf = cut(split_step(open_rows, depth, to, limit))
+        met = cut(_met(open_rows.withColumn("at", prefix(F.col("key"), to)), leaf, leaf.count(), broadcast_rows).drop("at"))
         done.append(met.where("depth is not null").select("doc_id", "n_bytes", "depth", "prefix", F.lit(0).alias("page"), "shard_bytes"))
         open_rows = met.where("depth is null").select("doc_id", "n_bytes", "key")
         depth, step = to, 6
