@@ -41,8 +41,8 @@ PLANES = 3  # low bits of each coordinate that are compared before whole sets ar
 DEVIATIONS = 4.0
 BLOCK = 2048
 BROADCAST_ROWS = 1_000_000
-GROUP_BYTES = 2 << 20
-CELLS = 1 << 20
+GROUP_BYTES = 1 << 20
+CELLS = 1 << 19
 _ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
