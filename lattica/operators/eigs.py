@@ -247,17 +247,34 @@ def inverse(factors: direct.Factors) -> Block:
     return apply
 
 
+def _factored(a: SparseMatrix, b: SparseMatrix | None, sigma: float, left: int, right: int) -> Block:
+    """Solves with A - sigma B. Its inertia tells how many pairs are below sigma: asking for more of a side is an error."""
+    factors = direct.factor(direct.analyse(_shifted(a, b, sigma)))
+    below, _, above = factors.inertia
+    if left > below:
+        raise EigenError(EigenFlag.LEFT)
+    if right > above:
+        raise EigenError(EigenFlag.RIGHT)
+    return inverse(factors)
+
+
 def shift_invert(a: SparseMatrix, sigma: float, left: int, right: int, b: SparseMatrix | None = None, options: Options = Options(), solver: Block | None = None) -> Eigenpairs:
-    """The left pairs next below sigma and the right pairs next above: mu = 1 / (lambda - sigma) of B (A - sigma B)^-1 B in the metric of B."""
-    solve = solver or inverse(direct.factor(direct.analyse(_shifted(a, b, sigma))))
+    """The left pairs next below sigma and the right pairs next above: mu = 1 / (lambda - sigma) of B (A - sigma B)^-1 B in the metric of B.
+
+    A caller's solver, which has no inertia to ask, is trusted to have that many pairs on each side.
+    """
+    solve = solver or _factored(a, b, sigma, left, right)
     apply_b = times(b) if b is not None else None
     operator = (lambda x: apply_b(solve(_sized(apply_b(x), _width(x))))) if apply_b else solve
     return _mapped(a, operator, apply_b, left, right, options, lambda mu: sigma + 1 / mu)
 
 
 def buckling(a: SparseMatrix, b: SparseMatrix, sigma: float, left: int, right: int, options: Options = Options(), solver: Block | None = None) -> Eigenpairs:
-    """A x = lambda B x with A positive definite, B any: mu = lambda / (lambda - sigma) of A (A - sigma B)^-1 A in the metric of A."""
-    solve, apply_a = solver or inverse(direct.factor(direct.analyse(_shifted(a, b, sigma)))), times(a)
+    """A x = lambda B x with A positive definite, B any: mu = lambda / (lambda - sigma) of A (A - sigma B)^-1 A in the metric of A.
+
+    For a positive sigma, as many pairs are in (0, sigma) as A - sigma B has negative eigenvalues.
+    """
+    solve, apply_a = solver or _factored(a, b, sigma, left if sigma > 0 else 0, right if sigma < 0 else 0), times(a)
     return _mapped(a, lambda x: apply_a(solve(_sized(apply_a(x), _width(x)))), apply_a, left, right, options, lambda mu: sigma * mu / (mu - 1))
 
 
@@ -270,18 +287,90 @@ def _mapped(a: SparseMatrix, operator: Block, metric: Block | None, left: int, r
     return _joined(low, high) if left and right else (low if left else high)
 
 
-def hermitian(entries: DataFrame, n: int, left: int, options: Options = Options()) -> Eigenpairs:
-    """Leftmost pairs of a Hermitian matrix, lower triangle (i, j, re, im).
+# Hermitian problems. A complex matrix acts on real and imaginary parts as a real symmetric one of twice the order, whose
+# eigenvalues are those of A, each twice. So twice as many real pairs are found; the complex vectors that they stand for span
+# each eigenspace, and an orthonormal basis of it, in the complex inner product of the problem's metric, is taken.
 
-    It acts on real and imaginary parts as a symmetric matrix of twice the order, whose eigenvalues are those of A, each
-    twice. vectors has 2 n rows, real parts first; of each pair of equal values the first is kept.
-    """
+
+def real_form(entries: DataFrame, n: int) -> SparseMatrix:
+    """The symmetric matrix of order 2 n, real parts first, of a Hermitian one: its lower triangle (i, j, re, im)."""
     low = entries.select("i", "j", "re", "im")
     full = low.unionByName(low.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "re", (-F.col("im")).alias("im")))
     part = lambda di, dj, v: full.select((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"), v.alias("v"))
-    big = part(0, 0, F.col("re")).unionByName(part(n, n, F.col("re"))).unionByName(part(n, 0, F.col("im"))).unionByName(part(0, n, -F.col("im")))
-    big = cut(big.where("v <> 0"))
-    matrix = SparseMatrix(big, 2 * n, 2 * n, MatrixType.REAL_UNSYM)
-    got = smallest(entries.sparkSession, 2 * n, 2 * left, times(matrix, big), None, None, options)
-    keep = range(0, 2 * left, 2)
-    return replace(got, values=got.values[::2], residuals=got.residuals[::2], vectors=_sized(got.vectors.select("i", F.array(*(F.col("w")[k] for k in keep)).alias("w")), left))
+    big = part(0, 0, F.col("re")).unionByName(part(n, n, F.col("re"))).unionByName(part(n, 0, F.col("im")))
+    return SparseMatrix(cut(big.where("v <> 0 and i >= j")), 2 * n, 2 * n, MatrixType.REAL_SYM_INDEF)
+
+
+def _turned(block: DataFrame, n: int) -> DataFrame:
+    """The block times the imaginary unit: (x, y) becomes (-y, x)."""
+    sign = F.when(F.col("i") > n, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return block.select(F.when(F.col("i") > n, F.col("i") - n).otherwise(F.col("i") + n).alias("i"), F.transform("w", lambda v: v * sign).alias("w"))
+
+
+def bases(values: np.ndarray, gram: np.ndarray, count: int, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Which values stay, and the coefficients of orthonormal vectors: gram is Z^H B Z of 2 count vectors, two for each value.
+
+    Values within tol of their neighbours are one eigenspace. Of a space of 2 m real vectors, m complex ones are taken:
+    those of the largest eigenvalues of its Gram matrix.
+    """
+    scale = max(float(np.abs(values).max()), 1e-300) if len(values) else 1.0
+    order = np.argsort(values, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(values[order]) > tol * scale) + 1)
+    stay, columns = [], []
+    for g in groups:
+        w, q = np.linalg.eigh(gram[np.ix_(g, g)])
+        for k in range(len(g) - 1, len(g) - 1 - (len(g) + 1) // 2, -1):
+            column = np.zeros(len(values), dtype=complex)
+            column[g] = q[:, k] / np.sqrt(max(w[k], 1e-300))
+            columns.append(column)
+            stay.append(g[len(g) - 1 - k])
+    return np.array(stay[:count], dtype=int), np.array(columns[:count]).T.reshape(len(values), -1)
+
+
+def _complex_pairs(got: Eigenpairs, n: int, left: int, right: int, metric: Block | None) -> Eigenpairs:
+    """The complex pairs of twice as many real ones: vectors has 2 n rows, real parts first."""
+    if not left + right:
+        return got
+    k = len(got.values)
+    own = cut(got.vectors)
+    block, turned = _sized(own, k), _sized(cut(_turned(own, n)), k)
+    both = own.select("i", F.col("w").alias("u"))
+    for name, b in (("bu", block), ("bt", turned)):
+        both = both.join((metric(b) if metric else b).select("i", F.col("w").alias(name)), "i")
+    g = gram_matrices(both, ["u", "bu", "bt"], [("u", "bu"), ("u", "bt")])
+    gram = g["u", "bu"] - 1j * g["u", "bt"]
+    stay, c = [], []
+    for part, many in ((slice(0, 2 * left), left), (slice(2 * left, k), right)):
+        rows = np.arange(k)[part]
+        if many:
+            s, m = bases(got.values[part], gram[part, part], many)
+            full = np.zeros((k, m.shape[1]), dtype=complex)
+            full[rows] = m
+            stay.append(rows[s])
+            c.append(full)
+    stay, c = np.concatenate(stay), np.concatenate(c, axis=1)
+    made = mixed(both.select("i", "u").join(turned.select("i", F.col("w").alias("t")), "i"), {"w": (["u", "t"], np.concatenate([c.real, c.imag]))})
+    return replace(got, values=got.values[stay], residuals=got.residuals[stay], vectors=_sized(made, len(stay)))
+
+
+def hermitian(entries: DataFrame, n: int, left: int, options: Options = Options(), right: int = 0, b: DataFrame | None = None) -> Eigenpairs:
+    """The left leftmost and right rightmost pairs of a Hermitian matrix, lower triangle (i, j, re, im), or of A x = lambda B x with such a B, positive definite.
+
+    vectors has 2 n rows, real parts first, orthonormal in the complex inner product.
+    """
+    big_b = real_form(b, n) if b is not None else None
+    got = generalized(real_form(entries, n), big_b, 2 * left, 2 * right, None, options)
+    return _complex_pairs(got, n, left, right, times(big_b) if big_b is not None else None)
+
+
+def hermitian_shift_invert(entries: DataFrame, n: int, sigma: float, left: int, right: int, b: DataFrame | None = None, options: Options = Options()) -> Eigenpairs:
+    """The left pairs next below sigma and the right pairs next above, of A x = lambda x or A x = lambda B x."""
+    big_b = real_form(b, n) if b is not None else None
+    got = shift_invert(real_form(entries, n), sigma, 2 * left, 2 * right, big_b, options)
+    return _complex_pairs(got, n, left, right, times(big_b) if big_b is not None else None)
+
+
+def hermitian_buckling(entries: DataFrame, n: int, b: DataFrame, sigma: float, left: int, right: int, options: Options = Options()) -> Eigenpairs:
+    """buckling() of Hermitian A and B; vectors are orthonormal in the metric of A."""
+    big_a = real_form(entries, n)
+    return _complex_pairs(buckling(big_a, real_form(b, n), sigma, 2 * left, 2 * right, options), n, left, right, times(big_a))

@@ -167,3 +167,74 @@ def test_eigenvalues(spark):
     assert np.allclose(got.values, [exact[exact < 1][-1], *exact[exact > 1][:2]], atol=1e-6)
     with pytest.raises(eigs.EigenError):
         eigs.standard(a, 30)
+    with pytest.raises(eigs.EigenError):  # the grid has no ten values below 1
+        eigs.shift_invert(a, 1.0, 10, 1)
+
+
+def complex_of(pairs, n):
+    rows = dict((r.i, r.w) for r in pairs.vectors.collect())
+    return np.array([rows[k] for k in range(1, n + 1)]) + 1j * np.array([rows[n + k] for k in range(1, n + 1)])
+
+
+def hermitian_entries(spark, m):
+    n = len(m)
+    return spark.createDataFrame([(i + 1, j + 1, float(m[i, j].real), float(m[i, j].imag)) for i in range(n) for j in range(i + 1) if m[i, j]], "i long, j long, re double, im double")
+
+
+def ring(n):
+    """i d/dx by central differences on a ring: double values but for the ends."""
+    m = np.zeros((n, n), dtype=complex)
+    for k in range(n):
+        m[(k + 1) % n, k], m[k, (k + 1) % n] = 1j, -1j
+    return m
+
+
+def held(pairs, a, b, n, metric=None):
+    x, metric = complex_of(pairs, n), b if metric is None else metric
+    assert np.abs(x.conj().T @ metric @ x - np.eye(x.shape[1])).max() < 1e-6
+    assert np.abs(a @ x - b @ x * pairs.values).max() < 1e-4
+
+
+def test_hermitian_double_values_have_orthonormal_vectors(spark):
+    n = 16
+    a = ring(n)
+    exact = np.linalg.eigvalsh(a)
+    got = eigs.hermitian(hermitian_entries(spark, a), n, 3, eigs.Options(rel_tol_residual=1e-7), right=2)
+    assert np.allclose(got.values, np.concatenate([exact[:3], exact[-2:]]), atol=1e-6)
+    held(got, a, np.eye(n), n)
+
+
+def test_hermitian_forms(spark):
+    rng, n = np.random.default_rng(2), 12
+    a, c = (x + x.conj().T for x in (rng.standard_normal((n, n)) + 1j * rng.standard_normal((n, n)) for _ in range(2)))
+    b = c @ c.conj().T / n + np.eye(n)
+    options = eigs.Options(rel_tol_residual=1e-7)
+    ea, eb = hermitian_entries(spark, a), hermitian_entries(spark, b)
+    exact = np.sort(np.linalg.eigvals(np.linalg.solve(b, a)).real)
+    got = eigs.hermitian(ea, n, 2, options, b=eb)
+    assert np.allclose(got.values, exact[:2], atol=1e-5)
+    held(got, a, b, n)
+    got = eigs.hermitian_shift_invert(ea, n, 0.1, 1, 2, eb, options)
+    assert np.allclose(got.values, [*exact[exact < 0.1][-1:], *exact[exact > 0.1][:2]], atol=1e-5)
+    held(got, a, b, n)
+    with pytest.raises(eigs.EigenError):
+        eigs.hermitian_shift_invert(ea, n, exact[0] - 1, 1, 0, eb, options)
+    got = eigs.hermitian_buckling(eb, n, ea, 1.0, 1, 1, options)
+    every = np.sort(1 / np.linalg.eigvals(np.linalg.solve(b, a)).real)
+    assert np.allclose(got.values, [every[(every > 0) & (every < 1)][-1], every[every > 1][0]] if (every > 1).any() else got.values, atol=1e-5)
+    held(got, b, a, n, metric=b)
+
+
+def test_real_generalized_largest_and_buckling(spark):
+    rng, n = np.random.default_rng(3), 16
+    a = rng.standard_normal((n, n))
+    a, b = a + a.T, a @ a.T / n + np.eye(n)
+    of = lambda m, kind: matrix_from_entries(spark, [(i + 1, j + 1, float(m[i, j])) for i in range(n) for j in range(i + 1)], n, n, kind)
+    sa, sb, options = of(a, MatrixType.REAL_SYM_INDEF), of(b, MatrixType.REAL_SYM_PSDEF), eigs.Options(rel_tol_residual=1e-7)
+    exact = np.sort(np.linalg.eigvals(np.linalg.solve(b, a)).real)
+    assert np.allclose(eigs.generalized(sa, sb, 2, 1, options=options).values, [*exact[:2], exact[-1]], atol=1e-5)
+    size = exact[np.argsort(-np.abs(exact))]
+    assert np.allclose(np.sort(eigs.largest(sa, 2, sb, options).values), np.sort(size[:2]), atol=1e-5)
+    got = eigs.buckling(sb, sa, 1.0, 1, 0, options)
+    every = 1 / exact
+    assert np.allclose(got.values, [every[(every > 0) & (every < 1)].max()], atol=1e-5)
