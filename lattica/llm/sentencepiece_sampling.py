@@ -19,31 +19,28 @@ equal samples; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
-from array import array
-from itertools import accumulate
+from collections.abc import Iterator
 from math import exp, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_path
-from .common import by_bytes, map_arrow, table
+from .common import in_arrow, map_arrow, table
+from .words import HashTable, U, hash_ranges, mix, row_groups, text_bytes
 
 K = 3
 BLANK = "▁"
-U = np.uint64
-CACHE_EDGES = 3_000_000
+CACHE_EDGES = 1_500_000
 FIRST_STEPS = 400
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+GROUP_BYTES = 1 << 20
+PREFIX = 1 << 40  # what is no piece but starts one
+STEP = U(0xD6E8FEB86659FD93)
+FIGURES = ("n_pieces", "ids_crc32", "log_prob", "perturbed", "log_inclusion", "round_trip")
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -51,8 +48,30 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> U(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
+class Flat:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type) -> None:
+        self.room, self.size = np.zeros(1024, dtype=kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.room):
+            wider = np.zeros(max(end, 2 * len(self.room)), dtype=self.room.dtype)
+            wider[: self.size] = self.room[: self.size]
+            self.room = wider
+        self.room[self.size : end] = values
+        self.size = end
+
+    def view(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class Lattices:
-    """The lattices of words, as flat arrays of nodes and edges; forgotten together when there are many."""
+    """The lattices of words, as flat arrays of nodes and edges, made for many new words at once; forgotten together when there are many.
+
+    A word's nodes are its characters, one after another; an edge is a piece from a character to where the piece ends.
+    """
 
     def __init__(self, path: str, theta: float = 1.0) -> None:
         import sentencepiece
@@ -62,9 +81,10 @@ class Lattices:
         scores = [model.get_score(i) for i in range(n)]
         ranks = all(float(s).is_integer() for s in scores)
         self.piece_bytes: list[bytes] = []
-        self.ids: dict[str, int] = {}
         self.byte_ids = [0] * 256
         weight = np.zeros(n)
+        known: dict[int, int] = {}  # hash of a piece or of the start of one -> its id, or PREFIX
+        self.longest = 1
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -75,94 +95,142 @@ class Lattices:
                 self.piece_bytes.append(b"")
                 continue
             else:
-                self.ids[piece] = i
+                if BLANK in piece.lstrip(BLANK) or "\n" in piece:
+                    raise ValueError("a piece of this model reaches over the start of a word")
                 self.piece_bytes.append(piece.replace(BLANK, " ").encode())
+                h = 0
+                for c in piece:
+                    h = (h + ord(c) + 1) * int(STEP) & (2**64 - 1)
+                    known.setdefault(h, PREFIX)
+                known[h] = i
+                self.longest = max(self.longest, len(piece))
             weight[i] = -np.log(3.0 + min(-scores[i], n)) if ranks else scores[i]
-        self.weight = (theta * weight).tolist()
-        self.byte_weight = -theta * np.log(3.0 + n) if ranks else min(self.weight)
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-        if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.ids):
-            raise ValueError("a piece of this model reaches over the start of a word")
-        self.cut = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
+        self.weight = theta * weight
+        self.byte_weight = -theta * np.log(3.0 + n) if ranks else float(self.weight.min())
+        self.pieces = HashTable()
+        self.pieces.add(mix(np.array(list(known), dtype=U)), np.array(list(known.values())))
+        self.piece_size = np.array([len(x) for x in self.piece_bytes], dtype=np.int64)
+        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
+        self.all_bytes = np.frombuffer(b"".join(self.piece_bytes), dtype=np.uint8)
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.first, self.count = array("q"), array("q")  # of nodes
-        self.next, self.logp, self.cum, self.only = array("q"), array("d"), array("d"), array("q")  # of edges
-        self.several: dict[int, tuple[int, ...]] = {}  # the ids of edges of byte pieces
-        self.frozen: tuple | None = None
-
-    def words(self, text: str) -> list[str]:
-        return self.cut.findall((BLANK + text).replace(" ", BLANK)) if text else []
-
-    def add(self, word: str) -> int:
-        """The number of the word's first node."""
-        ids, starts, weight, n = self.ids, self.starts, self.weight, len(word)
-        ends: list[list[int]] = []
-        pieces: list[list[int]] = []  # negative: the byte pieces of a character without a piece
-        weights: list[list[float]] = []
-        for i in range(n):
-            e, p, w = [], [], []
-            for j in range(i + 1, n + 1):
-                s = word[i:j]
-                if s not in starts:
-                    break
-                k = ids.get(s)
-                if k is not None:
-                    e.append(j)
-                    p.append(k)
-                    w.append(weight[k])
-            if word[i] not in ids:
-                e.append(i + 1)
-                p.append(-1)
-                w.append(self.byte_weight * len(word[i].encode()))
-            ends.append(e)
-            pieces.append(p)
-            weights.append(w)
-        beta = [0.0] * (n + 1)
-        base = len(self.first)
-        probabilities: list[list[float]] = []
-        for i in range(n - 1, -1, -1):
-            z = [w + beta[j] for w, j in zip(weights[i], ends[i], strict=True)]
-            m = max(z)
-            x = [exp(v - m) for v in z] if len(z) > 1 else [1.0]
-            total = sum(x)
-            beta[i] = m + log(total)
-            probabilities.append([v / total for v in x])
-            weights[i] = [v - beta[i] for v in z]
-        for i, q in zip(range(n), reversed(probabilities), strict=True):
-            self.first.append(len(self.next))
-            self.count.append(len(q))
-            self.next.extend([base + j if j < n else -1 for j in ends[i]])
-            self.logp.extend(weights[i])
-            self.cum.extend(accumulate(q))
-            if pieces[i][-1] < 0:
-                own = tuple(self.byte_ids[x] for x in word[i].replace(BLANK, " ").encode())
-                if len(own) == 1:
-                    pieces[i][-1] = own[0]
-                else:
-                    self.several[len(self.only) + len(q) - 1] = own
-            self.only.extend(pieces[i])
-        self.frozen = None
-        return base
-
-    def nodes(self, words: list[str]) -> list[int]:
-        at = self.at
-        out = list(map(at.get, words))
-        if None in out:
-            for w in words:
-                if w not in at:
-                    at[w] = self.add(w)
-            out = list(map(at.get, words))
-        return out
+        self.at = HashTable()  # hash of a word -> its first node
+        self.first, self.count = Flat(np.int64), Flat(np.int64)  # of nodes
+        self.next, self.logp, self.node, self.only, self.cum = Flat(np.int32), Flat(float), Flat(np.int32), Flat(np.int32), Flat(float)  # of edges
+
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of each word of texts that begin with a blank, and the number of words of each text.
+
+        A word is a run of blanks with what follows up to the next blank or line break; a line break is one of its own.
+        """
+        blank, line = data == 0x20, data == 0x0A
+        start = line.copy()
+        start[1:] |= (blank[1:] & ~blank[:-1]) | (~blank[1:] & line[:-1])
+        start[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(start)
+        return starts, np.append(starts[1:], len(data))[: len(starts)], np.diff(np.searchsorted(starts, offsets))
+
+    def nodes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The first node of each word."""
+        keys = hash_ranges(data, starts, ends)
+        at = self.at.find(keys)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new, first, inverse = np.unique(keys[missing], return_index=True, return_inverse=True)
+            rows = missing[first]
+            size = ends[rows] - starts[rows]
+            joined = data[np.repeat(starts[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            letters = np.concatenate([[0], np.cumsum((joined & 0xC0) != 0x80)])
+            stop = letters[np.cumsum(size)]
+            nodes = self._add(np.frombuffer(joined.tobytes().decode().encode("utf-32-le"), dtype=np.uint32).astype(np.int64), stop)
+            self.at.add(new, nodes)
+            at[missing] = nodes[inverse]
+        return at
+
+    def _add(self, points: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The first nodes of new words, given as the code points of all of them and where each ends."""
+        n = len(points)
+        begin = np.concatenate([[0], stop[:-1]])
+        end = np.repeat(stop, stop - begin)  # of each character's word
+        code = np.where(points == 0x20, ord(BLANK), points).astype(U) + U(1)
+        # Pieces from each character, by length: characters go on while what was read so far starts some piece.
+        here, h = np.arange(n), np.zeros(n, dtype=U)
+        found = []  # (character, length, id, weight)
+        for length in range(1, self.longest + 1):
+            h = (h + code[here + length - 1]) * STEP
+            piece = self.pieces.find(mix(h))
+            hit = (piece >= 0) & (piece != PREFIX)
+            ids, own = piece[hit], here[hit]
+            found.append((own, np.full(len(own), length), ids, self.weight[ids]))
+            if length == 1:  # a character without a piece is its bytes
+                bare = here[~hit]
+                wide = points[bare]
+                bytes_ = 1 + (wide > 0x7F).astype(np.int64) + (wide > 0x7FF) + (wide > 0xFFFF)
+                ids = np.where(wide < 0x80, np.array(self.byte_ids)[np.minimum(wide, 0x7F)], -1 - wide)
+                found.append((bare, np.ones(len(bare), dtype=np.int64), ids, self.byte_weight * bytes_))
+            on = (piece >= 0) & (here + length < end[here])
+            here, h = here[on], h[on]
+            if not len(here):
+                break
+        node, length, ids, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(node, kind="stable")
+        node, length, ids, weight = node[order], length[order], ids[order], weight[order]
+        count = np.bincount(node, minlength=n)
+        first = np.cumsum(count) - count
+        # beta: log of the sum of weights of all ways from a node to its word's end, nearest nodes first
+        beta, distance = np.zeros(n + 1), end - np.arange(n)
+        by = np.argsort(distance, kind="stable")
+        borders = np.searchsorted(distance[by], np.arange(1, int(distance.max()) + 2))
+        target = np.where(node + length < end[node], node + length, n)
+        counts_by = count[by]
+        edges_by = np.repeat(first[by] - np.cumsum(counts_by) + counts_by, counts_by) + np.arange(len(node))
+        edge_border = np.concatenate([[0], np.cumsum(counts_by)])
+        total = weight.copy()
+        for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            lo, hi = edge_border[a], edge_border[b]
+            e, cuts = edges_by[lo:hi], edge_border[a:b] - lo
+            z = weight[e] + beta[target[e]]
+            total[e] = z
+            top = np.maximum.reduceat(z, cuts)
+            beta[by[a:b]] = top + np.log(np.add.reduceat(np.exp(z - np.repeat(top, counts_by[a:b])), cuts))
+        logp = total - beta[node]
+        p, rank = np.exp(logp), np.arange(len(node)) - first[node]
+        cum = p.copy()
+        for r in range(1, int(count.max())):
+            at = np.flatnonzero(rank == r)
+            cum[at] += cum[at - 1]
+        base, base_edge = self.first.size, self.next.size
+        self.first.extend(first + base_edge)
+        self.count.extend(count)
+        self.next.extend(np.where(target < n, target + base, -1))
+        for held, values in ((self.logp, logp), (self.node, node + base), (self.only, ids), (self.cum, cum)):
+            held.extend(values)
+        return begin + base
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        """first and count of nodes; next, logp, node, only id (-1: several) and cumulative probability of edges."""
-        if self.frozen is None:
-            first, count = (np.array(x, dtype=np.int64) for x in (self.first, self.count))
-            self.frozen = first, count, np.array(self.next, dtype=np.int64), np.array(self.logp), np.repeat(np.arange(len(first)), count), np.array(self.only, dtype=np.int64), np.array(self.cum)
-        return self.frozen
+        """first and count of nodes; next, logp, node, id (below 0: -1 - a code point that is its bytes) and cumulative probability of edges."""
+        return self.first.view(), self.count.view(), self.next.view(), self.logp.view(), self.node.view(), self.only.view(), self.cum.view()
+
+    def ids(self, edges: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece ids of paths that stand one after another, and how many each has."""
+        own = self.only.view()[edges]
+        wide = np.flatnonzero(own < 0)
+        if not len(wide):
+            return own.astype(np.int32), sizes
+        bytes_ = [chr(-1 - c).encode() for c in own[wide].tolist()]
+        times = np.ones(len(own), dtype=np.int64)
+        times[wide] = [len(b) for b in bytes_]
+        out = np.repeat(own, times)
+        out[out < 0] = [self.byte_ids[x] for b in bytes_ for x in b]
+        return out.astype(np.int32), np.diff(np.concatenate([[0], np.cumsum(times)])[np.concatenate([[0], np.cumsum(sizes)])])
+
+    def text_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of pieces, one after another, and how many each has."""
+        size = self.piece_size[ids]
+        return self.all_bytes[np.repeat(self.piece_start[ids] - np.cumsum(size) + size, size) + np.arange(size.sum())], size
 
 
 def walk(lat: Lattices, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,10 +282,17 @@ class Path:
         self.before = total - logp[edges] if len(edges) else total
 
 
-def sample_batch(lat: Lattices, texts: list[str], keys: list[int], k: int = K) -> list[tuple[list[Path], float]]:
-    """For each text its k sampled paths, best first, and kappa (minus infinity if there are no further paths)."""
-    words = [lat.words(t) for t in texts]
-    starts = [np.array(lat.nodes(w), dtype=np.int64) for w in words]
+def blank_first(column: pa.Array) -> pa.Array:
+    """Texts with a blank before those that aren't empty, as the model's own encoder puts one; its blank symbol in a text is a blank."""
+    texts = pc.replace_substring(pc.fill_null(column.cast(pa.large_string()), ""), BLANK, " ")
+    return pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())))
+
+
+def sample_batch(lat: Lattices, data: np.ndarray, offsets: np.ndarray, keys: list[int], k: int = K) -> list[tuple[list[Path], float]]:
+    """For each text (made by blank_first) its k sampled paths, best first, and kappa (minus infinity if there are no further paths)."""
+    begin, end, words = lat.words(data, offsets)
+    starts = np.split(lat.nodes(data, begin, end), np.cumsum(words)[:-1])
+    texts = range(len(words))
     first, count, nxt, logp, node_of, _, _ = lat.arrays()
     single = count[node_of] == 1
     own = np.array(keys, dtype=U)
@@ -305,13 +380,31 @@ def _leaves(edges, hashes, valid, sums, values, logp, single) -> tuple[np.ndarra
 def choose(first: np.ndarray, count: np.ndarray, logp: np.ndarray, node_of: np.ndarray, edge: int, taken: tuple[int, ...], key: int, number: int, step: int) -> tuple[int, float, float]:
     """Another edge of the node of `edge`, by probability among those not taken; the log probability then left (minus infinity: no edge is), and noise for it."""
     node = int(node_of[edge])
-    edges = np.arange(first[node], first[node] + count[node])
-    edges = edges[~np.isin(edges, taken)]
-    p = np.exp(logp[edges] - logp[edges].max())
-    h = mix(mix(np.array([key], dtype=U) ^ U(0x8EBC6AF09C88C6E3)) + U(number * 1_000_003 + len(taken)) * U(0x589965CC75374CC3) + U(step))
-    u, v = unit(h)[0], unit(mix(h ^ U(0xA0761D6478BD642F)))[0]
-    k = min(int(np.searchsorted(np.cumsum(p), u * p.sum())), len(edges) - 1)
-    return int(edges[k]), float(np.logaddexp.reduce(np.delete(logp[edges], k))) if len(edges) > 1 else -np.inf, float(v)
+    start = int(first[node])
+    edges = [e for e in range(start, start + int(count[node])) if e not in taken]
+    own = logp[edges].tolist()
+    top = max(own)
+    p = [exp(x - top) for x in own]
+    h = _mix(_mix(key ^ 0x8EBC6AF09C88C6E3) + (number * 1_000_003 + len(taken)) * 0x589965CC75374CC3 + step)
+    u, v = (((x >> 12) + 0.5) * 2.0**-52 for x in (h, _mix(h ^ 0xA0761D6478BD642F)))
+    u, k = u * sum(p), 0
+    while k < len(p) - 1 and u > p[k]:
+        u -= p[k]
+        k += 1
+    rest = sum(p[:k]) + sum(p[k + 1 :])
+    if rest > 0:
+        left = top + log(rest)
+    else:  # all that is left is too unlikely beside the edge taken to show in the sum
+        left = float(np.logaddexp.reduce(np.delete(own, k))) if len(own) > 1 else -np.inf
+    return edges[k], left, v
+
+
+def _mix(x: int) -> int:
+    """mix() of one number."""
+    x &= 2**64 - 1
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & (2**64 - 1)
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & (2**64 - 1)
+    return x ^ (x >> 31)
 
 
 def log_inclusion(logp: float, kappa: float) -> float:
@@ -333,47 +426,49 @@ _LATTICES: dict[tuple[str, float], Lattices] = {}
 def lattices(path: str, theta: float) -> Lattices:
     if (path, theta) not in _LATTICES:
         _LATTICES[path, theta] = Lattices(path, theta)
-    if len(_LATTICES[path, theta].next) > CACHE_EDGES:
+    if _LATTICES[path, theta].next.size > CACHE_EDGES:
         _LATTICES[path, theta].clear()
     return _LATTICES[path, theta]
 
 
-def path_ids(lat: Lattices, path: Path) -> list[int]:
-    ids = lat.arrays()[5][path.edges]
-    if (ids >= 0).all():
-        return ids.tolist()
-    return [i for e, k in zip(path.edges.tolist(), ids.tolist(), strict=True) for i in (lat.several[e] if k < 0 else (k,))]
-
-
-def sampled_encodings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, k: int = K, theta: float = 1.0, with_ids: bool = True) -> DataFrame:
+def encode_batch(lat: Lattices, column: pa.Array, keys: list[int], k: int = K) -> dict[str, np.ndarray]:
+    """Samples of all texts of a column: text (its number), sample, n_pieces, ids (of all, one after another), and their figures."""
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    (data, offsets), (plain, at) = text_bytes(blank_first(texts)), text_bytes(texts)
+    found = sample_batch(lat, data, offsets, keys, k)
+    paths = [p for own, _ in found for p in own]
+    text = np.repeat(np.arange(len(found)), [len(own) for own, _ in found])
+    ids, sizes = lat.ids(np.concatenate([np.zeros(0, dtype=np.int64), *(p.edges for p in paths)]), np.array([len(p.edges) for p in paths], dtype=np.int64))
+    stops = np.cumsum(sizes)
+    whole, width = lat.text_of(ids)
+    ends = np.concatenate([[0], np.cumsum(width)])[stops]
+    packed, trip, crc, a, b = memoryview(ids.view(np.uint8)), np.zeros(len(paths), dtype=bool), np.zeros(len(paths), dtype=np.int64), 0, 0
+    for j, (t, stop, end) in enumerate(zip(text.tolist(), stops.tolist(), ends.tolist(), strict=True)):
+        crc[j] = zlib.crc32(packed[4 * a : 4 * stop])
+        blank = 1 if at[t + 1] > at[t] else 0
+        trip[j] = end - b == at[t + 1] - at[t] + blank and np.array_equal(whole[b + blank : end], plain[at[t] : at[t + 1]])
+        a, b = stop, end
+    logp, kappa = np.array([p.logp for p in paths]), np.repeat([x for _, x in found], [len(own) for own, _ in found])
+    sample = np.concatenate([np.zeros(0, dtype=np.int64), *(np.arange(len(own)) for own, _ in found)])
+    return {"text": text, "sample": sample, "ids": ids, "n_pieces": sizes, "ids_crc32": crc, "log_prob": logp, "perturbed": np.array([p.value for p in paths]), "log_inclusion": np.array([log_inclusion(x, y) for x, y in zip(logp.tolist(), kappa.tolist(), strict=True)]), "round_trip": trip}
+
+
+def sampled_encodings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, k: int = K, theta: float = 1.0) -> DataFrame:
     """doc_id, sample, ids, n_pieces, ids_crc32, log_prob, perturbed, log_inclusion, round_trip: k rows for a row of df, or as many as it has segmentations."""
     path = path or tokenizer_path("piece_bpe_32k.model")
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        docs, texts, keys = b.column(0), [t or "" for t in b.column(1).to_pylist()], [x & (2**64 - 1) for x in b.column(2).to_pylist()]
-        at, out = [], [[] for _ in range(8)]
-        for lo, hi in by_bytes([t.encode() for t in texts], 2 << 20):
-            lat = lattices(path, theta)
-            for d, (found, kappa) in enumerate(sample_batch(lat, texts[lo:hi], keys[lo:hi], k), lo):
-                for s, p in enumerate(found):
-                    ids = path_ids(lat, p)
-                    at.append(d)
-                    packed = np.array(ids, dtype="<u4")
-                    row = (s, packed.view("<i4") if with_ids else None, len(ids), zlib.crc32(packed.tobytes()), p.logp, p.value, log_inclusion(p.logp, kappa), decode(ids, lat.piece_bytes) == texts[d])
-                    for o, v in zip(out, row, strict=True):
-                        o.append(v)
-        types = (pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-        names = ("sample", "ids", "n_pieces", "ids_crc32", "log_prob", "perturbed", "log_inclusion", "round_trip")
-        cols = {n: pa.array(o, t) for n, o, t in zip(names, out, types, strict=True) if n != "ids"}
-        if with_ids:
-            ends = np.cumsum([0, *out[2]], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, dtype=np.int32), *out[1]]))
-            cols = {n: lists if n == "ids" else cols[n] for n in names}
-        return pa.RecordBatch.from_arrays([docs.take(pa.array(at, pa.int64())), *cols.values()], names=["doc_id", *cols])
-
-    schema = f"doc_id {kind}, sample int, {'ids array<int>, ' if with_ids else ''}n_pieces long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
-    return map_arrow(df.select(F.col(id_col), F.col(text_col).cast("string"), F.xxhash64(F.col(id_col).cast("string"))), run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [x & (2**64 - 1) for x in b.column(2).to_pylist()]
+            for lo, hi in row_groups(text_bytes(b.column(1))[1], GROUP_BYTES):
+                got = encode_batch(lattices(path, theta), b.column(1).slice(lo, hi - lo), keys[lo:hi], k)
+                ends = np.concatenate([[0], np.cumsum(got["n_pieces"])])
+                columns = [b.column(0).take(pa.array(got["text"] + lo)), pa.array(got["sample"], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got["ids"])), *(pa.array(got[n]) for n in FIGURES)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sample", "ids", *FIGURES])
+
+    schema = f"doc_id {kind}, sample int, ids array<int>, n_pieces long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
+    return in_arrow(df.select(F.col(id_col), F.col(text_col).cast("string"), F.xxhash64(F.col(id_col).cast("string"))), run, schema)
 
 
 def decoded(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:

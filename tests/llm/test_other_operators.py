@@ -1,16 +1,56 @@
 import re
+import unicodedata
+from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 
+from lattica.llm.words import text_bytes
 from lattica.llm import ann, html_extraction, language_id, sentencepiece_sampling, sharding
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def sampled(lat, texts, keys, k):
+    return sentencepiece_sampling.sample_batch(lat, *text_bytes(sentencepiece_sampling.blank_first(pa.array(texts))), keys, k)
+
+
+def test_samples_are_those_of_the_enumerated_lattice():
+    """All segmentations of short texts, found by plain recursion over the model's pieces, with their probabilities."""
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    n, theta = model.get_piece_size(), 0.5
+    pieces = {model.id_to_piece(i): i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+    byte = {i: model.piece_to_id(f"<0x{i:02X}>") for i in range(256)}
+    weigh = lambda i: -theta * np.log(3 + min(-model.get_score(i), n))
+
+    def ways(word):
+        if not word:
+            yield (), 0.0
+        for k in range(1, len(word) + 1):
+            if word[:k] in pieces:
+                for ids, w in ways(word[k:]):
+                    yield (pieces[word[:k]], *ids), w + weigh(pieces[word[:k]])
+        if word and word[0] not in pieces:
+            own = word[0].encode()
+            for ids, w in ways(word[1:]):
+                yield (*(byte[x] for x in own), *ids), w - theta * np.log(3 + n) * len(own)
+
+    for text in ("at", "so on", "é\n\U0001F980a", "the cat", "  x"):
+        lat = sentencepiece_sampling.Lattices(PIECES, theta)
+        plain = dict(ways("▁" + text.replace(" ", "▁")))
+        total = np.logaddexp.reduce(list(plain.values()))
+        got = sentencepiece_sampling.encode_batch(lat, pa.array([text]), [3], len(plain) + 5)
+        ends = np.cumsum(got["n_pieces"])
+        rows = {tuple(got["ids"][e - m : e].tolist()): f for e, m, f in zip(ends, got["n_pieces"], got["log_prob"], strict=True)}
+        assert set(rows) == set(plain) and len(rows) == len(ends)
+        assert all(abs(rows[x] - (plain[x] - total)) < 1e-9 for x in plain)
+        assert got["round_trip"].all() and (got["log_inclusion"] == 0).all()
+
+
 def test_samples_are_distinct_and_decode(docs, odd):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for d in (docs.limit(40), odd):
@@ -36,7 +76,7 @@ def test_samples_follow_the_lattice():
     """First and second draws have the probabilities of sampling without replacement; weights undo inclusion."""
     lat = sentencepiece_sampling.Lattices(PIECES, theta=0.3)
     keys = np.random.default_rng(0).integers(0, 2**63, 6000).tolist()
-    got = sentencepiece_sampling.sample_batch(lat, ["at the"] * len(keys), keys, 2)
+    got = sampled(lat, ["at the"] * len(keys), keys, 2)
     p = {tuple(q.edges): np.exp(q.logp) for paths, _ in got for q in paths}
     best = sorted(p, key=lambda k: -p[k])[:3]
     first = [tuple(paths[0].edges) for paths, _ in got]
@@ -52,7 +92,7 @@ def test_samples_follow_the_lattice():
 
 def test_all_segmentations_of_a_short_text():
     lat = sentencepiece_sampling.Lattices(PIECES)
-    (paths, kappa), (none, _) = sentencepiece_sampling.sample_batch(lat, ["x", ""], [1, 2], 50)
+    (paths, kappa), (none, _) = sampled(lat, ["x", ""], [1, 2], 50)
     assert kappa == -np.inf
     assert abs(sum(np.exp(p.logp) for p in paths) - 1) < 1e-6
     assert len(none) == 1 and none[0].logp == 0
@@ -64,13 +104,80 @@ def test_query_returns_the_segmentations(spark):
 
 
 def test_unlikely_segmentations_are_found():
-    flat, steep = (sentencepiece_sampling.sample_batch(sentencepiece_sampling.Lattices(PIECES, theta), ["hello"] * 20, list(range(20)), 200) for theta in (0.1, 8.0))
+    flat, steep = (sampled(sentencepiece_sampling.Lattices(PIECES, theta), ["hello"] * 20, list(range(20)), 200) for theta in (0.1, 8.0))
     assert len({len(paths) for paths, _ in flat}) == 1
     for (a, _), (b, kappa) in zip(flat, steep, strict=True):
         assert len({tuple(p.edges) for p in b}) == len(b) == len(a) < 200
         assert kappa == -np.inf
 
 
+def plain_site(pages, layout=0):
+    """Pages without article or telling names: a menu, a title, a byline, paragraphs, a notice and a footer, some with a varying word."""
+    rng, out = np.random.default_rng(layout), []
+    for k in range(pages):
+        title = " ".join(f"t{x}" for x in rng.integers(0, 10**6, 5))
+        body = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, rng.integers(30, 60))) for _ in range(rng.integers(2, 6))]
+        paragraphs = "".join(f"<p>{b}</p>" for b in body)
+        around = [f"<div><a href=/>Home</a> <a href=/n>News</a></div>", f"<div><h2>{title}</h2><div>Posted by author{k} in our section</div><div>{paragraphs}</div></div>", f"<div>We use cookies on page {k} of this site</div>", f"<div>Copyright by us all rights page {k}</div>"]
+        if layout:
+            around = [f"<table><tr><td>{around[0]}</td><td>{around[2]}</td></tr></table>", f"<section>{around[1]}</section>", around[3]]
+        out.append((f"<html><body>{''.join(around)}</body></html>", "\n".join([title, *body])))
+    return out
+
+
+def test_template_decides_where_roles_do_not(spark):
+    site = plain_site(40) + plain_site(25, layout=1)  # two layouts on one host
+    small = plain_site(4)
+    rows = [(k, f"http://big.example/{k}", h) for k, (h, _) in enumerate(site)] + [(100 + k, f"http://small.example/{k}", h) for k, (h, _) in enumerate(small)]
+    want = dict(enumerate(t for _, t in site)) | {100 + k: t for k, (_, t) in enumerate(small)}
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    assert {r.page_id: r.text for r in html_extraction.extract_pages(d).collect()} == want
+    for h, t in site[:3] + site[-3:]:
+        bare = html_extraction.extract(h, {})
+        assert bare != t and "Copyright" in bare and "cookies" in bare
+
+
+def test_classes_equal_plain_deduction(spark):
+    """Occurrence vectors gathered and compared outright."""
+    site = [h for h, _ in plain_site(30) + plain_site(12, layout=1)]
+    vectors = {}
+    for k, h in enumerate(site):
+        for ts in html_extraction.page_tokens(list(html_extraction.nodes(h))):
+            for t in ts:
+                vectors.setdefault(t, [0] * len(site))[k] += 1
+    plain = {}
+    for t, v in vectors.items():
+        if sum(x > 0 for x in v) >= max(3, 0.1 * len(site)):
+            plain.setdefault(tuple(v), set()).add(t)
+    want = sorted(sorted(c) for v, c in plain.items() if len(c) > 1 and (any(t % 2 == 0 for t in c) or sum(x > 0 for x in v) >= 0.8 * len(site)))
+    d = spark.createDataFrame([(k, "http://a.example/", h) for k, h in enumerate(site)], "key long, url string, html string")
+    got = {}
+    for r in html_extraction.template_classes(d).collect():
+        got.setdefault(getattr(r, "class"), []).append(r.token)
+    assert sorted(sorted(c) for c in got.values()) == want and len(want) > 3
+
+
+def test_classes_nest():
+    outer, inner = [(1, 10), (1, 11), (1, 12)], [(2, 20), (2, 21)]
+    tree = html_extraction.Slots([outer[0], *inner, *inner, outer[1], outer[2]])
+    assert set(tree.good) == {1, 2}
+    assert [tree.rule[s] for s in tree.after] == [(1, 1), (2, 1), (1, 1), (2, 1), (1, 1), (1, 2), (0, 0)]
+    assert tree.within(tree.after[1], tree.after[0]) and not tree.within(tree.after[5], tree.after[0])
+    crossing = html_extraction.Slots([outer[0], inner[0], outer[1], inner[1], outer[2]])
+    assert set(crossing.good) == {1}
+    assert not html_extraction.Slots([(1, 10), (1, 11), (1, 11), (1, 10)]).good
+
+
+def test_roles_of_inline_and_hidden_elements():
+    page = '<article><p>Main <a class="share">Share this</a> text <span class="ad">Buy</span></p><p style="display:none">no</p><div hidden>no</div><p aria-hidden="true">no</p><div class="search-engine-history">Main body</div><div class="comment-list">no</div><div id="ad-slot-3">no</div><p>end</p></article>'
+    assert html_extraction.extract(page, {}) == "Main text\nMain body\nend"
+
+
+def test_long_broken_pages_take_linear_time():
+    page = "<div>" * 20_000 + "x" + "</p></section>" * 20_000 + "</div>" * 20_000 + "word " * 200_000
+    assert html_extraction.extract(page, {}).startswith("x\nword word")
+
+
 def article(page):
     inside = re.search(r"<article>(.*?)(?:</article>|$)", page, re.S)[1]
     import html
@@ -163,8 +270,9 @@ def test_shards_equal_sql(spark, docs, monkeypatch):
     c.execute("create view documents as from '/root/testdata/sf0.001/documents.parquet'")
     k = ["doc_id", "n_bytes", "depth", "prefix", "page", "shard_bytes"]
     want = c.execute(sharding.ORACLE.replace(str(sharding.LIMIT_BYTES), "30000")).df()[k].sort_values(k).reset_index(drop=True)
-    got = sharding.extendible_shards(docs, limit=30_000).toPandas()[k].sort_values(k).reset_index(drop=True)
-    assert got.equals(want)
+    for rows in (sharding.BROADCAST_ROWS, 0):
+        got = sharding.extendible_shards(docs, limit=30_000, broadcast_rows=rows).toPandas()[k].sort_values(k).reset_index(drop=True)
+        assert got.equals(want)
 
 
 def test_shards_are_written(spark, docs, tmp_path):
@@ -186,10 +294,49 @@ def test_languages_held_out(spark, odd):
 
 
 def test_backoff_goes_from_words_to_characters():
-    from collections import Counter
-
     m = language_id.WordBackoff.fit({"a": Counter({"abc": 5, "abd": 5}), "b": Counter({"xyz": 5, "xyw": 5})})
-    assert m.predict("abc")[0] == "a"
-    assert m.predict("abq")[0] == "a"  # unseen: by its n-grams
-    assert m.predict("qqx")[0] == "b"  # by a single character
-    assert m.predict("123 ...") == ("und", 0.0)
+    texts = ["abc", "abq", "qqx", "123 ...", None, "²", "½ ⅓ Ⅷ ①", "x²", "日本"]  # abq by its n-grams, qqx by a character
+    assert m.predict(pa.array(texts))[0] == ["a", "a", "b", "und", "und", "und", "und", "b", "a"]
+
+
+def test_scores_equal_plain_rescoring(spark):
+    """Counts, backoff and sums said plainly, over texts of all lengths; long texts are learned from too."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.text, r.lang) for r in docs.collect() if r.text and r.lang]
+    long = ("zaubern " * 30_000, "de")
+    d = spark.createDataFrame([*rows[:60], long], "text string, lang string")
+    counts = {}
+    for t, x in set(d.toPandas().itertuples(index=False, name=None)):
+        counts.setdefault(x, Counter()).update("".join(c if unicodedata.category(c)[0] == "L" else " " for c in t.lower()).split())
+    assert counts["de"]["zaubern"] >= 30_000
+    langs = sorted(counts)
+    pieces = [{x: Counter() for x in langs} for _ in range(6)]
+    for x in langs:
+        pieces[0][x] = counts[x]
+        for w, n in counts[x].items():
+            for k in range(1, 6):
+                for i in range(len(w) + 3 - k):
+                    pieces[k][x][f"^{w}$"[i : i + k]] += n
+    known = [set().union(*p.values()) for p in pieces]
+    total = [{x: sum(p[x].values()) + 0.5 * len(known[k]) for x in langs} for k, p in enumerate(pieces)]
+
+    def log(k, item):
+        return np.array([np.log((pieces[k][x][item] + 0.5) / total[k][x]) for x in langs])
+
+    def word(w):
+        if w in known[0]:
+            return log(0, w)
+        s, i, out = f"^{w}$", 0, np.zeros(len(langs))
+        while i < len(s):
+            k = next((k for k in range(5, 0, -1) if i + k <= len(s) and s[i : i + k] in known[k]), 0)
+            out = out + log(k, s[i : i + k]) if k else out
+            i += max(k, 1)
+        return out
+
+    model = language_id.learn(d)
+    texts = [t for t, _ in rows[60:160]] + ["Ünïcode ’quotes’ ½ naïve×naïve", "", "日本語 zaubern", "Ⅷ"]
+    sums, n = model.sums(pa.array(texts))
+    for t, got, m in zip(texts, sums, n, strict=True):
+        words = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in t.lower()).split()
+        assert m == len(words)
+        assert np.allclose(got, sum((word(w) for w in words), np.zeros(len(langs))))
