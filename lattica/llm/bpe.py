@@ -47,7 +47,7 @@ def lower_letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class WordEncoder:
     """Ids of words in flat arrays. The store is emptied once it has over `entries` words or `opaque_bytes` of words kept by their bytes."""
 
-    def __init__(self, path: str, entries: int = 1_000_000, opaque_bytes: int = 4 << 20) -> None:
+    def __init__(self, path: str, entries: int = 500_000, opaque_bytes: int = 4 << 20) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, table
+from .common import Scratch, in_arrow, table
 from .words import SPLIT, U, hash_ranges, lowered, mix, row_groups, word_bounds
 
 SHINGLE = 5
@@ -210,7 +210,7 @@ def signed(df: DataFrame, bands: int, rows: int, shingle: int, weighted: bool, s
                 columns = [b.column(0).slice(lo, hi - lo), pa.array(node, mask=sizes == 0), pa.array(sizes, pa.int32(), mask=~new), _lists(low_bits(found), row_of), _lists(band_hashes(found, bands, rows), row_of)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "size", "planes", "bands"])
 
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, node long, size int, planes array<long>, bands array<long>")
+    return in_arrow(df, run, f"id {df.schema['id'].dataType.simpleString()}, node long, size int, planes array<long>, bands array<long>")
 
 
 def sets_of(df: DataFrame, needed: DataFrame, shingle: int, weighted: bool, broadcast_rows: int) -> DataFrame:
@@ -235,7 +235,7 @@ def sets_of(df: DataFrame, needed: DataFrame, shingle: int, weighted: bool, broa
 
     ids = needed.select(F.col("id").alias("_id")).distinct()
     ids = F.broadcast(ids) if needed.count() <= broadcast_rows else ids
-    made = df.join(ids, df["id"].eqNullSafe(ids["_id"]), "left_semi").select("text").mapInArrow(run, "node long, set array<long>")
+    made = in_arrow(df.join(ids, df["id"].eqNullSafe(ids["_id"]), "left_semi").select("text"), run, "node long, set array<long>")
     return made.join(needed.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, hash_sample, map_arrow, table, utf8
+from .common import cut, hash_sample, in_arrow, map_arrow, table, utf8
 
 TEXT_DIM = 1024
 SOURCE_DIM = 64
@@ -195,7 +195,7 @@ class Pool:
             rows = [(v, label, h, q) for (v, label), kept in best.items() for h, q in sorted(kept.items(), key=lambda x: (-x[1], x[0]))[: most[v, label]]]
             yield pa.RecordBatch.from_pylist([dict(zip(("view", "label", "h", "q"), r, strict=True)) for r in rows], schema=pa.schema([("view", pa.string()), ("label", pa.int32()), ("h", pa.int64()), ("q", pa.float64())]))
 
-        found = self.df.select("h", *INPUTS).mapInArrow(run, "view string, label int, h long, q double").groupBy("view", "label", "h").agg(F.max("q").alias("q"))
+        found = in_arrow(self.df.select("h", *INPUTS), run, "view string, label int, h long, q double").groupBy("view", "label", "h").agg(F.max("q").alias("q"))
         limit = F.element_at(F.create_map(*(F.lit(x) for (v, k), n in most.items() for x in (f"{v}{k}", n))), F.concat("view", "label"))
         place = F.row_number().over(W.partitionBy("view", "label").orderBy(F.col("q").desc(), "h"))
         return [(r["view"], r["label"], r["h"]) for r in found.withColumn("place", place).where(F.col("place") <= limit).select("view", "label", "h").collect()]
