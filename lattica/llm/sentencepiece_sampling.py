@@ -35,7 +35,7 @@ from .words import HashTable, U, hash_ranges, mix, row_groups, text_bytes
 
 K = 3
 BLANK = "▁"
-CACHE_EDGES = 1_500_000
+CACHE_EDGES = 3_500_000
 FIRST_STEPS = 400
 GROUP_BYTES = 1 << 20
 PREFIX = 1 << 40  # what is no piece but starts one
@@ -57,7 +57,7 @@ class Flat:
     def extend(self, values: np.ndarray) -> None:
         end = self.size + len(values)
         if end > len(self.room):
-            wider = np.zeros(max(end, 2 * len(self.room)), dtype=self.room.dtype)
+            wider = np.zeros(max(end, len(self.room) * 5 // 4), dtype=self.room.dtype)
             wider[: self.size] = self.room[: self.size]
             self.room = wider
         self.room[self.size : end] = values
