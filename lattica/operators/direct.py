@@ -61,7 +61,7 @@ class Options:
     u: float = 0.01
     small: float = 1e-20
     action: bool = True  # go on when the matrix is singular
-    task_flops: int = 4_000_000
+    task_flops: int = 32_000_000
 
 
 @dataclass(frozen=True)
@@ -369,51 +369,71 @@ def _sweep(spark, factors: Factors, y: np.ndarray, level: int | None, way: str)
 
 
 def enquire_positive(factors: Factors) -> np.ndarray:
-    """The diagonal of L, in elimination order."""
+    """The diagonal of L, in elimination order. Only the diagonal comes to the driver."""
     if not factors.positive:
         raise SolverError(SolverFlag.NOT_LLT)
-    return np.concatenate([np.diag(l[:k]) for _, k, l, _ in _ordered(factors)] or [np.zeros(0)])
+    return _pivots(factors).d.to_numpy()
 
 
 def enquire_indefinite(factors: Factors) -> tuple[np.ndarray, np.ndarray]:
     """The (1-based) variables in pivot order, negative in 2 x 2 pivots, and D^-1 as 2 x n: diagonal, and what is below it."""
     if factors.positive:
         raise SolverError(SolverFlag.NOT_LDLT)
-    order, d = [], []
-    for rows, k, _, dk in _ordered(factors):
-        for q in range(k):
-            two = dk[q][2] != 1
-            variable = factors.analysis.plan.order[rows[q]] + 1
-            order.append(-variable if two else variable)
-            d.append((dk[q][0], dk[q][1]))
-    return np.array(order, dtype=np.int64), np.array(d).reshape(-1, 2).T
+    got = _pivots(factors)
+    variable = np.array(factors.analysis.plan.order, dtype=np.int64)[got.p.to_numpy()] + 1
+    return np.where(got.two, -variable, variable), got[["d", "e"]].to_numpy().T
 
 
-def _ordered(factors: Factors) -> list:
-    got = sorted(factors.fronts.select("task", "payload").collect(), key=lambda r: r["task"])
-    return [f for r in got for f in pickle.loads(r["payload"])]
+def _pivots(factors: Factors) -> pd.DataFrame:
+    """task, at (place within the task), p (position), two, d, e of every pivot, in order, taken out of the fronts where they are."""
+    positive = factors.positive
+
+    def run(batches):
+        for pdf in batches:
+            for task, payload in zip(pdf.task, pdf.payload, strict=True):
+                rows, at = [], 0
+                for names, k, l, d in pickle.loads(payload):  # noqa: E741
+                    for q in range(k):
+                        rows.append((task, at, int(names[q]), False, float(l[q, q]), 0.0) if positive else (task, at, int(names[q]), bool(d[q][2] != 1), float(d[q][0]), float(d[q][1])))
+                        at += 1
+                yield pd.DataFrame(rows, columns=["task", "at", "p", "two", "d", "e"])
+
+    got = factors.fronts.select("task", "payload").mapInPandas(run, "task long, at long, p long, two boolean, d double, e double").toPandas()
+    return got.sort_values(["task", "at"])
 
 
 def alter(factors: Factors, d: np.ndarray) -> Factors:
-    """The same pivots with other D^-1, as enquire_indefinite gives it."""
+    """The same pivots with other D^-1, as enquire_indefinite gives it. The fronts stay on the executors."""
     if factors.positive:
         raise SolverError(SolverFlag.NOT_LDLT)
-    at, made = 0, []
-    for r in sorted(factors.fronts.collect(), key=lambda r: r["task"]):
-        fronts = []
-        for rows, k, l, dk in pickle.loads(r["payload"]):  # noqa: E741
-            fronts.append((rows, k, l, [(float(d[0, at + q]), float(d[1, at + q]), dk[q][2]) for q in range(k)]))
-            at += k
-        made.append((r["level"], r["task"], pickle.dumps(fronts)))
-    return replace(factors, fronts=factors.fronts.sparkSession.createDataFrame(made, "level int, task long, payload binary"))
+    sizes = _pivots(factors).groupby("task").size()
+    starts = dict(zip(sizes.index.tolist(), (sizes.cumsum() - sizes).tolist(), strict=True))
+    shared = factors.fronts.sparkSession.sparkContext.broadcast((starts, np.asarray(d, dtype=float)))
+
+    def run(batches):
+        starts, new = shared.value
+        for pdf in batches:
+            payloads = []
+            for task, payload in zip(pdf.task, pdf.payload, strict=True):
+                at, fronts = starts.get(task, 0), []
+                for rows, k, l, old in pickle.loads(payload):  # noqa: E741
+                    fronts.append((rows, k, l, [(float(new[0, at + q]), float(new[1, at + q]), old[q][2]) for q in range(k)]))
+                    at += k
+                payloads.append(pickle.dumps(fronts))
+            yield pdf.assign(payload=payloads)
+
+    return replace(factors, fronts=cut(factors.fronts.select("level", "task", "payload").mapInPandas(run, "level int, task long, payload binary")))
 
 
 def backward_error(matrix: SparseMatrix, x: np.ndarray, b: np.ndarray) -> float:
-    """Largest scaled residual over the right-hand sides, on the driver."""
-    e = matrix.full().toPandas()
+    """Largest scaled residual over the right-hand sides. Vectors are on the driver, the matrix is summed where it is."""
     x, b = np.asarray(x, dtype=float).reshape(matrix.n, -1), np.asarray(b, dtype=float).reshape(matrix.n, -1)
+    width = x.shape[1]
+    columns = ", ".join(["j long", *(f"x{k} double" for k in range(width))])
+    block = matrix.spark.createDataFrame(pd.DataFrame({"j": np.arange(1, matrix.n + 1)} | {f"x{k}": x[:, k] for k in range(width)}), columns)
+    sums = matrix.full().join(block, "j").groupBy("i").agg(F.sum(F.abs("v")).alias("size"), *(F.sum(F.col("v") * F.col(f"x{k}")).alias(f"y{k}") for k in range(width))).toPandas()
     r = b.copy()
-    np.subtract.at(r, e.i.to_numpy() - 1, e.v.to_numpy()[:, None] * x[e.j.to_numpy() - 1])
-    norm = np.bincount(e.i.to_numpy() - 1, np.abs(e.v.to_numpy()), minlength=matrix.n).max() if len(e) else 0.0
+    r[sums.i.to_numpy() - 1] -= sums[[f"y{k}" for k in range(width)]].to_numpy()
+    norm = float(sums["size"].max()) if len(sums) else 0.0
     scale = norm * np.abs(x).max(axis=0) + np.abs(b).max(axis=0)
     return float((np.abs(r).max(axis=0) / np.where(scale > 0, scale, 1)).max())

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +64,32 @@ def row_norms(entries: DataFrame) -> DataFrame:
     return entries.groupBy("i").agg(F.max(F.abs("v")).alias("max_abs"), F.sum(F.abs("v")).alias("sum_abs"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm2"))
 
 
-def gram(entries: DataFrame, columns: int, broadcast_columns: int = 2000) -> DataFrame:
-    """(i, j, v) of A'A, lower triangle: entries of a row meet each other. Wide rows are costly, as their squares are output."""
+def gram(entries: DataFrame, columns: int, dense_columns: int = 512) -> DataFrame:
+    """(i, j, v) of A'A, lower triangle.
+
+    Of a matrix of few columns each task adds up the products of its own rows, and hands on one small matrix. Otherwise
+    entries of a row meet each other, which costs the squares of the rows' lengths.
+    """
+    if columns <= dense_columns:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, met = np.zeros((columns, columns)), np.zeros((columns, columns), dtype=bool)
+            for b in batches:
+                sizes = b.row.map(len).to_numpy()
+                if not len(sizes):
+                    continue
+                at = np.repeat(np.arange(len(b)), sizes)
+                j = np.array([x["j"] for row in b.row for x in row], dtype=np.int64) - 1
+                rows, held = np.zeros((len(b), columns)), np.zeros((len(b), columns))
+                np.add.at(rows, (at, j), [x["v"] for row in b.row for x in row])
+                held[at, j] = 1
+                total += rows.T @ rows
+                met |= held.T @ held > 0
+            i, j = np.nonzero(np.tril(met))
+            yield pd.DataFrame({"i": i + 1, "j": j + 1, "v": total[i, j]})
+
+        by_row = entries.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("row"))  # at most one item per column
+        return by_row.select("row").mapInPandas(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
     right = entries.select("i", F.col("j").alias("k"), F.col("v").alias("w"))
     return entries.join(right, "i").where("j >= k").groupBy(F.col("j").alias("i"), F.col("k").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 

@@ -334,6 +334,29 @@ def solve_by_jobs(spark, sf_dir):
     return x.select("i", tidy("x").alias("x"))
 
 
+def customer_grid(spark, sf_dir, diagonal: float) -> SparseMatrix:
+    """Five-point stencil on the largest square grid of customers: -1 to neighbours, `diagonal` plus a tenth of the customer's nation."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), "c_nationkey")
+    side = int(c.count() ** 0.5)
+    c = c.where(F.col("k") < side * side)
+    entry = lambda d, keep: c.where(keep).select((F.col("k") + 1).alias("i"), (F.col("k") + 1 - d).alias("j"), F.lit(-1.0).alias("v"))
+    own = c.select((F.col("k") + 1).alias("i"), (F.col("k") + 1).alias("j"), (F.lit(diagonal) + F.col("c_nationkey") / 10).alias("v"))
+    e = own.unionByName(entry(1, F.col("k") % side > 0)).unionByName(entry(side, F.col("k") >= side))
+    return SparseMatrix(cut(e), side * side, side * side, MatrixType.REAL_SYM_INDEF)
+
+
+GRID_KNOWN = "SELECT (c_custkey + 1)::BIGINT AS i, ((c_custkey + 1) % 7)::DOUBLE AS x FROM customer WHERE c_custkey < pow(floor(sqrt((SELECT count(*) FROM customer))), 2)"
+
+
+@query("solve_grid", GRID_KNOWN)
+def solve_grid(spark, sf_dir):
+    """An indefinite grid, factored in several tasks over several levels; the solve is cut at D."""
+    a = customer_grid(spark, sf_dir, 0.5)
+    f = direct.factor(direct.analyse(a, direct.Options(task_flops=60_000, scaling=4)))
+    x = direct.solve(f, direct.solve(f, vectors.multiply(a, known(spark, a)), 1), 4)
+    return x.select("i", tidy("x", 5).alias("x"))
+
+
 @query("inertia", "SELECT (count(*) FILTER (c_nationkey < 12))::BIGINT AS negative, 0::BIGINT AS zero, (count(*) FILTER (c_nationkey >= 12))::BIGINT AS positive FROM customer")
 def inertia(spark, sf_dir):
     """Of the diagonal of nation - 11.5, which has no coupling."""
@@ -377,3 +400,29 @@ def eigs_shift_invert(spark, sf_dir):
 @query("eigs_leftmost", _closed(6, "true", "", 2))
 def eigs_leftmost(spark, sf_dir):
     return _values(spark, eigs.standard(grid(spark, 6), 2, options=eigs.Options(rel_tol_residual=2e-5)).values)
+
+
+@query("eigs_generalized", _closed(6, "true", "", 2, "v / (v + 1)"))
+def eigs_generalized(spark, sf_dir):
+    """A x = lambda (A + I) x."""
+    a = grid(spark, 6)
+    b = a.with_entries(cut(a.entries.withColumn("v", F.col("v") + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0))))
+    return _values(spark, eigs.generalized(a, b, 2, options=eigs.Options(rel_tol_residual=1e-6)).values)
+
+
+NEAR_HALF = "WITH w AS (SELECT 2 - cos(a * pi() / 7) - cos(b * pi() / 7) AS v FROM range(1, 7) x(a), range(1, 7) y(b)) SELECT max(v) AS v FROM w WHERE v < 0.5 UNION ALL SELECT min(v) FROM w WHERE v > 0.5"
+
+
+@query("eigs_buckling", f"SELECT row_number() OVER (ORDER BY v)::BIGINT AS k, round(v, 6) AS value FROM ({NEAR_HALF})")
+def eigs_buckling(spark, sf_dir):
+    """A x = lambda 2 I x, the values on both sides of 0.5."""
+    a = grid(spark, 6)
+    b = a.with_entries(cut(spark.range(1, a.n + 1).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(2.0).alias("v"))))
+    return _values(spark, eigs.buckling(a, b, 0.5, 1, 1, options=eigs.Options(rel_tol_residual=1e-6)).values)
+
+
+@query("eigs_hermitian", "SELECT k, round(2 * cos((21 - k) * pi() / 21), 6) AS value FROM range(1, 3) x(k)")
+def eigs_hermitian(spark, sf_dir):
+    """An open chain of 20 with i below the diagonal and -i above."""
+    e = spark.range(1, 20).select((F.col("id") + 1).alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("re"), F.lit(1.0).alias("im"))
+    return _values(spark, eigs.hermitian(e, 20, 2, eigs.Options(rel_tol_residual=1e-5)).values)
