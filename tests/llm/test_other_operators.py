@@ -152,7 +152,9 @@ def test_classes_equal_plain_deduction(spark):
     want = sorted(sorted(c) for v, c in plain.items() if len(c) > 1 and (any(t % 2 == 0 for t in c) or sum(x > 0 for x in v) >= 0.8 * len(site)))
     d = spark.createDataFrame([(k, "http://a.example/", h) for k, h in enumerate(site)], "key long, url string, html string")
     got = {}
-    for r in html_extraction.template_classes(d).collect():
+    both = [html_extraction.template_classes(d, broadcast_rows=n).collect() for n in (html_extraction.BROADCAST_HOSTS, 0)]
+    assert sorted(both[0]) == sorted(both[1])
+    for r in both[0]:
         got.setdefault(getattr(r, "class"), []).append(r.token)
     assert sorted(sorted(c) for c in got.values()) == want and len(want) > 3
 
