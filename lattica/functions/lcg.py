@@ -86,3 +86,10 @@ def stream(spark: SparkSession, n: int, seed: int = SEED) -> DataFrame:
     """k, state for k = 1 .. n."""
     bits = max(1, n.bit_length())
     return spark.range(1, n + 1).select(F.col("id").alias("k"), state(F.col("id"), seed, bits).alias("state"))
+
+
+def chi_square(values: DataFrame, bin_col: str, bins: int) -> DataFrame:
+    """rows, statistic: the chi-square statistic of bins 1 .. bins against equal shares; bins without rows count."""
+    counts = values.groupBy(F.col(bin_col).alias("bin")).agg(F.count("*").cast("double").alias("n")).where(F.col("bin").between(1, bins))
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("rows"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0)).alias("squares"))
+    return sums.select(F.col("rows").cast("long").alias("rows"), F.when(F.col("rows") > 0, F.col("squares") * bins / F.col("rows") - F.col("rows")).alias("statistic"))

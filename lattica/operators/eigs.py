@@ -38,9 +38,27 @@ class EigenFlag(IntEnum):
     WARN_STORAGE = 3
 
 
+#: What a flag means, for reports.
+MESSAGES = {
+    EigenFlag.SUCCESS: "all pairs asked for have converged",
+    EigenFlag.PROBLEM_SIZE: "the order of the problem must be at least 1",
+    EigenFlag.STORAGE: "there is no room for as many pairs",
+    EigenFlag.LEFT: "more pairs are asked for on the left than there are",
+    EigenFlag.RIGHT: "more pairs are asked for on the right than there are",
+    EigenFlag.B_NOT_POSITIVE: "the metric isn't positive definite",
+    EigenFlag.WARN_NO_DIRECTIONS: "no search directions are left; the pairs found so far are returned",
+    EigenFlag.WARN_MAX_ITERATIONS: "the iteration limit was reached before all pairs converged",
+    EigenFlag.WARN_STORAGE: "there was no room for all converged pairs",
+}
+
+
+def message(flag: EigenFlag) -> str:
+    return MESSAGES[flag]
+
+
 class EigenError(ValueError):
     def __init__(self, flag: EigenFlag) -> None:
-        super().__init__(flag.name)
+        super().__init__(f"{flag.name}: {message(flag)}")
         self.flag = flag
 
 

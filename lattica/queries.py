@@ -159,6 +159,12 @@ def random_stream(spark, sf_dir):
     return lcg.stream(spark, 2000).select("k", "state", lcg.as_real(s).alias("real"), lcg.as_real(s, True).alias("positive"), lcg.as_integer(s, 100).alias("integer"), lcg.as_logical(s).alias("logical"))
 
 
+@query("random_chi_square", f"{STATES}, b AS (SELECT count(*) AS n FROM r GROUP BY floor(state * (20 / {float(lcg.MODULUS)}))) SELECT sum(n)::BIGINT AS rows, round(sum((n - 100) * (n - 100) / 100), 6) AS statistic FROM b")
+def random_chi_square(spark, sf_dir):
+    bins = lcg.stream(spark, 2000).select(lcg.as_integer(F.col("state"), 20).alias("bin"))
+    return lcg.chi_square(bins, "bin", 20).withColumn("statistic", F.round("statistic", 6))
+
+
 @query("random_matrix", "SELECT 500::BIGINT AS n, 3000::BIGINT AS entries, 500::BIGINT AS diagonals, 0::BIGINT AS upper, 0::BIGINT AS repeated, 0::BIGINT AS out_of_range")
 def random_matrix_counts(spark, sf_dir):
     a = random_matrix.random_matrix(spark, lcg.RandomState(), MatrixType.REAL_SYM_INDEF, 500, 500, 3000, nonsingular=True, sort=True)
