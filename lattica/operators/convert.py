@@ -136,8 +136,11 @@ def apply_conversion_map(values: DataFrame, mapping: DataFrame) -> DataFrame:
     return moved.groupBy(F.col("out_pos").alias("pos")).agg(F.sum(F.col("sign") * F.col("v")).alias("v"))
 
 
-def verify(df: DataFrame, ptr: list[int] | None, m: int, n: int, type: MatrixType, values: bool = False) -> tuple[Flag, int]:
-    """The first violation of the column-wise form by df (j, pos, i and, with values, v), and where it is."""
+def verify(df: DataFrame, ptr: DataFrame | list[int] | None, m: int, n: int, type: MatrixType, values: bool = False) -> tuple[Flag, int]:
+    """The first violation of the column-wise form by df (j, pos, i and, with values, v), and where it is.
+
+    pos: places in the order of storage, one after another. ptr: column pointers, as column_pointers() gives them (j, ptr) or as a list.
+    """
     if m < 0 or n < 0:
         return Flag.N_OUT_OF_RANGE, 0
     if type.square and type != MatrixType.UNSPECIFIED and m != n:
@@ -145,11 +148,13 @@ def verify(df: DataFrame, ptr: list[int] | None, m: int, n: int, type: MatrixTyp
     if not m or not n:
         return Flag.SUCCESS, 0
     if ptr is not None:
-        if ptr[0] < 1:
-            return Flag.PTR_FIRST, ptr[0]
-        for k in range(n):
-            if ptr[k + 1] < ptr[k]:
-                return Flag.PTR_ORDER, k + 2
+        pointers = ptr if isinstance(ptr, DataFrame) else df.sparkSession.createDataFrame(list(enumerate(ptr, 1)), "j long, ptr long")
+        following = pointers.select((F.col("j") - 1).alias("j"), F.col("ptr").alias("following"))
+        ends = pointers.join(following, "j", "left").where(F.col("j") <= n + 1).agg(F.min(F.when(F.col("j") == 1, F.col("ptr"))).alias("first"), F.min(F.when(F.col("following") < F.col("ptr"), F.col("j") + 1)).alias("falls")).first()
+        if ends["first"] < 1:
+            return Flag.PTR_FIRST, ends["first"]
+        if ends["falls"] is not None:
+            return Flag.PTR_ORDER, ends["falls"]
     bad = violations(df, m, n, type)
     first = bad.orderBy("j", "pos").limit(1).first()
     if first:
@@ -162,8 +167,11 @@ def verify(df: DataFrame, ptr: list[int] | None, m: int, n: int, type: MatrixTyp
 
 
 def violations(df: DataFrame, m: int, n: int, type: MatrixType) -> DataFrame:
-    """j, pos, flag, more: the violation that each offending entry, or column without its diagonal, makes."""
-    last = F.lag("i").over(W.partitionBy("j").orderBy("pos"))
+    """j, pos, flag, more: the violation that each offending entry, or column without its diagonal, makes.
+
+    Entries meet the one before them by place, so that a full column is no single task.
+    """
+    before = df.select("j", (F.col("pos") + 1).alias("pos"), F.col("i").alias("last"))
     i, j, pos = F.col("i"), F.col("j"), F.col("pos")
     ladder = F.when((i < 1) | (i > m), F.lit(int(Flag.ROW_OUT_OF_RANGE)))
     if type.lower_only:
@@ -171,7 +179,7 @@ def violations(df: DataFrame, m: int, n: int, type: MatrixType) -> DataFrame:
     if type.skew:
         ladder = ladder.when(i == j, int(Flag.UPPER_ENTRY))
     ladder = ladder.when(i == F.col("last"), int(Flag.ROW_DUPLICATE)).when(i < F.col("last"), int(Flag.ROW_ORDER))
-    found = df.withColumn("last", last).withColumn("flag", ladder).where("flag is not null")
+    found = df.join(before, ["j", "pos"], "left").withColumn("flag", ladder).where("flag is not null")
     found = found.select("j", "pos", "flag", F.when(F.col("flag") == int(Flag.ROW_DUPLICATE), pos - 1).otherwise(pos).alias("more"))
     if abs(type) == MatrixType.REAL_SYM_PSDEF:
         columns = df.sparkSession.range(1, n + 1).select(F.col("id").alias("j"))
@@ -207,6 +215,7 @@ def make_diagonally_dominant(matrix: SparseMatrix) -> SparseMatrix:
     return SparseMatrix(matrix.entries.where("i <> j").unionByName(diagonal), matrix.m, matrix.n, MatrixType.REAL_SYM_PSDEF)
 
 
+# Headings of printed matrices.
 TYPE_NAMES = {0: "Matrix of undefined type", 1: "Real rectangular matrix", 2: "Real unsymmetric matrix", 3: "Real symmetric positive definite matrix", 4: "Real symmetric indefinite matrix", 6: "Real skew symmetric matrix", -1: "Complex rectangular matrix", -2: "Complex unsymmetric matrix", -3: "Complex Hermitian positive definite matrix", -4: "Complex Hermitian indefinite matrix", -5: "Complex symmetric matrix", -6: "Complex skew symmetric matrix"}
 
 

@@ -249,10 +249,6 @@ def write(matrix: SparseMatrix, path: str, with_values: bool = True, title: str
     rows.groupBy("one").applyInPandas(lambda pdf: run(pdf), "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def with_identity(h: Header, title: str) -> Header:
-    return replace(h, title=title)
-
-
 class RutherfordBoeing(DataSource):
     """spark.read.format("rb").load(path): i, j, v, pos of a file on a local or mounted path; writing takes i, j, v and the options m, n, type."""
 

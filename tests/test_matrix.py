@@ -15,6 +15,7 @@ def sym5(spark):
     return matrix_from_entries(spark, SYM5, 5, 5, MatrixType.REAL_SYM_INDEF)
 
 
+# Published results that must be met.
 def test_stream_golden(spark):
     s = lcg.RandomState()
     assert (round(s.real(), 12), round(s.real(True), 12), s.integer(20), s.integer(20 * (2**31 - 1)), s.logical()) == (0.951878630556, 0.395779648796, 3, 33572664025, False)
@@ -25,6 +26,7 @@ def test_stream_golden(spark):
     assert [r["state"] for r in lcg.stream(spark, 700).orderBy("k").collect()] == states
 
 
+# Published results that must be met.
 def test_random_matrix_golden(spark):
     a = random_matrix.random_matrix(spark, lcg.RandomState(), MatrixType.UNSPECIFIED, 4, 5, 8, nonsingular=True)
     got = [(r.i, r.j, round(r.v, 5)) for r in a.entries.orderBy("pos").collect()]
@@ -81,8 +83,10 @@ def test_verify(spark, sym5):
     assert convert.verify(bad.where("pos > 2"), None, 3, 3, MatrixType.REAL_RECT) == (Flag.ROW_OUT_OF_RANGE, 4)
     assert convert.verify(bad, [1, 3, 2, 5], 3, 3, MatrixType.REAL_RECT) == (Flag.PTR_ORDER, 3)
     assert convert.verify(at, [0, 1], 5, 5, MatrixType.REAL_SKEW) == (Flag.PTR_FIRST, 0)
+    assert convert.verify(at, convert.column_pointers(sym5.entries, 5), 5, 5, MatrixType.REAL_SYM_INDEF) == (Flag.SUCCESS, 0)
 
 
+# Published results that must be met.
 def test_print_golden(sym5):
     lines = convert.print_matrix(sym5)
     assert lines[0] == "Real symmetric indefinite matrix, dimension 5x5 with 8 entries."
@@ -90,6 +94,7 @@ def test_print_golden(sym5):
     assert lines[2] == "2:   1.0000E+00   4.0000E+00   1.0000E+00                8.0000E+00"
 
 
+# Published results that must be met.
 def test_file_golden_and_round_trip(spark, sym5, tmp_path):
     rb.write(sym5, str(tmp_path / "m"), title="A test matrix")
     text = next((tmp_path / "m").glob("part-*")).read_text().splitlines()
