@@ -262,7 +262,7 @@ def likely(k: int, planes: int, at_least: float) -> Callable[[Column, Column], C
 
 
 def with_labels(rows: DataFrame, by: str, labels: DataFrame, count: int, broadcast_rows: int) -> DataFrame:
-    """rows joined with labels (node, ...) on rows' column `by`, which may hold one node in a third of all rows.
+    """rows joined with labels (node, ...) on rows' column `by`, which may hold one value in a third of all rows.
 
     Few labels are broadcast; many are joined by (node, salt), so that no node's rows meet in one task.
     """
@@ -344,8 +344,9 @@ class Linker:
         rows = with_labels(self.live.select("bucket", "node"), "node", own, own.count(), self.broadcast_rows)
         rows = rows.select("bucket", "node", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
         top = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("degree", F.xxhash64("node").alias("h"), "node", "label")).alias("top"))
-        out = self.box.keep(rows.join(top.where("lo < hi").select("bucket", "n", F.col("top.node").alias("hub"), F.col("top.label").alias("hub_label")), "bucket"))
-        self.box.drop(label, own)
+        open_ = self.box.keep(top.where("lo < hi").select(F.col("bucket").alias("node"), "n", F.col("top.node").alias("hub"), F.col("top.label").alias("hub_label")))
+        out = self.box.keep(with_labels(rows, "bucket", open_, open_.count(), self.broadcast_rows).where("hub is not null"))
+        self.box.drop(label, own, open_)
         return out
 
     def labels(self, hub_rounds: int) -> DataFrame | None:
