@@ -77,12 +77,12 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-4, steps: int = 300, rate: float = 0.05) -> Linear:
-    """Logistic regression by Adam over all rows; both classes weigh the same in total."""
+def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-4, steps: int = 300, rate: float = 0.05, start: Linear | None = None) -> Linear:
+    """Logistic regression by Adam over all rows, from `start` if there is one; both classes weigh the same in total."""
     x = np.asarray(x, dtype=np.float32)
     share = np.clip(y.mean(), 0.02, 0.98)
     s = np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share)) * (1 if weight is None else weight)
-    w, b = np.zeros(x.shape[1]), 0.0
+    w, b = (np.zeros(x.shape[1]), 0.0) if start is None else (start.weights, start.bias)
     m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     for t in range(1, steps + 1):
         r = s * (sigmoid(x @ w + b) - y) / len(y)
@@ -143,10 +143,10 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool: Callable[[dict
     hold = apart if apart.any() else own
     told: Taught = {v: (xt[:0], xm[:0], np.zeros(0)) for v in "tm"}
 
-    def fitted(view: str) -> Linear:
+    def fitted(view: str, start: Linear | None = None) -> Linear:
         t, m, label = told[view]
         x = np.concatenate([xt[own], t] if view == "t" else [xm[own], m])
-        return fit_linear(x, np.concatenate([y[own], label]), np.concatenate([np.ones(own.sum()), np.full(len(label), 0.5)]))
+        return fit_linear(x, np.concatenate([y[own], label]), np.concatenate([np.ones(own.sum()), np.full(len(label), 0.5)]), steps=300 if start is None else 100, start=start)
 
     models = {v: fitted(v) for v in "tm"}
     good = min(max(round(exchange * float((y[own] > 0.5).mean())), 1), max(exchange - 1, 1))
@@ -154,7 +154,7 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool: Callable[[dict
         given = pool(models, {(v, k): good if k else max(exchange - good, 1) for v in "tm" for k in (0, 1)})
         for view, new in given.items():
             told[view] = tuple(np.concatenate(x) for x in zip(told[view], new, strict=True))  # type: ignore[assignment]
-        models = {v: fitted(v) for v in "tm"}
+        models = {v: fitted(v, models[v]) for v in "tm"}
     zt, zm, yh = models["t"].logit(xt[hold]), models["m"].logit(xm[hold]), (y[hold] > 0.5).astype(float)
     ts, ms = calibrate(zt, yh), calibrate(zm, yh)
     both = np.stack([zt * ts[0] + ts[1], zm * ms[0] + ms[1]], axis=1)
