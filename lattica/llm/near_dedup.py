@@ -314,6 +314,9 @@ class Linker:
     def check(self, pairs: DataFrame) -> None:
         """Verifies distinct pairs (a, b) on whole sets and keeps the links."""
         pairs = self.box.keep(pairs)
+        if pairs.isEmpty():
+            self.edges.append(self.box.keep(pairs))
+            return
         used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         needed = self.box.keep(self.nodes.select("node", "id").join(used, "node", "left_semi"))
         sets = sets_of(self.texts, needed, self.shingle, self.weighted, self.broadcast_rows)
@@ -352,16 +355,17 @@ class Linker:
     def labels(self, hub_rounds: int) -> DataFrame | None:
         """node, label of the components of all links; None without any."""
         self.against_hubs(self.live)
-        for _ in range(hub_rounds):
-            if self.edges[0].isEmpty():
-                break
+        for number in range(hub_rounds + 1):
             rows = self.labelled()
+            if rows.isEmpty():  # every bucket is of one class
+                break
+            if number == hub_rounds:
+                self.check(self._pairs_left(rows.select("bucket", "node", "label", "n")))
+                break
             self.against_hubs(rows.where("label <> hub_label"))
             self.box.drop(self.live)
             self.live = self.box.keep(rows.where("node <> hub").select("bucket", "node"))
             self.box.drop(rows)
-        rows = self.labelled()
-        self.check(self._pairs_left(rows.select("bucket", "node", "label", "n")))
         self.box.drop(rows, self.live)
         edges = self.all_edges()
         return None if edges.isEmpty() else components(self.box, edges)
