@@ -2,6 +2,10 @@
 
 Each stage works on all that the one before it kept. All but the last return the columns of documents, so that any of
 them can be read again in place of documents; the last returns the packed pieces.
+
+Defined results: null and empty texts fail the base rules and go; rows that repeat are near-duplicates of each other, and
+one stays; a null doc_id is kept like any other; columns beyond those of documents are handed on as they are; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
