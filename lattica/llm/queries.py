@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import merkle, sharding
 from .ann import op7_additive_quantisation
 from .html_extraction import op3_html_extraction
 from .language_id import op9_language_id
+from .merkle import op11_merkle_manifest
 from .near_dedup import op2_minhash_near_dedup
 from .packing import op10_best_fit_packing
 from .quality_classifier import op5_quality_classifier
@@ -29,7 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extendible_sharding": op8_extendible_sharding,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 #: The others can't be said in SQL: the tests hold them against brute force, round trips or held-out labels.
-ORACLE_SQL: dict[str, str] = {"op8_extendible_sharding": sharding.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op8_extendible_sharding": sharding.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
