@@ -1,15 +1,20 @@
 """The Merkle manifest, the source divergence audit and decontamination, each against a plain version of itself."""
 
 import hashlib
+import re
+from collections import Counter
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import merkle
+from lattica.llm import divergence, merkle
 
 DATA = "/root/testdata/sf0.001"
+LOWER = {c: c + 32 for c in range(65, 91)}
 COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
@@ -86,3 +91,49 @@ def test_manifest_query_equals_sql(spark):
 @pytest.mark.parametrize(("n", "levels"), [(0, 0), (1, 0), (2, 1), (8, 1), (9, 2), (64, 2), (65, 3)])
 def test_height(n, levels):
     assert merkle.height(n) == levels
+
+
+def plain_divergence(rows, min_docs, top):
+    texts = [((r["lang"] or ""), (r["source"] or ""), re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (r["text"] or "").translate(LOWER))) for r in rows]
+    out = []
+    for lang in {t[0] for t in texts}:
+        own = [t for t in texts if t[0] == lang]
+        docs = Counter(w for _, _, ws in own for w in set(ws))
+        kept = {w for w, n in docs.items() if n >= min_docs}
+        counts = {s: Counter(w for _, x, ws in own if x == s for w in ws if w in kept) for _, s, _ in own}
+        whole = sum(counts.values(), Counter())
+        p = lambda c: {w: 1 + 10**9 * (c[w] + 5) // (sum(c.values()) + 5 * len(kept)) for w in kept}
+        shares, q = {s: p(c) for s, c in counts.items()}, p(whole)
+        for s in counts:
+            pairs = [(-sum(abs(shares[s][w] - shares[t][w]) for w in kept), t.encode()) for t in counts if t != s]
+            terms = [(q[w] - shares[s][w], w.encode()) for w in kept if counts[s][w] and shares[s][w] > q[w]]
+            for part, found, most in (("pair", pairs, None), ("term", terms, top)):
+                out += [(lang, s, part, x.decode(), -v, k + 1) for k, (v, x) in enumerate(sorted(found)[:most])]
+    return sorted(out)
+
+
+def test_divergence_of_odd_rows_in_small_blocks(spark, odd, docs):
+    """Blocks of three sources and chunks of about eight terms, so that a task reads many chunks and a language has several tasks."""
+    many = docs.where("doc_id < 90").select("lang", "source", F.concat("text", F.lit(" Ünï CASE case")).alias("text"))
+    both = odd.select("lang", "source", "text").unionByName(many)
+    rows = [r.asDict() for r in both.collect()]
+    for min_docs, top in ((3, 50), (10**6, 50), (1, 4)):
+        got = sorted(tuple(r) for r in divergence.divergence(both, min_docs, top, block=3, chunk_terms=8).select("lang", "source", "part", "item", "value", "rank").collect())
+        assert got == plain_divergence(rows, min_docs, top)
+    assert divergence.divergence(odd.limit(0)).count() == 0
+
+
+def test_divergence_query_equals_sql(spark):
+    assert equals_sql(spark, divergence.op12_source_divergence(spark, DATA), divergence.ORACLE)
+
+
+def test_shares_of_large_counts():
+    n, whole = np.array([[0, 7, 10**12, 9 * 10**14]]), np.array([9 * 10**14 + 5])
+    assert divergence.shares(n, whole).tolist() == [[1 + 10**9 * (int(x) + 5) // int(whole[0]) for x in n[0]]]
+
+
+def test_counts_of_a_long_text_and_of_split_batches():
+    text = "Aé b B 7x " * 300_000
+    t = pa.table({"lang": ["l"] * 3, "source": ["s", "s", "t"], "text": [text, None, "b"]})
+    out = pa.Table.from_batches(divergence._counted(iter(t.to_batches()))).to_pandas().groupby(["source", "term"])[["n", "df"]].sum()
+    assert out.to_dict("index") == {("s", "aé"): {"n": 300_000, "df": 1}, ("s", "b"): {"n": 600_000, "df": 1}, ("s", "x"): {"n": 300_000, "df": 1}, ("t", "b"): {"n": 1, "df": 1}}
