@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, merkle, sharding
+from . import decontamination, divergence, merkle, sharding
 from .ann import op7_additive_quantisation
+from .decontamination import op13_benchmark_decontamination
 from .divergence import op12_source_divergence
 from .html_extraction import op3_html_extraction
 from .language_id import op9_language_id
@@ -33,7 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_source_divergence": op12_source_divergence,
+    "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
 #: The others can't be said in SQL: the tests hold them against brute force, round trips or held-out labels.
-ORACLE_SQL: dict[str, str] = {"op8_extendible_sharding": sharding.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_source_divergence": divergence.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op8_extendible_sharding": sharding.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_benchmark_decontamination": decontamination.ORACLE}

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import divergence, merkle
+from lattica.llm import decontamination, divergence, merkle
 
 DATA = "/root/testdata/sf0.001"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -137,3 +137,66 @@ def test_counts_of_a_long_text_and_of_split_batches():
     t = pa.table({"lang": ["l"] * 3, "source": ["s", "s", "t"], "text": [text, None, "b"]})
     out = pa.Table.from_batches(divergence._counted(iter(t.to_batches()))).to_pandas().groupby(["source", "term"])[["n", "df"]].sum()
     assert out.to_dict("index") == {("s", "aé"): {"n": 300_000, "df": 1}, ("s", "b"): {"n": 600_000, "df": 1}, ("s", "x"): {"n": 300_000, "df": 1}, ("t", "b"): {"n": 1, "df": 1}}
+
+
+def plain_overlap(docs, items, n=10):
+    cut = lambda t: [(m.group(), m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))]
+    windows = {}
+    for item, text in items:
+        w = [x for x, _, _ in cut(text)]
+        size = min(n, len(w))
+        for k in range(len(w) - size + 1 if size else 0):
+            windows.setdefault(tuple(w[k : k + size]), set()).add(str(item) if item is not None else "null")
+    out = []
+    for doc_id, text in docs:
+        w, hit, found = cut(text), set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if (x := windows.get(tuple(y for y, _, _ in w[k : k + size]))) is not None:
+                    hit |= set(range(k, k + size))
+                    found |= x
+        spans, clean, at = [], "", 0
+        for k in sorted(hit):
+            if spans and spans[-1][1] == k - 1:
+                spans[-1] = (spans[-1][0], k, spans[-1][2], w[k][2])
+            else:
+                spans.append((k, k, w[k][1], w[k][2]))
+        for _, _, a, b in spans:
+            clean, at = clean + text[at:a], b
+        out.append((doc_id, len(w), len(hit), sorted(found), spans, clean + text[at:] if text is not None else None))
+    return sorted(out, key=lambda r: (str(r[0]), str(r[5])))
+
+
+@pytest.fixture(scope="session")
+def passages(spark, odd, docs):
+    """Documents with passages at the start, at the end, one after another, doubled, in upper case and across odd signs; and the items."""
+    a, b = "Αλφα one TWO three four five six seven eight nine ten eleven twelve", "uno dos tres cuatro cinco seis siete ocho nueve diez"
+    more = [(100, a), (101, f"x {a.upper().replace('ΑΛΦΑ', 'Αλφα')} y"), (102, f"{a} {b}"), (103, f"é{a}"), (104, a.replace(" ", "--")), (105, f"{b} {b}"), (106, " ".join(a.split()[:9])), (107, f"zz short item, {b}"), (107, f"zz short item, {b}"), (108, " ".join(a.split()[1:11]) + "x")]
+    d = odd.unionByName(spark.createDataFrame([(k, t, "en", "s", 1) for k, t in more], "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
+    items = spark.createDataFrame([(1, a), (2, b), (2, "Short ITEM"), (3, None), (4, ""), (None, b + " once"), (5, "some quite long text with words some quite long text with words"), (6, "!!"), (12, a)], "item_id long, text string")
+    return d.unionByName(docs.where("doc_id < 60"), allowMissingColumns=True), items
+
+
+@pytest.mark.parametrize("most", [10**6, 7])
+def test_overlaps_are_those_of_plain_search(passages, most):
+    """At once, and in parts of about seven windows."""
+    d, items = passages
+    want = plain_overlap([(r.doc_id, r.text) for r in d.collect()], [tuple(r) for r in items.collect()])
+    rows = decontamination.overlaps(d, items, ["doc_id", "text"], max_windows=most).withColumn("clean", decontamination.without_spans(F.col("text"), F.col("spans"))).collect()
+    got = sorted(((r.doc_id, r.n_words, sum(s["last"] - s["first"] + 1 for s in r.spans), list(r["items"]), [tuple(s) for s in r.spans], r.clean) for r in rows), key=lambda r: (str(r[0]), str(r[5])))
+    assert got == want and sum(r[2] > 0 for r in want) >= 8
+
+
+def test_decontaminated_rows(passages):
+    d, items = passages
+    want = plain_overlap([(r.doc_id, r.text) for r in d.collect()], [tuple(r) for r in items.collect()])
+    clean = decontamination.decontaminate(d, items)
+    assert clean.columns == d.columns and sorted(map(str, ((r.doc_id, r.text) for r in clean.collect()))) == sorted(str((r[0], r[5])) for r in want)
+    left = decontamination.decontaminate(d, items, "documents")
+    assert left.columns == d.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r[0]) for r in want if not r[2])
+    assert decontamination.decontaminate(d.limit(0), items).count() == 0
+    assert decontamination.overlaps(d, items.limit(0), ["doc_id"]).where("size(spans) > 0 or size(items) > 0").count() == 0
+
+
+def test_decontamination_query_equals_sql(spark):
+    assert equals_sql(spark, decontamination.op13_benchmark_decontamination(spark, DATA), decontamination.ORACLE)
