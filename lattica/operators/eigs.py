@@ -1,25 +1,30 @@
-"""Extreme and interior eigenpairs of A x = lambda B x by a block conjugate-gradient method.
-
-A block of vectors is a DataFrame (i, w ARRAY<DOUBLE>). Each step minimises over the block, its preconditioned residuals and
-its last directions: one job applies the operators, one sums the small Gram matrices, and a dense problem of three block
-sizes is solved on the driver. Interior pairs come from solves with a factorization of A - sigma B.
+"""Extreme and interior eigenpairs of A x = lambda B x by a block conjugate-gradient method that works at both ends at once.
+
+A block of vectors is a DataFrame (i, w ARRAY<DOUBLE>). Each step takes Ritz pairs, at one or both ends of the spectrum, from
+the span of the block, its preconditioned residuals and its last directions: one job applies the operators, one sums the
+small Gram matrices, and a dense problem of three block sizes is solved on the driver. A pair that has converged leaves the
+block: its vector moves to the locked columns of the same table, which stay co-located with the block, and the span is made
+orthogonal to them in the metric, in the coefficients of the same Gram matrices. What it leaves in the block is filled with
+the next Ritz vectors and a fresh random direction, so that blocks may be smaller than the number of pairs and multiplicities
+larger than the block. Interior pairs come from solves with a factorization of A - sigma B.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from enum import IntEnum
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lcg
 from ..matrix import MatrixType, SparseMatrix
 from . import direct
-from .cutting import cut
+from .cutting import Workspace, cut
 from .vectors import small
 
 Block = Callable[[DataFrame], DataFrame]
@@ -69,7 +74,10 @@ class Options:
     rel_tol_residual: float = 1e-8
     abs_tol_lambda: float = 0.0
     rel_tol_lambda: float = 0.0
+    tol_vector: float = 0.0  # of the estimated error of a vector, in the metric; 0: not tested
     extra: int = 0  # vectors beyond those asked for; 0: max(a tenth, 10)
+    block: int = 0  # vectors iterated at once; 0: those asked for and the extra ones
+    settle: int = 5  # steps that a fresh direction gets before values beyond the locked ones are locked
     seed: int = lcg.SEED
 
 
@@ -80,6 +88,14 @@ class Eigenpairs:
     residuals: np.ndarray
     iterations: int
     flag: EigenFlag = EigenFlag.SUCCESS
+    vector_errors: np.ndarray = field(default_factory=lambda: np.zeros(0))  # estimates, in the metric
+    value_errors: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    space: Workspace | None = None
+
+    def free(self) -> None:
+        """Gives back what the vectors take in the shared folder; they can't be read any more."""
+        if self.space:
+            self.space.free()
 
 
 def times(matrix: SparseMatrix, entries: DataFrame | None = None) -> Block:
@@ -88,11 +104,20 @@ def times(matrix: SparseMatrix, entries: DataFrame | None = None) -> Block:
 
     def apply(block: DataFrame) -> DataFrame:
         width = _width(block)
-        joined = full.join(small(block.select(F.col("i").alias("j"), "w"), matrix.n * width), "j")
-        sums = joined.groupBy("i").agg(*(F.sum(F.col("v") * F.col("w")[k]).alias(f"s{k}") for k in range(width)))
-        made = sums.select("i", F.array(*(F.col(f"s{k}") for k in range(width))).alias("w"))
-        zero = F.array(*[F.lit(0.0)] * width)
-        return block.select("i").join(made, "i", "left").select("i", F.coalesce("w", zero).alias("w"))
+        joined = full.join(small(block.select(F.col("i").alias("j"), "w"), matrix.n * width), "j").select("i", "v", "w")
+        every = joined.unionByName(block.select("i", F.lit(0.0).alias("v"), "w"))  # so that each row is there
+        sums = every.groupBy("i").agg(*(F.sum(F.col("v") * F.col("w")[k]).alias(f"s{k}") for k in range(width)))
+        return sums.select("i", F.array(*(F.col(f"s{k}") for k in range(width))).alias("w"))
+
+    return apply
+
+
+def jacobi(matrix: SparseMatrix) -> Block:
+    """Division by the diagonal; rows without one stay."""
+    diagonal = cut(matrix.entries.where("i = j and v <> 0").groupBy("i").agg(F.sum("v").alias("d")))
+
+    def apply(block: DataFrame) -> DataFrame:
+        return block.join(small(diagonal, matrix.n), "i", "left").select("i", F.transform("w", lambda x: x / F.coalesce("d", F.lit(1.0))).alias("w"))
 
     return apply
 
@@ -111,37 +136,42 @@ def random_block(spark, n: int, width: int, seed: int) -> DataFrame:
     return _sized(spark.range(1, n + 1).select(F.col("id").alias("i"), F.array(*cells).alias("w")), width)
 
 
+def _array(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(name).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+
+def _lists(a: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(np.ascontiguousarray(a).ravel()))
+
+
 def gram_matrices(frame: DataFrame, names: list[str], pairs: list[tuple[str, str]]) -> dict[tuple[str, str], np.ndarray]:
-    """U'V for pairs of array columns, by partial sums of each batch of rows."""
+    """U'V for pairs of array columns: each task sums its rows, Spark the tasks, entry by entry."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            if len(b):
-                a = {c: np.array(b[c].tolist()) for c in names}
+            if b.num_rows:
+                a = {c: _array(b, c) for c in names}
                 for k, (p, q) in enumerate(pairs):
                     sums[k] = sums.get(k, 0) + a[p].T @ a[q]
-        yield pd.DataFrame([(k, s.shape[0], s.ravel().tolist()) for k, s in sums.items()], columns=["k", "rows", "s"])
+        yield pa.record_batch({"k": pa.array(sums, pa.int64()), "rows": pa.array([len(s) for s in sums.values()], pa.int64()), "s": pa.array([s.ravel().tolist() for s in sums.values()], pa.list_(pa.float64()))})
 
-    got = frame.select(*names).mapInPandas(run, "k long, rows long, s array<double>").toPandas()
-    out: dict[tuple[str, str], np.ndarray] = {}
-    for k, rows, s in got.sort_values(["k"], kind="stable").itertuples(index=False):
-        m = np.array(s).reshape(rows, -1)
-        out[pairs[k]] = out[pairs[k]] + m if pairs[k] in out else m
-    return out
+    parts = frame.select(*names).mapInArrow(run, "k long, rows long, s array<double>").select("k", "rows", F.posexplode("s").alias("at", "v"))
+    got = parts.groupBy("k", "rows", "at").agg(F.sum("v").alias("v")).toPandas().sort_values(["k", "at"])
+    return {pairs[k]: g.v.to_numpy().reshape(int(g.rows.iloc[0]), -1) for k, g in got.groupby("k")}
 
 
 def mixed(frame: DataFrame, made: dict[str, tuple[list[str], np.ndarray]]) -> DataFrame:
     """i and, for each name, the combination of the named array columns by stacked coefficients: products of row batches."""
     names = sorted({c for columns, _ in made.values() for c in columns})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                a = {c: np.array(b[c].tolist()) for c in names}
-                yield pd.DataFrame({"i": b.i} | {k: list(np.concatenate([a[c] for c in columns], axis=1) @ m) for k, (columns, m) in made.items()})
+            if b.num_rows:
+                a = {c: _array(b, c) for c in names}
+                yield pa.record_batch({"i": b.column("i")} | {k: _lists(np.concatenate([a[c] for c in columns], axis=1) @ m) for k, (columns, m) in made.items()})
 
-    return frame.select("i", *names).mapInPandas(run, "i long, " + ", ".join(f"{k} array<double>" for k in made))
+    return frame.select("i", *names).mapInArrow(run, "i long, " + ", ".join(f"{k} array<double>" for k in made))
 
 
 def reduced(a: np.ndarray, b: np.ndarray, floor: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
@@ -154,98 +184,312 @@ def reduced(a: np.ndarray, b: np.ndarray, floor: float = 1e-10) -> tuple[np.ndar
     return t, base @ y
 
 
-def smallest(spark, n: int, count: int, apply_a: Block, apply_b: Block | None = None, precondition: Block | None = None, options: Options = Options(), start: DataFrame | None = None) -> Eigenpairs:
-    """The `count` leftmost pairs of A x = lambda B x, B positive definite (none: identity)."""
+@dataclass
+class Wanted:
+    """How many pairs are wanted at each end, or of the largest modulus, and how a block is divided between the ends."""
+
+    left: int = 0
+    right: int = 0
+    largest: int = 0
+
+    @property
+    def count(self) -> int:
+        return self.left + self.right + self.largest
+
+    def split(self, values: np.ndarray, width: int, locked: dict[int, list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the ascending Ritz values make up the block, and the side of each (0 left, 1 right), the outermost of a side first."""
+        n, width = len(values), min(width, len(values))
+        if self.largest:
+            order = np.argsort(-np.abs(values), kind="stable")[:width]
+            low, high = np.sort(order[values[order] < 0]), np.sort(order[values[order] >= 0])[::-1]
+            return np.concatenate([low, high]), np.repeat([0, 1], [len(low), len(high)])
+        open_ = [max(self.left - len(locked[0]), 0), max(self.right - len(locked[1]), 0)]
+        if not sum(open_):
+            open_ = [self.left, self.right]
+        low = 0 if not open_[0] else width if not open_[1] else min(max(1, round(width * open_[0] / sum(open_))), max(width - 1, 1))
+        return np.concatenate([np.arange(low), n - 1 - np.arange(width - low)]).astype(int), np.repeat([0, 1], [low, width - low])
+
+    def reached(self, locked: dict[int, list[float]], outer: dict[int, float]) -> bool:
+        """Whether the locked pairs are enough. outer: the outermost value of each side that is not locked."""
+        if not self.largest:
+            return len(locked[0]) >= self.left and len(locked[1]) >= self.right
+        sizes = sorted((abs(v) for x in locked.values() for v in x), reverse=True)
+        return len(sizes) >= self.largest and all(abs(v) <= sizes[self.largest - 1] * (1 + 1e-10) for v in outer.values())
+
+    def chosen(self, values: np.ndarray, sides: np.ndarray) -> np.ndarray:
+        """Indices, in ascending order of value, of the pairs that are wanted among those found."""
+        if self.largest:
+            own = np.argsort(-np.abs(values), kind="stable")[: self.largest]
+        else:
+            low, high = (np.flatnonzero(sides == s) for s in (0, 1))
+            own = np.concatenate([low[np.argsort(values[low], kind="stable")][: self.left], high[np.argsort(-values[high], kind="stable")][: self.right]])
+        return own[np.argsort(values[own], kind="stable")].astype(int)
+
+
+class Errors:
+    """Estimates of the errors of the block's values and vectors, from the sizes of past steps, the residuals and the gaps.
+
+    The change of a vector in a step, and the rate at which such changes shrink, bound what is still to come as a geometric
+    series. In the plain metric the residual over the gap to other values bounds the error too; the larger counts.
+    """
+
+    def __init__(self, plain: bool) -> None:
+        self.plain = plain
+        self.steps: dict[int, list[np.ndarray]] = {0: [], 1: []}
+
+    def moved(self, sides: np.ndarray, sizes: np.ndarray, locked: dict[int, int]) -> None:
+        """sizes: of the last step of each of the new block's vectors; locked: how many of each side have left since."""
+        for s in (0, 1):
+            old = [x[locked[s] :] for x in self.steps[s]]
+            self.steps[s] = [*old[-3:], sizes[sides == s]]
+
+    def kinematic(self, sides: np.ndarray) -> np.ndarray:
+        out = np.full(len(sides), np.inf)
+        for s in (0, 1):
+            own, past = np.flatnonzero(sides == s), self.steps[s]
+            for k, at in enumerate(own):
+                seen = [x[k] for x in past if k < len(x)]
+                if len(seen) >= 3 and seen[-1] > 0:
+                    rate = max(b / a if a > 0 else 1.0 for a, b in zip(seen[-3:-1], seen[-2:], strict=True))
+                    out[at] = seen[-1] * rate / (1 - rate) if rate < 1 else np.inf
+        return out
+
+    @staticmethod
+    def gaps(values: np.ndarray, others: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Distance of each value from the closest of all others that is further away than its own cluster reaches."""
+        out = np.empty(len(values))
+        for k, v in enumerate(values):
+            far = np.abs(np.concatenate([values, others]) - v)
+            far = far[far > near[k]]
+            out[k] = far.min() if len(far) else max(abs(v), 1e-300)
+        return out
+
+    def estimates(self, values: np.ndarray, others: np.ndarray, sides: np.ndarray, residuals: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of vectors and of values."""
+        gap = self.gaps(values, others, np.maximum(10 * residuals, 1e-7 * scale))
+        vectors = self.kinematic(sides)
+        if self.plain:
+            bound = residuals / gap
+            vectors = np.where(np.isfinite(vectors), np.maximum(vectors, bound), bound)
+        return vectors, np.minimum(residuals, residuals**2 / gap)
+
+
+class Engine:
+    """The iteration. Its table has i and array columns: block x, directions p, locked y, each with its products by A (and B)."""
+
+    def __init__(self, spark, n: int, wanted: Wanted, apply_a: Block, apply_b: Block | None, precondition: Block | None, options: Options) -> None:
+        self.spark, self.n, self.wanted, self.options = spark, n, wanted, options
+        self.apply_a, self.apply_b, self.precondition = apply_a, apply_b, precondition
+        self.forms = ("", "a", "b") if apply_b else ("", "a")
+        self.space = Workspace(spark)
+        self.locked: dict[int, list[float]] = {0: [], 1: []}
+        self.found: list[tuple[float, int, float, float, float]] = []  # value, side, residual, errors of vector and value, in the order of columns of y
+        self.constraints, self.fresh, self.last_lock = 0, 0, {0: -(10**9), 1: -(10**9)}
+        self.errors = Errors(apply_b is None)
+
+    def metric(self, k: str) -> str:
+        return f"b{k}" if self.apply_b else k
+
+    def products(self, block: DataFrame, kind: str) -> DataFrame:
+        out = block.select("i", F.col("w").alias(kind)).join(self.apply_a(block).select("i", F.col("w").alias(f"a{kind}")), "i")
+        return out.join(self.apply_b(block).select("i", F.col("w").alias(f"b{kind}")), "i") if self.apply_b else out
+
+    def start(self, width: int, given: DataFrame | None, constraints: DataFrame | None) -> None:
+        x = random_block(self.spark, self.n, width, self.options.seed)
+        if given is not None:
+            have = _width(given)
+            both = x.join(given.select("i", F.col("w").alias("g")), "i").select("i", F.slice(F.concat("g", "w"), 1, max(width, have)).alias("w"))
+            x = _sized(both, max(width, have))
+        table, kinds = self.products(x, "x"), ["x"]
+        if constraints is not None:
+            self.constraints = _width(constraints)
+            table, kinds = table.join(self.products(constraints, "y"), "i"), ["x", "y"]
+        work = self.space.keep(table)
+        ga, gb = self.grams(work, kinds)
+        keep = np.eye(len(ga))
+        if self.constraints:  # given vectors needn't be orthonormal
+            y = slice(len(ga) - self.constraints, None)
+            w, q = np.linalg.eigh(gb[y, y])
+            q = q[:, w > 1e-12 * w[-1]] / np.sqrt(w[w > 1e-12 * w[-1]])
+            base = np.zeros((len(ga), q.shape[1]))
+            base[y] = q
+            self.constraints = q.shape[1]
+            keep = keep[:, : len(ga) - len(gb[y])]
+        else:
+            base = np.zeros((len(ga), 0))
+        self.rayleigh_ritz(work, kinds, ga, gb, keep, base, width, 0)
+        self.read = work  # until the table of the first step is written
+
+    def grams(self, frame: DataFrame, kinds: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A and the metric on the span of the columns of all kinds."""
+        columns = [f"{o}{k}" for k in kinds for o in self.forms]
+        upper = [(p, q) for a, p in enumerate(kinds) for q in kinds[a:]]
+        pairs = [(p, f"a{q}") for p, q in upper] + [(p, self.metric(q)) for p, q in upper]
+        extra = ["r"] if "w" in kinds else []
+        g = gram_matrices(frame, [*columns, *extra], pairs + [(r, r) for r in extra])
+        whole = lambda f: np.block([[g[p, f(q)] if a <= b else g[q, f(p)].T for b, q in enumerate(kinds)] for a, p in enumerate(kinds)])
+        ga, gb = whole(lambda q: f"a{q}"), whole(self.metric)
+        self.residuals = np.sqrt(np.maximum(np.diag(g["r", "r"]), 0)) if extra else None
+        return (ga + ga.T) / 2, (gb + gb.T) / 2
+
+    def rayleigh_ritz(self, work: DataFrame, kinds: list[str], ga: np.ndarray, gb: np.ndarray, span: np.ndarray, base: np.ndarray, width: int, old: int) -> bool:
+        """The next block from the span, made orthogonal to base, whose columns become y. old: columns of the span that are of the block."""
+        span = span - base @ (base.T @ gb @ span)
+        t, c = reduced(span.T @ ga @ span, span.T @ gb @ span)
+        at, sides = self.wanted.split(t, width, self.locked)
+        if len(at) < min(width, self.wanted.count - len(self.found)):
+            return False
+        coefficients, directions = c[:, at], c[:, at].copy()
+        directions[:old] = 0  # the new directions leave out the old block
+        p = span @ directions
+        self.values, self.sides, self.others = t[at], sides, np.delete(t, at)
+        self.sizes = np.sqrt(np.maximum(np.einsum("ik,ij,jk->k", p, gb, p), 0))
+        made: dict[str, tuple[list[str], np.ndarray]] = {}
+        for o in self.forms:
+            columns = [f"{o}{k}" for k in kinds]
+            made[f"{o}x"] = columns, span @ coefficients
+            if old:
+                made[f"{o}p"] = columns, p
+            if base.shape[1]:
+                made[f"{o}y"] = columns, base
+        x = span @ coefficients
+        made["r"] = [f"a{k}" for k in kinds] + [self.metric(k) for k in kinds], np.concatenate([x, -x * self.values])
+        self.state, self.has_p = mixed(work, made), bool(old)
+        return True
+
+    def step(self, number: int) -> tuple[DataFrame, list[str]]:
+        """The table with residuals r and search block w, and what it holds."""
+        state, width = self.state, len(self.values)
+        w = _sized(state.select("i", F.col("r").alias("w")), width)
+        if self.precondition:  # of what belongs to the left end
+            both = self.precondition(w).select("i", F.col("w").alias("t")).join(w, "i")
+            w = _sized(self.space.keep(both.select("i", F.array(*(F.col("w" if s else "t")[k] for k, s in enumerate(self.sides.tolist()))).alias("w"))), width)
+        if self.fresh:
+            bits = max(1, (self.n * self.fresh).bit_length())
+            cells = [lcg.as_real(lcg.state((F.col("i") - 1) * self.fresh + (k + 1), self.options.seed + 7919 * number, bits)) for k in range(self.fresh)]
+            w = _sized(w.select("i", F.concat("w", F.array(*cells)).alias("w")), width + self.fresh)
+        self.direction = w
+        return state.join(self.products(w, "w"), "i"), ["x", "w", *(["p"] if self.has_p else []), *(["y"] if self.constraints + len(self.found) else [])]
+
+    def converged(self, last: dict[int, np.ndarray]) -> np.ndarray:
+        o, size = self.options, max([float(np.abs(self.values).max()), *(abs(f[0]) for f in self.found)])
+        self.scale = max(self.scale, size) if self.scale else max(size, 1e-300)
+        self.vector_errors, self.value_errors = self.errors.estimates(self.values, np.concatenate([self.others, [f[0] for f in self.found]]), self.sides, self.residuals, self.scale)
+        enough = np.ones(len(self.values), dtype=bool)
+        if o.abs_tol_residual or o.rel_tol_residual:
+            enough &= self.residuals <= max(o.abs_tol_residual, o.rel_tol_residual * self.scale)
+        if o.abs_tol_lambda or o.rel_tol_lambda:
+            moved = np.full(len(self.values), np.inf)
+            for s in (0, 1):
+                own = np.flatnonzero(self.sides == s)
+                k = min(len(own), len(last[s]))
+                moved[own[:k]] = np.abs(self.values[own[:k]] - last[s][:k])
+            enough &= moved <= np.maximum(o.abs_tol_lambda, o.rel_tol_lambda * np.abs(self.values))
+        if o.tol_vector:
+            enough &= self.vector_errors <= o.tol_vector
+        return enough
+
+    def lockable(self, enough: np.ndarray, number: int) -> list[int]:
+        """Columns that leave the block: on each side the outermost ones, as long as they have converged."""
+        out = []
+        for s in (0, 1):
+            for k in np.flatnonzero(self.sides == s):
+                beyond = not self.locked[s] or (self.values[k] > max(self.locked[0]) if s == 0 else self.values[k] < min(self.locked[1])) and abs(self.values[k] - self.locked[s][-1]) > 1e-6 * self.scale
+                waits = self.short and beyond and number - self.last_lock[s] < self.options.settle
+                if not enough[k] or waits:
+                    break
+                out.append(int(k))
+        return out
+
+    def run(self, width: int, given: DataFrame | None, constraints: DataFrame | None) -> Eigenpairs:
+        self.scale, self.short = 0.0, width < self.wanted.count
+        self.start(width, given, constraints)
+        last: dict[int, np.ndarray] = {0: np.zeros(0), 1: np.zeros(0)}
+        for number in range(1, self.options.max_iterations + 1):
+            work, kinds = self.step(number)
+            work = self.space.keep(work)
+            self.space.drop(self.read, self.direction)
+            self.read = work
+            ga, gb = self.grams(work, kinds)
+            m, f = len(self.values), self.fresh
+            leave = self.lockable(self.converged(last), number)
+            counts = {s: sum(self.sides[k] == s for k in leave) for s in (0, 1)}
+            for k in leave:
+                s = int(self.sides[k])
+                self.locked[s].append(float(self.values[k]))
+                self.found.append((float(self.values[k]), s, float(self.residuals[k]), float(self.vector_errors[k]), float(self.value_errors[k])))
+            for s in (0, 1):
+                if counts[s]:
+                    self.last_lock[s] = number
+            stay = [k for k in range(m) if k not in leave]
+            outer = {int(self.sides[k]): float(self.values[k]) for k in reversed(stay)}
+            every = np.eye(len(ga))
+            y = len(ga) - (self.constraints + len(self.found) - len(leave))
+            base = np.concatenate([every[:, y:], every[:, leave]], axis=1)
+            if self.wanted.reached(self.locked, outer):
+                return self.result(work, kinds, base, number, EigenFlag.SUCCESS)
+            if number == self.options.max_iterations:
+                break
+            span = every[:, [*stay, *(m + k for k in stay), *range(2 * m, 2 * m + f), *range(2 * m + f, y)]]
+            last = {s: self.values[self.sides == s][counts[s] :] for s in (0, 1)}
+            if not self.rayleigh_ritz(work, kinds, ga, gb, span, base, width, len(stay)):
+                return self.result(work, kinds, self.filled(base, every, stay), number, EigenFlag.WARN_NO_DIRECTIONS)
+            self.errors.moved(self.sides, self.sizes, counts)
+            self.fresh = len(leave)
+        return self.result(work, kinds, self.filled(base, every, stay), self.options.max_iterations, EigenFlag.WARN_MAX_ITERATIONS)
+
+    def filled(self, base: np.ndarray, every: np.ndarray, stay: list[int]) -> np.ndarray:
+        """base and what the block has so far."""
+        for k in stay:
+            self.found.append((float(self.values[k]), int(self.sides[k]), float(self.residuals[k]), float(self.vector_errors[k]), float(self.value_errors[k])))
+        return np.concatenate([base, every[:, stay]], axis=1)
+
+    def result(self, work: DataFrame, kinds: list[str], base: np.ndarray, number: int, flag: EigenFlag) -> Eigenpairs:
+        table = np.array(self.found)
+        own = self.wanted.chosen(table[:, 0], table[:, 1])
+        vectors = self.space.keep(mixed(work, {"w": (list(kinds), base[:, self.constraints :][:, own])}))
+        self.space.drop(work)
+        return Eigenpairs(table[own, 0], _sized(vectors, len(own)), table[own, 2], number, flag, table[own, 3], table[own, 4], self.space)
+
+
+def extreme(spark, n: int, wanted: Wanted, apply_a: Block, apply_b: Block | None = None, precondition: Block | None = None, options: Options = Options(), start: DataFrame | None = None, constraints: DataFrame | None = None) -> Eigenpairs:
+    """The wanted pairs of A x = lambda B x, B positive definite (none: identity), in one run.
+
+    start: a block to begin with. constraints: a block of vectors that all pairs are to be orthogonal to in the metric, such as
+    the vectors of an earlier run that is to be carried on with further pairs.
+    """
     if n < 1:
         raise EigenError(EigenFlag.PROBLEM_SIZE)
-    if count < 0 or 2 * count > n:
-        raise EigenError(EigenFlag.LEFT)
-    if not count:
-        return Eigenpairs(np.zeros(0), spark.createDataFrame([], "i long, w array<double>"), np.zeros(0), 0)
-    width = max(count, min(count + (options.extra or max(count // 10, 10)), max(n // 2 - 1, count)))
-    x = start if start is not None else random_block(spark, n, width, options.seed)
-    names = ["x", "ax", "bx"] if apply_b else ["x", "ax"]
-
-    def with_products(block: DataFrame, kind: str) -> DataFrame:
-        out = block.select("i", F.col("w").alias(kind))
-        out = out.join(apply_a(block).select("i", F.col("w").alias(f"a{kind}")), "i")
-        return out.join(apply_b(block).select("i", F.col("w").alias(f"b{kind}")), "i") if apply_b else out
-
-    metric = lambda k: f"b{k}" if apply_b else k
-    state = cut(with_products(x, "x"))
-    g = gram_matrices(state, names, [("x", "ax"), ("x", metric("x"))])
-    values, c = reduced(g["x", "ax"], g["x", metric("x")])
-    values, c = values[:width], c[:, :width]
-    width = c.shape[1]
-    state = mixed(state, {k: ([k], c) for k in names})
-    has_p, scale, last = False, None, values
-    for iteration in range(1, options.max_iterations + 1):
-        shift = F.array(*(F.lit(float(v)) for v in values))
-        r = F.zip_with("ax", F.zip_with(metric("x"), shift, lambda a, b: a * b), lambda a, b: a - b)
-        state = cut(state.withColumn("r", r))
-        w = _sized(state.select("i", F.col("r").alias("w")), width)
-        w = cut(_sized(precondition(w), width)) if precondition else w
-        work = cut(state.join(with_products(w, "w"), "i"))
-        kinds = ["x", "w", "p"] if has_p else ["x", "w"]
-        columns = [f"{o}{k}" for k in kinds for o in (("", "a", "b") if apply_b else ("", "a"))]
-        pairs = [(p, f"a{q}") for a, p in enumerate(kinds) for q in kinds[a:]] + [(p, metric(q)) for a, p in enumerate(kinds) for q in kinds[a:]] + [("r", "r")]
-        g = gram_matrices(work, [*columns, "r"], pairs)
-        residuals = np.sqrt(np.maximum(np.diag(g["r", "r"]), 0))
-        size = np.abs(values).max()
-        scale = scale or max(size, 1e-300)
-        enough = residuals <= np.maximum(options.abs_tol_residual, options.rel_tol_residual * max(size, scale))
-        if options.abs_tol_lambda or options.rel_tol_lambda:
-            enough &= np.abs(values - last[:width]) <= np.maximum(options.abs_tol_lambda, options.rel_tol_lambda * np.abs(values))
-        if enough[:count].all():
-            return _pairs(state, values, residuals, count, iteration, EigenFlag.SUCCESS)
-        fill = lambda f: np.block([[g[p, f(q)] if a <= b else g[q, f(p)].T for b, q in enumerate(kinds)] for a, p in enumerate(kinds)])
-        sym = lambda m: (m + m.T) / 2
-        t, c = reduced(sym(fill(lambda q: f"a{q}")), sym(fill(metric)))
-        if len(t) < width:
-            return _pairs(state, values, residuals, count, iteration, EigenFlag.WARN_NO_DIRECTIONS)
-        last, values, c = values, t[:width], c[:, :width]
-        d = c.copy()
-        d[:width] = 0  # the new directions leave out the old block
-        made = {f"{o}{end}": ([f"{o}{k}" for k in kinds], m) for o in (("", "a", "b") if apply_b else ("", "a")) for end, m in (("x", c), ("p", d))}
-        state, has_p = mixed(work, made), True
-    return _pairs(cut(state), values, residuals, count, options.max_iterations, EigenFlag.WARN_MAX_ITERATIONS)
-
-
-def _pairs(state: DataFrame, values: np.ndarray, residuals: np.ndarray, count: int, iterations: int, flag: EigenFlag) -> Eigenpairs:
-    return Eigenpairs(values[:count], _sized(state.select("i", F.slice("x", 1, count).alias("w")), count), residuals[:count], iterations, flag)
-
-
-def _negated(apply: Block) -> Block:
-    return lambda block: apply(block).withColumn("w", F.transform("w", lambda v: -v))
-
-
-def standard(a: SparseMatrix, left: int, right: int = 0, precondition: Block | None = None, options: Options = Options()) -> Eigenpairs:
-    """The left leftmost and right rightmost pairs of A."""
-    return generalized(a, None, left, right, precondition, options)
-
-
-def generalized(a: SparseMatrix, b: SparseMatrix | None, left: int, right: int = 0, precondition: Block | None = None, options: Options = Options()) -> Eigenpairs:
-    apply_b = times(b) if b is not None else None
-    low = smallest(a.spark, a.n, left, times(a), apply_b, precondition, options)
-    if not right:
-        return low
-    high = smallest(a.spark, a.n, right, _negated(times(a)), apply_b, None, options)
-    return _joined(low, replace(high, values=-high.values))
+    fixed = _width(constraints) if constraints is not None else 0
+    for count, flag in ((wanted.left, EigenFlag.LEFT), (wanted.right, EigenFlag.RIGHT), (wanted.largest, EigenFlag.LEFT)):
+        if count < 0 or 2 * count > n - fixed:
+            raise EigenError(flag)
+    if wanted.count > n - fixed:
+        raise EigenError(EigenFlag.RIGHT)
+    if not wanted.count:
+        return Eigenpairs(np.zeros(0), _sized(spark.createDataFrame([], "i long, w array<double>"), 0), np.zeros(0), 0)
+    ends = 1 if wanted.largest or not (wanted.left and wanted.right) else 2
+    width = options.block or min(wanted.count + ends * (options.extra or max(wanted.count // 10, 10)), max(n // 2 - 1, wanted.count, 1))
+    return Engine(spark, n, wanted, apply_a, apply_b, precondition, options).run(max(min(width, n - fixed), 1), start, constraints)
 
 
-def largest(a: SparseMatrix, count: int, b: SparseMatrix | None = None, options: Options = Options()) -> Eigenpairs:
-    """The pairs of largest modulus, from both ends of the spectrum."""
-    both = generalized(a, b, count, count, None, options)
-    keep = np.argsort(-np.abs(both.values), kind="stable")[:count]
-    return replace(both, values=both.values[keep], residuals=both.residuals[keep], vectors=_sized(both.vectors.select("i", F.array(*(F.col("w")[int(k)] for k in keep)).alias("w")), count))
+def smallest(spark, n: int, count: int, apply_a: Block, apply_b: Block | None = None, precondition: Block | None = None, options: Options = Options(), start: DataFrame | None = None, constraints: DataFrame | None = None) -> Eigenpairs:
+    """The `count` leftmost pairs."""
+    return extreme(spark, n, Wanted(left=count), apply_a, apply_b, precondition, options, start, constraints)
+
 
+def standard(a: SparseMatrix, left: int, right: int = 0, precondition: Block | None = None, options: Options = Options(), start: DataFrame | None = None, constraints: DataFrame | None = None) -> Eigenpairs:
+    """The left leftmost and right rightmost pairs of A, in one run."""
+    return generalized(a, None, left, right, precondition, options, start, constraints)
 
-def _joined(low: Eigenpairs, high: Eigenpairs) -> Eigenpairs:
-    order = np.argsort(np.append(low.values, high.values), kind="stable")
-    both = low.vectors.join(high.vectors.select("i", F.col("w").alias("h")), "i", "full") if len(low.values) else high.vectors.withColumn("h", F.array().cast("array<double>"))
-    flat = F.concat("w", "h")
-    vectors = _sized(both.select("i", F.array(*(flat[int(k)] for k in order)).alias("w")), len(order))
-    return Eigenpairs(np.append(low.values, high.values)[order], vectors, np.append(low.residuals, high.residuals)[order], max(low.iterations, high.iterations), EigenFlag(max(low.flag, high.flag)))
+
+def generalized(a: SparseMatrix, b: SparseMatrix | None, left: int, right: int = 0, precondition: Block | None = None, options: Options = Options(), start: DataFrame | None = None, constraints: DataFrame | None = None) -> Eigenpairs:
+    return extreme(a.spark, a.n, Wanted(left, right), times(a), times(b) if b is not None else None, precondition, options, start, constraints)
+
+
+def largest(a: SparseMatrix, count: int, b: SparseMatrix | None = None, options: Options = Options()) -> Eigenpairs:
+    """The pairs of largest modulus. The block is divided between the ends anew at each step, by where the larger values are."""
+    return extreme(a.spark, a.n, Wanted(largest=count), times(a), times(b) if b is not None else None, None, options)
 
 
 def _shifted(a: SparseMatrix, b: SparseMatrix | None, sigma: float) -> SparseMatrix:
@@ -297,12 +541,14 @@ def buckling(a: SparseMatrix, b: SparseMatrix, sigma: float, left: int, right: i
 
 
 def _mapped(a: SparseMatrix, operator: Block, metric: Block | None, left: int, right: int, options: Options, back) -> Eigenpairs:
-    empty = smallest(a.spark, a.n, 0, operator)
-    low = smallest(a.spark, a.n, left, operator, metric, None, options) if left else empty
-    high = smallest(a.spark, a.n, right, _negated(operator), metric, None, options) if right else empty
-    low = replace(low, values=back(low.values)) if left else low
-    high = replace(high, values=back(-high.values)) if right else high
-    return _joined(low, high) if left and right else (low if left else high)
+    """Pairs of the operator at both ends, in one run, as pairs of the problem, in ascending order."""
+    got = extreme(a.spark, a.n, Wanted(left, right), operator, metric, None, options)
+    if not left + right:
+        return got
+    values = back(got.values)
+    order = np.argsort(values, kind="stable")
+    vectors = _sized(got.vectors.select("i", F.array(*(F.col("w")[int(k)] for k in order)).alias("w")), len(order))
+    return replace(got, values=values[order], residuals=got.residuals[order], vectors=vectors, vector_errors=got.vector_errors[order], value_errors=got.value_errors[order])
 
 
 # Hermitian problems. A complex matrix acts on real and imaginary parts as a real symmetric one of twice the order, whose

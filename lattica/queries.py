@@ -432,3 +432,149 @@ def eigs_hermitian(spark, sf_dir):
     """An open chain of 20 with i below the diagonal and -i above."""
     e = spark.range(1, 20).select((F.col("id") + 1).alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("re"), F.lit(1.0).alias("im"))
     return _values(spark, eigs.hermitian(e, 20, 2, eigs.Options(rel_tol_residual=1e-5)).values)
+
+
+# Stars: every customer is tied to its nation, and each nation's star is shifted by three times its region. The spectrum of a
+# star of n leaves is its shift s, s + 1 (n - 1 times) and s + n + 1, so it can be said from the tables.
+
+STARS = "SELECT n_nationkey AS k, 3 * any_value(n_regionkey) AS s, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey"
+SPECTRUM = f"SELECT k, s::DOUBLE AS v FROM ({STARS}) UNION ALL SELECT k, (s + 1)::DOUBLE FROM ({STARS}), range(1, n) UNION ALL SELECT k, (s + n + 1)::DOUBLE FROM ({STARS}) WHERE n > 0"
+
+
+def star_parts(spark, sf_dir) -> tuple[int, DataFrame, DataFrame]:
+    """The order; (i, j, k) of the ties, customer and nation; and (i, k, degree, shift) of all vertices, nations first. k: the nation."""
+    customers = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 26).cast("long").alias("i"), F.col("c_nationkey").cast("long").alias("k"))
+    ties = cut(customers.select("i", (F.col("k") + 1).alias("j"), "k"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), (3.0 * F.col("n_regionkey")).alias("shift"))
+    degrees = ties.groupBy("j").agg(F.count("*").cast("double").alias("degree"))
+    centres = nations.join(degrees, F.col("j") == F.col("k") + 1, "left").select((F.col("k") + 1).alias("i"), "k", F.coalesce("degree", F.lit(0.0)).alias("degree"), "shift")
+    leaves = ties.join(F.broadcast(nations), "k").select("i", "k", F.lit(1.0).alias("degree"), "shift")  # 25 nations
+    vertices = cut(centres.unionByName(leaves))
+    return int(vertices.agg(F.max("i")).first()[0]), ties, vertices
+
+
+def stars(spark, sf_dir, factor: F.Column | None = None, more: float = 0.0) -> SparseMatrix:
+    """The matrix of the stars, each times its factor (of k), with `more` added to the diagonal first."""
+    n, ties, vertices = star_parts(spark, sf_dir)
+    own = F.lit(1.0) if factor is None else factor
+    e = vertices.select("i", F.col("i").alias("j"), ((F.col("degree") + F.col("shift") + more) * own).alias("v")).unionByName(ties.select("i", "j", (-1.0 * own).alias("v")))
+    return SparseMatrix(cut(e), n, n, MatrixType.REAL_SYM_INDEF)
+
+
+def star_metric(spark, sf_dir, weight: F.Column) -> SparseMatrix:
+    """Diagonal: the weight (of k) of each vertex's nation."""
+    n, _, vertices = star_parts(spark, sf_dir)
+    return SparseMatrix(cut(vertices.select("i", F.col("i").alias("j"), weight.cast("double").alias("v"))), n, n, MatrixType.REAL_SYM_PSDEF)
+
+
+def turned_stars(spark, sf_dir) -> tuple[DataFrame, int]:
+    """The stars with a unit on each tie, 1, i, -1 or -i by customer, in place of a sign: Hermitian, of the same spectrum."""
+    n, ties, vertices = star_parts(spark, sf_dir)
+    turn = F.col("i") % 4
+    re, im = F.when(turn == 0, -1.0).when(turn == 2, 1.0).otherwise(0.0), F.when(turn == 1, -1.0).when(turn == 3, 1.0).otherwise(0.0)
+    e = vertices.select("i", F.col("i").alias("j"), (F.col("degree") + F.col("shift")).alias("re"), F.lit(0.0).alias("im")).unionByName(ties.select("i", "j", re.alias("re"), im.alias("im")))
+    return cut(e), n
+
+
+def _ranked(*parts: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY v)::BIGINT AS k, round(v, 5) AS value FROM ({' UNION ALL '.join(f'SELECT v FROM ({x})' for x in parts)})"
+
+
+def _near(spectrum: str, at: float, left: int, right: int) -> list[str]:
+    return [f"SELECT v FROM ({spectrum}) WHERE v {op} {at} ORDER BY v {way} LIMIT {k}" for op, way, k in (("<", "DESC", left), (">", "ASC", right)) if k]
+
+
+def _end(spectrum: str, way: str, k: int) -> str:
+    return f"SELECT v FROM ({spectrum}) ORDER BY v {way} LIMIT {k}"
+
+
+def _found(got: eigs.Eigenpairs) -> DataFrame:
+    values = [(k + 1, round(float(v), 5) + 0.0) for k, v in enumerate(got.values)]  # as many as were asked for
+    spark = got.vectors.sparkSession
+    got.free()
+    return spark.createDataFrame(values, "k long, value double")
+
+
+CLOSE = eigs.Options(rel_tol_residual=1e-6)
+
+
+@query("eigs_deflated", _ranked(_end(SPECTRUM, "ASC", 8)))
+def eigs_deflated(spark, sf_dir):
+    """Eight leftmost pairs, of which many are multiple, in blocks of three: converged ones are locked and fresh directions come in."""
+    a = stars(spark, sf_dir)
+    return _found(eigs.standard(a, 8, precondition=eigs.jacobi(a), options=replace(CLOSE, block=3)))
+
+
+@query("eigs_two_ended", _ranked(_end(SPECTRUM, "ASC", 2), _end(SPECTRUM, "DESC", 3)))
+def eigs_two_ended(spark, sf_dir):
+    """Both ends in one run."""
+    a = stars(spark, sf_dir)
+    return _found(eigs.standard(a, 2, 3, eigs.jacobi(a), CLOSE))
+
+
+SIGNED = f"SELECT CASE WHEN k % 2 = 0 THEN v ELSE -v END AS v FROM ({SPECTRUM})"
+
+
+@query("eigs_largest", _ranked(f"SELECT v FROM ({SIGNED}) ORDER BY abs(v) DESC, v LIMIT 5"))
+def eigs_largest(spark, sf_dir):
+    """The five values of largest modulus where every other star is negative."""
+    sign = F.when(F.col("k") % 2 == 0, 1.0).otherwise(-1.0)
+    return _found(eigs.largest(stars(spark, sf_dir, sign), 5, options=CLOSE))
+
+
+@query("eigs_by_vector_error", _ranked(_end(SPECTRUM, "DESC", 3)))
+def eigs_by_vector_error(spark, sf_dir):
+    """Stops by the estimated errors of the vectors alone."""
+    return _found(eigs.standard(stars(spark, sf_dir), 0, 3, options=eigs.Options(rel_tol_residual=0.0, tol_vector=1e-4)))
+
+
+@query("eigs_restarted", _ranked(_end(SPECTRUM, "DESC", 4)))
+def eigs_restarted(spark, sf_dir):
+    """Two rightmost pairs, then two more, orthogonal to the first."""
+    a = stars(spark, sf_dir)
+    first = eigs.standard(a, 0, 2, options=CLOSE)
+    more = eigs.standard(a, 0, 2, options=CLOSE, constraints=first.vectors)
+    both = replace(more, values=np.sort(np.append(first.values, more.values)))
+    first.free()
+    return _found(both)
+
+
+WEIGHT = "(1 + k % 3)"
+WEIGHTED = f"SELECT v / {WEIGHT} AS v FROM ({SPECTRUM})"
+HALVES = f"SELECT k, v + 1 AS v FROM ({SPECTRUM})"  # of the positive definite stars
+
+
+def _weight() -> F.Column:
+    return 1 + F.col("k") % 3
+
+
+@query("eigs_generalized_stars", _ranked(_end(WEIGHTED, "DESC", 3)))
+def eigs_generalized_stars(spark, sf_dir):
+    return _found(eigs.generalized(stars(spark, sf_dir), star_metric(spark, sf_dir, _weight()), 0, 3, options=CLOSE))
+
+
+@query("eigs_shift_stars", _ranked(*_near(SPECTRUM, 0.5, 2, 2)))
+def eigs_shift_stars(spark, sf_dir):
+    return _found(eigs.shift_invert(stars(spark, sf_dir), 0.5, 2, 2, options=CLOSE))
+
+
+@query("eigs_generalized_shift_stars", _ranked(*_near(WEIGHTED, 2.25, 1, 1)))
+def eigs_generalized_shift_stars(spark, sf_dir):
+    return _found(eigs.shift_invert(stars(spark, sf_dir), 2.25, 1, 1, star_metric(spark, sf_dir, _weight()), CLOSE))
+
+
+@query("eigs_buckling_stars", _ranked(*_near(f"SELECT v / {WEIGHT} AS v FROM ({HALVES})", 1.2, 1, 1)))
+def eigs_buckling_stars(spark, sf_dir):
+    return _found(eigs.buckling(stars(spark, sf_dir, more=1.0), star_metric(spark, sf_dir, _weight()), 1.2, 1, 1, CLOSE))
+
+
+@query("eigs_hermitian_stars", _ranked(_end(SPECTRUM, "DESC", 2)))
+def eigs_hermitian_stars(spark, sf_dir):
+    e, n = turned_stars(spark, sf_dir)
+    return _found(eigs.hermitian(e, n, 0, CLOSE, right=2))
+
+
+@query("eigs_hermitian_shift_stars", _ranked(*_near(SPECTRUM, 0.5, 1, 1)))
+def eigs_hermitian_shift_stars(spark, sf_dir):
+    e, n = turned_stars(spark, sf_dir)
+    return _found(eigs.hermitian_shift_invert(e, n, 0.5, 1, 1, options=CLOSE))
