@@ -2,8 +2,9 @@
 
 The plan needs the pattern's index arrays in one place; values, fronts and factors are distributed. Factorization walks the
 levels of tasks: each task is a subtree of fronts, gets its entries of A and the contribution blocks of its children, and
-hands on one block per child of another task. A solve walks the same levels up and down; each task sees only the parts of
-the right-hand side that its fronts hold.
+hands on one block per child of another task. A solve walks the same levels up and down: the vectors are rows (task,
+position, values) that meet the fronts task by task, and what a task has to tell another one is a row addressed to it. Once
+the pivots are known, every task learns which tasks hold the positions below its fronts, and which ask for its own.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from ..matrix import MatrixType, SparseMatrix
 from ..plans import symbolic
 from . import scaling as scalings
-from .cutting import cut
-from .frontal import NotPositiveDefinite, SingularMatrix, apply_inverse_d, cholesky_front, inertia, ldlt_front, solve_lower, solve_lower_transposed
+from .cutting import Workspace, cut
+from .frontal import Front, NotPositiveDefinite, SingularMatrix, apply_inverse_d, cholesky_front, inertia, ldlt_app_front, ldlt_front, ldlt_plain_front, solve_lower, solve_lower_transposed
 
 
 class SolverFlag(IntEnum):
@@ -62,6 +63,7 @@ class Options:
     small: float = 1e-20
     action: bool = True  # go on when the matrix is singular
     task_flops: int = 32_000_000
+    pivoting: str = "a posteriori"  # or "threshold", "none"
 
 
 @dataclass(frozen=True)
@@ -77,8 +79,10 @@ class Analysis:
 class Factors:
     analysis: Analysis
     positive: bool
-    fronts: DataFrame  # level, task, payload: the pickled fronts of a task, in order
-    scaling: np.ndarray | None
+    fronts: DataFrame  # level, task, payload: the pickled fronts of a task, in order; below, asked: see _linked()
+    places: DataFrame  # i, p (position), s (scaling)
+    owners: DataFrame  # p, task, level: where each position is eliminated
+    space: Workspace
     num_delayed: int = 0
     num_two: int = 0
     num_negative: int = 0
@@ -96,6 +100,10 @@ class Factors:
         n = self.analysis.plan.n
         return self.num_negative, self.num_zero, n - self.num_negative - self.num_zero
 
+    def free(self) -> None:
+        """Gives back what fronts and solutions take in the shared folder; neither can be read any more."""
+        self.space.free()
+
 
 def analyse(matrix: SparseMatrix, options: Options = Options(), order: list[int] | None = None, flag: SolverFlag = SolverFlag.SUCCESS) -> Analysis:
     """matrix: symmetric, lower triangle. order[k]: the (1-based) variable to eliminate k-th, for ordering 0."""
@@ -169,55 +177,112 @@ def factor(analysis: Analysis, positive: bool = False, entries: DataFrame | None
     matrix = analysis.matrix.with_entries(entries) if entries is not None else analysis.matrix
     spark, n = matrix.spark, plan.n
     s_df = _scaled(analysis, matrix, scale)
-    s = None
-    if s_df is not None:
-        s = np.ones(n)
-        got = s_df.toPandas()
-        s[got.i.to_numpy() - 1] = got.iloc[:, 1].to_numpy()
+    space = Workspace(spark)
     position = np.empty(n, dtype=np.int64)
     position[plan.order] = np.arange(n)
-    node_at = np.empty(n, dtype=np.int64)
+    node_task, node_level = (np.array([getattr(x, k) for x in plan.nodes], dtype=np.int64) for k in ("task", "level"))
+    task_at = np.empty(n, dtype=np.int64)
     for k, x in enumerate(plan.nodes):
-        node_at[x.pivots] = k
-    task_at = np.array([plan.nodes[k].task for k in node_at], dtype=np.int64) if n else np.zeros(0, np.int64)
-    variables = pd.DataFrame({"i": np.arange(1, n + 1), "pos": position, "task": task_at[position], "s": s if s is not None else np.ones(n)})
-    place = spark.createDataFrame(variables, "i long, pos long, task long, s double") if n else spark.createDataFrame([], "i long, pos long, task long, s double")
-    a = place.select("i", F.col("pos").alias("pi"), F.col("task").alias("ti"), F.col("s").alias("si"))
-    b = place.select(F.col("i").alias("j"), F.col("pos").alias("pj"), F.col("task").alias("tj"), F.col("s").alias("sj"))
+        task_at[x.pivots] = node_task[k]
+    planned = spark.createDataFrame(pd.DataFrame({"i": np.arange(1, n + 1), "p": position, "task": task_at[position]}), "i long, p long, task long") if n else spark.createDataFrame([], "i long, p long, task long")
+    if s_df is not None:
+        named = s_df.toDF("i", "s")
+        planned = planned.join(named, "i", "left").select("i", "p", "task", F.coalesce("s", F.lit(1.0)).alias("s"))
+    else:
+        planned = planned.withColumn("s", F.lit(1.0))
+    planned = space.keep(planned)
+    a = planned.select("i", F.col("p").alias("pi"), F.col("task").alias("ti"), F.col("s").alias("si"))
+    b = planned.select(F.col("i").alias("j"), F.col("p").alias("pj"), F.col("task").alias("tj"), F.col("s").alias("sj"))
     moved = matrix.entries.join(a, "i").join(b, "j").select(F.when(F.col("pi") < F.col("pj"), F.col("ti")).otherwise(F.col("tj")).alias("task"), F.greatest("pi", "pj").alias("r"), F.least("pi", "pj").alias("c"), (F.col("v") * F.col("si") * F.col("sj")).alias("v"))
-    moved = cut(moved)
     tasks = _task_nodes(plan)
-    level_of = {t: plan.nodes[t_nodes[-1].number].level for t, t_nodes in tasks.items()}
-    structure = spark.createDataFrame([(t, level_of[t], pickle.dumps(x)) for t, x in tasks.items()], "task long, level int, nodes binary")
-    node_task = np.array([x.task for x in plan.nodes], dtype=np.int64)
-    opts = (positive, options.u, options.small, options.action)
+    level_of = {t: int(node_level[t_nodes[-1].number]) for t, t_nodes in tasks.items()}
+    structure = space.keep(spark.createDataFrame([(t, level_of[t], pickle.dumps(x)) for t, x in tasks.items()], "task long, level int, nodes binary"))
+    moved = space.keep(moved.join(F.broadcast(structure.select("task", "level")), "task"))  # some hundred tasks
+    opts = (positive, options.u, options.small, options.action, options.pivoting)
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _factor_task(int(key[0]), pdf, node_task, opts)
+        return _factor_task(int(key[0]), pdf, node_task, node_level, opts)
 
     schema = "task long, level int, kind int, payload binary, stats array<long>"
-    columns = ["task", "kind", "r", "c", "v", "payload"]
-    own = moved.select("task", F.lit(0).alias("kind"), "r", "c", "v", F.lit(None).cast("binary").alias("payload"))
-    blocks = spark.createDataFrame([], "task long, kind int, r long, c long, v double, payload binary")
-    fronts = []
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    done = _Addressed(space, schema, ["kind", "level"])
     for level in range(plan.depth):
         now = structure.where(F.col("level") == level)
-        heads = now.select("task", F.lit(1).alias("kind"), F.col("level").cast("long").alias("r"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("v"), F.col("nodes").alias("payload"))
-        work = heads.unionByName(own.join(now.select("task"), "task", "left_semi").select(columns)).unionByName(blocks.join(now.select("task"), "task", "left_semi").select(columns))
+        heads = now.select("task", F.lit(1).alias("kind"), F.col("level").cast("long").alias("r"), none("long", "c"), none("double", "v"), F.col("nodes").alias("payload"))
+        own = moved.where(F.col("level") == level).select("task", F.lit(0).alias("kind"), "r", "c", "v", none("binary", "payload"))
+        work = heads.unionByName(own)
+        if level:  # what earlier levels have handed to this one
+            work = work.unionByName(done.rows(kind=1, level=level).select("task", F.lit(2).alias("kind"), none("long", "r"), none("long", "c"), none("double", "v"), "payload"))
         try:
-            done = cut(work.groupBy("task").applyInPandas(run, schema))
+            done.add(work.groupBy("task").applyInPandas(run, schema))
         except Exception as e:  # the kernels' errors come back as text
+            space.free()
             raise _translated(e) from e
-        fronts.append(done.where("kind = 0").select("level", "task", "payload", "stats"))
-        blocks = blocks.unionByName(done.where("kind = 1").select("task", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("v"), "payload"))
-    if not fronts:
-        return Factors(analysis, positive, spark.createDataFrame([], "level int, task long, payload binary"), s)
-    every = fronts[0]
-    for f in fronts[1:]:
-        every = every.unionByName(f)
+    space.drop(moved, structure)
+    if not plan.depth:
+        empty = spark.createDataFrame([], "level int, task long, payload binary, below binary, asked binary")
+        return Factors(analysis, positive, empty, planned.select("i", "p", "s"), spark.createDataFrame([], "p long, task long, level int"), space)
+    every = done.rows(kind=0)
     t = every.agg(*(F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(5)), F.max(F.col("stats")[5]).alias("s5")).first()
     flag = SolverFlag.WARN_FACTOR_SINGULAR if t["s3"] and analysis.flag == SolverFlag.SUCCESS else analysis.flag
-    return Factors(analysis, positive, cut(every.select("level", "task", "payload")), s, t["s0"], t["s1"], t["s2"], t["s3"], t["s4"], t["s5"], flag)
+    fronts, owners = _linked(every.select("level", "task", "payload"), space)
+    done.free()
+    return Factors(analysis, positive, fronts, planned.select("i", "p", "s"), owners, space, t["s0"], t["s1"], t["s2"], t["s3"], t["s4"], t["s5"], flag)
+
+
+class _Addressed:
+    """Rows written in a folder by what they are and where they go, so that each level reads what is for it, and only that."""
+
+    def __init__(self, space: Workspace, schema: str, by: list[str]) -> None:
+        self.space, self.schema, self.by, self.path, self.empty = space, schema, by, space.path(), True
+
+    def add(self, rows: DataFrame) -> None:
+        rows.write.mode("append").partitionBy(*self.by).parquet(self.path)
+        self.empty = False
+
+    def rows(self, **where: int) -> DataFrame:
+        found = self.space.spark.read.schema(self.schema).parquet(self.path)
+        for k, v in where.items():
+            found = found.where(F.col(k) == v)
+        return found
+
+    def free(self) -> None:
+        self.space.remove(self.path)
+
+
+def _linked(fronts: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """fronts with below (positions below a task's fronts, and the tasks and levels that hold them) and asked (its positions that others' fronts have below, and those tasks and levels), pickled arrays; and who holds what.
+
+    Pivots may have been delayed into other tasks than the plan's, so this is found from the fronts.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for level, task, payload in zip(pdf.level, pdf.task, pdf.payload, strict=True):
+                fronts = pickle.loads(payload)
+                own = {p for rows, k, _, _ in fronts for p in rows[:k]}
+                out = {p for rows, k, _, _ in fronts for p in rows[k:]} - own
+                yield pd.DataFrame({"p": [*own, *out], "task": task, "level": level, "own": [True] * len(own) + [False] * len(out)})
+
+    held = space.keep(fronts.mapInPandas(run, "p long, task long, level int, own boolean"))
+    owners = space.keep(held.where("own").select("p", "task", "level"))
+    need = held.where("not own").select("p", F.col("task").alias("at"), F.col("level").alias("at_level"))
+    links = space.keep(need.join(owners, "p"))
+    triple = lambda *c: F.sort_array(F.collect_list(F.struct(*c))).alias("links")  # noqa: E731  as many as a task's fronts have rows below, or neighbours
+    below = links.groupBy(F.col("at").alias("task")).agg(triple("p", F.col("task").alias("t"), F.col("level").alias("l")))
+    asked = links.groupBy("task").agg(triple("p", F.col("at").alias("t"), F.col("at_level").alias("l")))
+    packed = lambda df, name: df.mapInPandas(_packer(name), f"task long, {name} binary")
+    linked = space.keep(fronts.join(packed(below, "below"), "task", "left").join(packed(asked, "asked"), "task", "left").select("level", "task", "payload", "below", "asked"))
+    space.drop(held, links)
+    return linked, owners
+
+
+def _packer(name: str):
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"task": pdf.task, name: [pickle.dumps(np.array([(x["p"], x["t"], x["l"]) for x in links], dtype=np.int64).reshape(-1, 3)) for links in pdf.links]})
+
+    return run
 
 
 def _translated(e: Exception) -> Exception:
@@ -229,8 +294,19 @@ def _translated(e: Exception) -> Exception:
     return e
 
 
-def _factor_task(task: int, pdf: pd.DataFrame, node_task: np.ndarray, opts: tuple) -> pd.DataFrame:
-    positive, u, small, action = opts
+KERNELS = {"a posteriori": ldlt_app_front, "threshold": ldlt_front}
+
+
+def _eliminated(front: np.ndarray, n: int, rows: list[int], opts: tuple) -> Front:
+    positive, u, small, action, pivoting = opts
+    if positive:
+        return cholesky_front(front, n, rows)
+    if pivoting == "none":
+        return ldlt_plain_front(front, n, rows, small, action)
+    return KERNELS[pivoting](front, n, rows, u, small, action)
+
+
+def _factor_task(task: int, pdf: pd.DataFrame, node_task: np.ndarray, node_level: np.ndarray, opts: tuple) -> pd.DataFrame:
     head = pdf[pdf.kind == 1].iloc[0]
     nodes: list[TaskNode] = pickle.loads(head.payload)
     a = pdf[pdf.kind == 0].sort_values(["c", "r"])
@@ -255,7 +331,7 @@ def _factor_task(task: int, pdf: pd.DataFrame, node_task: np.ndarray, opts: tupl
             k = [at[p] for p in names]
             front[np.ix_(k, k)] += block
         n = len(late) + len(x.pivots)
-        f = cholesky_front(front, n, rows) if positive else ldlt_front(front, n, rows, u, small, action)
+        f = _eliminated(front, n, rows, opts)
         if x.parent < 0 and f.eliminated < n:
             raise SingularMatrix("a root could not be eliminated")
         done.append((f.rows, f.eliminated, f.l, f.d))
@@ -272,100 +348,157 @@ def _factor_task(task: int, pdf: pd.DataFrame, node_task: np.ndarray, opts: tupl
             if node_task[x.parent] == task:
                 pending.setdefault(x.parent, []).append(gift)
             else:
-                out.append((int(node_task[x.parent]), pickle.dumps((x.parent, *gift))))
-    made = [(task, int(head.r), 0, pickle.dumps(done), stats.tolist())] + [(t, int(head.r), 1, p, None) for t, p in out]
+                out.append((int(node_task[x.parent]), int(node_level[x.parent]), 1, pickle.dumps((x.parent, *gift)), None))
+    made = [(task, int(head.r), 0, pickle.dumps(done), stats.tolist()), *out]
     return pd.DataFrame(made, columns=["task", "level", "kind", "payload", "stats"])
 
 
-def solve(factors: Factors, b: DataFrame | np.ndarray, job: int = 0) -> np.ndarray | DataFrame:
-    """x of A x = b; job 1 solves with the (permuted, scaled) L alone, 2 with D, 3 with L', 4 with D and L'.
+VECTOR_SCHEMA = "kind int, level int, task long, src long, p long, w array<double>"
+STARTED, ADDED, MIDDLE, TOLD, ENDED = range(5)  # kinds of rows: b, what is added to it from below, after L, what is told from above, after L'
 
-    b: a DataFrame (i, x), answered by one, or an array (n,) or (n, right-hand sides). A vector has a row per variable and
-    lives on the driver; the fronts stay on the executors.
-    """
-    plan = factors.analysis.plan
-    n, spark = plan.n, factors.analysis.matrix.spark
+
+def solve_block(factors: Factors, b: DataFrame, job: int = 0) -> DataFrame:
+    """(i, w) of A x = b for a block (i, w ARRAY<DOUBLE>) of right-hand sides; rows that b lacks are zero. For job, see solve()."""
     if job not in (0, 1, 2, 3, 4):
         raise SolverError(SolverFlag.JOB_OUT_OF_RANGE)
     if factors.positive and job in (2, 4):
         raise SolverError(SolverFlag.JOB_OUT_OF_RANGE, "there is no D")
-    frame = isinstance(b, DataFrame)
-    if frame:
-        got = b.toPandas()
-        x = np.zeros((n, 1))
-        x[got.i.to_numpy() - 1, 0] = got.x.to_numpy()
-    else:
-        x = np.asarray(b, dtype=float).reshape(len(b), -1).copy()
-        if len(x) != n:
-            raise SolverError(SolverFlag.X_SIZE)
-    order = np.array(plan.order, dtype=np.int64)
-    s = factors.scaling[:, None] if factors.scaling is not None else None
-    y = x * s if s is not None and job in (0, 1) else x
-    y = y[order]
-    levels = range(plan.depth)
+    depth, spark = factors.analysis.plan.depth, factors.space.spark
+    if not depth:
+        return b.limit(0).select("i", "w")
+    times = lambda keep: F.transform("w", lambda x: x * F.col("s")) if keep else F.col("w")
+    vectors = _Addressed(factors.space, VECTOR_SCHEMA, ["kind", "level"])
+    at = b.select("i", "w").join(factors.places, "i").select("p", times(job in (0, 1)).alias("w")).join(factors.owners, "p")
+    first = STARTED if job in (0, 1) else MIDDLE
+    vectors.add(at.select(F.lit(first).alias("kind"), "level", "task", F.lit(-1).cast("long").alias("src"), "p", "w"))
+    width = vectors.rows(kind=first).select(F.size("w").alias("n")).first()
+    width = width["n"] if width else 1
+    unit = not factors.positive
+    end = ENDED
     if job in (0, 1):
-        for level in levels:
-            y = _sweep(spark, factors, y, level, "up")
-    if job in (0, 2, 4) and not factors.positive:
-        y = _sweep(spark, factors, y, None, "middle")
+        for level in range(depth):
+            rows = vectors.rows(level=level).where(F.col("kind").isin(STARTED, ADDED))
+            vectors.add(_met(factors, rows, level, _up(width, unit, divide=job == 0 and unit)))
+        end = MIDDLE
+    if job in (2, 4):
+        vectors.add(_met(factors, vectors.rows(kind=MIDDLE), None, _across(width)))
+        end = ENDED
     if job in (0, 3, 4):
-        for level in reversed(levels):
-            y = _sweep(spark, factors, y, level, "down")
-    x = np.empty_like(y)
-    x[order] = y
-    if s is not None and job in (0, 3, 4):
-        x = x * s
-    if frame:
-        return spark.createDataFrame(pd.DataFrame({"i": np.arange(1, n + 1), "x": x[:, 0]}), "i long, x double")
-    return x[:, 0] if np.ndim(b) == 1 else x
-
-
-def _sweep(spark, factors: Factors, y: np.ndarray, level: int | None, way: str) -> np.ndarray:
-    """One level of a triangular solve, or all of D: tasks give (position, value to set or add)."""
-    shared = spark.sparkContext.broadcast(y)
-    unit = not factors.positive
+        source = ENDED if job == 4 else MIDDLE
+        target = vectors if job != 4 else _Addressed(factors.space, VECTOR_SCHEMA, ["kind", "level"])
+        for level in reversed(range(depth)):
+            rows = vectors.rows(kind=source, level=level)
+            told = rows if target.empty else rows.unionByName(target.rows(kind=TOLD, level=level))
+            target.add(_met(factors, told, level, _down(width, unit)))
+        end, vectors = ENDED, target
+    return vectors.rows(kind=end).join(factors.places, "p").select("i", times(job in (0, 3, 4)).alias("w"))
+
+
+def _met(factors: Factors, rows: DataFrame, level: int | None, run) -> DataFrame:
+    """run(fronts of a task, vector rows of it) for each task of the level, or of all levels."""
+    fronts = factors.fronts if level is None else factors.fronts.where(F.col("level") == level)
+    return fronts.groupBy("task").cogroup(rows.groupBy("task")).applyInPandas(run, VECTOR_SCHEMA)
 
-    def run(batches):
-        for pdf in batches:
-            for payload in pdf.payload:
-                local: dict[int, np.ndarray] = {}  # positions as this task sees them
-                added: dict[int, np.ndarray] = {}  # what it adds to those of other tasks
-                fronts = pickle.loads(payload)
-                own = {p for rows, k, _, _ in fronts for p in rows[:k]}
-                see = lambda p, local=local: local.get(p, shared.value[p])
-                for rows, k, l, d in fronts if way != "down" else reversed(fronts):  # noqa: E741
-                    if not k:
-                        continue
-                    z = np.array([see(p) for p in rows[:k]])
-                    if way == "up":
-                        z = solve_lower(l[:k], z, unit)
-                        below = l[k:] @ z
-                        for p, w in zip(rows[k:], below, strict=True):
-                            if p in own:
-                                local[p] = see(p) - w
-                            else:
-                                added[p] = added.get(p, 0) - w
-                    elif way == "middle":
-                        z = apply_inverse_d(d, z)
-                    else:
-                        if len(rows) > k:
-                            z = z - l[k:].T @ np.array([see(p) for p in rows[k:]])
-                        z = solve_lower_transposed(l[:k], z, unit)
-                    local.update(zip(rows[:k], z, strict=True))
-                rows_out = [(p, True, local[p].tolist()) for p in local] + [(p, False, w.tolist()) for p, w in added.items()]
-                yield pd.DataFrame(rows_out, columns=["p", "own", "w"])
 
-    fronts = factors.fronts if level is None else factors.fronts.where(F.col("level") == level)
-    got = fronts.select("payload").mapInPandas(run, "p long, own boolean, w array<double>").toPandas()
-    out = y.copy()
-    shared.unpersist()
-    mine, other = got[got.own], got[~got.own]
-    if len(mine):
-        out[mine.p.to_numpy()] = np.array(mine.w.tolist())
-    if len(other):
-        other = other.sort_values("p", kind="stable")
-        np.add.at(out, other.p.to_numpy(), np.array(other.w.tolist()))
-    return out
+class _Part:
+    """What a task holds of the vectors: its own positions and those below its fronts."""
+
+    def __init__(self, front: pd.DataFrame, rows: pd.DataFrame, width: int) -> None:
+        head = front.iloc[0]
+        self.task, self.level = int(head.task), int(head.level)
+        self.fronts = pickle.loads(head.payload)
+        links = lambda x: np.zeros((0, 3), dtype=np.int64) if x is None else pickle.loads(x)
+        self.below, self.asked = links(head.below), links(head.asked)
+        self.own = np.array(sorted(p for names, k, _, _ in self.fronts for p in names[:k]), dtype=np.int64)
+        self.names = np.union1d(self.own, self.below[:, 0])
+        self.x = np.zeros((len(self.names), width))
+        if len(rows):
+            rows = rows.sort_values(["src", "p"], kind="stable")  # sums don't depend on the order of arrival
+            np.add.at(self.x, self.at(rows.p.to_numpy()), np.array(rows.w.tolist()))
+
+    def at(self, positions) -> np.ndarray:
+        return np.searchsorted(self.names, positions)
+
+    def message(self, kind: int, level, task, positions: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"kind": kind, "level": level, "task": task, "src": self.task, "p": positions, "w": self.x[self.at(positions)].tolist()})
+
+    def kept(self, kind: int) -> pd.DataFrame:
+        return self.message(kind, self.level, self.task, self.own)
+
+
+NOTHING = pd.DataFrame({"kind": [], "level": [], "task": [], "src": [], "p": [], "w": []})
+
+
+def _up(width: int, unit: bool, divide: bool):
+    """Solves with L; what is below goes to the tasks that hold it. divide: and with D."""
+
+    def run(front: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(front):
+            return NOTHING
+        part = _Part(front, rows, width)
+        for names, k, l, _ in part.fronts:  # noqa: E741
+            at = part.at(names)
+            z = solve_lower(l[:k], part.x[at[:k]], unit)
+            part.x[at[:k]] = z
+            part.x[at[k:]] -= l[k:] @ z
+        if divide:
+            _divide(part)
+        return pd.concat([part.kept(MIDDLE), part.message(ADDED, part.below[:, 2], part.below[:, 1], part.below[:, 0])])
+
+    return run
+
+
+def _divide(part: _Part) -> None:
+    for names, k, _, d in part.fronts:
+        at = part.at(names[:k])
+        part.x[at] = apply_inverse_d(d, part.x[at])
+
+
+def _across(width: int):
+    """Solves with D."""
+
+    def run(front: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(front):
+            return NOTHING
+        part = _Part(front, rows, width)
+        _divide(part)
+        return part.kept(ENDED)
+
+    return run
+
+
+def _down(width: int, unit: bool):
+    """Solves with L'; what other tasks ask for is told to them."""
+
+    def run(front: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(front):
+            return NOTHING
+        part = _Part(front, rows, width)
+        for names, k, l, _ in reversed(part.fronts):  # noqa: E741
+            at = part.at(names)
+            part.x[at[:k]] = solve_lower_transposed(l[:k], part.x[at[:k]] - l[k:].T @ part.x[at[k:]], unit)
+        return pd.concat([part.kept(ENDED), part.message(TOLD, part.asked[:, 2], part.asked[:, 1], part.asked[:, 0])])
+
+    return run
+
+
+def solve(factors: Factors, b: DataFrame | np.ndarray, job: int = 0) -> np.ndarray | DataFrame:
+    """x of A x = b; job 1 solves with the (permuted, scaled) L alone, 2 with D, 3 with L', 4 with D and L'.
+
+    b: a DataFrame (i, x), answered by one, or for small problems an array (n,) or (n, right-hand sides). Blocks of several
+    right-hand sides that stay where they are: solve_block().
+    """
+    if isinstance(b, DataFrame):
+        return solve_block(factors, b.select("i", F.array("x").alias("w")), job).select("i", F.col("w")[0].alias("x"))
+    n, spark = factors.analysis.plan.n, factors.analysis.matrix.spark
+    x = np.asarray(b, dtype=float).reshape(len(b), -1)
+    if len(x) != n:
+        raise SolverError(SolverFlag.X_SIZE)
+    block = spark.createDataFrame(pd.DataFrame({"i": np.arange(1, n + 1), "w": x.tolist()}), "i long, w array<double>")
+    got = solve_block(factors, block, job).toPandas()
+    out = np.empty_like(x)
+    out[got.i.to_numpy() - 1] = np.array(got.w.tolist())
+    return out[:, 0] if np.ndim(b) == 1 else out
 
 
 def enquire_positive(factors: Factors) -> np.ndarray:
@@ -422,7 +555,7 @@ def alter(factors: Factors, d: np.ndarray) -> Factors:
                 payloads.append(pickle.dumps(fronts))
             yield pdf.assign(payload=payloads)
 
-    return replace(factors, fronts=cut(factors.fronts.select("level", "task", "payload").mapInPandas(run, "level int, task long, payload binary")))
+    return replace(factors, fronts=factors.space.keep(factors.fronts.mapInPandas(run, "level int, task long, payload binary, below binary, asked binary")))
 
 
 def backward_error(matrix: SparseMatrix, x: np.ndarray, b: np.ndarray) -> float:

@@ -499,12 +499,10 @@ def _shifted(a: SparseMatrix, b: SparseMatrix | None, sigma: float) -> SparseMat
 
 
 def inverse(factors: direct.Factors) -> Block:
-    """Solves with factors, on blocks."""
+    """Solves with factors, on blocks, which stay where the fronts are."""
 
     def apply(block: DataFrame) -> DataFrame:
-        got = block.toPandas().sort_values("i")
-        x = direct.solve(factors, np.array(got.w.tolist()))
-        return _sized(block.sparkSession.createDataFrame(pd.DataFrame({"i": got.i.to_numpy(), "w": x.tolist()}), "i long, w array<double>"), x.shape[1])
+        return _sized(direct.solve_block(factors, block), _width(block))
 
     return apply
 
