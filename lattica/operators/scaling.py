@@ -1,7 +1,9 @@
 """Scalings: equilibration in the infinity norm, and by exact or auction matching.
 
 Equilibration is iterated grouped maxima. Matchings are exact per connected component of the bipartite graph, so each
-component is one task and a matrix of many blocks runs in parallel; one component is as sequential as the algorithm is.
+component is one task and a matrix of many blocks runs in parallel; one component is as sequential as the algorithm is. An
+auction is one task with its bids in order ("auction"), or rounds in which all bid at once, for matrices of any size
+("parallel auction").
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import SparseMatrix
+from .auction import parallel_auction
 from .cutting import cut
 from .matching import AuctionOptions, assign, auction
 from .vectors import small
@@ -139,7 +142,9 @@ def match(matrix: SparseMatrix, method: str = "hungarian", options: AuctionOptio
     logs = matrix.full().where("v <> 0").select("i", "j", F.log(F.abs("v")).alias("w"))
     if method == "hungarian":
         return cut(blocks(logs).groupBy("block").applyInPandas(lambda pdf: _exact(pdf), MATCH_SCHEMA))
-    # the auction's steps depend on the whole matrix: one task
+    if method == "parallel auction":
+        return parallel_auction(logs.groupBy("i", "j").agg(F.max("w").alias("w")), matrix.m, matrix.n, options)
+    # the steps of the auction in order depend on the whole matrix: one task
     return cut(logs.withColumn("block", F.lit(0)).groupBy("block").applyInPandas(lambda pdf: _auction(pdf, options), MATCH_SCHEMA))
 
 

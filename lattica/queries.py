@@ -240,10 +240,16 @@ def match_hungarian(spark, sf_dir):
     return _held(a, scaling.match_scaling(a, scale_if_singular=True), 1 + 1e-9)
 
 
-@query("match_auction")
+@query("match_auction", f"SELECT n::BIGINT AS matched, n::BIGINT AS rows, n::BIGINT AS columns, n::BIGINT AS near, 0::BIGINT AS over FROM (SELECT least(count(DISTINCT i), count(DISTINCT j)) AS n FROM ({MATRIX}))")
 def match_auction(spark, sf_dir):
-    a = trade(spark, sf_dir)
-    return _held(a, scaling.match_scaling(a, "auction"), 2.0).drop("ones")
+    """Customers bid for parts, all at once: how many are matched, at most once, on stored entries, within the last eps of 1 when scaled; and how many scaled entries are above 1."""
+    a = customer_part(spark, sf_dir)
+    a = a.with_entries(cut(a.entries))
+    got = scaling.match_scaling(a, "parallel auction")
+    scaled = scaling.apply_scaling(a, got)
+    over = scaled.where(F.abs("v") > 1 + 1e-9).agg(F.count("*").alias("over"))
+    hit = scaled.join(got.match, ["i", "j"])
+    return hit.agg(F.count("*").alias("matched"), F.countDistinct("i").alias("rows"), F.countDistinct("j").alias("columns"), F.count(F.when(F.abs("v") > 0.6, 1)).alias("near")).crossJoin(F.broadcast(over))  # one row each
 
 
 @query("pattern_bins", f"WITH n AS (SELECT greatest((SELECT max(c_custkey) + 1 FROM customer), (SELECT max(p_partkey) + 1 FROM part)) AS k) SELECT floor((j - 1) * least(600, k) / k)::BIGINT AS px, floor((i - 1) * least(600, k) / k)::BIGINT AS py, count(*)::BIGINT AS entries FROM ({MATRIX}), n GROUP BY 1, 2")
