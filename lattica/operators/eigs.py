@@ -277,7 +277,8 @@ class Errors:
 class Engine:
     """The iteration. Its table has i and array columns: block x, directions p, locked y, each with its products by A (and B)."""
 
-    def __init__(self, spark, n: int, wanted: Wanted, apply_a: Block, apply_b: Block | None, precondition: Block | None, options: Options) -> None:
+    def __init__(self, spark, n: int, wanted: Wanted, apply_a: Block, apply_b: Block | None, precondition: Block | None, options: Options, inner: bool = False) -> None:
+        self.inner = inner and apply_b is not None  # A is given as B^-1 A, which is symmetric in the metric of B
         self.spark, self.n, self.wanted, self.options = spark, n, wanted, options
         self.apply_a, self.apply_b, self.precondition = apply_a, apply_b, precondition
         self.forms = ("", "a", "b") if apply_b else ("", "a")
@@ -324,11 +325,12 @@ class Engine:
         """A and the metric on the span of the columns of all kinds."""
         columns = [f"{o}{k}" for k in kinds for o in self.forms]
         upper = [(p, q) for a, p in enumerate(kinds) for q in kinds[a:]]
-        pairs = [(p, f"a{q}") for p, q in upper] + [(p, self.metric(q)) for p, q in upper]
+        side = self.metric if self.inner else lambda p: p
+        pairs = [(side(p), f"a{q}") for p, q in upper] + [(p, self.metric(q)) for p, q in upper]
         extra = ["r"] if "w" in kinds else []
         g = gram_matrices(frame, [*columns, *extra], pairs + [(r, r) for r in extra])
-        whole = lambda f: np.block([[g[p, f(q)] if a <= b else g[q, f(p)].T for b, q in enumerate(kinds)] for a, p in enumerate(kinds)])
-        ga, gb = whole(lambda q: f"a{q}"), whole(self.metric)
+        whole = lambda e, f: np.block([[g[e(p), f(q)] if a <= b else g[e(q), f(p)].T for b, q in enumerate(kinds)] for a, p in enumerate(kinds)])
+        ga, gb = whole(side, lambda q: f"a{q}"), whole(lambda p: p, self.metric)
         self.residuals = np.sqrt(np.maximum(np.diag(g["r", "r"]), 0)) if extra else None
         return (ga + ga.T) / 2, (gb + gb.T) / 2
 
@@ -353,7 +355,7 @@ class Engine:
             if base.shape[1]:
                 made[f"{o}y"] = columns, base
         x = span @ coefficients
-        made["r"] = [f"a{k}" for k in kinds] + [self.metric(k) for k in kinds], np.concatenate([x, -x * self.values])
+        made["r"] = [f"a{k}" for k in kinds] + [k if self.inner else self.metric(k) for k in kinds], np.concatenate([x, -x * self.values])
         self.state, self.has_p = mixed(work, made), bool(old)
         return True
 
@@ -452,8 +454,8 @@ class Engine:
         return Eigenpairs(table[own, 0], _sized(vectors, len(own)), table[own, 2], number, flag, table[own, 3], table[own, 4], self.space)
 
 
-def extreme(spark, n: int, wanted: Wanted, apply_a: Block, apply_b: Block | None = None, precondition: Block | None = None, options: Options = Options(), start: DataFrame | None = None, constraints: DataFrame | None = None) -> Eigenpairs:
-    """The wanted pairs of A x = lambda B x, B positive definite (none: identity), in one run.
+def extreme(spark, n: int, wanted: Wanted, apply_a: Block, apply_b: Block | None = None, precondition: Block | None = None, options: Options = Options(), start: DataFrame | None = None, constraints: DataFrame | None = None, inner: bool = False) -> Eigenpairs:
+    """The wanted pairs of A x = lambda B x, B positive definite (none: identity), in one run. inner: apply_a is B^-1 A.
 
     start: a block to begin with. constraints: a block of vectors that all pairs are to be orthogonal to in the metric, such as
     the vectors of an earlier run that is to be carried on with further pairs.
@@ -470,7 +472,7 @@ def extreme(spark, n: int, wanted: Wanted, apply_a: Block, apply_b: Block | None
         return Eigenpairs(np.zeros(0), _sized(spark.createDataFrame([], "i long, w array<double>"), 0), np.zeros(0), 0)
     ends = 1 if wanted.largest or not (wanted.left and wanted.right) else 2
     width = options.block or min(wanted.count + ends * (options.extra or max(wanted.count // 10, 10)), max(n // 2 - 1, wanted.count, 1))
-    return Engine(spark, n, wanted, apply_a, apply_b, precondition, options).run(max(min(width, n - fixed), 1), start, constraints)
+    return Engine(spark, n, wanted, apply_a, apply_b, precondition, options, inner).run(max(min(width, n - fixed), 1), start, constraints)
 
 
 def smallest(spark, n: int, count: int, apply_a: Block, apply_b: Block | None = None, precondition: Block | None = None, options: Options = Options(), start: DataFrame | None = None, constraints: DataFrame | None = None) -> Eigenpairs:
@@ -519,28 +521,28 @@ def _factored(a: SparseMatrix, b: SparseMatrix | None, sigma: float, left: int,
 
 
 def shift_invert(a: SparseMatrix, sigma: float, left: int, right: int, b: SparseMatrix | None = None, options: Options = Options(), solver: Block | None = None) -> Eigenpairs:
-    """The left pairs next below sigma and the right pairs next above: mu = 1 / (lambda - sigma) of B (A - sigma B)^-1 B in the metric of B.
+    """The left pairs next below sigma and the right pairs next above: mu = 1 / (lambda - sigma) of (A - sigma B)^-1 B in the metric of B.
 
     A caller's solver, which has no inertia to ask, is trusted to have that many pairs on each side.
     """
     solve = solver or _factored(a, b, sigma, left, right)
     apply_b = times(b) if b is not None else None
-    operator = (lambda x: apply_b(solve(_sized(apply_b(x), _width(x))))) if apply_b else solve
+    operator = (lambda x: solve(_sized(apply_b(x), _width(x)))) if apply_b else solve
     return _mapped(a, operator, apply_b, left, right, options, lambda mu: sigma + 1 / mu)
 
 
 def buckling(a: SparseMatrix, b: SparseMatrix, sigma: float, left: int, right: int, options: Options = Options(), solver: Block | None = None) -> Eigenpairs:
-    """A x = lambda B x with A positive definite, B any: mu = lambda / (lambda - sigma) of A (A - sigma B)^-1 A in the metric of A.
+    """A x = lambda B x with A positive definite, B any: mu = lambda / (lambda - sigma) of (A - sigma B)^-1 A in the metric of A.
 
     For a positive sigma, as many pairs are in (0, sigma) as A - sigma B has negative eigenvalues.
     """
     solve, apply_a = solver or _factored(a, b, sigma, left if sigma > 0 else 0, right if sigma < 0 else 0), times(a)
-    return _mapped(a, lambda x: apply_a(solve(_sized(apply_a(x), _width(x)))), apply_a, left, right, options, lambda mu: sigma * mu / (mu - 1))
+    return _mapped(a, lambda x: solve(_sized(apply_a(x), _width(x))), apply_a, left, right, options, lambda mu: sigma * mu / (mu - 1))
 
 
 def _mapped(a: SparseMatrix, operator: Block, metric: Block | None, left: int, right: int, options: Options, back) -> Eigenpairs:
     """Pairs of the operator at both ends, in one run, as pairs of the problem, in ascending order."""
-    got = extreme(a.spark, a.n, Wanted(left, right), operator, metric, None, options)
+    got = extreme(a.spark, a.n, Wanted(left, right), operator, metric, None, options, inner=True)
     if not left + right:
         return got
     values = back(got.values)

@@ -369,6 +369,17 @@ def solve_grid(spark, sf_dir):
     return x.select("i", tidy("x", 5).alias("x"))
 
 
+@query("solve_several", GRID_KNOWN.replace(" AS x FROM", " AS x, (c_custkey + 1)::DOUBLE AS y, true AS delayed FROM"))
+def solve_several(spark, sf_dir):
+    """Two right-hand sides at once, with a threshold that makes pivots fail and be delayed into other tasks."""
+    a = customer_grid(spark, sf_dir, 0.0)
+    f = direct.factor(direct.analyse(a, direct.Options(task_flops=60_000, u=0.45)))
+    ids = spark.range(1, a.n + 1).select(F.col("id").alias("i"))
+    both = [vectors.multiply(a, ids.select("i", x.cast("double").alias("x"))).withColumnRenamed("x", name) for x, name in ((F.col("i") % 7, "x"), (F.col("i"), "y"))]
+    got = direct.solve_block(f, both[0].join(both[1], "i").select("i", F.array("x", "y").alias("w")))
+    return got.select("i", tidy(F.col("w")[0], 4).alias("x"), tidy(F.col("w")[1], 4).alias("y"), F.lit(f.num_delayed > 0).alias("delayed"))
+
+
 @query("inertia", "SELECT (count(*) FILTER (c_nationkey < 12))::BIGINT AS negative, 0::BIGINT AS zero, (count(*) FILTER (c_nationkey >= 12))::BIGINT AS positive FROM customer")
 def inertia(spark, sf_dir):
     """Of the diagonal of nation - 11.5, which has no coupling."""

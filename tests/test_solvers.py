@@ -238,3 +238,92 @@ def test_real_generalized_largest_and_buckling(spark):
     got = eigs.buckling(sb, sa, 1.0, 1, 0, options)
     every = 1 / exact
     assert np.allclose(got.values, [every[(every > 0) & (every < 1)].max()], atol=1e-5)
+
+
+def grid_matrix(spark, side):
+    return matrix_from_entries(spark, grid(side), side * side, side * side, MatrixType.REAL_SYM_PSDEF)
+
+
+def dense_grid(side):
+    return dense_of(grid(side), side * side)
+
+
+def columns(pairs):
+    return np.array([r.w for r in sorted(pairs.vectors.collect())])
+
+
+def test_deflation_with_a_block_smaller_than_a_multiplicity(spark):
+    """Values 1 (three times), 3, 3, then 10 and more, in blocks of two: the vectors are orthonormal and belong to their values."""
+    d = [1.0] * 3 + [3.0] * 2 + [float(k) for k in range(10, 22)]
+    a = matrix_from_entries(spark, [(k + 1, k + 1, v) for k, v in enumerate(d)], len(d), len(d), MatrixType.REAL_SYM_INDEF)
+    got = eigs.standard(a, 4, options=eigs.Options(rel_tol_residual=1e-6, block=2))
+    assert got.flag == 0 and np.allclose(got.values, d[:4], atol=1e-8)
+    x = columns(got)
+    assert np.abs(x.T @ x - np.eye(4)).max() < 1e-5 and np.abs(np.diag(d) @ x - x * got.values).max() < 1e-4
+    got.free()
+    with pytest.raises(Exception, match="(?i)not exist|PATH_NOT_FOUND"):
+        got.vectors.collect()
+
+
+def test_both_ends_and_the_largest_in_one_run(spark):
+    side, (w, _) = 5, np.linalg.eigh(dense_grid(5))
+    a = grid_matrix(spark, side)
+    got = eigs.standard(a, 2, 3, options=eigs.Options(rel_tol_residual=1e-7, extra=2))
+    assert np.allclose(got.values, [*w[:2], *w[-3:]], atol=1e-9)
+    shifted = a.with_entries(a.entries.selectExpr("i", "j", "case when i = j then v - 4.2 else v end as v"))
+    size = (w - 4.2)[np.argsort(-np.abs(w - 4.2))][:3]
+    assert np.allclose(np.sort(eigs.largest(shifted, 3, options=eigs.Options(rel_tol_residual=1e-7, extra=3)).values), np.sort(size), atol=1e-9)
+
+
+def test_estimated_errors_are_above_the_true_ones(spark):
+    side, (w, v) = 5, np.linalg.eigh(dense_grid(5))
+    got = eigs.standard(grid_matrix(spark, side), 3, options=eigs.Options(rel_tol_residual=0.0, tol_vector=1e-3, extra=3))
+    assert got.flag == 0 and (got.vector_errors <= 1e-3).all()
+    x = columns(got)
+    for k in range(3):  # the part of each vector outside of its value's space
+        space = v[:, np.abs(w - w[k]) < 1e-9]
+        assert np.linalg.norm(x[:, k] - space @ (space.T @ x[:, k])) <= got.vector_errors[k] + 1e-12
+        assert abs(got.values[k] - w[k]) <= got.value_errors[k] + 1e-12
+
+
+def test_restart_with_constraints_and_a_given_start(spark):
+    side, (w, v) = 5, np.linalg.eigh(dense_grid(5))
+    a, options = grid_matrix(spark, side), eigs.Options(rel_tol_residual=1e-7, extra=3)
+    first = eigs.standard(a, 1, options=options)
+    more = eigs.standard(a, 2, options=options, constraints=first.vectors)
+    assert np.allclose(np.append(first.values, more.values), w[:3], atol=1e-9)
+    again = eigs.standard(a, 1, options=options, start=first.vectors)
+    assert again.iterations <= 2 and np.allclose(again.values, w[:1], atol=1e-9)
+    few = eigs.standard(a, 3, options=eigs.Options(rel_tol_residual=1e-12, max_iterations=2))
+    assert few.flag == eigs.EigenFlag.WARN_MAX_ITERATIONS and len(few.values) == 3
+
+
+@pytest.mark.parametrize("pivoting", ["a posteriori", "threshold", "none"])
+def test_several_right_sides_over_levels(spark, pivoting):
+    n, rng = 100, np.random.default_rng(8)
+    a = grid_matrix(spark, 10)
+    f = direct.factor(direct.analyse(a, direct.Options(task_flops=2000, nemin=4, pivoting=pivoting)))
+    assert f.inertia == (0, 0, n)
+    x = rng.standard_normal((n, 3))
+    b = dense_grid(10) @ x
+    block = spark.createDataFrame([(k + 1, b[k].tolist()) for k in range(n)], "i long, w array<double>")
+    rows = {r.i: r.w for r in direct.solve_block(f, block).collect()}
+    assert np.abs(np.array([rows[k + 1] for k in range(n)]) - x).max() < 1e-11
+    alone = direct.solve(f, spark.createDataFrame([(1, 1.0)], "i long, x double"))  # rows that b lacks are zero
+    assert np.allclose(dense_grid(10) @ [r.x for r in sorted(alone.collect())], np.eye(n)[0])
+    f.free()
+
+
+def test_parallel_auction(spark):
+    """At least nine tenths matched, feasible duals, matched entries within the last eps; either side may be the smaller one."""
+    rng = np.random.default_rng(4)
+    for m, n in ((12, 12), (8, 14), (14, 8)):
+        dense = np.exp(rng.standard_normal((m, n))) * (rng.random((m, n)) < 0.5)
+        dense[np.arange(min(m, n)), np.arange(min(m, n))] += 0.1
+        a = matrix_from_entries(spark, [(i + 1, j + 1, float(dense[i, j])) for i, j in np.argwhere(dense)], m, n, MatrixType.REAL_UNSYM)
+        got = scaling.match_scaling(a, "parallel auction")
+        r, c = np.array([x[1] for x in sorted(got.rows.collect())]), np.array([x[1] for x in sorted(got.columns.collect())])
+        pairs = [tuple(x) for x in got.match.collect()]
+        scaled = dense * r[:, None] * c
+        assert min(m, n) >= got.matched == len({i for i, _ in pairs}) == len({j for _, j in pairs}) >= 0.9 * min(m, n)
+        assert scaled.max() <= 1 + 1e-9 and all(dense[i - 1, j - 1] and scaled[i - 1, j - 1] > 0.6 for i, j in pairs)
