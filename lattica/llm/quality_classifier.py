@@ -259,9 +259,9 @@ def judge(b: pa.RecordBatch, at: list[int], model: CoTrained | None) -> tuple[np
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
 
 
-def quality_classifier(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.5, **options) -> DataFrame:
-    """doc_id, prob_text, prob_meta, score and kept of every row of df."""
-    model = fit(df, labels, id_col, **options)
+def quality_classifier(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.5, fit_on: DataFrame | None = None, **options) -> DataFrame:
+    """doc_id, prob_text, prob_meta, score and kept of every row of df. fit_on: the table to learn from, df itself if none is given."""
+    model = fit(df if fit_on is None else fit_on, labels, id_col, **options)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         t, m, s = judge(b, [1, 2, 3, 4], model)
@@ -271,9 +271,9 @@ def quality_classifier(df: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return map_arrow(df.select(*_inputs(df, id_col)), run, f"doc_id {kind}, prob_text double, prob_meta double, score double, kept boolean")
 
 
-def keep_by_classifier(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of df, all columns, that score at least threshold."""
-    model, at = fit(df, labels, id_col, **options), [df.columns.index(c) for c in INPUTS]
+def keep_by_classifier(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.5, fit_on: DataFrame | None = None, **options) -> DataFrame:
+    """The rows of df, all columns, that score at least threshold. fit_on: as for quality_classifier()."""
+    model, at = fit(df if fit_on is None else fit_on, labels, id_col, **options), [df.columns.index(c) for c in INPUTS]
     return map_arrow(df, lambda b: b.filter(pa.array(judge(b, at, model)[2] >= threshold)), df.schema)
 
 
