@@ -29,8 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifiers score 0.5 or more."""
-    return keep_by_classifier(docs, table(spark, sf_dir, "labels"))
+    """Documents that the co-trained classifiers, fitted on all documents, score 0.5 or more."""
+    return keep_by_classifier(docs, table(spark, sf_dir, "labels"), fit_on=table(spark, sf_dir, "documents"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
