@@ -35,7 +35,7 @@ SCALE_ROOT = 1000  # shares are in units of its third power
 TOP_TERMS = 50
 BLOCK_SOURCES = 16
 CHUNK_TERMS = 4096
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BROADCAST_ROWS = 200_000  # of sources or languages
 
 INSIDE = np.zeros(256, dtype=bool)  # bytes of terms
