@@ -265,7 +265,7 @@ def file_round_trip(spark, sf_dir):
     a = customer_part(spark, sf_dir)
     cut(spark.range(1))  # sets the shared folder where none is named
     path = f"{spark.sparkContext.getCheckpointDir()}/matrix-{uuid.uuid4().hex}"
-    rutherford_boeing.write(a, path)
+    rutherford_boeing.write(a, path, least_parts=8)
     return rutherford_boeing.read(spark, path)[0].entries
 
 

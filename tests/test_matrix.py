@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from lattica.functions import lcg
-from lattica.matrix import Flag, MatrixError, MatrixType, matrix_from_entries
+from lattica.matrix import Flag, MatrixError, MatrixType, SparseMatrix, matrix_from_entries
 from lattica.operators import convert
 from lattica.sources import plot, random_matrix
 from lattica.sources import rutherford_boeing as rb
@@ -129,6 +129,44 @@ def test_file_errors(spark, tmp_path):
         assert e.value.flag == flag
 
 
+def test_files_in_parts(spark, tmp_path):
+    r = np.random.default_rng(5)
+    m, n = 40, 1500
+    places = {(int(i), int(j)) for i, j in zip(r.integers(1, m + 1, 4000), np.concatenate([r.integers(1, n - 200, 3000), np.full(1000, 700)]), strict=True)}  # empty columns, also last ones; a full one
+    rows = sorted((j, i, float(f"{x:.14e}")) for (i, j), x in zip(sorted(places), r.normal(size=len(places)) * 10.0 ** r.integers(-9, 9, len(places)), strict=True))  # files keep 16 digits
+    want = [(i, j, v) for j, i, v in rows]
+    a = matrix_from_entries(spark, want, m, n, MatrixType.REAL_RECT)
+    folder = tmp_path / "parts"
+    rb.write(a, str(folder), least_parts=6)
+    files = sorted(folder.glob("part-*"))
+    assert len(files) == 6
+    text = "".join(f.read_text() for f in files)
+    i, j, v = (np.array(x) for x in zip(*want, strict=True))
+    assert text == rb.encode(i, j, v, m, n, MatrixType.REAL_RECT)
+    got, h, _ = rb.read(spark, str(folder))
+    assert (h.m, h.n, h.indices) == (m, n, len(want))
+    assert sorted(map(tuple, got.entries.collect())) == sorted(want)
+    drawn = {(x.i, x.j): x.v for x in rb.read(spark, str(folder), rb.ReadOptions(values=-2))[0].entries.collect()}
+    state = lcg.RandomState()
+    assert [drawn[x[:2]] for x in want] == [state.real() for _ in want]  # the k-th entry in column order takes the k-th draw
+    spark.dataSource.register(rb.RutherfordBoeing)
+    for name, content in (("one", text), ("crlf", text.replace("\n", "\r\n")), ("uneven", text.replace("\n", "  \n"))):
+        (tmp_path / name).write_bytes(content.encode())
+        frame = spark.read.format("rb").option("entries", 300).load(str(tmp_path / name))
+        assert frame.rdd.getNumPartitions() == (1 if name == "uneven" else -(-len(want) // 300))
+        assert [tuple(x) for x in frame.orderBy("pos").collect()] == [(*x, k + 1) for k, x in enumerate(want)]
+    (tmp_path / "short").write_text("\n".join(text.splitlines()[:-3]))
+    with pytest.raises(rb.FileError) as e:
+        rb.read(spark, str(tmp_path / "short"))
+    assert e.value.flag == rb.FileFlag.IO
+
+
+def test_an_empty_matrix_has_a_file(spark, tmp_path):
+    a = matrix_from_entries(spark, [(1, 1, 1.0)], 3, 2, MatrixType.REAL_RECT)
+    rb.write(SparseMatrix(a.entries.where("i > 1"), 3, 2, MatrixType.REAL_RECT), str(tmp_path / "none"))
+    assert rb.read(spark, str(tmp_path / "none"))[0].entries.count() == 0
+
+
 def test_integer_values_are_kept():
     text = "t".ljust(72) + "0       \n" + "             3             1             1             1\nisa                        2             2             3             0\n(40i2)          (40i2)          (40i2)              \n 1 3 4\n 1 2 2\n 1 2 3\n"
     assert rb.decode(text).v.tolist() == [1.0, 2.0, 3.0]
