@@ -62,7 +62,8 @@ class Options:
     u: float = 0.01
     small: float = 1e-20
     action: bool = True  # go on when the matrix is singular
-    task_flops: int = 32_000_000
+    task_flops: int = 32_000_000  # of whole subtrees, a task; more where there would be more than `workers` tasks
+    workers: int = 256
     pivoting: str = "a posteriori"  # or "threshold", "none"
 
 
@@ -125,7 +126,7 @@ def analyse(matrix: SparseMatrix, options: Options = Options(), order: list[int]
         for r in got.match.collect():
             mate[r["j"] - 1] = r["i"] - 1
         own, scale = symbolic.matching_order(symbolic.adjacency(n, i, j), mate), got.rows
-    plan = symbolic.plan(n, i, j, own, options.nemin, options.task_flops)
+    plan = symbolic.plan(n, i, j, own, options.nemin, options.task_flops, options.workers)
     if plan.structural_rank < n and flag == SolverFlag.SUCCESS:
         if not options.action:
             raise SolverError(SolverFlag.SINGULAR, "structurally singular")

@@ -315,6 +315,32 @@ def elimination_tree(spark, sf_dir):
     return spark.createDataFrame(pd.DataFrame({"i": np.arange(1, a.n + 1), "parent": parent + 1}), "i long, parent long")
 
 
+@query("dissection_fill", "WITH s AS (SELECT floor(sqrt(count(*)))::BIGINT AS side FROM customer) SELECT (side * side)::BIGINT AS n, true AS ordered, true AS counted, true AS within FROM s")
+def dissection_fill(spark, sf_dir):
+    """A grid of customers in nested dissection order: counts of its columns, and fill under 1.3 of 31/4 n log2 of the side, the known bound."""
+    a = customer_grid(spark, sf_dir, 4.0)
+    p = direct.analyse(a, direct.Options(nemin=1)).plan
+    e = a.entries.select("i", "j").toPandas()
+    graph = symbolic.adjacency(a.n, e.i.to_numpy() - 1, e.j.to_numpy() - 1)
+    entries = int(symbolic.column_counts(graph, p.order, symbolic.elimination_tree(graph, p.order)).sum())
+    within = entries <= 1.3 * 7.75 * a.n * np.log2(max(a.n**0.5, 2.0))
+    return spark.createDataFrame([(a.n, symbolic.check_order(a.n, p.order), entries == p.factor_entries, bool(within))], "n long, ordered boolean, counted boolean, within boolean")
+
+
+@query("balanced_parts", "SELECT (n_nationkey + 1)::BIGINT AS nation, (4 * count(c_custkey) + 1)::BIGINT AS flops, true AS balanced FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def balanced_parts(spark, sf_dir):
+    """Work of the trees of customers below nations, and whether the four tasks that they are dealt to are within the imbalance allowed."""
+    a = stars(spark, sf_dir)
+    order = [*range(26, a.n + 1), *range(1, 26)]
+    p = direct.analyse(a, direct.Options(ordering=0, nemin=1), order).plan
+    task, load = symbolic.subtree_partition(p.nodes, max(1, p.flops // 16), 4)
+    rows = [(k, x.parent, p.order[x.pivots[-1]] + 1, symbolic.node_flops(x)) for k, x in enumerate(p.nodes)]
+    nodes = spark.createDataFrame(pd.DataFrame(rows, columns=["k", "parent", "last", "flops"]), "k long, parent long, last long, flops long")
+    above = nodes.where("last <= 25").select(F.col("k").alias("above"), F.col("last").alias("nation"))
+    trees = nodes.join(above, F.when(F.col("last") <= 25, F.col("k")).otherwise(F.col("parent")) == F.col("above")).groupBy("nation").agg(F.sum("flops").alias("flops"))
+    return trees.select("nation", "flops", F.lit(bool(max(load) < symbolic.IMBALANCE * sum(load) / len(load))).alias("balanced"))
+
+
 def known(spark, a: SparseMatrix) -> DataFrame:
     return spark.range(1, a.n + 1).select(F.col("id").alias("i"), (F.col("id") % 7).cast("double").alias("x"))
 
