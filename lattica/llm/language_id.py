@@ -21,6 +21,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -170,7 +171,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_
     """The model from a bounded sample of df's rows with a language."""
     counts: dict[str, Counter] = defaultdict(Counter)
     for text, lang in sample(df, text_col, lang_col, sample_rows, sample_bytes).toLocalIterator():
-        counts[lang].update(letter_words(text.lower()))
+        counts[lang].update(letter_words(pc.utf8_lower(pa.scalar(text, pa.large_string())).as_py()))  # as texts are lowered when they are judged
     return WordBackoff.fit(counts)
 
 
