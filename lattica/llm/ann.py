@@ -116,7 +116,8 @@ def search_cell(queries: np.ndarray, query_ids: np.ndarray, books: np.ndarray, c
                 take = np.arange(len(ids))
             take = take[ids[take] != own]
             v = vectors[take]
-            exact = v @ q if metric == "ip" else -((v - q) ** 2).sum(axis=1)
+            # sums by row: a matrix product may give equal vectors different last bits, by where they stand
+            exact = (v * q).sum(axis=1) if metric == "ip" else -((v - q) ** 2).sum(axis=1)
             order = np.argsort(-exact, kind="stable")[:top]
             yield int(own), ids[take[order]], exact[order]
 

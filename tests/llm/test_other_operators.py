@@ -247,6 +247,20 @@ def test_odd_vectors_and_ties(spark):
     assert ann.additive_search(d.where("vec_id = 20"), lambda v: v % 20 == 0).count() == 0
 
 
+def test_copies_at_size_are_told_apart_by_id(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(60, 64))[r.integers(0, 60, 3000)]  # about 50 copies of each vector
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.additive_search(rows, lambda v: v % 20 == 0).toPandas()
+    assert len(got) == 150 * 20
+    for q, found in got.groupby("query_id"):
+        score = (x * x[q]).sum(axis=1)
+        score[q] = -np.inf
+        want = np.lexsort((np.arange(len(x)), -score))[:20]
+        found = found.sort_values("rank")
+        assert found.vec_id.tolist() == want.tolist() and found.score.tolist() == score[want].tolist()
+
+
 def test_shards_fit_and_split_only_when_needed(docs, odd):
     got = sharding.extendible_shards(docs, limit=20_000).toPandas()
     sums = got.groupby(["depth", "prefix", "page"]).n_bytes.agg(["sum", "count"])
@@ -301,6 +315,15 @@ def test_backoff_goes_from_words_to_characters():
     assert m.predict(pa.array(texts))[0] == ["a", "a", "b", "und", "und", "und", "und", "b", "a"]
 
 
+def test_words_are_learned_in_the_case_in_which_they_are_judged(spark):
+    rows = spark.createDataFrame([("ΛΌΓΟΣ ΛΌΓΟΣ", "el"), ("ПРИВЕТ İSTANBUL", "ru")], "text string, lang string")
+    model = language_id.learn(rows)
+    for text, lang in (("ΛΌΓΟΣ", "el"), ("ΛΌΓΟσ", "el"), ("привет", "ru"), ("İSTANBUL", "ru")):
+        languages, scores = model.predict(pa.array([text]))
+        assert languages[0] == lang and scores[0] > 0.5
+    assert "λόγοσ" in list(model.state[1]) and "λόγος" not in list(model.state[1])
+
+
 def test_scores_equal_plain_rescoring(spark):
     """Counts, backoff and sums said plainly, over texts of all lengths; long texts are learned from too."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
