@@ -157,9 +157,17 @@ def _logs(counts: dict[str, Counter], languages: list[str]) -> tuple[list[str],
 
 
 def sample(df: DataFrame, text_col: str, lang_col: str, sample_rows: int, sample_bytes: int) -> DataFrame:
-    """text, lang of the labelled texts that are learned from. Only hashes and lengths are ranked; the sample is broadcast."""
+    """text, lang of the labelled texts that are learned from. Only hashes and lengths are ranked; the sample is broadcast.
+
+    Hashes are counted by their first 12 bits, so that of each language only those up to the one that fills the sample meet in a task.
+    """
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("text"))
     ranked = rows.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("n"))
+    begin = F.shiftright("h", 52)  # in the order of hashes
+    counts = ranked.groupBy("lang", begin.alias("begin")).agg(F.count("*").alias("c"))
+    smaller = F.coalesce(F.sum("c").over(W.partitionBy("lang").orderBy("begin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ends = counts.withColumn("smaller", smaller).where(F.col("smaller") < sample_rows).groupBy("lang").agg(F.max("begin").alias("end"))
+    ranked = ranked.join(F.broadcast(ends), "lang").where(begin <= F.col("end")).select("lang", "h", "n")
     by = W.partitionBy("lang").orderBy("h")
     first = ranked.withColumn("k", F.row_number().over(by)).where(F.col("k") <= sample_rows)
     before = F.coalesce(F.sum("n").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -324,6 +324,24 @@ def test_words_are_learned_in_the_case_in_which_they_are_judged(spark):
     assert "λόγοσ" in list(model.state[1]) and "λόγος" not in list(model.state[1])
 
 
+def test_the_sample_is_that_of_the_smallest_hashes(spark):
+    rows = [(f"text {k % 700} of many {'long ' * (k % 7)}", "en" if k % 5 else "fr") for k in range(2000)] + [("x", None), (None, "en")]
+    d = spark.createDataFrame(rows, "text string, lang string")
+    hashed = {(r.lang, r.text): r.h for r in d.dropna().withColumn("h", F.xxhash64("text")).collect()}
+    for most, limit in ((1, 10**9), (100, 10**9), (10**6, 10**9), (100, 800)):
+        want = set()
+        for lang in ("en", "fr"):
+            held = 0
+            for h, text in sorted((h, t) for (x, t), h in hashed.items() if x == lang)[:most]:
+                if held >= limit:
+                    break
+                held += len(text)
+                want.add((text, lang))
+        got = [tuple(r) for r in language_id.sample(d, "text", "lang", most, limit).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert language_id.sample(d.where("lang is null"), "text", "lang", 10, 10).count() == 0
+
+
 def test_scores_equal_plain_rescoring(spark):
     """Counts, backoff and sums said plainly, over texts of all lengths; long texts are learned from too."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
