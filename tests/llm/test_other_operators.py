@@ -175,6 +175,35 @@ def test_roles_of_inline_and_hidden_elements():
     assert html_extraction.extract(page, {}) == "Main text\nMain body\nend"
 
 
+def test_inline_elements_of_one_name_within_each_other():
+    page = '<article><p>Read <span class="ad">Buy <span>now</span> cheap</span>on <span class="ad">x <b>y <i class="share">z</span> end</p><p>next <span>a<span>b</span></span></p></article>'
+    assert html_extraction.extract(page, {}) == "Read on end\nnext ab"
+
+
+def test_what_ends_no_block():
+    page = '<article><p>one <script>var x = "</p>"</script>two <svg><text>no</text></svg>three <math/>four <img src="a">five <button>no</button> six<hr>seven</p></article>'
+    assert html_extraction.extract(page, {}) == "one two three four five six\nseven"
+
+
+def test_articles_beside_the_article():
+    teaser = '<article><h2>Another one</h2><p>Read <a href="/x">this long, long teaser of another article, which is a link</a></p></article>'
+    page = f'<main><h1>Title</h1><p>Related reading</p><article><p>The text of this page, which is long enough.</p><p>More of it.</p><article class="comment"><p>nice, nice, nice</p></article></article>{teaser}</main>'
+    text = "The text of this page, which is long enough.\nMore of it."
+    assert html_extraction.extract(page, {}) == "Title\n" + text
+    assert html_extraction.extract(page.replace("<p>The", "<h1>Own</h1><p>The"), {}) == "Own\n" + text
+    assert html_extraction.extract("<main><h1>Title</h1><p>one</p><p>two</p></main>", {}) == "Title\none\ntwo"
+    both = "<article><p>one two three</p></article><article><p>four five six</p></article>"
+    assert html_extraction.extract(both, {}) == "one two three\nfour five six"
+    assert html_extraction.extract('<article class="post-12 post tag-politics has-sidebar"><p>one</p></article>', {}) == "one"
+
+
+def test_names_of_comments():
+    for name in ("post-comments-area", "reader_feedback", "comments-area", "comment-list-item", "article-replies"):
+        assert html_extraction.extract(f'<article><p>text</p><div class="{name}"><p>nice</p></div></article>', {}) == "text", name
+    for name in ("with-comments", "content has-sidebar", "commentary", "search-engine-history"):
+        assert html_extraction.extract(f'<article><p>text</p><div class="{name}"><p>more</p></div></article>', {}) == "text\nmore", name
+
+
 def test_long_broken_pages_take_linear_time():
     page = "<div>" * 20_000 + "x" + "</p></section>" * 20_000 + "</div>" * 20_000 + "word " * 200_000
     assert html_extraction.extract(page, {}).startswith("x\nword word")
