@@ -123,8 +123,8 @@ def analyse(matrix: SparseMatrix, options: Options = Options(), order: list[int]
     elif options.ordering == 2:
         got = scalings.match_scaling(matrix, scale_if_singular=True)
         mate = np.full(n, -1)
-        for r in got.match.collect():
-            mate[r["j"] - 1] = r["i"] - 1
+        pairs = (got.core or got.match).select("i", "j").toPandas()
+        mate[pairs.j.to_numpy() - 1] = pairs.i.to_numpy() - 1
         own, scale = symbolic.matching_order(symbolic.adjacency(n, i, j), mate), got.rows
     plan = symbolic.plan(n, i, j, own, options.nemin, options.task_flops, options.workers)
     if plan.structural_rank < n and flag == SolverFlag.SUCCESS:

@@ -22,9 +22,18 @@ def assign(m: int, n: int, rows: list[np.ndarray], costs: list[np.ndarray]) -> A
     for j in range(n):
         v[j] = costs[j].min() if len(costs[j]) else 0.0
     row_of, owner = np.full(n, -1), np.full(m, -1)
+    tight = [rows[j][costs[j] <= v[j]].tolist() for j in range(n)]
     for j in range(n):  # what is tight at the start is matched at once
-        for i, c in zip(rows[j], costs[j], strict=True):
-            if owner[i] < 0 and c - v[j] <= 0:
+        for i in tight[j]:
+            if owner[i] < 0:
+                row_of[j], owner[i] = i, j
+                break
+    for j in range(n):  # then by a column that gives up its row for another, free one
+        for i in tight[j] if row_of[j] < 0 else []:
+            held = int(owner[i])
+            free = next((x for x in tight[held] if owner[x] < 0), -1)
+            if free >= 0:
+                row_of[held], owner[free] = free, held
                 row_of[j], owner[i] = i, j
                 break
     for start in range(n):

@@ -42,6 +42,7 @@ class Scaled:
     rows: DataFrame  # i, s
     columns: DataFrame  # j, s
     match: DataFrame | None = None  # i, j
+    core: DataFrame | None = None  # i, j: of a singular symmetric matrix, the matching of its largest matched submatrix alone
     iterations: int = 0
     matched: int = 0
     flag: ScalingFlag = ScalingFlag.SUCCESS
@@ -89,14 +90,19 @@ def equilibrate(matrix: SparseMatrix, max_iterations: int = 10, tol: float = 1e-
 
 
 def blocks(entries: DataFrame) -> DataFrame:
-    """entries with block: the number of its connected component in the bipartite graph of rows and columns."""
-    edges = cut(entries.select("i", "j"))
+    """entries with block: the number of its connected component in the bipartite graph of rows and columns.
+
+    In a round each row hears the least block of the rows that it shares a column with, and a block becomes the least that any
+    of its rows hears: blocks join whole, so the rounds are few however long the paths are.
+    """
+    edges = cut(entries.select("i", "j").distinct())
     label = edges.groupBy("i").agg(F.min("j").alias("block"))
     while True:
         columns = edges.join(label, "i").groupBy("j").agg(F.min("block").alias("low"))
-        new = cut(edges.join(columns, "j").groupBy("i").agg(F.min("low").alias("new")).join(label, "i").select("i", F.least("new", "block").alias("block"), (F.col("new") < F.col("block")).alias("moved")))
-        label = new.select("i", "block")
-        if new.where("moved").isEmpty():
+        heard = cut(edges.join(columns, "j").groupBy("i").agg(F.min("low").alias("low")).join(label, "i"))
+        joined = cut(heard.groupBy("block").agg(F.min("low").alias("new")))
+        label = heard.join(joined, "block").select("i", F.col("new").alias("block"))
+        if joined.where("new < block").isEmpty():
             return entries.join(label, "i")
 
 
@@ -160,17 +166,18 @@ def match_scaling(matrix: SparseMatrix, method: str = "hungarian", scale_if_sing
     rounds = found.agg(F.coalesce(F.max("rounds"), F.lit(0))).first()[0]
     side = lambda k, name: found.where(F.col("side") == k).select(F.col("k").alias(name), F.col("dual").alias("d"), (F.col("mate") > 0).alias("hit"))
     if matrix.type.lower_only:
-        s = _symmetric(matrix, side(0, "i"), side(1, "j"), pairs, matched, method)
-        return Scaled(s, s.select(F.col("i").alias("j"), "s"), pairs, rounds, matched, flag)
+        s, core = _symmetric(matrix, side(0, "i"), side(1, "j"), pairs, matched, method)
+        return Scaled(s, s.select(F.col("i").alias("j"), "s"), pairs, core, rounds, matched, flag)
     r, c = _balanced(matrix, side(0, "i"), side(1, "j"), matched)
-    return Scaled(r, c, pairs, rounds, matched, flag)
+    return Scaled(r, c, pairs, None, rounds, matched, flag)
 
 
-def _symmetric(matrix: SparseMatrix, r: DataFrame, c: DataFrame, pairs: DataFrame, matched: int, method: str) -> DataFrame:
+def _symmetric(matrix: SparseMatrix, r: DataFrame, c: DataFrame, pairs: DataFrame, matched: int, method: str) -> tuple[DataFrame, DataFrame | None]:
+    """The scaling, and the matching of the matched submatrix where the matrix is singular."""
     index = _index(matrix, matrix.n, "i")
     mean = r.join(c.select(F.col("j").alias("i"), F.col("d").alias("e"), F.col("hit").alias("hit2")), "i").select("i", F.exp((F.col("d") + F.col("e")) / 2).alias("s"), (F.col("hit") & F.col("hit2")).alias("ok"))
     if matched == matrix.n or method != "hungarian":
-        return index.join(mean, "i", "left").select("i", F.coalesce("s", F.lit(1.0)).alias("s"))
+        return index.join(mean, "i", "left").select("i", F.coalesce("s", F.lit(1.0)).alias("s")), None
     # Rank deficient: the matched rows make a nonsingular submatrix, which is matched anew; each other row is then scaled so
     # that its largest entry beside them becomes 1.
     inside = cut(pairs.select("i"))
@@ -179,7 +186,8 @@ def _symmetric(matrix: SparseMatrix, r: DataFrame, c: DataFrame, pairs: DataFram
     duals = again.where("side = 0").select(F.col("k").alias("i"), "dual").join(again.where("side = 1").select(F.col("k").alias("i"), F.col("dual").alias("e")), "i")
     core = cut(duals.join(inside, "i", "left_semi").select("i", F.exp((F.col("dual") + F.col("e")) / 2).alias("s")))
     beside = matrix.full().where("v <> 0").join(core.select(F.col("i").alias("j"), "s"), "j").groupBy("i").agg(F.max(F.abs("v") * F.col("s")).alias("m"))
-    return index.join(core, "i", "left").join(beside, "i", "left").select("i", F.coalesce("s", 1 / F.col("m"), F.lit(1.0)).alias("s"))
+    s = index.join(core, "i", "left").join(beside, "i", "left").select("i", F.coalesce("s", 1 / F.col("m"), F.lit(1.0)).alias("s"))
+    return s, again.where("side = 0 and mate > 0").select(F.col("k").alias("i"), F.col("mate").alias("j"))
 
 
 def _balanced(matrix: SparseMatrix, r: DataFrame, c: DataFrame, matched: int) -> tuple[DataFrame, DataFrame]:

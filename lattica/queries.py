@@ -415,6 +415,26 @@ def inertia(spark, sf_dir):
     return spark.createDataFrame([tuple(int(k) for k in f.inertia)], "negative long, zero long, positive long")
 
 
+SINGULAR = "SELECT count(*)::BIGINT AS n, (2 * count(DISTINCT c_custkey // 8) FILTER (c_custkey % 8 > 0 AND c_acctbal <> 0))::BIGINT AS rank, count(DISTINCT c_custkey // 8) FILTER (c_custkey % 8 > 0 AND c_acctbal <> 0) AS negative, true AS undelayed, true AS solved FROM customer"
+
+
+@query("solve_singular", SINGULAR)
+def solve_singular(spark, sf_dir):
+    """Stars of eight customers each, tied to their first by their balance, without a diagonal: one pair of each star can be matched.
+
+    Ordered and scaled by the matching of what can be matched; the other customers of a star stand behind it and are the zero pivots. A
+    right-hand side of the matrix's range is solved for.
+    """
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey").cast("long") + 1).alias("i"), F.col("c_acctbal").cast("double").alias("v"))
+    hub = F.col("i") - (F.col("i") - 1) % 8
+    n = c.count()
+    a = SparseMatrix(cut(c.where((F.col("i") != hub) & (F.col("v") != 0)).select("i", hub.alias("j"), "v")), n, n, MatrixType.REAL_SYM_INDEF)
+    f = direct.factor(direct.analyse(a, direct.Options(ordering=2, scaling=3)))
+    b = vectors.multiply(a, known(spark, a))
+    off = vectors.inf_norm(vectors.combine(1.0, vectors.multiply(a, direct.solve(f, b)), -1.0, b))
+    return spark.createDataFrame([(n, f.rank, f.num_negative, f.num_delayed == 0, bool(off < 1e-8 * (vectors.inf_norm(b) + 1)))], "n long, rank long, negative long, undelayed boolean, solved boolean")
+
+
 @query("enquire_alter", "SELECT (c_custkey + 1)::BIGINT AS i, 2.0::DOUBLE AS x FROM customer")
 def enquire_alter(spark, sf_dir):
     """With D^-1 doubled, a solve gives twice the solution."""

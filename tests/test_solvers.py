@@ -327,3 +327,33 @@ def test_parallel_auction(spark):
         scaled = dense * r[:, None] * c
         assert min(m, n) >= got.matched == len({i for i, _ in pairs}) == len({j for _, j in pairs}) >= 0.9 * min(m, n)
         assert scaled.max() <= 1 + 1e-9 and all(dense[i - 1, j - 1] and scaled[i - 1, j - 1] > 0.6 for i, j in pairs)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_singular_ordered_by_what_can_be_matched(spark, seed):
+    """A bordered matrix of structural rank 2 * 6: zero diagonal, so that no pivot but a matched pair is there."""
+    rng, hubs, n = np.random.default_rng(seed), 6, 30
+    triples = [(i, j, float(rng.standard_normal())) for i in range(hubs + 1, n + 1) for j in range(1, hubs + 1) if rng.random() < 0.5]
+    a = matrix_from_entries(spark, triples, n, n, MatrixType.REAL_SYM_INDEF)
+    f = direct.factor(direct.analyse(a, direct.Options(ordering=2, scaling=3, nemin=2)))
+    whole = dense_of(triples, n)
+    values = np.linalg.eigvalsh(whole)
+    assert f.rank == np.linalg.matrix_rank(whole) == 12
+    assert f.inertia[0] == int((values < -1e-9).sum())
+    b = whole @ rng.standard_normal(n)
+    assert np.abs(whole @ direct.solve(f, b) - b).max() < 1e-9
+    got = scaling.match_scaling(a, scale_if_singular=True)
+    core = got.core.toPandas()
+    assert got.matched == 12 and sorted(core.i) == sorted(core.j)
+
+
+def test_components_of_long_paths(spark):
+    """Paths in a random numbering: their rows and columns have one block each."""
+    rng, n = np.random.default_rng(0), 60
+    name = rng.permutation(2 * n) + 1
+    pairs = [(int(name[k]), int(name[k]) + 1000 if d == 0 else int(name[k + 1]) + 1000) for k in range(2 * n) for d in (0, 1) if d == 0 or (k + 1) % n]
+    e = spark.createDataFrame(pairs + pairs[:3], "i long, j long")
+    got = scaling.blocks(e).distinct().toPandas()
+    side = {int(name[k]): k // n for k in range(2 * n)}
+    found = {(side[i], b) for i, b in zip(got.i, got.block, strict=True)}
+    assert len(found) == 2 and len({b for _, b in found}) == 2
