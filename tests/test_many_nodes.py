@@ -4,6 +4,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from lattica.operators import direct, frontal
 from lattica.plans import dissection, symbolic
@@ -53,3 +54,12 @@ def test_parts_of_a_dissection_may_be_ordered_elsewhere():
 
     assert dissection.nested_dissection(g, deal=deal, piece=500) == dissection.nested_dissection(g)
     assert len(sizes) >= 4 and max(sizes) <= 500
+
+
+def test_vectors_of_a_task_are_arrow_tables():
+    """What several tasks send to one position is summed; columns of several right-hand sides stay apart."""
+    l = np.array([[1.0], [0.5]])  # noqa: E741
+    front = pa.table({"level": pa.array([0], pa.int32()), "task": [3], "payload": [pickle.dumps([([0, 1], 1, l, [(0.25, 0.0, 1)])])], "below": [pickle.dumps(np.array([[1, 7, 1]]))], "asked": pa.array([None], pa.binary())})
+    rows = pa.table({"src": [-1, 5], "p": [0, 0], "w": pa.array([[1.0, 2.0], [3.0, 4.0]], pa.list_(pa.float64()))})
+    got = direct._up(2, True, True)(front, rows).to_pylist()
+    assert got == [{"kind": direct.MIDDLE, "level": 0, "task": 3, "src": 3, "p": 0, "w": [1.0, 1.5]}, {"kind": direct.ADDED, "level": 1, "task": 7, "src": 3, "p": 1, "w": [-2.0, -3.0]}]
