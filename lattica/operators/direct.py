@@ -112,8 +112,7 @@ def analyse(matrix: SparseMatrix, options: Options = Options(), order: list[int]
     n = matrix.n
     if matrix.m != n or n < 0:
         raise SolverError(SolverFlag.A_N_OUT_OF_RANGE)
-    pattern = matrix.entries.select("i", "j").toPandas()
-    i, j = pattern.i.to_numpy() - 1, pattern.j.to_numpy() - 1
+    i, j = indices(matrix)
     own, scale = None, None
     if order is not None and options.ordering == 0:
         own = [k - 1 for k in order]
@@ -135,6 +134,12 @@ def analyse(matrix: SparseMatrix, options: Options = Options(), order: list[int]
     return Analysis(matrix, plan, options, flag, scale)
 
 
+def indices(matrix: SparseMatrix) -> tuple[np.ndarray, np.ndarray]:
+    """0-based rows and columns of the entries, as arrays: no Python object for each entry."""
+    got = matrix.entries.select(F.col("i") - 1, F.col("j") - 1).toArrow()
+    return got.column(0).to_numpy(), got.column(1).to_numpy()
+
+
 def _dealer(spark) -> symbolic.Dealer:
     """Orders the parts that a dissection leaves, one row each, in tasks."""
 
@@ -201,7 +206,7 @@ def factor(analysis: Analysis, positive: bool = False, entries: DataFrame | None
     task_at = np.empty(n, dtype=np.int64)
     for k, x in enumerate(plan.nodes):
         task_at[x.pivots] = node_task[k]
-    planned = spark.createDataFrame(pd.DataFrame({"i": np.arange(1, n + 1), "p": position, "task": task_at[position]}), "i long, p long, task long") if n else spark.createDataFrame([], "i long, p long, task long")
+    planned = spark.createDataFrame(pa.table({"i": np.arange(1, n + 1), "p": position, "task": task_at[position]})) if n else spark.createDataFrame([], "i long, p long, task long")
     if s_df is not None:
         named = s_df.toDF("i", "s")
         planned = planned.join(named, "i", "left").select("i", "p", "task", F.coalesce("s", F.lit(1.0)).alias("s"))

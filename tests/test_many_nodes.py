@@ -63,3 +63,14 @@ def test_vectors_of_a_task_are_arrow_tables():
     rows = pa.table({"src": [-1, 5], "p": [0, 0], "w": pa.array([[1.0, 2.0], [3.0, 4.0]], pa.list_(pa.float64()))})
     got = direct._up(2, True, True)(front, rows).to_pylist()
     assert got == [{"kind": direct.MIDDLE, "level": 0, "task": 3, "src": 3, "p": 0, "w": [1.0, 1.5]}, {"kind": direct.ADDED, "level": 1, "task": 7, "src": 3, "p": 1, "w": [-2.0, -3.0]}]
+
+
+def test_indices_make_no_object_for_each_entry(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from lattica.matrix import matrix_from_entries
+
+    a = matrix_from_entries(spark, [(3, 1, 1.0), (2, 2, 2.0)], 3, 3)
+    monkeypatch.delattr(DataFrame, "toPandas", raising=False)
+    i, j = direct.indices(a)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(1, 1), (2, 0)]
