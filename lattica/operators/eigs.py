@@ -98,28 +98,130 @@ class Eigenpairs:
             self.space.free()
 
 
-def times(matrix: SparseMatrix, entries: DataFrame | None = None) -> Block:
+@dataclass(frozen=True)
+class Times:
     """The operator of a matrix on blocks; rows without entries give zeros."""
-    full = entries if entries is not None else matrix.full()
 
-    def apply(block: DataFrame) -> DataFrame:
+    matrix: SparseMatrix
+    entries: DataFrame | None = None
+
+    def full(self) -> DataFrame:
+        return self.entries if self.entries is not None else self.matrix.full()
+
+    def __call__(self, block: DataFrame) -> DataFrame:
         width = _width(block)
-        joined = full.join(small(block.select(F.col("i").alias("j"), "w"), matrix.n * width), "j").select("i", "v", "w")
+        joined = self.full().join(small(block.select(F.col("i").alias("j"), "w"), self.matrix.n * width), "j").select("i", "v", "w")
         every = joined.unionByName(block.select("i", F.lit(0.0).alias("v"), "w"))  # so that each row is there
         sums = every.groupBy("i").agg(*(F.sum(F.col("v") * F.col("w")[k]).alias(f"s{k}") for k in range(width)))
         return sums.select("i", F.array(*(F.col(f"s{k}") for k in range(width))).alias("w"))
 
-    return apply
+    def local(self, form: str) -> Local | None:
+        """The operator row by row, if all entries of the symmetric matrix are on the diagonal or in rows or columns of few hubs."""
+        full = self.full()
+        off = full.where("i <> j").groupBy("i").agg(F.count("*").alias("entries")).where(F.col("entries") > HUB_ENTRIES)
+        hubs = np.array(sorted(int(r["i"]) for r in off.orderBy(F.col("entries").desc(), "i").limit(MOST_HUBS).collect()), dtype=np.int64)
+        named = [int(k) for k in hubs]
+        hub_row, hub_column = F.col("i").isin(named), F.col("j").isin(named)
+        if full.where((F.col("i") != F.col("j")) & ~hub_row & ~hub_column).limit(1).count():
+            return None
+        core = np.zeros((len(hubs), len(hubs)))
+        for r in full.where(hub_row & hub_column).groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+            core[np.searchsorted(hubs, r["i"]), np.searchsorted(hubs, r["j"])] = r["v"]
+        at = F.create_map(*(F.lit(x) for pair in zip(named, range(len(named)), strict=True) for x in pair)) if named else F.create_map().cast("map<bigint,int>")
+        own = full.where((F.col("i") == F.col("j")) | ~hub_row).withColumn("e", F.when(F.col("i") != F.col("j"), F.struct(F.element_at(at, F.col("j")).alias("h"), "v")))
+        rows = own.groupBy("i").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("v")).otherwise(0.0)).alias(f"{form}d"), F.collect_list("e").alias("e"))  # at most one item a hub, but for repeated entries
+        return Local(form, hubs, core, rows.select("i", f"{form}d", F.col("e.h").cast("array<int>").alias(f"{form}h"), F.col("e.v").alias(f"{form}v")))
+
+
+def times(matrix: SparseMatrix, entries: DataFrame | None = None) -> Times:
+    return Times(matrix, entries)
+
+
+#: A row of more entries than this may be a hub; so many hubs at most, the largest first.
+HUB_ENTRIES, MOST_HUBS = 512, 256
+
+
+@dataclass(frozen=True)
+class Local:
+    """A symmetric matrix as an operator row by row: a row needs its own diagonal and entries, and what the block is at the hubs.
+
+    rows: i, diagonal, places of hubs and values, which the table of the iteration carries. core: the matrix of the hubs alone.
+    """
+
+    form: str
+    hubs: np.ndarray
+    core: np.ndarray
+    rows: DataFrame
+
+    def columns(self) -> dict[str, str]:
+        return {f"{self.form}d": "double", f"{self.form}h": "array<int>", f"{self.form}v": "array<double>"}
+
+
+def _at_hubs(hubs: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are hubs, and their places."""
+    at = np.minimum(np.searchsorted(hubs, i), max(len(hubs) - 1, 0))
+    own = np.flatnonzero(hubs[at] == i) if len(hubs) else np.zeros(0, dtype=np.int64)
+    return own, at[own]
+
+
+def _own_entries(b: pa.RecordBatch, form: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of a batch's rows in columns of hubs: row, hub, value."""
+    h = b.column(f"{form}h")
+    return np.repeat(np.arange(b.num_rows), np.diff(h.offsets.to_numpy())), h.flatten().to_numpy(), b.column(f"{form}v").flatten().to_numpy()
+
+
+@dataclass(frozen=True)
+class Derived:
+    """Columns that a task makes from those that are stored: products by local matrices, and residuals.
+
+    known: for (form, kind) the block of that kind at the hubs, and its product there.
+    """
 
+    hubs: dict[str, np.ndarray] = field(default_factory=dict)
+    known: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    metric: str = "x"
+
+    def source(self, name: str, stored: list[str]) -> list[str]:
+        """The stored columns that a column needs."""
+        if name in stored:
+            return [name]
+        if name == "r":
+            return [*self.source("ax", stored), *self.source(self.metric, stored)]
+        return [name[1:], *(f"{name[0]}{c}" for c in "dhv")]
+
+    def __call__(self, b: pa.RecordBatch, name: str) -> np.ndarray:
+        if name in b.schema.names:
+            return _array(b, name)
+        if name == "r":
+            return self(b, "ax") - self(b, self.metric) * self.values
+        form, w = name[0], _array(b, name[1:])
+        at_hubs, there = self.known[form, name[1:]]
+        out = b.column(f"{form}d").to_numpy()[:, None] * w
+        row, hub, v = _own_entries(b, form)
+        part = v[:, None] * at_hubs[hub]
+        if len(row) == len(np.unique(row)):
+            out[row] += part
+        else:
+            np.add.at(out, row, part)
+        own, at = _at_hubs(self.hubs[form], b.column("i").to_numpy())
+        out[own] = there[at]
+        return out
 
-def jacobi(matrix: SparseMatrix) -> Block:
+
+@dataclass(frozen=True)
+class Jacobi:
     """Division by the diagonal; rows without one stay."""
-    diagonal = cut(matrix.entries.where("i = j and v <> 0").groupBy("i").agg(F.sum("v").alias("d")))
 
-    def apply(block: DataFrame) -> DataFrame:
-        return block.join(small(diagonal, matrix.n), "i", "left").select("i", F.transform("w", lambda x: x / F.coalesce("d", F.lit(1.0))).alias("w"))
+    matrix: SparseMatrix
+    diagonal: DataFrame
+
+    def __call__(self, block: DataFrame) -> DataFrame:
+        return block.join(small(self.diagonal, self.matrix.n), "i", "left").select("i", F.transform("w", lambda x: x / F.coalesce("d", F.lit(1.0))).alias("w"))
 
-    return apply
+
+def jacobi(matrix: SparseMatrix) -> Jacobi:
+    return Jacobi(matrix, cut(matrix.entries.where("i = j and v <> 0").groupBy("i").agg(F.sum("v").alias("d"))))
 
 
 def _width(block: DataFrame) -> int:
@@ -144,34 +246,75 @@ def _lists(a: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(np.ascontiguousarray(a).ravel()))
 
 
-def gram_matrices(frame: DataFrame, names: list[str], pairs: list[tuple[str, str]]) -> dict[tuple[str, str], np.ndarray]:
+def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Matrices (k, rows, s) of tasks, added entry by entry."""
+    each = parts.select("k", "rows", F.posexplode("s").alias("at", "v"))
+    got = each.groupBy("k", "rows", "at").agg(F.sum("v").alias("v")).toPandas().sort_values(["k", "at"])
+    return {int(k): g.v.to_numpy().reshape(int(g.rows.iloc[0]), -1) for k, g in got.groupby("k")}
+
+
+def _parts(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch({"k": pa.array(sums, pa.int64()), "rows": pa.array([len(s) for s in sums.values()], pa.int64()), "s": pa.array([s.ravel().tolist() for s in sums.values()], pa.list_(pa.float64()))})
+
+
+PARTS = "k long, rows long, s array<double>"
+
+
+def _needed(frame: DataFrame, names: list[str], derived: Derived) -> list[str]:
+    return sorted({"i", *(c for name in names for c in derived.source(name, frame.columns))})
+
+
+def gram_matrices(frame: DataFrame, names: list[str], pairs: list[tuple[str, str]], derived: Derived = Derived()) -> dict[tuple[str, str], np.ndarray]:
     """U'V for pairs of array columns: each task sums its rows, Spark the tasks, entry by entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             if b.num_rows:
-                a = {c: _array(b, c) for c in names}
+                a = {c: derived(b, c) for c in names}
                 for k, (p, q) in enumerate(pairs):
                     sums[k] = sums.get(k, 0) + a[p].T @ a[q]
-        yield pa.record_batch({"k": pa.array(sums, pa.int64()), "rows": pa.array([len(s) for s in sums.values()], pa.int64()), "s": pa.array([s.ravel().tolist() for s in sums.values()], pa.list_(pa.float64()))})
+        yield _parts(sums)
+
+    return {pairs[k]: g for k, g in _summed(frame.select(*_needed(frame, names, derived)).mapInArrow(run, PARTS)).items()}
+
+
+def hub_sums(frame: DataFrame, kind: str, width: int, forms: list[Local]) -> dict[tuple[str, str], tuple[np.ndarray, np.ndarray]]:
+    """For each matrix the block of a kind at its hubs, and its product there: sums over the rows' own entries, by symmetry."""
+    hubs = {x.form: x.hubs for x in forms}
+    if not any(map(len, hubs.values())):
+        return {(f, kind): (np.zeros((0, width)), np.zeros((0, width))) for f in hubs}
 
-    parts = frame.select(*names).mapInArrow(run, "k long, rows long, s array<double>").select("k", "rows", F.posexplode("s").alias("at", "v"))
-    got = parts.groupBy("k", "rows", "at").agg(F.sum("v").alias("v")).toPandas().sort_values(["k", "at"])
-    return {pairs[k]: g.v.to_numpy().reshape(int(g.rows.iloc[0]), -1) for k, g in got.groupby("k")}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {k: np.zeros((len(h), width)) for f, h in enumerate(hubs.values()) if len(h) for k in (2 * f, 2 * f + 1)}
+        for b in batches:
+            w = _array(b, kind) if b.num_rows else None
+            for f, (form, h) in enumerate(hubs.items() if b.num_rows else ()):
+                if len(h):
+                    own, at = _at_hubs(h, b.column("i").to_numpy())
+                    sums[2 * f][at] += w[own]
+                    row, hub, v = _own_entries(b, form)
+                    part = v[:, None] * w[row]
+                    sums[2 * f + 1] += np.stack([np.bincount(hub, part[:, k], minlength=len(h)) for k in range(width)], axis=1)
+        yield _parts(sums)
+
+    got = _summed(frame.select("i", kind, *(c for x in forms for c in x.columns())).mapInArrow(run, PARTS))
+    none = np.zeros((0, width))
+    return {(x.form, kind): (got[2 * f], x.core @ got[2 * f] + got[2 * f + 1]) if len(x.hubs) else (none, none) for f, x in enumerate(forms)}
 
 
-def mixed(frame: DataFrame, made: dict[str, tuple[list[str], np.ndarray]]) -> DataFrame:
-    """i and, for each name, the combination of the named array columns by stacked coefficients: products of row batches."""
-    names = sorted({c for columns, _ in made.values() for c in columns})
+def mixed(frame: DataFrame, made: dict[str, tuple[list[str], np.ndarray]], derived: Derived = Derived(), carried: dict[str, str] | None = None) -> DataFrame:
+    """i and, for each name, the combination of the named array columns by stacked coefficients: products of row batches. carried: columns handed on."""
+    names, carried = sorted({c for columns, _ in made.values() for c in columns}), carried or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                a = {c: _array(b, c) for c in names}
-                yield pa.record_batch({"i": b.column("i")} | {k: _lists(np.concatenate([a[c] for c in columns], axis=1) @ m) for k, (columns, m) in made.items()})
+                a = {c: derived(b, c) for c in names}
+                yield pa.record_batch({"i": b.column("i")} | {c: b.column(c) for c in carried} | {k: _lists(np.concatenate([a[c] for c in columns], axis=1) @ m) for k, (columns, m) in made.items()})
 
-    return frame.select("i", *names).mapInArrow(run, "i long, " + ", ".join(f"{k} array<double>" for k in made))
+    schema = ", ".join(["i long", *(f"{c} {t}" for c, t in carried.items()), *(f"{k} array<double>" for k in made)])
+    return frame.select(*sorted({*_needed(frame, names, derived), *carried})).mapInArrow(run, schema)
 
 
 def reduced(a: np.ndarray, b: np.ndarray, floor: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
@@ -282,6 +425,12 @@ class Engine:
         self.spark, self.n, self.wanted, self.options = spark, n, wanted, options
         self.apply_a, self.apply_b, self.precondition = apply_a, apply_b, precondition
         self.forms = ("", "a", "b") if apply_b else ("", "a")
+        found = [x.local(o) for o, x in (("a", apply_a), ("b", apply_b)) if isinstance(x, Times)]
+        self.local = [x for x in found if x]  # products by these are made in tasks and not stored
+        self.stored = [o for o in self.forms if o not in [x.form for x in self.local]]
+        self.carried = {c: t for x in self.local for c, t in x.columns().items()}
+        self.own_diagonal = isinstance(precondition, Jacobi) and isinstance(apply_a, Times) and precondition.matrix is apply_a.matrix and "ad" in self.carried
+        self.derived = Derived({x.form: x.hubs for x in self.local}, metric="x" if self.inner else self.metric("x"))
         self.space = Workspace(spark)
         self.locked: dict[int, list[float]] = {0: [], 1: []}
         self.found: list[tuple[float, int, float, float, float]] = []  # value, side, residual, errors of vector and value, in the order of columns of y
@@ -292,8 +441,14 @@ class Engine:
         return f"b{k}" if self.apply_b else k
 
     def products(self, block: DataFrame, kind: str) -> DataFrame:
-        out = block.select("i", F.col("w").alias(kind)).join(self.apply_a(block).select("i", F.col("w").alias(f"a{kind}")), "i")
-        return out.join(self.apply_b(block).select("i", F.col("w").alias(f"b{kind}")), "i") if self.apply_b else out
+        """The block and its products that are stored."""
+        out = block.select("i", F.col("w").alias(kind))
+        for o in self.stored[1:]:
+            out = out.join((self.apply_a if o == "a" else self.apply_b)(block).select("i", F.col("w").alias(f"{o}{kind}")), "i")
+        return out
+
+    def at_hubs(self, frame: DataFrame, kind: str, width: int) -> None:
+        self.derived.known.update(hub_sums(frame, kind, width, self.local) if self.local else {})
 
     def start(self, width: int, given: DataFrame | None, constraints: DataFrame | None) -> None:
         x = random_block(self.spark, self.n, width, self.options.seed)
@@ -305,7 +460,12 @@ class Engine:
         if constraints is not None:
             self.constraints = _width(constraints)
             table, kinds = table.join(self.products(constraints, "y"), "i"), ["x", "y"]
-        work = self.space.keep(table)
+        for x_ in self.local:
+            table = table.join(x_.rows, "i", "left")
+        empty = {c: F.array().cast(t) if t.startswith("array") else F.lit(0.0) for c, t in self.carried.items()}
+        work = self.space.keep(table.withColumns({c: F.coalesce(c, e) for c, e in empty.items()}))
+        for kind, block in zip(kinds, (x, constraints), strict=False):
+            self.at_hubs(work, kind, _width(block))
         ga, gb = self.grams(work, kinds)
         keep = np.eye(len(ga))
         if self.constraints:  # given vectors needn't be orthonormal
@@ -328,7 +488,7 @@ class Engine:
         side = self.metric if self.inner else lambda p: p
         pairs = [(side(p), f"a{q}") for p, q in upper] + [(p, self.metric(q)) for p, q in upper]
         extra = ["r"] if "w" in kinds else []
-        g = gram_matrices(frame, [*columns, *extra], pairs + [(r, r) for r in extra])
+        g = gram_matrices(frame, [*columns, *extra], pairs + [(r, r) for r in extra], self.derived)
         whole = lambda e, f: np.block([[g[e(p), f(q)] if a <= b else g[e(q), f(p)].T for b, q in enumerate(kinds)] for a, p in enumerate(kinds)])
         ga, gb = whole(side, lambda q: f"a{q}"), whole(lambda p: p, self.metric)
         self.residuals = np.sqrt(np.maximum(np.diag(g["r", "r"]), 0)) if extra else None
@@ -346,32 +506,37 @@ class Engine:
         p = span @ directions
         self.values, self.sides, self.others = t[at], sides, np.delete(t, at)
         self.sizes = np.sqrt(np.maximum(np.einsum("ik,ij,jk->k", p, gb, p), 0))
-        made: dict[str, tuple[list[str], np.ndarray]] = {}
-        for o in self.forms:
-            columns = [f"{o}{k}" for k in kinds]
-            made[f"{o}x"] = columns, span @ coefficients
-            if old:
-                made[f"{o}p"] = columns, p
-            if base.shape[1]:
-                made[f"{o}y"] = columns, base
         x = span @ coefficients
+        new = {"x": x} | ({"p": p} if old else {}) | ({"y": base} if base.shape[1] else {})
+        made = {f"{o}{k}": ([f"{o}{q}" for q in kinds], m) for o in self.stored for k, m in new.items()}
         made["r"] = [f"a{k}" for k in kinds] + [k if self.inner else self.metric(k) for k in kinds], np.concatenate([x, -x * self.values])
-        self.state, self.has_p = mixed(work, made), bool(old)
+        self.state, self.has_p = mixed(work, made, self.derived, self.carried), bool(old)
+        known = {(f, k): tuple(np.concatenate([self.derived.known[f, q][h] for q in kinds], axis=1) @ m for h in (0, 1)) for f in self.derived.hubs for k, m in new.items()}
+        self.derived = replace(self.derived, known=known, values=self.values)
         return True
 
     def step(self, number: int) -> tuple[DataFrame, list[str]]:
         """The table with residuals r and search block w, and what it holds."""
         state, width = self.state, len(self.values)
-        w = _sized(state.select("i", F.col("r").alias("w")), width)
-        if self.precondition:  # of what belongs to the left end
-            both = self.precondition(w).select("i", F.col("w").alias("t")).join(w, "i")
-            w = _sized(self.space.keep(both.select("i", F.array(*(F.col("w" if s else "t")[k] for k, s in enumerate(self.sides.tolist()))).alias("w"))), width)
-        if self.fresh:
-            bits = max(1, (self.n * self.fresh).bit_length())
-            cells = [lcg.as_real(lcg.state((F.col("i") - 1) * self.fresh + (k + 1), self.options.seed + 7919 * number, bits)) for k in range(self.fresh)]
-            w = _sized(w.select("i", F.concat("w", F.array(*cells)).alias("w")), width + self.fresh)
-        self.direction = w
-        return state.join(self.products(w, "w"), "i"), ["x", "w", *(["p"] if self.has_p else []), *(["y"] if self.constraints + len(self.found) else [])]
+        kinds = ["x", "w", *(["p"] if self.has_p else []), *(["y"] if self.constraints + len(self.found) else [])]
+        bits = max(1, (self.n * self.fresh).bit_length())
+        cells = [lcg.as_real(lcg.state((F.col("i") - 1) * self.fresh + (k + 1), self.options.seed + 7919 * number, bits)) for k in range(self.fresh)]
+        self.direction = None
+        if len(self.stored) == 1 and (not self.precondition or self.own_diagonal):  # a row makes its search vectors itself
+            d = F.when(F.col("ad") != 0, F.col("ad")).otherwise(1.0) if self.precondition else None
+            own = F.array(*(F.col("r")[k] if s or d is None else F.col("r")[k] / d for k, s in enumerate(self.sides.tolist())))
+            whole = state.withColumn("w", F.concat(own, F.array(*cells)) if cells else own).drop("r")
+        else:
+            w = _sized(state.select("i", F.col("r").alias("w")), width)
+            if self.precondition:  # of what belongs to the left end
+                both = self.precondition(w).select("i", F.col("w").alias("t")).join(w, "i")
+                w = _sized(self.space.keep(both.select("i", F.array(*(F.col("w" if s else "t")[k] for k, s in enumerate(self.sides.tolist()))).alias("w"))), width)
+            if cells:
+                w = _sized(w.select("i", F.concat("w", F.array(*cells)).alias("w")), width + self.fresh)
+            self.direction = w
+            whole = state.join(self.products(w, "w"), "i")
+        self.at_hubs(whole, "w", width + self.fresh)
+        return whole, kinds
 
     def converged(self, last: dict[int, np.ndarray]) -> np.ndarray:
         o, size = self.options, max([float(np.abs(self.values).max()), *(abs(f[0]) for f in self.found)])

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lattica import solve_file
 from lattica.functions import lcg
-from lattica.matrix import MatrixType, matrix_from_entries, vector_from_values
+from lattica.matrix import MatrixType, SparseMatrix, matrix_from_entries, vector_from_values
 from lattica.operators import direct, eigs, vectors
 from lattica.operators.lsmr import LsmrOptions, Operator, Stop, lsmr
 from lattica.plans import symbolic
@@ -137,3 +137,32 @@ def test_preconditioner_and_both_ends(spark):
     exact = np.linalg.eigvalsh(dense)
     got = eigs.standard(a, 2, 1, scaled, eigs.Options(rel_tol_residual=1e-5))
     assert np.allclose(got.values, [exact[0], exact[1], exact[-1]], atol=1e-4)
+
+
+def test_products_by_row_of_few_hubs(spark, monkeypatch):
+    """A matrix of hubs and a diagonal, with repeated entries and a row of none: products as by its dense form, and no step of a run joins its table with entries."""
+    monkeypatch.setattr(eigs, "HUB_ENTRIES", 20)
+    rng, n = np.random.default_rng(5), 120
+    dense = np.diag(rng.uniform(1, 9, n))
+    dense[70, 70] = 0
+    for hub in (3, 4, 90):
+        for i in rng.permutation(n)[:60]:
+            if i not in (hub, 70):
+                dense[i, hub] = dense[hub, i] = rng.normal()
+    low = [(int(i) + 1, int(j) + 1, float(dense[i, j]) / 2) for i, j in zip(*np.nonzero(np.tril(dense)), strict=True)]
+    a = SparseMatrix(spark.createDataFrame(low + low, "i long, j long, v double"), n, n, MatrixType.REAL_SYM_INDEF)
+    local = eigs.times(a).local("a")
+    assert local.hubs.tolist() == [4, 5, 91]
+    w = rng.normal(size=(n, 2))
+    block = spark.createDataFrame([(k + 1, w[k].tolist()) for k in range(n)], "i long, w array<double>")
+    empty = F.array()
+    frame = block.join(local.rows, "i", "left").withColumns({"ad": F.coalesce("ad", F.lit(0.0)), "ah": F.coalesce("ah", empty.cast("array<int>")), "av": F.coalesce("av", empty.cast("array<double>"))})
+    derived = eigs.Derived({"a": local.hubs}, eigs.hub_sums(frame, "w", 2, [local]))
+    got = eigs.gram_matrices(frame, ["w", "aw"], [("w", "aw"), ("aw", "aw")], derived)
+    assert np.allclose(got["w", "aw"], w.T @ dense @ w) and np.allclose(got["aw", "aw"], w.T @ dense @ dense @ w)
+    joined = []
+    monkeypatch.setattr(eigs.Times, "__call__", lambda *x: joined.append(x))
+    top = eigs.standard(a, 0, 2, options=eigs.Options(rel_tol_residual=1e-3))
+    assert np.allclose(top.values, np.linalg.eigvalsh(dense)[-2:], atol=1e-3) and not joined
+    other = a.entries.unionByName(spark.createDataFrame([(9, 8, 1.0)], "i long, j long, v double"))
+    assert eigs.times(SparseMatrix(other, n, n, a.type)).local("a") is None
