@@ -1,5 +1,5 @@
 import corpus_pipeline
-from lattica.llm import near_dedup, quality_classifier, quality_rules
+from lattica.llm import common, near_dedup, quality_classifier, quality_rules
 
 
 def test_stages_filter_and_keep_columns(spark, docs, tmp_path):
@@ -37,3 +37,10 @@ def test_classifier_stage_drops_what_documents_teach(spark, docs, labels):
     good = docs.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     left = {name: stage(spark, d, sf_dir).count() / d.count() for name, d in (("bad", bad), ("good", good))}
     assert left["bad"] < 0.5 < 0.9 < left["good"]
+
+
+def test_a_task_gives_its_memory_back(spark, tmp_path, monkeypatch):
+    mark = str(tmp_path / "released")
+    monkeypatch.setattr(common, "release", lambda: open(mark, "a").close(), raising=False)
+    assert common.in_arrow(spark.range(3), lambda batches: batches, "id long").count() == 3
+    assert (tmp_path / "released").exists()
