@@ -426,7 +426,7 @@ class Engine:
         self.apply_a, self.apply_b, self.precondition = apply_a, apply_b, precondition
         self.forms = ("", "a", "b") if apply_b else ("", "a")
         found = [x.local(o) for o, x in (("a", apply_a), ("b", apply_b)) if isinstance(x, Times)]
-        self.local = [x for x in found if x]  # products by these are made in tasks and not stored
+        self.local = found if all(found) and len(found) == len(self.forms) - 1 else []  # products by these are made in tasks and not stored
         self.stored = [o for o in self.forms if o not in [x.form for x in self.local]]
         self.carried = {c: t for x in self.local for c, t in x.columns().items()}
         self.own_diagonal = isinstance(precondition, Jacobi) and isinstance(apply_a, Times) and precondition.matrix is apply_a.matrix and "ad" in self.carried
