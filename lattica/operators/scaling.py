@@ -1,7 +1,7 @@
 """Scalings: equilibration in the infinity norm, and by exact or auction matching.
 
-Equilibration is iterated grouped maxima. Matchings are exact per connected component of the bipartite graph, so each
-component is one task and a matrix of many blocks runs in parallel; one component is as sequential as the algorithm is. An
+Equilibration is iterated grouped maxima. Matchings are exact per connected component of the bipartite graph, so that a matrix
+of many blocks runs in parallel, with many small blocks in a task; one component is as sequential as the algorithm is. An
 auction is one task with its bids in order ("auction"), or rounds in which all bid at once, for matrices of any size
 ("parallel auction").
 """
@@ -143,11 +143,22 @@ def _auction(pdf: pd.DataFrame, options: AuctionOptions) -> pd.DataFrame:
     return _matched(rows, columns, got.row_of, shift / 2 - got.u, shift / 2 - got.v - top, got.iterations)
 
 
+#: Entries that a task of the exact matching is dealt, of whole blocks.
+DEAL_ENTRIES = 50_000
+
+
+def _dealt(logs: DataFrame) -> DataFrame:
+    """logs with share: whole blocks dealt by hash. Paths of the matching stay within their block, so it is the same whatever others are with it."""
+    found = cut(blocks(logs))
+    shares = max(1, -(-found.count() // DEAL_ENTRIES))
+    return found.withColumn("share", F.pmod(F.xxhash64("block"), F.lit(shares))).repartition(shares, "share")
+
+
 def match(matrix: SparseMatrix, method: str = "hungarian", options: AuctionOptions = AuctionOptions()) -> DataFrame:
     """side (0 row, 1 column), k, mate (0: none), dual (log scaling), over all rows and columns with a nonzero entry."""
     logs = matrix.full().where("v <> 0").select("i", "j", F.log(F.abs("v")).alias("w"))
     if method == "hungarian":
-        return cut(blocks(logs).groupBy("block").applyInPandas(lambda pdf: _exact(pdf), MATCH_SCHEMA))
+        return cut(_dealt(logs).groupBy("share").applyInPandas(lambda pdf: _exact(pdf), MATCH_SCHEMA))
     if method == "parallel auction":
         return parallel_auction(logs.groupBy("i", "j").agg(F.max("w").alias("w")), matrix.m, matrix.n, options)
     # the steps of the auction in order depend on the whole matrix: one task
