@@ -9,8 +9,10 @@ around it; a class that crosses another is dropped. That makes a tree of rounds,
 doesn't hold fills the slots.
 
 Which slots are content: elements have roles by name (article, menu, advert and so on) as a prior. Where a page marks its
-article by an element, what is inside is content as it stands: of several article elements, those of half the words of the longest
-or more; of a main element around an article, no more than its first heading where the article has none. Inside of one that is only named so, blocks wholly of the
+article by an element, the slots that this element fills are content, and the template's words between them stay, as nothing of an
+article may go: of several article elements, those of half the words of the longest or more, without those of which the template holds
+all words, so that they fill no slot (the longest stays); of a main element around an article, no more than its first heading where the
+article has none. Inside of one that is only named so, blocks wholly of the
 template go, unless all are: then the pages of the host are copies and the text is theirs. Elsewhere content is the slot with most words outside links, what
 is nested in it, later rounds of it of half its words or more, and headings; blocks of which half the words or more are the template's are labels of the site and go.
 
@@ -53,7 +55,6 @@ TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|
 TOKEN = 2**63 - 1
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden))", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-SPACE = re.compile(r"\s+")
 # Element names of the markup language.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "svg", "math", "object", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -229,23 +230,32 @@ def _names(attributes: str) -> str:
     return " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes))
 
 
-_WORDS: dict[str, int] = {}
+STORED_WORDS = 400_000
+
+
+class _Words(dict):
+    """Hashes of words, each made once; long words are not kept."""
+
+    def __missing__(self, w: str) -> int:
+        h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1
+        if len(self) > STORED_WORDS:
+            self.clear()
+        if len(w) <= 64:
+            self[w] = h
+        return h
+
+
+_WORDS = _Words()
 
 
 def word_tokens(path: int, text: str) -> list[int]:
     """The tokens of a text's words: odd numbers, hashed from word and path."""
-    words, known, path = entities.unescape(text).split(), _WORDS, path * 0x9E3779B97F4A7C15 & TOKEN
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1
-            if len(known) > 50_000:
-                known.clear()
-            if len(w) <= 64:
-                known[w] = h
-        out.append((h ^ path) | 1)
-    return out
+    path, known = path * 0x9E3779B97F4A7C15 & TOKEN, _WORDS
+    return [(known[w] ^ path) | 1 for w in _decoded(text).split()]
+
+
+def _decoded(text: str) -> str:
+    return entities.unescape(text) if "&" in text else text
 
 
 def page_tokens(found: list[Node]) -> list[list[int]]:
@@ -389,10 +399,13 @@ def extract(page: str | None, template: dict[int, int]) -> str:
         return ""
     found = list(nodes(page))
     level = max((n.article for n in found if n.area >= 0 and n.kind == "text" and n.text.strip()), default=0)
-    if level >= 2:
-        return _joined(_marked([n for n in found if n.kind == "text" and n.area >= 0 and n.article >= 2], level))
     tokens = page_tokens(found)
     tree = Slots([(template[t], t) for ts in tokens for t in ts if t in template])
+    if level >= 2:
+        inside = [(n, ts) for n, ts in zip(found, tokens, strict=True) if n.kind == "text" and n.area >= 0 and n.article >= 2]
+        held = {t for t, c in template.items() if c in tree.good}
+        filled = [len(ts) - sum(map(held.__contains__, ts)) for _, ts in inside]
+        return _joined(_marked([n for n, _ in inside], filled, level))
     slot, number = 0, 0
     texts: dict[int, list] = {}  # block -> its pieces, words, words of the template, slots, whether it is a heading
     free: Counter[int] = Counter()  # words of slots, outside links
@@ -422,18 +435,20 @@ def extract(page: str | None, template: dict[int, int]) -> str:
 
 
 def _joined(blocks_: Iterable[list[str]]) -> str:
-    lines = (SPACE.sub(" ", entities.unescape("".join(b))).strip() for b in blocks_)
+    lines = (" ".join(_decoded("".join(b)).split()) for b in blocks_)
     return "\n".join(t for t in lines if t)
 
 
-def _marked(inside: list[Node], level: int) -> Iterable[list[str]]:
-    """The blocks of a page whose article is marked, from its nodes in article and main elements."""
+def _marked(inside: list[Node], filled: list[int], level: int) -> Iterable[list[str]]:
+    """The blocks of a page whose article is marked, from its nodes in article and main elements, and how many words of each fill slots."""
     size: Counter[int] = Counter()
-    for n in inside:
+    fills: Counter[int] = Counter()
+    for n, free in zip(inside, filled, strict=True):
         if n.article == level and not n.link:
             size[n.root] += len(n.text.split())
+            fills[n.root] += free
     longest = max(size.values(), default=0)
-    long = {r for r, words in size.items() if level == 2 or 2 * words >= longest}
+    long = {r for r, words in size.items() if level == 2 or words == longest or 2 * words >= longest and fills[r]}
     titled = level == 2 or any(n.heading == 2 for n in inside if n.article == 3 and n.root in long)
     lines: dict[int, list[str]] = {}
     for n in inside:

@@ -185,6 +185,22 @@ def test_what_ends_no_block():
     assert html_extraction.extract(page, {}) == "one two three four five six\nseven"
 
 
+def test_template_decides_among_marked_articles():
+    """An article element whose words are all the template's fills no slot and goes; the longest one stays even so."""
+    notice, words = "<article><p>Our shop is open on all days</p></article>", "one two three four five six seven eight nine"
+    pages = [f"<div>{notice}<article><h1>T{k}</h1><p>{words} x{k}</p></article></div>" for k in range(4)]
+    counts = [Counter(t for ts in html_extraction.page_tokens(list(html_extraction.nodes(p))) for t in ts) for p in pages]
+    classes = {}
+    for t in set().union(*counts):
+        if all(c[t] for c in counts):
+            classes.setdefault(tuple(c[t] for c in counts), []).append(t)
+    template = {t: min(ts) for ts in classes.values() for t in ts}
+    assert html_extraction.extract(pages[0], template) == f"T0\n{words} x0"
+    assert html_extraction.extract(pages[0], {}) == f"Our shop is open on all days\nT0\n{words} x0"
+    copy = pages[0].replace(f"{words} x0", words).replace("T0", "")
+    assert html_extraction.extract(copy, template) == words
+
+
 def test_articles_beside_the_article():
     teaser = '<article><h2>Another one</h2><p>Read <a href="/x">this long, long teaser of another article, which is a link</a></p></article>'
     page = f'<main><h1>Title</h1><p>Related reading</p><article><p>The text of this page, which is long enough.</p><p>More of it.</p><article class="comment"><p>nice, nice, nice</p></article></article>{teaser}</main>'
