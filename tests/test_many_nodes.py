@@ -6,7 +6,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from lattica.operators import direct, frontal
+from pyspark.sql import functions as F
+
+from lattica.matrix import MatrixType, SparseMatrix
+from lattica.operators import direct, frontal, scaling
 from lattica.plans import dissection, symbolic
 
 
@@ -74,3 +77,34 @@ def test_indices_make_no_object_for_each_entry(spark, monkeypatch):
     monkeypatch.delattr(DataFrame, "toPandas", raising=False)
     i, j = direct.indices(a)
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(1, 1), (2, 0)]
+
+
+def test_small_blocks_are_matched_together(spark, monkeypatch):
+    """Whole blocks of the exact matching share a task, and are matched as each by itself."""
+    rows = [(2 * k + a, 2 * k + b, 1.0 + (3 * a + 5 * b + k) % 7) for k in range(60) for a in (1, 2) for b in (1, 2)]
+    a = SparseMatrix(spark.createDataFrame(rows, "i long, j long, v double"), 120, 120, MatrixType.REAL_UNSYM)
+    logs = a.entries.select("i", "j", F.log("v").alias("w"))
+    monkeypatch.setattr(scaling, "DEAL_ENTRIES", 40)
+    dealt = scaling._dealt(logs)
+    assert dealt.select("block").distinct().count() == 60
+    assert 1 < dealt.select("share").distinct().count() <= 6
+    assert dealt.groupBy("block").agg(F.countDistinct("share").alias("n")).where("n > 1").isEmpty()
+    together = sorted(map(tuple, scaling.match(a).collect()))
+    alone = sorted(map(tuple, scaling.blocks(logs).groupBy("block").applyInPandas(lambda pdf: scaling._exact(pdf), scaling.MATCH_SCHEMA).collect()))
+    assert together == alone
+
+
+def test_fronts_are_in_memory_task_by_task_and_spread_over_cores(spark):
+    """What reads fronts, or makes them, sees one task at a time, and small tasks don't meet in one partition."""
+    n = 240
+    e = [(k, k, 4.0) for k in range(1, n + 1)] + [(k, k - 1, -1.0) for k in range(2, n + 1)]
+    a = SparseMatrix(spark.createDataFrame(e, "i long, j long, v double"), n, n, MatrixType.REAL_SYM_INDEF)
+    f = direct.factor(direct.analyse(a, direct.Options(nemin=4, task_flops=500)))
+    tasks = f.fronts.select("task").distinct().count()
+    assert sum(f.tasks) == tasks and f.tasks[0] > 3
+    sizes = direct._each(f.fronts.select("task", "payload"), tasks, lambda pdf: pd.DataFrame({"rows": [len(pdf)]}), "rows long").collect()
+    assert [x.rows for x in sizes] == [1] * tasks
+    assert direct._dealt(f.fronts.where("level = 0"), f.tasks[0]).groupBy("task").count().rdd.getNumPartitions() == min(f.tasks[0], 16)
+    x = direct.solve(f, np.ones(n))
+    assert direct.backward_error(a, x, np.ones(n)) < 1e-14
+    f.free()
