@@ -19,7 +19,13 @@ from pyspark.sql import functions as F
 
 from .cutting import Workspace
 from .matching import AuctionOptions, Patience
-from .vectors import small
+
+#: A table of at most so many rows is broadcast in a round; as rounds are many, what goes through the driver in all stays small.
+ROUND_ROWS = 50_000
+
+
+def _round(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= ROUND_ROWS else table.hint("merge")
 
 
 @dataclass(frozen=True)
@@ -45,7 +51,7 @@ def parallel_auction(logs: DataFrame, m: int, n: int, options: AuctionOptions =
     if not stat["bidders"]:
         return empty
     shift = 2 * stat["spread"] + 1  # any match is worth more than a better one
-    gains = space.keep(named.join(small(top.select("b", "top"), stat["bidders"]), "b").select("b", "t", (F.col("w") - F.col("top") + shift).alias("g")))
+    gains = space.keep(named.join(_round(top.select("b", "top"), stat["bidders"]), "b").select("b", "t", (F.col("w") - F.col("top") + shift).alias("g")))
     prices = space.keep(gains.select("t").distinct().select("t", F.lit(0.0).alias("price"), F.lit(None).cast("long").alias("holder")))
     lots = prices.count()
     out = space.keep(gains.select("b").limit(0))  # bidders without a positive gain left
@@ -56,14 +62,14 @@ def parallel_auction(logs: DataFrame, m: int, n: int, options: AuctionOptions =
         open_ = min(stat["bidders"], lots) - holders - dropped
         if open_ <= 0 or stat["bidders"] - holders - dropped <= 0 or patience.ended(open_):
             break
-        active = top.select("b").join(held, "b", "left_anti").join(out, "b", "left_anti")
-        offer = gains.join(small(active, stat["bidders"] - holders), "b").join(small(prices.select("t", "price"), lots), "t").select("b", "t", "price", (F.col("g") - F.col("price")).alias("net"))
+        active = top.select("b").join(_round(held, holders), "b", "left_anti").join(_round(out, dropped), "b", "left_anti")
+        offer = gains.join(_round(active, stat["bidders"] - holders - dropped), "b").join(_round(prices.select("t", "price"), lots), "t").select("b", "t", "price", (F.col("g") - F.col("price")).alias("net"))
         best = offer.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.desc("net"), "t"))).where("r <= 2")
         first = lambda c: F.max(F.when(F.col("r") == 1, F.col(c)))
         second = F.coalesce(F.max(F.when(F.col("r") == 2, F.col("net"))), F.lit(0.0))
         bids = space.keep(best.groupBy("b").agg(first("t").alias("t"), first("net").alias("net"), (first("price") + first("net") - second + eps.at(number)).alias("bid")))
         won = bids.where("net > 0").groupBy("t").agg(F.max(F.struct("bid", (-F.col("b")).alias("b"))).alias("x")).select("t", F.col("x.bid").alias("bid"), (-F.col("x.b")).alias("winner"))
-        after = space.keep(prices.join(won, "t", "left").select("t", F.coalesce("bid", "price").alias("price"), F.coalesce("winner", "holder").alias("holder")))
+        after = space.keep(prices.join(_round(won, stat["bidders"] - holders - dropped), "t", "left").select("t", F.coalesce("bid", "price").alias("price"), F.coalesce("winner", "holder").alias("holder")))
         if (gone := bids.where("net <= 0").count()) > 0:
             dropped += gone
             more = space.keep(out.unionByName(bids.where("net <= 0").select("b")))
@@ -71,10 +77,10 @@ def parallel_auction(logs: DataFrame, m: int, n: int, options: AuctionOptions =
             out = more
         space.drop(bids, prices)
         prices, number = after, number + 1
-    worth = gains.join(small(prices, lots), "t").groupBy("b").agg(F.max(F.col("g") - F.col("price")).alias("worth"), F.max(F.when(F.col("holder") == F.col("b"), F.col("t"))).alias("mate"))
+    worth = gains.join(_round(prices, lots), "t").groupBy("b").agg(F.max(F.col("g") - F.col("price")).alias("worth"), F.max(F.when(F.col("holder") == F.col("b"), F.col("t"))).alias("mate"))
     of = {"i": 0, "j": 1}
     mate = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias("mate")
-    bidders = worth.join(top, "b").select(F.lit(of[bidder]).alias("side"), F.col("b").alias("k"), mate("mate"), (shift / 2 - F.col("worth") - F.col("top")).alias("dual"))
+    bidders = worth.join(_round(top, stat["bidders"]), "b").select(F.lit(of[bidder]).alias("side"), F.col("b").alias("k"), mate("mate"), (shift / 2 - F.col("worth") - F.col("top")).alias("dual"))
     taken = prices.select(F.lit(of[lot]).alias("side"), F.col("t").alias("k"), mate("holder"), (shift / 2 - F.col("price")).alias("dual"))
     found = space.keep(bidders.unionByName(taken).withColumn("rounds", F.lit(number).cast("long")))
     space.drop(gains, prices, top, out)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lattica.matrix import MatrixType, SparseMatrix
-from lattica.operators import direct, frontal, scaling
+from lattica.operators import auction, direct, frontal, scaling
 from lattica.plans import dissection, symbolic
 
 
@@ -108,3 +108,10 @@ def test_fronts_are_in_memory_task_by_task_and_spread_over_cores(spark):
     x = direct.solve(f, np.ones(n))
     assert direct.backward_error(a, x, np.ones(n)) < 1e-14
     f.free()
+
+
+def test_a_round_of_the_auction_broadcasts_few_rows(spark):
+    """What a round sends through the driver doesn't grow with the matrix."""
+    t = spark.range(100).withColumnRenamed("id", "t")
+    plan = lambda rows: t.join(auction._round(t, rows), "t")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(auction.ROUND_ROWS) and "Broadcast" not in plan(auction.ROUND_ROWS + 1)
