@@ -59,6 +59,24 @@ def test_parts_of_a_dissection_may_be_ordered_elsewhere():
     assert len(sizes) >= 4 and max(sizes) <= 500
 
 
+def test_large_parts_are_separated_in_tasks(monkeypatch):
+    side = 64
+    k = np.arange(side * side)
+    g = dissection.adjacency(side * side, np.concatenate([k[k % side > 0], k[k >= side]]), np.concatenate([k[k % side > 0] - 1, k[k >= side] - side]))
+    want, separate, here, rounds = dissection.nested_dissection(g), dissection.separate, [], []
+    monkeypatch.setattr(dissection, "separate", lambda x: here.append(len(x)) or separate(x))
+    deal = lambda parts: [np.array(dissection.nested_dissection(dissection.Graph.unpacked(x.packed()))) for x in parts]
+
+    def halve(parts):
+        rounds.append([len(x) for x in parts])
+        return [separate(dissection.Graph.unpacked(x.packed())) for x in parts]
+
+    before = len(here)
+    assert dissection.nested_dissection(g, deal=deal, piece=500, halve=halve) == want
+    assert here[before] == len(g) and max(here[before + 1 :]) <= 500  # of what is above 500 nodes, only the whole is separated here
+    assert len(rounds) <= 4 and len(rounds[0]) == 2 and min(min(x) for x in rounds) > 500  # all parts known at a time go together
+
+
 def test_vectors_of_a_task_are_arrow_tables():
     """What several tasks send to one position is summed; columns of several right-hand sides stay apart."""
     l = np.array([[1.0], [0.5]])  # noqa: E741
