@@ -15,6 +15,7 @@ from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from ..functions import lcg
 from ..matrix import MatrixType, SparseMatrix
 from ..operators import convert
+from ..operators.cutting import Workspace
 
 
 class FileFlag(IntEnum):
@@ -303,44 +305,78 @@ def encode(i: np.ndarray, j: np.ndarray, v: np.ndarray | None, m: int, n: int, t
     return "\n".join([*head, *pointers, *rows, *values]) + "\n"
 
 
-def fields_in_lines(fields: DataFrame, per: int, first: int) -> DataFrame:
-    """at, value: lines, from number first, of per fields (k, field) each; a line is a group of at most that many rows."""
-    line = F.floor((F.col("k") - 1) / per)
-    cells = F.transform(F.array_sort(F.collect_list(F.struct("k", "field"))), lambda x: x["field"])
-    return fields.groupBy((line + first).alias("at")).agg(F.array_join(cells, "").alias("value"))
+def in_column_order(entries: DataFrame, space: Workspace) -> DataFrame:
+    """entries with pos, by one range shuffle: what a task got is numbered from where the task before it ended. Long columns are cut too."""
+    ranged = space.keep(entries.repartitionByRange("j", "i").sortWithinPartitions("j", "i").select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")))
+    held = ranged.groupBy("part").agg(F.count("*").alias("c"), F.min("id").alias("least")).orderBy("part").collect()  # a row a task
+    bases = np.cumsum([1, *(x["c"] for x in held)])
+    known = entries.sparkSession.createDataFrame([(x["part"], int(b) - x["least"]) for x, b in zip(held, bases, strict=False)], "part int, shift long")
+    return ranged.join(F.broadcast(known), "part").select(*entries.columns, (F.col("id") + F.col("shift")).alias("pos"))
+
+
+def joined_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of fields (at, k, field) that come in order: fields of a line follow each other in memory, so a line is a slice of it."""
+    left = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch.select(["at", "field"])])
+        if left is not None:
+            rows = pa.concat_tables([left, rows])
+        at = rows.column("at").to_numpy()
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        if len(first):
+            yield _slices(rows, first)
+            left = rows.slice(first[-1])  # may go on in the next batch
+    if left is not None:
+        yield _slices(left, np.array([0, left.num_rows]))
+
+
+def _slices(rows: pa.Table, ends: np.ndarray) -> pa.RecordBatch:
+    """A line for each two that follow each other in ends."""
+    fields = pa.concat_arrays(rows.slice(0, ends[-1]).column("field").cast(pa.large_string()).chunks) if ends[-1] else pa.array([], pa.large_string())
+    offsets = np.frombuffer(fields.buffers()[1], dtype=np.int64)[fields.offset : fields.offset + len(fields) + 1] if len(fields) else np.zeros(1, dtype=np.int64)
+    text = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(offsets[ends].copy()), fields.buffers()[2] if len(fields) else pa.py_buffer(b""))
+    return pa.RecordBatch.from_arrays([text.cast(pa.string())], ["value"])
 
 
 def write(matrix: SparseMatrix, path: str, with_values: bool = True, title: str = "Matrix", identifier: str = "0", least_parts: int = 1) -> None:
     """The lines of one file in the folder path, as parts that follow each other in order of name.
 
-    Entries are numbered by blocks, fields meet by lines and lines by ranges, one task a part of 100,000 lines or less. `cat part-*`
-    makes one file of them, which a small matrix is already.
+    Entries are numbered by a range shuffle, and their fields meet in the part of their line, one task a part of 100,000 lines or
+    less. `cat part-*` makes one file of them, which a small matrix is already.
     """
     m, n, type, spark = matrix.m, matrix.n, matrix.type, matrix.spark
     if type < 0 or type == 5:
         raise FileError(FileFlag.MATRIX_TYPE)
-    kept = matrix.entries.select("i", "j", "v").where("i > 0")
+    space = Workspace(spark)
+    kept = space.keep(matrix.entries.select("i", "j", "v").where("i > 0"))
     size = kept.agg(F.count("*").alias("c"), F.max("i").alias("i")).first()
     wp, wr = len(str(size["c"] + 1)) + 1, len(str(size["i"] or 1)) + 1
     shape = layout(m, n, size["c"], wp, wr, with_values)
     a, b, c = shape.lines
+    placed = in_column_order(kept, space)
+
+    def fields(df: DataFrame, k: str, field: Column, per: int, first: int) -> DataFrame:
+        return df.select((F.floor((F.col(k) - 1) / per) + first).cast("long").alias("at"), F.col(k).cast("long").alias("k"), field.alias("field"))
+
     padded = lambda x, width: F.lpad(F.col(x).cast("string"), width, " ")
-    placed = convert.positions(kept, n)
-    pointers = convert.column_pointers(kept, n).select(F.col("j").alias("k"), padded("ptr", wp).alias("field"))
-    lines = fields_in_lines(pointers, 80 // wp, 4).unionByName(fields_in_lines(placed.select(F.col("pos").alias("k"), padded("i", wr).alias("field")), 80 // wr, 4 + a))
+    lines = fields(convert.column_pointers(kept, n), "j", padded("ptr", wp), 80 // wp, 4)
+    lines = lines.unionByName(fields(placed, "pos", padded("i", wr), 80 // wr, 4 + a))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"k": x.pos, "field": [real_field(float(v)) for v in x.v]})
+            yield pd.DataFrame({"pos": x.pos, "field": [real_field(v) for v in x.v.tolist()]})
 
     if with_values:
-        lines = lines.unionByName(fields_in_lines(placed.select("pos", "v").mapInPandas(run, "k long, field string"), 3, 4 + a + b))
-    single = list(enumerate(header_lines(shape, type, with_values, title, identifier)))
+        lines = lines.unionByName(fields(placed.select("pos", "v").mapInPandas(run, "pos long, field string"), "pos", F.col("field"), 3, 4 + a + b))
+    single = [(at, 0, text) for at, text in enumerate(header_lines(shape, type, with_values, title, identifier))]
     if not size["c"]:  # an empty section is one empty line
-        single += [(4 + a, ""), *([(4 + a + b, "")] if with_values else [])]
-    lines = lines.unionByName(spark.createDataFrame(single, "at long, value string"))
-    parts = min(max(least_parts, -(-(a + b + c) // 100_000)), 99_999)  # names of five digits keep their order
-    lines.repartitionByRange(parts, "at").sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
+        single += [(4 + a, 0, ""), *([(4 + a + b, 0, "")] if with_values else [])]
+    lines = lines.unionByName(spark.createDataFrame(single, "at long, k long, field string"))
+    total = 4 + a + b + c
+    parts = min(max(least_parts, -(-total // 100_000)), 99_999)  # names of five digits keep their order
+    part = F.when(F.col("at") < 4, 0).otherwise(F.floor(F.col("at") * parts / total)).cast("int")  # the header is not cut
+    lines.repartitionById(parts, part).sortWithinPartitions("at", "k").mapInArrow(joined_lines, "value string").write.mode("overwrite").text(path)
+    space.free()
 
 
 class RutherfordBoeing(DataSource):

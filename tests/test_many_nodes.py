@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lattica.matrix import MatrixType, SparseMatrix
 from lattica.operators import auction, direct, frontal, scaling
 from lattica.plans import dissection, symbolic
+from lattica.sources import rutherford_boeing
 
 
 def test_many_nodes_are_dealt_to_several_tasks():
@@ -133,3 +134,27 @@ def test_a_round_of_the_auction_broadcasts_few_rows(spark):
     t = spark.range(100).withColumnRenamed("id", "t")
     plan = lambda rows: t.join(auction._round(t, rows), "t")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan(auction.ROUND_ROWS) and "Broadcast" not in plan(auction.ROUND_ROWS + 1)
+
+
+def test_a_written_matrix_is_made_once(spark, tmp_path):
+    n, made = 700, spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for x in batches:
+            made.add(len(x))
+            yield x
+
+    rows = spark.createDataFrame(pd.DataFrame({"i": np.tile(np.arange(1, n + 1), 2), "j": np.repeat([1, 3], n), "v": np.arange(2.0 * n) - 5}), "i long, j long, v double").repartition(7)
+    a = SparseMatrix(rows.mapInPandas(run, "i long, j long, v double"), n, n, MatrixType.REAL_UNSYM)
+    rutherford_boeing.write(a, f"{tmp_path}/m", least_parts=5)
+    assert made.value == 2 * n
+    got = rutherford_boeing.read(spark, f"{tmp_path}/m")[0].entries
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_lines_go_on_from_batch_to_batch():
+    at, fields = [3, 3, 3, 4, 4, 6, 7], ["a", "bc", "ü", "", "d", "", "e"]
+    want = ["abcü", "d", "", "e"]
+    for size in (1, 2, 3, 7):
+        batches = [pa.RecordBatch.from_pydict({"at": at[k : k + size], "k": [0] * len(at[k : k + size]), "field": fields[k : k + size]}) for k in range(0, 7, size)]
+        assert [x for b in rutherford_boeing.joined_lines(iter(batches)) for x in b.column(0).to_pylist()] == want
