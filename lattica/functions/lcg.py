@@ -5,6 +5,7 @@ As a column, the k-th state is found by doubling jumps, so a stream is computed
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,20 @@ def state(k: Column, seed: int = SEED, bits: int = 40) -> Column:
     return F.aggregate(steps, x, lambda acc, s: F.when(k.bitwiseAND(s["bit"]) != 0, (acc * s["a"] + s["c"]) % MODULUS).otherwise(acc))
 
 
+def states(k: np.ndarray, seed: int = SEED, bits: int = 40) -> np.ndarray:
+    """The states after k steps, of an array, as state() gives them."""
+    x = np.full(k.shape, seed % MODULUS, dtype=np.int64)
+    for b, (a, c) in enumerate(jumps(bits)):
+        x = np.where(k >> b & 1, (x * a + c) % MODULUS, x)
+    return x
+
+
+def reals(i: np.ndarray, width: int, seed: int, n: int) -> np.ndarray:
+    """Rows i (from 1, at most n) of the n by width numbers in (-1, 1) that follow each other row by row."""
+    k = (i[:, None] - 1) * width + np.arange(1, width + 1)
+    return 1.0 - 2.0 * (states(k, seed, max(1, (n * width).bit_length())) / float(MODULUS))
+
+
 def as_real(x: Column, positive: bool = False) -> Column:
     return x / F.lit(float(MODULUS)) if positive else 1.0 - 2.0 * (x / F.lit(float(MODULUS)))
 

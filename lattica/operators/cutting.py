@@ -35,9 +35,9 @@ class Workspace:
         self.made += 1
         return f"{self.folder}/{self.made}"
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, **options: str) -> DataFrame:
         path = self.path()
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         found = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(found)] = found, path
         return found

@@ -115,11 +115,13 @@ class Times:
         sums = every.groupBy("i").agg(*(F.sum(F.col("v") * F.col("w")[k]).alias(f"s{k}") for k in range(width)))
         return sums.select("i", F.array(*(F.col(f"s{k}") for k in range(width))).alias("w"))
 
-    def local(self, form: str) -> Local | None:
+    def hubs(self) -> np.ndarray:
+        off = self.full().where("i <> j").groupBy("i").agg(F.count("*").alias("entries")).where(F.col("entries") > HUB_ENTRIES)
+        return np.array(sorted(int(r["i"]) for r in off.orderBy(F.col("entries").desc(), "i").limit(MOST_HUBS).collect()), dtype=np.int64)
+
+    def local(self, form: str, hubs: np.ndarray | None = None) -> Local | None:
         """The operator row by row, if all entries of the symmetric matrix are on the diagonal or in rows or columns of few hubs."""
-        full = self.full()
-        off = full.where("i <> j").groupBy("i").agg(F.count("*").alias("entries")).where(F.col("entries") > HUB_ENTRIES)
-        hubs = np.array(sorted(int(r["i"]) for r in off.orderBy(F.col("entries").desc(), "i").limit(MOST_HUBS).collect()), dtype=np.int64)
+        full, hubs = self.full(), self.hubs() if hubs is None else hubs
         named = [int(k) for k in hubs]
         hub_row, hub_column = F.col("i").isin(named), F.col("j").isin(named)
         if full.where((F.col("i") != F.col("j")) & ~hub_row & ~hub_column).limit(1).count():
@@ -139,6 +141,8 @@ def times(matrix: SparseMatrix, entries: DataFrame | None = None) -> Times:
 
 #: A row of more entries than this may be a hub; so many hubs at most, the largest first.
 HUB_ENTRIES, MOST_HUBS = 512, 256
+#: A row is eliminated by its diagonal if this is at least so large, and at least this share of its largest entry; otherwise it counts as a hub.
+PIVOT_SIZE, PIVOT_SHARE = 1e-20, 0.01
 
 
 @dataclass(frozen=True)
@@ -156,6 +160,117 @@ class Local:
     def columns(self) -> dict[str, str]:
         return {f"{self.form}d": "double", f"{self.form}h": "array<int>", f"{self.form}v": "array<double>"}
 
+    def at_hubs(self, block: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the rows' entries multiply, and the product at the hubs. sums: over the rows, each times its entries h, v."""
+        return block, self.core @ block + sums
+
+    def full_rows(self, frame: DataFrame) -> DataFrame:
+        """frame with the columns of the rows; rows without entries have none."""
+        empty = {c: F.array().cast(t) if t.startswith("array") else F.lit(0.0) for c, t in self.columns().items()}
+        return frame.join(self.rows, "i", "left").withColumns({c: F.coalesce(c, e) for c, e in empty.items()})
+
+
+@dataclass(frozen=True)
+class LocalInverse(Local):
+    """(A - sigma B)^-1, or that times a matrix C, row by row, where all of A - sigma B is on the diagonal or in rows or columns of few hubs.
+
+    Other rows are eliminated first, by their diagonals, which leaves the small matrix `left` at the hubs; the solution there makes that of
+    every other row. What a row adds to the sums (h, v) isn't what it takes from the hubs (g, e): places from len(hubs) on are of the solution.
+    """
+
+    left: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    negative: int = 0
+
+    def columns(self) -> dict[str, str]:
+        return {**super().columns(), f"{self.form}g": "array<int>", f"{self.form}e": "array<double>"}
+
+    def at_hubs(self, block: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        solved = np.linalg.solve(self.left, self.core @ block + sums) if len(self.hubs) else block
+        return np.concatenate([block, solved]), solved
+
+
+@dataclass(frozen=True)
+class ByRows:
+    """A local operator as one on any block."""
+
+    found: LocalInverse
+
+    def local(self, form: str) -> LocalInverse:
+        rows = self.found.rows
+        return replace(self.found, form=form, rows=rows.toDF("i", *(f"{form}{c[1:]}" for c in rows.columns[1:])))
+
+    def __call__(self, block: DataFrame) -> DataFrame:
+        own, width = self.local("a"), _width(block)
+        frame = own.full_rows(block)
+        derived = Derived({"a": own.hubs}, hub_sums(frame, "w", width, [own]))
+        return _sized(mixed(frame, {"w": (["aw"], np.eye(width))}, derived), width)
+
+
+def by_rows(shifted: SparseMatrix, after: Times | None = None) -> ByRows | None:
+    """The inverse of a symmetric matrix, or that times another one, if all entries of both are on the diagonal or in rows or columns of few hubs."""
+    m = Times(shifted)
+    hubs = m.hubs()
+    own = m.local("m", hubs)
+    if own is None:
+        return None
+    largest = F.coalesce(F.array_max(F.transform("mv", F.abs)), F.lit(0.0))
+    others = own.rows.where(~F.col("i").isin([int(k) for k in hubs]))
+    weak = others.where((F.abs("md") < PIVOT_SIZE) | (F.abs("md") < PIVOT_SHARE * largest)).select("i").limit(MOST_HUBS + 1).collect()
+    if len(hubs) + len(weak) > MOST_HUBS:
+        return None
+    if weak:
+        hubs = np.union1d(hubs, [int(r["i"]) for r in weak])
+        own = m.local("m", hubs)
+    next_ = after.local("c", hubs) if after is not None else None
+    if after is not None and next_ is None:
+        return None
+    n, many = shifted.n, len(hubs)
+    rows = own.full_rows(m.matrix.spark.range(1, n + 1).select(F.col("id").alias("i")))
+    if next_ is not None:
+        rows = next_.full_rows(rows)
+    else:
+        rows = rows.withColumns({"cd": F.lit(1.0), "ch": F.array().cast("array<int>"), "cv": F.array().cast("array<double>")})
+    rows = cut(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {0: np.zeros((1, 2)), 1: np.zeros((many, many)), 2: np.zeros((many, many))}
+        for b in batches:
+            i, d = b.column("i").to_numpy(), b.column("md").to_numpy()
+            free = np.ones(len(i), dtype=bool)
+            free[_at_hubs(hubs, i)[0]] = False
+            sums[0] += (d[free] < 0).sum(), (d[free] == 0).sum()
+            dense = {}
+            for form in "mc":
+                row, hub, v = _own_entries(b, form)
+                dense[form] = np.zeros((len(i), many))
+                np.add.at(dense[form], (row, hub), v)
+                dense[form] = dense[form][free]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                low = dense["m"] / d[free, None]
+            sums[1] += low.T @ dense["m"]
+            sums[2] += low.T @ dense["c"]
+        yield _parts(sums)
+
+    got = _summed(rows.mapInArrow(run, PARTS))
+    negative, none = (int(x) for x in got[0][0])
+    if none:  # a row of no entries, which no pivot can eliminate
+        return None
+    left, core = own.core - got.get(1, own.core), (next_.core if next_ is not None else np.eye(many)) - got.get(2, own.core)
+    values = np.linalg.eigvalsh((left + left.T) / 2) if many else np.zeros(0)
+    if many and np.abs(values).min() <= 1e-14 * np.abs(values).max():
+        return None
+    at_hub = F.col("i").isin([int(k) for k in hubs])
+    d = F.when(at_hub, F.lit(1.0)).otherwise(F.col("md"))
+    over = rows.withColumn("d", d).select(
+        "i",
+        (F.col("cd") / F.col("d")).alias("md"),
+        F.concat("ch", "mh").alias("mh"),
+        F.concat("cv", F.transform("mv", lambda v: -v * F.col("cd") / F.col("d"))).alias("mv"),
+        F.concat("ch", F.transform("mh", lambda h: h + many)).alias("mg"),
+        F.concat(F.transform("cv", lambda v: v / F.col("d")), F.transform("mv", lambda v: -v / F.col("d"))).alias("me"),
+    )
+    return ByRows(LocalInverse("m", hubs, core, over, left, negative + int((values < 0).sum())))
+
 
 def _at_hubs(hubs: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows that are hubs, and their places."""
@@ -164,10 +279,10 @@ def _at_hubs(hubs: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, at[own]
 
 
-def _own_entries(b: pa.RecordBatch, form: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _own_entries(b: pa.RecordBatch, form: str, names: str = "hv") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The entries of a batch's rows in columns of hubs: row, hub, value."""
-    h = b.column(f"{form}h")
-    return np.repeat(np.arange(b.num_rows), np.diff(h.offsets.to_numpy())), h.flatten().to_numpy(), b.column(f"{form}v").flatten().to_numpy()
+    h = b.column(f"{form}{names[0]}")
+    return np.repeat(np.arange(b.num_rows), np.diff(h.offsets.to_numpy())), h.flatten().to_numpy(), b.column(f"{form}{names[1]}").flatten().to_numpy()
 
 
 @dataclass(frozen=True)
@@ -188,7 +303,7 @@ class Derived:
             return [name]
         if name == "r":
             return [*self.source("ax", stored), *self.source(self.metric, stored)]
-        return [name[1:], *(f"{name[0]}{c}" for c in "dhv")]
+        return [name[1:], *(c for c in (f"{name[0]}{c}" for c in "dhvge") if c in stored)]
 
     def __call__(self, b: pa.RecordBatch, name: str) -> np.ndarray:
         if name in b.schema.names:
@@ -198,9 +313,9 @@ class Derived:
         form, w = name[0], _array(b, name[1:])
         at_hubs, there = self.known[form, name[1:]]
         out = b.column(f"{form}d").to_numpy()[:, None] * w
-        row, hub, v = _own_entries(b, form)
+        row, hub, v = _own_entries(b, form, "ge" if f"{form}g" in b.schema.names else "hv")
         part = v[:, None] * at_hubs[hub]
-        if len(row) == len(np.unique(row)):
+        if (np.diff(row) > 0).all():
             out[row] += part
         else:
             np.add.at(out, row, part)
@@ -233,9 +348,12 @@ def _sized(block: DataFrame, width: int) -> DataFrame:
 
 
 def random_block(spark, n: int, width: int, seed: int) -> DataFrame:
-    bits = max(1, (n * width).bit_length())
-    cells = [lcg.as_real(lcg.state((F.col("id") - 1) * width + (k + 1), seed, bits)) for k in range(width)]
-    return _sized(spark.range(1, n + 1).select(F.col("id").alias("i"), F.array(*cells).alias("w")), width)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.record_batch({"i": b.column(0), "w": _lists(lcg.reals(b.column(0).to_numpy(), width, seed, n))})
+
+    return _sized(spark.range(1, n + 1).mapInArrow(run, "i long, w array<double>"), width)
 
 
 def _array(b: pa.RecordBatch, name: str) -> np.ndarray:
@@ -246,11 +364,61 @@ def _lists(a: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(np.ascontiguousarray(a).ravel()))
 
 
+#: So many tasks add up the small matrices of all others, and the driver what is theirs.
+ADDERS = 8
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, rows, s in zip(b.column("k").to_pylist(), b.column("rows").to_pylist(), b.column("s"), strict=True):
+            if rows:
+                sums[k] = sums.get(k, 0) + s.values.to_numpy().reshape(rows, -1)
+    return sums
+
+
 def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
-    """Matrices (k, rows, s) of tasks, added entry by entry."""
-    each = parts.select("k", "rows", F.posexplode("s").alias("at", "v"))
-    got = each.groupBy("k", "rows", "at").agg(F.sum("v").alias("v")).toPandas().sort_values(["k", "at"])
-    return {int(k): g.v.to_numpy().reshape(int(g.rows.iloc[0]), -1) for k, g in got.groupby("k")}
+    """Matrices (k, rows, s) of tasks, added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _parts(_added(batches))
+
+    return _added(parts.repartition(ADDERS).mapInArrow(run, PARTS).toArrow().to_batches())
+
+
+#: Rows of a matrix that the table of a local run holds as one value: their columns as an Arrow stream. So Spark moves bytes, not numbers.
+CHUNK = 2048
+#: Bytes of block, directions and search vectors that a part of that table may hold.
+PART_BYTES = 1 << 26
+PACKED = "chunk binary, k long, rows long, s array<double>"
+#: A reader holds a row group of such values whole: it is to be of 16 MB, and cut by size from so few values on.
+LARGE_VALUES = {"parquet.block.size": str(1 << 24), "parquet.page.size.row.check.min": "8", "parquet.block.size.row.check.min": "8", "parquet.enable.dictionary": "false"}
+
+
+def _packed(columns: dict) -> pa.RecordBatch:
+    b, sink = pa.record_batch(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, b.schema) as stream:
+        stream.write_batch(b)
+    data = sink.getvalue()
+    chunk = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, data.size], dtype=np.int32)), data])
+    return pa.record_batch([chunk, *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.float64())))], names=["chunk", "k", "rows", "s"])
+
+
+def _packed_sums(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    b = _parts(sums)
+    return pa.record_batch([pa.nulls(b.num_rows, pa.binary()), *b.columns], names=["chunk", "k", "rows", "s"])
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a table, or those that are its chunks."""
+    for b in batches:
+        if b.schema.names != ["chunk"]:
+            yield b
+            continue
+        for x in b.column("chunk"):
+            if x.is_valid:
+                with pa.ipc.open_stream(x.as_buffer()) as stream:
+                    yield from stream
 
 
 def _parts(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -261,6 +429,8 @@ PARTS = "k long, rows long, s array<double>"
 
 
 def _needed(frame: DataFrame, names: list[str], derived: Derived) -> list[str]:
+    if "chunk" in frame.columns:
+        return ["chunk"]
     return sorted({"i", *(c for name in names for c in derived.source(name, frame.columns))})
 
 
@@ -269,7 +439,7 @@ def gram_matrices(frame: DataFrame, names: list[str], pairs: list[tuple[str, str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for b in batches:
+        for b in _batches(batches):
             if b.num_rows:
                 a = {c: derived(b, c) for c in names}
                 for k, (p, q) in enumerate(pairs):
@@ -279,42 +449,107 @@ def gram_matrices(frame: DataFrame, names: list[str], pairs: list[tuple[str, str
     return {pairs[k]: g for k, g in _summed(frame.select(*_needed(frame, names, derived)).mapInArrow(run, PARTS)).items()}
 
 
+class HubSums:
+    """For each of some local matrices the block at its hubs, and the sums over the rows' own entries there, by symmetry."""
+
+    def __init__(self, hubs: dict[str, np.ndarray], width: int) -> None:
+        self.hubs = hubs
+        self.sums = {k: np.zeros((len(h), width)) for f, h in enumerate(hubs.values()) if len(h) for k in (2 * f, 2 * f + 1)}
+
+    def add(self, b: pa.RecordBatch, w: np.ndarray) -> None:
+        for f, (form, h) in enumerate(self.hubs.items()):
+            if len(h):
+                own, at = _at_hubs(h, b.column("i").to_numpy())
+                self.sums[2 * f][at] += w[own]
+                row, hub, v = _own_entries(b, form)
+                part = v[:, None] * w[row]
+                self.sums[2 * f + 1] += np.stack([np.bincount(hub, part[:, k], minlength=len(h)) for k in range(w.shape[1])], axis=1)
+
+
+def _known(got: dict[int, np.ndarray], kind: str, width: int, forms: list[Local]) -> dict[tuple[str, str], tuple[np.ndarray, np.ndarray]]:
+    none = np.zeros((0, width))
+    return {(x.form, kind): x.at_hubs(got[2 * f], got[2 * f + 1]) if len(x.hubs) else (none, none) for f, x in enumerate(forms)}
+
+
 def hub_sums(frame: DataFrame, kind: str, width: int, forms: list[Local]) -> dict[tuple[str, str], tuple[np.ndarray, np.ndarray]]:
-    """For each matrix the block of a kind at its hubs, and its product there: sums over the rows' own entries, by symmetry."""
+    """For each matrix what its rows take from its hubs for the block of a kind, and the product there."""
     hubs = {x.form: x.hubs for x in forms}
     if not any(map(len, hubs.values())):
-        return {(f, kind): (np.zeros((0, width)), np.zeros((0, width))) for f in hubs}
+        return _known({}, kind, width, forms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {k: np.zeros((len(h), width)) for f, h in enumerate(hubs.values()) if len(h) for k in (2 * f, 2 * f + 1)}
-        for b in batches:
-            w = _array(b, kind) if b.num_rows else None
-            for f, (form, h) in enumerate(hubs.items() if b.num_rows else ()):
-                if len(h):
-                    own, at = _at_hubs(h, b.column("i").to_numpy())
-                    sums[2 * f][at] += w[own]
-                    row, hub, v = _own_entries(b, form)
-                    part = v[:, None] * w[row]
-                    sums[2 * f + 1] += np.stack([np.bincount(hub, part[:, k], minlength=len(h)) for k in range(width)], axis=1)
-        yield _parts(sums)
+        sums = HubSums(hubs, width)
+        for b in _batches(batches):
+            if b.num_rows:
+                sums.add(b, _array(b, kind))
+        yield _parts(sums.sums)
 
-    got = _summed(frame.select("i", kind, *(c for x in forms for c in x.columns())).mapInArrow(run, PARTS))
-    none = np.zeros((0, width))
-    return {(x.form, kind): (got[2 * f], x.core @ got[2 * f] + got[2 * f + 1]) if len(x.hubs) else (none, none) for f, x in enumerate(forms)}
+    columns = ["chunk"] if "chunk" in frame.columns else ["i", kind, *(c for x in forms for c in x.columns())]
+    return _known(_summed(frame.select(*columns).mapInArrow(run, PARTS)), kind, width, forms)
 
 
-def mixed(frame: DataFrame, made: dict[str, tuple[list[str], np.ndarray]], derived: Derived = Derived(), carried: dict[str, str] | None = None) -> DataFrame:
-    """i and, for each name, the combination of the named array columns by stacked coefficients: products of row batches. carried: columns handed on."""
-    names, carried = sorted({c for columns, _ in made.values() for c in columns}), carried or {}
+def started(frame: DataFrame, random: int, width: int, given: bool, seed: int, n: int) -> DataFrame:
+    """The packed table of rows with their entries and given vectors: the block is made here, random vectors after those that are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(at, CHUNK)
+                x = lcg.reals(b.column("i").to_numpy(), random, seed, n)
+                if given:
+                    x = np.concatenate([_array(b, "g"), x], axis=1)[:, :width]
+                yield _packed({c: b.column(c) for c in b.schema.names if c != "g"} | {"x": _lists(x)})
+
+    parts = max(min(frame.sparkSession.sparkContext.defaultParallelism, -(-n // CHUNK)), -(-n * width * 24 // PART_BYTES))
+    return frame.repartition(parts, "i").mapInArrow(run, PACKED)
+
+
+@dataclass(frozen=True)
+class Search:
+    """How the rows of a packed table make their search vectors from residuals: divided by the diagonal where asked, then fresh random ones."""
+
+    divided: np.ndarray
+    fresh: int
+    seed: int
+    n: int
+
+    def __call__(self, b: pa.RecordBatch, r: np.ndarray) -> np.ndarray:
+        if self.divided.any():
+            d = b.column("ad").to_numpy()
+            r = np.where(self.divided, r / np.where(d != 0, d, 1.0)[:, None], r)
+        return np.concatenate([r, lcg.reals(b.column("i").to_numpy(), self.fresh, self.seed, self.n)], axis=1) if self.fresh else r
+
+
+def advanced(frame: DataFrame, made: dict[str, tuple[list[str], np.ndarray]], derived: Derived, carried: list[str], search: Search) -> DataFrame:
+    """The next packed table: combinations as mixed() makes them, of which r becomes the search block w; each task adds a row for each of its sums at the hubs."""
+    names = sorted({c for columns, _ in made.values() for c in columns})
+    width = made["r"][1].shape[1] + search.fresh
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = HubSums(derived.hubs, width)
+        for b in _batches(batches):
+            a = {c: derived(b, c) for c in names}
+            out = {k: np.concatenate([a[c] for c in columns], axis=1) @ m for k, (columns, m) in made.items()}
+            out["w"] = search(b, out.pop("r"))
+            sums.add(b, out["w"])
+            yield _packed({"i": b.column("i")} | {c: b.column(c) for c in carried} | {k: _lists(v) for k, v in out.items()})
+        yield _packed_sums(sums.sums)
+
+    return frame.select("chunk").mapInArrow(run, PACKED)
+
+
+def mixed(frame: DataFrame, made: dict[str, tuple[list[str], np.ndarray]], derived: Derived = Derived()) -> DataFrame:
+    """i and, for each name, the combination of the named array columns by stacked coefficients: products of row batches."""
+    names = sorted({c for columns, _ in made.values() for c in columns})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _batches(batches):
             if b.num_rows:
                 a = {c: derived(b, c) for c in names}
-                yield pa.record_batch({"i": b.column("i")} | {c: b.column(c) for c in carried} | {k: _lists(np.concatenate([a[c] for c in columns], axis=1) @ m) for k, (columns, m) in made.items()})
+                yield pa.record_batch({"i": b.column("i")} | {k: _lists(np.concatenate([a[c] for c in columns], axis=1) @ m) for k, (columns, m) in made.items()})
 
-    schema = ", ".join(["i long", *(f"{c} {t}" for c, t in carried.items()), *(f"{k} array<double>" for k in made)])
-    return frame.select(*sorted({*_needed(frame, names, derived), *carried})).mapInArrow(run, schema)
+    schema = ", ".join(["i long", *(f"{k} array<double>" for k in made)])
+    return frame.select(*_needed(frame, names, derived)).mapInArrow(run, schema)
 
 
 def reduced(a: np.ndarray, b: np.ndarray, floor: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
@@ -425,11 +660,11 @@ class Engine:
         self.spark, self.n, self.wanted, self.options = spark, n, wanted, options
         self.apply_a, self.apply_b, self.precondition = apply_a, apply_b, precondition
         self.forms = ("", "a", "b") if apply_b else ("", "a")
-        found = [x.local(o) for o, x in (("a", apply_a), ("b", apply_b)) if isinstance(x, Times)]
+        own_diagonal = isinstance(precondition, Jacobi) and isinstance(apply_a, Times) and precondition.matrix is apply_a.matrix
+        able = precondition is None or own_diagonal  # a row can make its search vectors itself
+        found = [x.local(o) for o, x in (("a", apply_a), ("b", apply_b)) if able and isinstance(x, (Times, ByRows))]
         self.local = found if all(found) and len(found) == len(self.forms) - 1 else []  # products by these are made in tasks and not stored
         self.stored = [o for o in self.forms if o not in [x.form for x in self.local]]
-        self.carried = {c: t for x in self.local for c, t in x.columns().items()}
-        self.own_diagonal = isinstance(precondition, Jacobi) and isinstance(apply_a, Times) and precondition.matrix is apply_a.matrix and "ad" in self.carried
         self.derived = Derived({x.form: x.hubs for x in self.local}, metric="x" if self.inner else self.metric("x"))
         self.space = Workspace(spark)
         self.locked: dict[int, list[float]] = {0: [], 1: []}
@@ -447,25 +682,30 @@ class Engine:
             out = out.join((self.apply_a if o == "a" else self.apply_b)(block).select("i", F.col("w").alias(f"{o}{kind}")), "i")
         return out
 
-    def at_hubs(self, frame: DataFrame, kind: str, width: int) -> None:
-        self.derived.known.update(hub_sums(frame, kind, width, self.local) if self.local else {})
-
     def start(self, width: int, given: DataFrame | None, constraints: DataFrame | None) -> None:
-        x = random_block(self.spark, self.n, width, self.options.seed)
-        if given is not None:
-            have = _width(given)
-            both = x.join(given.select("i", F.col("w").alias("g")), "i").select("i", F.slice(F.concat("g", "w"), 1, max(width, have)).alias("w"))
-            x = _sized(both, max(width, have))
-        table, kinds = self.products(x, "x"), ["x"]
+        kinds, widest = ["x"], max(width, _width(given) if given is not None else 0)
         if constraints is not None:
             self.constraints = _width(constraints)
-            table, kinds = table.join(self.products(constraints, "y"), "i"), ["x", "y"]
-        for x_ in self.local:
-            table = table.join(x_.rows, "i", "left")
-        empty = {c: F.array().cast(t) if t.startswith("array") else F.lit(0.0) for c, t in self.carried.items()}
-        work = self.space.keep(table.withColumns({c: F.coalesce(c, e) for c, e in empty.items()}))
-        for kind, block in zip(kinds, (x, constraints), strict=False):
-            self.at_hubs(work, kind, _width(block))
+            kinds.append("y")
+        if self.local:
+            table = self.spark.range(1, self.n + 1).select(F.col("id").alias("i"))
+            for x in self.local:
+                table = x.full_rows(table)
+            for name, block in (("g", given), ("y", constraints)):
+                if block is not None:
+                    table = table.join(block.select("i", F.col("w").alias(name)), "i")
+            work = self.space.keep(started(table, width, widest, given is not None, self.options.seed, self.n), **LARGE_VALUES)
+            for kind, many in zip(kinds, (widest, self.constraints), strict=False):
+                self.derived.known.update(hub_sums(work, kind, many, self.local))
+        else:
+            x = random_block(self.spark, self.n, width, self.options.seed)
+            if given is not None:
+                both = x.join(given.select("i", F.col("w").alias("g")), "i").select("i", F.slice(F.concat("g", "w"), 1, widest).alias("w"))
+                x = _sized(both, widest)
+            table = self.products(x, "x")
+            if constraints is not None:
+                table = table.join(self.products(constraints, "y"), "i")
+            work = self.space.keep(table)
         ga, gb = self.grams(work, kinds)
         keep = np.eye(len(ga))
         if self.constraints:  # given vectors needn't be orthonormal
@@ -510,33 +750,31 @@ class Engine:
         new = {"x": x} | ({"p": p} if old else {}) | ({"y": base} if base.shape[1] else {})
         made = {f"{o}{k}": ([f"{o}{q}" for q in kinds], m) for o in self.stored for k, m in new.items()}
         made["r"] = [f"a{k}" for k in kinds] + [k if self.inner else self.metric(k) for k in kinds], np.concatenate([x, -x * self.values])
-        self.state, self.has_p = mixed(work, made, self.derived, self.carried), bool(old)
+        self.state, self.has_p = (work, made, self.derived) if self.local else mixed(work, made, self.derived), bool(old)
         known = {(f, k): tuple(np.concatenate([self.derived.known[f, q][h] for q in kinds], axis=1) @ m for h in (0, 1)) for f in self.derived.hubs for k, m in new.items()}
         self.derived = replace(self.derived, known=known, values=self.values)
         return True
 
     def step(self, number: int) -> tuple[DataFrame, list[str]]:
-        """The table with residuals r and search block w, and what it holds."""
-        state, width = self.state, len(self.values)
+        """The table, written, with residuals and search block w, and what it holds."""
+        state, width, seed = self.state, len(self.values), self.options.seed + 7919 * number
         kinds = ["x", "w", *(["p"] if self.has_p else []), *(["y"] if self.constraints + len(self.found) else [])]
-        bits = max(1, (self.n * self.fresh).bit_length())
-        cells = [lcg.as_real(lcg.state((F.col("i") - 1) * self.fresh + (k + 1), self.options.seed + 7919 * number, bits)) for k in range(self.fresh)]
         self.direction = None
-        if len(self.stored) == 1 and (not self.precondition or self.own_diagonal):  # a row makes its search vectors itself
-            d = F.when(F.col("ad") != 0, F.col("ad")).otherwise(1.0) if self.precondition else None
-            own = F.array(*(F.col("r")[k] if s or d is None else F.col("r")[k] / d for k, s in enumerate(self.sides.tolist())))
-            whole = state.withColumn("w", F.concat(own, F.array(*cells)) if cells else own).drop("r")
-        else:
-            w = _sized(state.select("i", F.col("r").alias("w")), width)
-            if self.precondition:  # of what belongs to the left end
-                both = self.precondition(w).select("i", F.col("w").alias("t")).join(w, "i")
-                w = _sized(self.space.keep(both.select("i", F.array(*(F.col("w" if s else "t")[k] for k, s in enumerate(self.sides.tolist()))).alias("w"))), width)
-            if cells:
-                w = _sized(w.select("i", F.concat("w", F.array(*cells)).alias("w")), width + self.fresh)
-            self.direction = w
-            whole = state.join(self.products(w, "w"), "i")
-        self.at_hubs(whole, "w", width + self.fresh)
-        return whole, kinds
+        if self.local:
+            search = Search(self.sides == 0 if self.precondition else np.zeros(width, dtype=bool), self.fresh, seed, self.n)
+            work = self.space.keep(advanced(*state, [c for x in self.local for c in x.columns()], search), **LARGE_VALUES)
+            self.derived.known.update(_known(_summed(work.where("k is not null").select("k", "rows", "s")), "w", width + self.fresh, self.local))
+            return work, kinds
+        w = _sized(state.select("i", F.col("r").alias("w")), width)
+        if self.precondition:  # of what belongs to the left end
+            both = self.precondition(w).select("i", F.col("w").alias("t")).join(w, "i")
+            w = _sized(self.space.keep(both.select("i", F.array(*(F.col("w" if s else "t")[k] for k, s in enumerate(self.sides.tolist()))).alias("w"))), width)
+        if self.fresh:
+            bits = max(1, (self.n * self.fresh).bit_length())
+            cells = [lcg.as_real(lcg.state((F.col("i") - 1) * self.fresh + (k + 1), seed, bits)) for k in range(self.fresh)]
+            w = _sized(w.select("i", F.concat("w", F.array(*cells)).alias("w")), width + self.fresh)
+        self.direction = w
+        return self.space.keep(state.join(self.products(w, "w"), "i")), kinds
 
     def converged(self, last: dict[int, np.ndarray]) -> np.ndarray:
         o, size = self.options, max([float(np.abs(self.values).max()), *(abs(f[0]) for f in self.found)])
@@ -574,7 +812,6 @@ class Engine:
         last: dict[int, np.ndarray] = {0: np.zeros(0), 1: np.zeros(0)}
         for number in range(1, self.options.max_iterations + 1):
             work, kinds = self.step(number)
-            work = self.space.keep(work)
             self.space.drop(self.read, self.direction)
             self.read = work
             ga, gb = self.grams(work, kinds)
@@ -674,15 +911,26 @@ def inverse(factors: direct.Factors) -> Block:
     return apply
 
 
-def _factored(a: SparseMatrix, b: SparseMatrix | None, sigma: float, left: int, right: int) -> Block:
-    """Solves with A - sigma B. Its inertia tells how many pairs are below sigma: asking for more of a side is an error."""
-    factors = direct.factor(direct.analyse(_shifted(a, b, sigma)))
-    below, _, above = factors.inertia
+def _inverse(a: SparseMatrix, b: SparseMatrix | None, sigma: float, left: int, right: int, after: Times | None) -> Block:
+    """(A - sigma B)^-1, after a matrix: by rows if few hubs hold all that isn't diagonal, otherwise by solves with a factorization.
+
+    The inertia of A - sigma B tells how many pairs are below sigma: asking for more of a side is an error.
+    """
+    shifted = _shifted(a, b, sigma)
+    if found := by_rows(shifted, after):
+        below, above = found.found.negative, shifted.n - found.found.negative
+    else:
+        factors = direct.factor(direct.analyse(shifted))
+        below, _, above = factors.inertia
     if left > below:
         raise EigenError(EigenFlag.LEFT)
     if right > above:
         raise EigenError(EigenFlag.RIGHT)
-    return inverse(factors)
+    return found or _after(inverse(factors), after)
+
+
+def _after(solve: Block, first: Times | None) -> Block:
+    return (lambda x: solve(_sized(first(x), _width(x)))) if first else solve
 
 
 def shift_invert(a: SparseMatrix, sigma: float, left: int, right: int, b: SparseMatrix | None = None, options: Options = Options(), solver: Block | None = None) -> Eigenpairs:
@@ -690,9 +938,8 @@ def shift_invert(a: SparseMatrix, sigma: float, left: int, right: int, b: Sparse
 
     A caller's solver, which has no inertia to ask, is trusted to have that many pairs on each side.
     """
-    solve = solver or _factored(a, b, sigma, left, right)
     apply_b = times(b) if b is not None else None
-    operator = (lambda x: solve(_sized(apply_b(x), _width(x)))) if apply_b else solve
+    operator = _after(solver, apply_b) if solver else _inverse(a, b, sigma, left, right, apply_b)
     return _mapped(a, operator, apply_b, left, right, options, lambda mu: sigma + 1 / mu)
 
 
@@ -701,8 +948,9 @@ def buckling(a: SparseMatrix, b: SparseMatrix, sigma: float, left: int, right: i
 
     For a positive sigma, as many pairs are in (0, sigma) as A - sigma B has negative eigenvalues.
     """
-    solve, apply_a = solver or _factored(a, b, sigma, left if sigma > 0 else 0, right if sigma < 0 else 0), times(a)
-    return _mapped(a, lambda x: solve(_sized(apply_a(x), _width(x))), apply_a, left, right, options, lambda mu: sigma * mu / (mu - 1))
+    apply_a = times(a)
+    operator = _after(solver, apply_a) if solver else _inverse(a, b, sigma, left if sigma > 0 else 0, right if sigma < 0 else 0, apply_a)
+    return _mapped(a, operator, apply_a, left, right, options, lambda mu: sigma * mu / (mu - 1))
 
 
 def _mapped(a: SparseMatrix, operator: Block, metric: Block | None, left: int, right: int, options: Options, back) -> Eigenpairs:
@@ -761,11 +1009,14 @@ def _complex_pairs(got: Eigenpairs, n: int, left: int, right: int, metric: Block
     if not left + right:
         return got
     k = len(got.values)
-    own = cut(got.vectors)
-    block, turned = _sized(own, k), _sized(cut(_turned(own, n)), k)
-    both = own.select("i", F.col("w").alias("u"))
-    for name, b in (("bu", block), ("bt", turned)):
-        both = both.join((metric(b) if metric else b).select("i", F.col("w").alias(name)), "i")
+    own = got.vectors
+    block, turned = _sized(own, k), _sized(_turned(own, n), k)
+    if metric:
+        both = own.select("i", F.col("w").alias("u"))
+        for name, b in (("bu", block), ("bt", turned)):
+            both = both.join(metric(b).select("i", F.col("w").alias(name)), "i")
+    else:
+        both = own.select("i", F.col("w").alias("u"), F.col("w").alias("bu")).join(turned.select("i", F.col("w").alias("bt")), "i")
     g = gram_matrices(both, ["u", "bu", "bt"], [("u", "bu"), ("u", "bt")])
     gram = g["u", "bu"] - 1j * g["u", "bt"]
     stay, c = [], []
