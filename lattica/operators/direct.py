@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import MatrixType, SparseMatrix
-from ..plans import symbolic
+from ..plans import dissection, symbolic
 from . import scaling as scalings
 from .cutting import Workspace, cut
 from .frontal import Front, NotPositiveDefinite, SingularMatrix, apply_inverse_d, cholesky_front, inertia, ldlt_app_front, ldlt_front, ldlt_plain_front, solve_lower, solve_lower_transposed
@@ -68,10 +68,35 @@ class Options:
     pivoting: str = "a posteriori"  # or "threshold", "none"
 
 
+#: Matrices of more rows, ordered by a matching, are planned in tasks of whole components, which have about so many rows each.
+BY_PARTS, PART_ROWS = 1 << 18, 1 << 14
+
+
+@dataclass(frozen=True)
+class Parts:
+    """A plan that was made in tasks, each of whole components of the matrix, and is held as tables: nothing leads from task to task."""
+
+    n: int
+    places: DataFrame  # i, p (position), task
+    structure: DataFrame  # task, level, nodes: the pickled supernodes of a task, numbered within it
+    count: int
+    structural_rank: int
+    factor_entries: int
+    flops: int
+    depth: int = 1
+
+    @property
+    def order(self) -> list[int]:
+        got = self.places.select("i", "p").toArrow()
+        order = np.empty(self.n, dtype=np.int64)
+        order[got.column("p").to_numpy()] = got.column("i").to_numpy() - 1
+        return order.tolist()
+
+
 @dataclass(frozen=True)
 class Analysis:
     matrix: SparseMatrix
-    plan: symbolic.Plan
+    plan: symbolic.Plan | Parts
     options: Options
     flag: SolverFlag = SolverFlag.SUCCESS
     scaling: DataFrame | None = None  # i, s
@@ -113,6 +138,9 @@ def analyse(matrix: SparseMatrix, options: Options = Options(), order: list[int]
     n = matrix.n
     if matrix.m != n or n < 0:
         raise SolverError(SolverFlag.A_N_OUT_OF_RANGE)
+    got = scalings.match_scaling(matrix, scale_if_singular=True) if options.ordering == 2 else None
+    if got and n > BY_PARTS and (parts := _by_parts(matrix, options, got.core or got.match)):
+        return Analysis(matrix, parts, options, _checked(parts, options, flag), got.rows)
     i, j = indices(matrix)
     own, scale = None, None
     deal, halve = (_dealer(matrix.spark, found) for found in (symbolic.nested_dissection, symbolic.separate))
@@ -123,17 +151,61 @@ def analyse(matrix: SparseMatrix, options: Options = Options(), order: list[int]
     elif options.ordering == 0:
         raise SolverError(SolverFlag.ORDER, "no order is given")
     elif options.ordering == 2:
-        got = scalings.match_scaling(matrix, scale_if_singular=True)
         mate = np.full(n, -1)
         pairs = (got.core or got.match).select("i", "j").toPandas()
         mate[pairs.j.to_numpy() - 1] = pairs.i.to_numpy() - 1
         own, scale = symbolic.matching_order(symbolic.adjacency(n, i, j), mate, deal, halve), got.rows
     plan = symbolic.plan(n, i, j, own, options.nemin, options.task_flops, options.workers, deal, halve)
-    if plan.structural_rank < n and flag == SolverFlag.SUCCESS:
+    return Analysis(matrix, plan, options, _checked(plan, options, flag), scale)
+
+
+def _checked(plan: symbolic.Plan | Parts, options: Options, flag: SolverFlag) -> SolverFlag:
+    if plan.structural_rank < plan.n and flag == SolverFlag.SUCCESS:
         if not options.action:
             raise SolverError(SolverFlag.SINGULAR, "structurally singular")
-        flag = SolverFlag.WARN_ANALYSIS_SINGULAR
-    return Analysis(matrix, plan, options, flag, scale)
+        return SolverFlag.WARN_ANALYSIS_SINGULAR
+    return flag
+
+
+def _by_parts(matrix: SparseMatrix, options: Options, pairs: DataFrame) -> Parts | None:
+    """The plan by a matching (i, j), whole components a task, dealt by hash; None if a component is too large for that."""
+    spark, n = matrix.spark, matrix.n
+    links = matrix.entries.select("i", "j")
+    off = links.where("i <> j")
+    edges = off.unionByName(off.select(F.col("j").alias("i"), F.col("i").alias("j"))).unionByName(spark.range(1, n + 1).select(F.col("id").alias("i"), F.col("id").alias("j")))
+    label = cut(scalings.blocks(edges).where("i = j").select("i", "block"))
+    if label.groupBy("block").count().agg(F.max("count")).first()[0] > dissection.PIECE:
+        return None
+    count = -(-n // PART_ROWS)
+    members = cut(label.select("i", F.pmod(F.xxhash64("block"), F.lit(count)).alias("task")))
+    sizes = sorted((r["task"], r["count"]) for r in members.groupBy("task").count().collect())
+    ends = np.cumsum([c for _, c in sizes])
+    base = {t: int(e) - c for (t, c), e in zip(sizes, ends, strict=True)}  # the first position of each task
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        task = int(key[0])
+        kind, a, b = pdf.kind.to_numpy(), pdf.a.to_numpy(), pdf.b.to_numpy()
+        names = np.sort(a[kind == 0])
+        at = lambda x, k: np.searchsorted(names, x[kind == k])
+        i, j, mate = at(a, 1), at(b, 1), np.full(len(names), -1)
+        mate[at(b, 2)] = at(a, 2)
+        own = symbolic.matching_order(symbolic.adjacency(len(names), i, j), mate)
+        p = symbolic.plan(len(names), i, j, own, options.nemin, workers=1)
+        nodes = [TaskNode(k, [base[task] + q for q in x.pivots], (x.below.astype(np.int64) + base[task]).tolist(), x.parent) for k, x in enumerate(p.nodes)]
+        return pd.DataFrame([(task, 0, names[np.array(p.order, dtype=np.int64)].tobytes(), pickle.dumps(nodes), p.structural_rank, p.factor_entries, p.flops)], columns=["task", "level", "variables", "nodes", "rank", "entries", "flops"])
+
+    def placed(batches):
+        for b in batches:
+            for task, variables in zip(b.column("task").to_pylist(), b.column("variables").to_pylist(), strict=True):
+                i = np.frombuffer(variables, dtype=np.int64)
+                yield pa.record_batch({"i": i, "p": np.arange(base[task], base[task] + len(i)), "task": np.full(len(i), task)})
+
+    met = lambda kind, x: x.join(members, "i").select("task", F.lit(kind).alias("kind"), F.col("i").alias("a"), F.col("j").alias("b"))
+    rows = members.select("task", F.lit(0).alias("kind"), F.col("i").alias("a"), F.col("i").alias("b")).unionByName(met(1, links)).unionByName(met(2, pairs.select("i", "j")))
+    made = cut(_dealt(rows, len(sizes)).groupBy("task").applyInPandas(run, "task long, level int, variables binary, nodes binary, rank long, entries long, flops long"))
+    t = made.agg(F.sum("rank"), F.sum("entries"), F.sum("flops")).first()
+    places = cut(made.select("task", "variables").mapInArrow(placed, "i long, p long, task long"))
+    return Parts(n, places, made.select("task", "level", "nodes"), len(sizes), int(t[0]), int(t[1]), int(t[2]))
 
 
 def indices(matrix: SparseMatrix) -> tuple[np.ndarray, np.ndarray]:
@@ -195,13 +267,9 @@ def _task_nodes(plan: symbolic.Plan) -> dict[int, list[TaskNode]]:
     return out
 
 
-def factor(analysis: Analysis, positive: bool = False, entries: DataFrame | None = None, scale: DataFrame | None = None) -> Factors:
-    """entries: new values of the same pattern. scale: the caller's scaling (i, s)."""
-    plan, options = analysis.plan, analysis.options
-    matrix = analysis.matrix.with_entries(entries) if entries is not None else analysis.matrix
-    spark, n = matrix.spark, plan.n
-    s_df = _scaled(analysis, matrix, scale)
-    space = Workspace(spark)
+def _sent(spark, plan: symbolic.Plan) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray, tuple[int, ...]]:
+    """A plan of the driver's as tables, as Parts has them; the task and level of each supernode; and the tasks of each level."""
+    n = plan.n
     position = np.empty(n, dtype=np.int64)
     position[plan.order] = np.arange(n)
     node_task, node_level = (np.array([getattr(x, k) for x in plan.nodes], dtype=np.int64) for k in ("task", "level"))
@@ -209,6 +277,24 @@ def factor(analysis: Analysis, positive: bool = False, entries: DataFrame | None
     for k, x in enumerate(plan.nodes):
         task_at[x.pivots] = node_task[k]
     planned = spark.createDataFrame(pa.table({"i": np.arange(1, n + 1), "p": position, "task": task_at[position]})) if n else spark.createDataFrame([], "i long, p long, task long")
+    tasks = _task_nodes(plan)
+    level_of = {t: int(node_level[t_nodes[-1].number]) for t, t_nodes in tasks.items()}
+    at_level = tuple(np.bincount(list(level_of.values()), minlength=plan.depth).tolist())
+    structure = spark.createDataFrame([(t, level_of[t], pickle.dumps(x)) for t, x in tasks.items()], "task long, level int, nodes binary")
+    return planned, structure, node_task, node_level, at_level
+
+
+def factor(analysis: Analysis, positive: bool = False, entries: DataFrame | None = None, scale: DataFrame | None = None) -> Factors:
+    """entries: new values of the same pattern. scale: the caller's scaling (i, s)."""
+    plan, options = analysis.plan, analysis.options
+    matrix = analysis.matrix.with_entries(entries) if entries is not None else analysis.matrix
+    spark, n = matrix.spark, plan.n
+    s_df = _scaled(analysis, matrix, scale)
+    space = Workspace(spark)
+    if isinstance(plan, Parts):
+        planned, structure, node_task, node_level, at_level = plan.places, plan.structure, None, None, (plan.count,)
+    else:
+        planned, structure, node_task, node_level, at_level = _sent(spark, plan)
     if s_df is not None:
         named = s_df.toDF("i", "s")
         planned = planned.join(named, "i", "left").select("i", "p", "task", F.coalesce("s", F.lit(1.0)).alias("s"))
@@ -218,10 +304,7 @@ def factor(analysis: Analysis, positive: bool = False, entries: DataFrame | None
     a = planned.select("i", F.col("p").alias("pi"), F.col("task").alias("ti"), F.col("s").alias("si"))
     b = planned.select(F.col("i").alias("j"), F.col("p").alias("pj"), F.col("task").alias("tj"), F.col("s").alias("sj"))
     moved = matrix.entries.join(a, "i").join(b, "j").select(F.when(F.col("pi") < F.col("pj"), F.col("ti")).otherwise(F.col("tj")).alias("task"), F.greatest("pi", "pj").alias("r"), F.least("pi", "pj").alias("c"), (F.col("v") * F.col("si") * F.col("sj")).alias("v"))
-    tasks = _task_nodes(plan)
-    level_of = {t: int(node_level[t_nodes[-1].number]) for t, t_nodes in tasks.items()}
-    at_level = tuple(np.bincount(list(level_of.values()), minlength=plan.depth).tolist())
-    structure = space.keep(spark.createDataFrame([(t, level_of[t], pickle.dumps(x)) for t, x in tasks.items()], "task long, level int, nodes binary"))
+    structure = space.keep(structure)
     moved = space.keep(moved.join(F.broadcast(structure.select("task", "level")), "task"))  # some hundred tasks
     opts = (positive, options.u, options.small, options.action, options.pivoting)
 
@@ -343,7 +426,8 @@ def _eliminated(front: np.ndarray, n: int, rows: list[int], opts: tuple) -> Fron
 Gift = tuple[list[int], int, np.ndarray]  # of a front to its parent's: rows, how many of them are delayed pivots, block
 
 
-def _factor_task(task: int, pdf: pd.DataFrame, node_task: np.ndarray, node_level: np.ndarray, opts: tuple) -> pd.DataFrame:
+def _factor_task(task: int, pdf: pd.DataFrame, node_task: np.ndarray | None, node_level: np.ndarray | None, opts: tuple) -> pd.DataFrame:
+    """node_task, node_level: of each supernode; None if all parents are in this task."""
     head = pdf[pdf.kind == 1].iloc[0]
     nodes: list[TaskNode] = pickle.loads(head.payload)
     a = pdf[pdf.kind == 0].sort_values(["c", "r"])
@@ -385,7 +469,7 @@ def _factor_task(task: int, pdf: pd.DataFrame, node_task: np.ndarray, node_level
             stats[2] += neg
             stats[3] += zero
         if x.parent >= 0 and len(rows) > k:
-            (pending if node_task[x.parent] == task else away).setdefault(x.parent, []).append((f.rows[k:], f.delayed, f.rest.copy()))
+            (pending if node_task is None or node_task[x.parent] == task else away).setdefault(x.parent, []).append((f.rows[k:], f.delayed, f.rest.copy()))
     out = [(int(node_task[k]), int(node_level[k]), 1, pickle.dumps((k, gifts)), None) for k, gifts in away.items()]
     made = [(task, int(head.r), 0, pickle.dumps(done), stats.tolist()), *out]
     return pd.DataFrame(made, columns=["task", "level", "kind", "payload", "stats"])
