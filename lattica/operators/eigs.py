@@ -306,19 +306,34 @@ class Derived:
         return [name[1:], *(c for c in (f"{name[0]}{c}" for c in "dhvge") if c in stored)]
 
     def __call__(self, b: pa.RecordBatch, name: str) -> np.ndarray:
-        if name in b.schema.names:
-            return _array(b, name)
-        if name == "r":
-            return self(b, "ax") - self(b, self.metric) * self.values
-        form, w = name[0], _array(b, name[1:])
-        at_hubs, there = self.known[form, name[1:]]
+        return self.made(b, [name])[name]
+
+    def made(self, b: pa.RecordBatch, names: list[str]) -> dict[str, np.ndarray]:
+        """The named columns; products by one matrix are made together."""
+        stored = b.schema.names
+        out = {c: _array(b, c) for c in names if c in stored}
+        missing = [c for c in names if c not in stored and c != "r"] + [c for c in ("ax", self.metric) if "r" in names and "r" not in stored and c not in out and c not in names]
+        for form in {c[0] for c in missing if c not in stored}:
+            kinds = [c[1:] for c in missing if c[0] == form and c not in stored]
+            blocks = [out[k] if k in out else _array(b, k) for k in kinds]
+            ends = np.cumsum([x.shape[1] for x in blocks])[:-1]
+            both = [np.concatenate([self.known[form, k][h] for k in kinds], axis=1) for h in (0, 1)]
+            product = self.product(b, form, np.concatenate(blocks, axis=1), *both)
+            out |= {f"{form}{k}": x for k, x in zip(kinds, np.split(product, ends, axis=1), strict=True)}
+        if "r" in names and "r" not in stored:
+            out["r"] = out["ax"] - (out[self.metric] if self.metric in out else _array(b, self.metric)) * self.values
+        return out
+
+    def product(self, b: pa.RecordBatch, form: str, w: np.ndarray, at_hubs: np.ndarray, there: np.ndarray) -> np.ndarray:
         out = b.column(f"{form}d").to_numpy()[:, None] * w
         row, hub, v = _own_entries(b, form, "ge" if f"{form}g" in b.schema.names else "hv")
         part = v[:, None] * at_hubs[hub]
-        if (np.diff(row) > 0).all():
-            out[row] += part
-        else:
+        if not (np.diff(row) > 0).all():
             np.add.at(out, row, part)
+        elif len(row) == len(out):
+            out += part
+        else:
+            out[row] += part
         own, at = _at_hubs(self.hubs[form], b.column("i").to_numpy())
         out[own] = there[at]
         return out
@@ -435,15 +450,20 @@ def _needed(frame: DataFrame, names: list[str], derived: Derived) -> list[str]:
 
 
 def gram_matrices(frame: DataFrame, names: list[str], pairs: list[tuple[str, str]], derived: Derived = Derived()) -> dict[tuple[str, str], np.ndarray]:
-    """U'V for pairs of array columns: each task sums its rows, Spark the tasks, entry by entry."""
+    """U'V for pairs of array columns: each task sums its rows, and few tasks what these have."""
+    first: dict[str, list[int]] = {}  # pairs by their first column, which meets the others at once
+    for k, (p, _) in enumerate(pairs):
+        first.setdefault(p, []).append(k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in _batches(batches):
             if b.num_rows:
-                a = {c: derived(b, c) for c in names}
-                for k, (p, q) in enumerate(pairs):
-                    sums[k] = sums.get(k, 0) + a[p].T @ a[q]
+                a = derived.made(b, names)
+                for p, own in first.items():
+                    right = np.concatenate([a[pairs[k][1]] for k in own], axis=1)
+                    for k, x in zip(own, np.split(a[p].T @ right, np.cumsum([a[pairs[k][1]].shape[1] for k in own])[:-1], axis=1), strict=True):
+                        sums[k] = sums.get(k, 0) + x
         yield _parts(sums)
 
     return {pairs[k]: g for k, g in _summed(frame.select(*_needed(frame, names, derived)).mapInArrow(run, PARTS)).items()}
@@ -500,8 +520,9 @@ def started(frame: DataFrame, random: int, width: int, given: bool, seed: int, n
                     x = np.concatenate([_array(b, "g"), x], axis=1)[:, :width]
                 yield _packed({c: b.column(c) for c in b.schema.names if c != "g"} | {"x": _lists(x)})
 
-    parts = max(min(frame.sparkSession.sparkContext.defaultParallelism, -(-n // CHUNK)), -(-n * width * 24 // PART_BYTES))
-    return frame.repartition(parts, "i").mapInArrow(run, PACKED)
+    cores = min(frame.sparkSession.sparkContext.defaultParallelism, -(-n // CHUNK))
+    rounds = -(-n * width * 24 // (PART_BYTES * cores))
+    return frame.repartition(rounds * cores, "i").mapInArrow(run, PACKED)
 
 
 @dataclass(frozen=True)
@@ -520,19 +541,24 @@ class Search:
         return np.concatenate([r, lcg.reals(b.column("i").to_numpy(), self.fresh, self.seed, self.n)], axis=1) if self.fresh else r
 
 
-def advanced(frame: DataFrame, made: dict[str, tuple[list[str], np.ndarray]], derived: Derived, carried: list[str], search: Search) -> DataFrame:
-    """The next packed table: combinations as mixed() makes them, of which r becomes the search block w; each task adds a row for each of its sums at the hubs."""
-    names = sorted({c for columns, _ in made.values() for c in columns})
-    width = made["r"][1].shape[1] + search.fresh
+def advanced(frame: DataFrame, kinds: list[str], made: dict[str, np.ndarray], derived: Derived, carried: list[str], search: Search) -> DataFrame:
+    """The next packed table: combinations of the columns of all kinds by stacked coefficients, and the search block w from residuals of the new block.
+
+    derived: of the new block. Each task adds a row for each of the sums of w at the hubs.
+    """
+    width = made["x"].shape[1] + search.fresh
+    ends = np.cumsum([m.shape[1] for m in made.values()])[:-1]
+    every = np.concatenate(list(made.values()), axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = HubSums(derived.hubs, width)
         for b in _batches(batches):
-            a = {c: derived(b, c) for c in names}
-            out = {k: np.concatenate([a[c] for c in columns], axis=1) @ m for k, (columns, m) in made.items()}
-            out["w"] = search(b, out.pop("r"))
-            sums.add(b, out["w"])
-            yield _packed({"i": b.column("i")} | {c: b.column(c) for c in carried} | {k: _lists(v) for k, v in out.items()})
+            own = {"i": b.column("i")} | {c: b.column(c) for c in carried}
+            mixed_ = np.split(np.concatenate([_array(b, k) for k in kinds], axis=1) @ every, ends, axis=1)
+            new = pa.record_batch(own | {k: _lists(x) for k, x in zip(made, mixed_, strict=True)})
+            w = search(new, derived(new, "r"))
+            sums.add(new, w)
+            yield _packed(dict(zip(new.schema.names, new.columns, strict=True)) | {"w": _lists(w)})
         yield _packed_sums(sums.sums)
 
     return frame.select("chunk").mapInArrow(run, PACKED)
@@ -545,7 +571,7 @@ def mixed(frame: DataFrame, made: dict[str, tuple[list[str], np.ndarray]], deriv
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batches(batches):
             if b.num_rows:
-                a = {c: derived(b, c) for c in names}
+                a = derived.made(b, names)
                 yield pa.record_batch({"i": b.column("i")} | {k: _lists(np.concatenate([a[c] for c in columns], axis=1) @ m) for k, (columns, m) in made.items()})
 
     schema = ", ".join(["i long", *(f"{k} array<double>" for k in made)])
@@ -748,11 +774,15 @@ class Engine:
         self.sizes = np.sqrt(np.maximum(np.einsum("ik,ij,jk->k", p, gb, p), 0))
         x = span @ coefficients
         new = {"x": x} | ({"p": p} if old else {}) | ({"y": base} if base.shape[1] else {})
-        made = {f"{o}{k}": ([f"{o}{q}" for q in kinds], m) for o in self.stored for k, m in new.items()}
-        made["r"] = [f"a{k}" for k in kinds] + [k if self.inner else self.metric(k) for k in kinds], np.concatenate([x, -x * self.values])
-        self.state, self.has_p = (work, made, self.derived) if self.local else mixed(work, made, self.derived), bool(old)
+        self.has_p = bool(old)
+        if not self.local:
+            made = {f"{o}{k}": ([f"{o}{q}" for q in kinds], m) for o in self.stored for k, m in new.items()}
+            made["r"] = [f"a{k}" for k in kinds] + [k if self.inner else self.metric(k) for k in kinds], np.concatenate([x, -x * self.values])
+            self.state = mixed(work, made)
+            return True
         known = {(f, k): tuple(np.concatenate([self.derived.known[f, q][h] for q in kinds], axis=1) @ m for h in (0, 1)) for f in self.derived.hubs for k, m in new.items()}
         self.derived = replace(self.derived, known=known, values=self.values)
+        self.state = work, kinds, new, self.derived
         return True
 
     def step(self, number: int) -> tuple[DataFrame, list[str]]:
